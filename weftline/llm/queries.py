@@ -88,5 +88,12 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN fits ON parts.rid = fits.rid AND place = 1
 """
 
-QUERIES = {"op1_chat": op1_chat, "op7_urls": op7_urls}
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import setsketch
+
+    return setsketch.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_chat": op1_chat, "op4_near_duplicates": op4_near_duplicates, "op7_urls": op7_urls}
 SQL = {"op1_chat": OP1_SQL, "op7_urls": OP7_SQL}
