@@ -95,5 +95,29 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op4_near_duplicates": op4_near_duplicates, "op7_urls": op7_urls}
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import packing
+
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import bpe
+
+    return bpe.digests(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {
+    "op1_chat": op1_chat,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op6_packing": op6_packing,
+    "op9_bpe": op9_bpe,
+    "op7_urls": op7_urls,
+}
 SQL = {"op1_chat": OP1_SQL, "op7_urls": OP7_SQL}
