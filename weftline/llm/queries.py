@@ -113,8 +113,22 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import langid
+
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import sharding
+
+    return sharding.shard(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
+    "op3_language": op3_language,
+    "op10_sharding": op10_sharding,
     "op4_near_duplicates": op4_near_duplicates,
     "op6_packing": op6_packing,
     "op9_bpe": op9_bpe,
