@@ -125,8 +125,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import embed_dedup
+
+    return embed_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import ann
+
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op8_nearest": op8_nearest,
     "op3_language": op3_language,
     "op10_sharding": op10_sharding,
     "op4_near_duplicates": op4_near_duplicates,

@@ -5,10 +5,11 @@ A document's set holds its distinct five-word shingles. A SetSketch register is
 the parts' registers. With base b near 1 two sets agree in a register with a probability close to their Jaccard
 similarity. Registers are cut into bands; sets that agree in a band are candidates.
 
-Equal sets are one class, whatever their number. Within a bucket no pairs are formed at first: each bucket has a
-pseudo-random leader, and (leader, member) pairs are weighed by the joint likelihood of their registers and then
-verified on the full sets. Only in buckets whose members are still in different components after two such rounds, all
-pairs between components are tried, so that every link between texts that share a band is found or implied.
+Equal sets are one class, whatever their number. No bucket's pairs are written out: each bucket has a pseudo-random
+leader, (leader, member) pairs are weighed by the joint likelihood of their registers, and each class first verifies
+one likely partner on the full sets. Only where a bucket's members are then still in different components, the
+registers of all pairs between components are weighed inside tasks, in blocks of a bounded size, and the likely ones
+verified; so every link between texts that share a band is found or implied.
 
 With the defaults (40 bands of 5) a pair of similarity 0.75 shares no band with probability 2e-5.
 
@@ -28,10 +29,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm.bytes_np import U64, mix, shingle_sets
 from weftline.llm.common import connected_components, written
+from weftline.llm.vectors import blocks, by_block, spread_blocks
 
 WORDS = 5
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
+#: Classes of a bucket that one block holds at most, about.
+BLOCK = 512
 #: Base, rate and largest register of the sketch; 16 bits a register.
 B, A, Q = 1.001, 20.0, 65534
 FACTORS = mix(np.arange(REGISTERS, dtype=U64), 11) | U64(1)
@@ -94,32 +98,63 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _estimates(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, threshold: float) -> np.ndarray:
+    """Joint estimates, 0 where sizes or agreeing registers leave no chance of `threshold`."""
+    out = np.zeros(len(u))
+    some = np.flatnonzero((np.minimum(nu, nv) >= 0.75 * np.maximum(nu, nv)) & ((u == v).sum(axis=1) >= (threshold - 0.2) * REGISTERS))
+    if len(some):
+        out[some] = likely_similarity(u[some], v[some], nu[some].astype(float), nv[some].astype(float))
+    return out
+
+
+def _sketch_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
+
+
 def _weighed(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b, na, nb, ra, rb = batch.columns
-            u, v = (np.stack([np.frombuffer(x, np.uint16) for x in r.to_pylist()]) for r in (ra, rb))
-            na, nb = na.to_numpy().astype(float), nb.to_numpy().astype(float)
-            possible = np.minimum(na, nb) >= 0.75 * np.maximum(na, nb)
-            keep = pa.array(possible & (likely_similarity(u, v, na, nb) >= threshold))
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+            found = _estimates(_sketch_matrix(ra), _sketch_matrix(rb), na.to_numpy(), nb.to_numpy(), threshold)
+            keep = pa.array(found >= threshold)
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep), pa.array(found).filter(keep)], ["a", "b", "likely"])
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [h.tobytes() for h in shingle_sets(batch.column(1), WORDS)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cid", "hashes"])
+def _across(threshold: float):
+    """Blocks of buckets -> likely pairs whose members are in different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, borders in blocks(batches):
+            cid, comp, n, side = (table.column(c).to_numpy() for c in ("cid", "comp", "n_shingles", "side"))
+            regs, xs, ys = _sketch_matrix(table.column("registers").combine_chunks()), [], []
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                split = (side[a:b] != 0).any()
+                for i in range(a, b):
+                    if split and side[i] > 0:
+                        continue
+                    others = np.arange(a if split else i + 1, b)
+                    others = others[(comp[others] != comp[i]) & ((side[others] > 0) if split else True)]
+                    if len(others):
+                        own = np.broadcast_to(regs[i], (len(others), REGISTERS))
+                        hit = others[_estimates(own, regs[others], np.full(len(others), n[i]), n[others], threshold) >= threshold]
+                        xs.append(np.full(len(hit), cid[i]))
+                        ys.append(cid[hit])
+            if xs:
+                x, y = np.concatenate(xs), np.concatenate(ys)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, text of a, text of b) -> the pairs whose full sets are similar."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            u, v = (np.frombuffer(z.as_buffer(), U64) for z in (x, y))
+        for u, v in zip(shingle_sets(batch.column(2), WORDS), shingle_sets(batch.column(3), WORDS), strict=True):
             both = np.sort(np.concatenate([u, v]))
             shared = int((both[1:] == both[:-1]).sum())
             keep.append(shared > 0 and 100 * shared >= 75 * (len(both) - shared))
@@ -127,71 +162,58 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doubt: float = 0.15) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar; estimates below 0.75 - doubt (5 deviations) end early."""
-    spark = docs.sparkSession
-    side = lambda n: classes.select(F.col("cid").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
-    likely = written(both.mapInArrow(_weighed(0.75 - doubt), "a long, b long"), "likely")
-    wanted = likely.select(F.col("a").alias("cid")).unionAll(likely.select(F.col("b").alias("cid"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("cid"), "text").join(wanted, "cid", "left_semi")
-    sets = written(texts.mapInArrow(_sets, "cid long, hashes binary"), "sets")
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are similar."""
     full = (
-        likely.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), "a")
-        .join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb")), "b")
-        .select("a", "b", "ha", "hb")
+        pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+        .join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+        .select("a", "b", "ta", "tb")
     )
     return written(full.mapInArrow(_verified, "a long, b long").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row for each row of docs (doc_id: long, text: string)."""
+def near_duplicates(docs: DataFrame, doubt: float = 0.15) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row for each row of docs (doc_id: long, text: string).
+
+    Pairs whose estimate is below 0.75 - doubt (five standard deviations) are not verified.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = written(
-        docs.mapInArrow(_sketches, "doc_id long, n_shingles long, s1 long, s2 long, registers binary"), "sketches"
-    )
+    sketches = written(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, s1 long, s2 long, registers binary"), "sketches")
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = written(
         filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
         "classes",
     )
     bands = classes.select("cid", "registers").mapInArrow(_bands, "cid long, key long")
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = written(bands.join(shared, "key").distinct(), "members")
-    ids = filled.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).select("doc_id", "cid").distinct()
-    ids = written(ids, "ids")
+    leads = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("l"), F.max(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("m"))
+    leads = leads.where("l.cid <> m.cid").select("key", F.col("l.cid").alias("lead"))
+    members = written(bands.join(leads.hint("merge"), "key").distinct(), "members")
+    side = lambda n: classes.select(F.col("cid").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}")).hint("merge")
+    stars = members.where("cid <> lead").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+    stars = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    likely = written(stars.mapInArrow(_weighed(0.75 - doubt), "a long, b long, likely double"), "likely")
+    wanted = members.select("cid").distinct()
+    texts = written(docs.select(F.col("doc_id").alias("cid"), "text").join(wanted.hint("merge"), "cid", "left_semi"), "texts")
+    # each class tries one likely partner first, where it can one that many others try too
+    both = likely.select(F.col("a").alias("x"), F.col("b").alias("y"), "likely").unionAll(likely.select(F.col("b").alias("x"), F.col("a").alias("y"), "likely"))
+    picks = both.groupBy("x").agg(F.min(F.struct(F.col("likely") < 0.8, F.xxhash64("y"), F.col("y").alias("y"))).alias("p"))
+    picks = picks.select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
     # a doc_id with several texts is one document: its classes are linked
-    found = ids.where("doc_id <> cid").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("a", "b")
-    found = found.unionAll(ids.where("doc_id <> cid").join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("cid").alias("b")))
-    tried, labels = None, None
-    for step in range(star_rounds + 1):
-        if labels is None:
-            placed = members.withColumn("comp", F.col("cid"))
-        else:
-            placed = members.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-        open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        placed = written(placed.join(open_keys, "key", "left_semi"), "open")
-        if step < star_rounds:
-            leads = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", "key", F.lit(step)).alias("h"), "cid", "comp")).alias("lead"))
-            pairs = placed.join(leads, "key").where("comp <> lead.comp").select(F.col("lead.cid").alias("x"), F.col("cid").alias("y"))
-        else:
-            parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-            largest = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("top"))
-            minor = placed.join(largest, "key").where("comp <> top")
-            pairs = minor.select("key", F.col("cid").alias("x"), F.col("comp").alias("xc"), "top").join(placed.select("key", F.col("cid").alias("y"), F.col("comp").alias("yc")), "key")
-            pairs = pairs.where("xc <> yc and (yc = top or x < y)").select("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        found = found.unionAll(_links(pairs, classes, docs))
-        labels = written(connected_components(found), "labels")
-    if labels is None:
-        labels = connected_components(found)
-    of_id = ids.join(labels.withColumnRenamed("id", "cid"), "cid", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "cid")).alias("component_id"))
+    ids = written(filled.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).select("doc_id", "cid").distinct(), "ids")
+    own = ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("a", "b")
+    found = written(own.unionAll(_links(picks, texts)), "found")
+    labels = connected_components(found).withColumnRenamed("id", "cid")
+    # where a bucket's members are still apart, all pairs between components are weighed, in blocks
+    placed = members.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    placed = written(placed, "placed")
+    apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y")
+    apart = apart.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    spread = spread_blocks(placed.join(apart.hint("merge"), "key"), ["cid", "comp"])
+    spread = spread.join(classes.select("cid", "n_shingles", "registers").hint("merge"), "cid")
+    more = by_block(spread).mapInArrow(_across(0.75 - doubt), "a long, b long").distinct()
+    found = written(found.unionAll(_links(more, texts)), "found")
+    labels = connected_components(found).withColumnRenamed("id", "cid")
+    of_id = ids.join(labels, "cid", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "cid")).alias("component_id"))
     result = sketches.select("doc_id", "n_shingles").join(of_id, "doc_id", "left")
     return result.select(
         "doc_id",
