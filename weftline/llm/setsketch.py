@@ -7,9 +7,9 @@ similarity. Registers are cut into bands; sets that agree in a band are candidat
 
 Equal sets are one class, whatever their number. No bucket's pairs are written out: each bucket has a pseudo-random
 leader, (leader, member) pairs are weighed by the joint likelihood of their registers, and each class first verifies
-one likely partner on the full sets. Only where a bucket's members are then still in different components, the
-registers of all pairs between components are weighed inside tasks, in blocks of a bounded size, and the likely ones
-verified; so every link between texts that share a band is found or implied.
+one likely partner on the full sets. Only where a bucket's members are then still in different components, all pairs
+between components are weighed inside tasks, in blocks of a bounded size, and the likely ones verified there; so every
+link between texts that share a band is found or implied.
 
 With the defaults (40 bands of 5) a pair of similarity 0.75 shares no band with probability 2e-5.
 
@@ -35,7 +35,9 @@ WORDS = 5
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 #: Classes of a bucket that one block holds at most, about.
-BLOCK = 512
+BLOCK = 256
+#: Signs of each register for the first weighing inside a block.
+BITS = 4
 #: Base, rate and largest register of the sketch; 16 bits a register.
 B, A, Q = 1.001, 20.0, 65534
 FACTORS = mix(np.arange(REGISTERS, dtype=U64), 11) | U64(1)
@@ -86,7 +88,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, registers) -> (cid, key): a row for each band."""
+    """(cid, registers) -> (cid, key, tab): a row for each band."""
     factors = mix(np.arange(REGISTERS, dtype=U64), 21) | U64(1)
     for batch in batches:
         if not batch.num_rows:
@@ -94,7 +96,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         regs = np.stack([np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]).astype(U64)
         keys = mix((mix(regs) * factors).reshape(len(regs), BANDS, ROWS).sum(axis=2, dtype=U64) + np.arange(BANDS, dtype=U64), 22)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.ravel().view(np.int64))], ["cid", "key"]
+            [pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(regs)))],
+            ["cid", "key", "tab"],
         )
 
 
@@ -124,27 +127,64 @@ def _weighed(threshold: float):
     return run
 
 
+def _signs(regs: np.ndarray) -> np.ndarray:
+    """BITS pseudo-random signs of each register: the mean product of two rows estimates how many registers agree."""
+    words = mix(regs.astype(U64) * U64(REGISTERS) + np.arange(REGISTERS, dtype=U64), 41)
+    signs = [((words >> U64(j)) & U64(1)).astype(np.float32) * 2 - 1 for j in range(BITS)]
+    return np.concatenate(signs, axis=1)
+
+
+def similar(u: np.ndarray, v: np.ndarray) -> bool:
+    """Whether two sorted sets have 100 * intersection >= 75 * union, the intersection not empty."""
+    both = np.concatenate([u, v])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared > 0 and 100 * shared >= 75 * (len(both) - shared)
+
+
 def _across(threshold: float):
-    """Blocks of buckets -> likely pairs whose members are in different components."""
+    """Blocks of buckets -> links that join different components: every pair of a block that no earlier band holds is
+    either verified on the full sets, too unlikely, or already joined inside the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, borders in blocks(batches):
-            cid, comp, n, side = (table.column(c).to_numpy() for c in ("cid", "comp", "n_shingles", "side"))
-            regs, xs, ys = _sketch_matrix(table.column("registers").combine_chunks()), [], []
+            cid, comp, n, side, tab = (table.column(c).to_numpy() for c in ("cid", "comp", "n_shingles", "side", "tab"))
+            all_regs, texts, xs, ys = table.column("registers").combine_chunks(), table.column("text").combine_chunks(), [], []
             for a, b in zip(borders[:-1], borders[1:], strict=True):
-                split = (side[a:b] != 0).any()
-                for i in range(a, b):
-                    if split and side[i] > 0:
-                        continue
-                    others = np.arange(a if split else i + 1, b)
-                    others = others[(comp[others] != comp[i]) & ((side[others] > 0) if split else True)]
-                    if len(others):
-                        own = np.broadcast_to(regs[i], (len(others), REGISTERS))
-                        hit = others[_estimates(own, regs[others], np.full(len(others), n[i]), n[others], threshold) >= threshold]
-                        xs.append(np.full(len(hit), cid[i]))
-                        ys.append(cid[hit])
+                size = n[a:b].astype(float)
+                regs, half = _sketch_matrix(all_regs.slice(a, b - a)), side[a:b]
+                bits, root = _signs(regs), {}
+                p, q = np.nonzero(bits @ bits.T >= (threshold - 0.05) * bits.shape[1])
+                once = (p < q) & (comp[a:b][p] != comp[a:b][q]) & (np.minimum(size[p], size[q]) >= 0.75 * np.maximum(size[p], size[q]))
+                if (half != 0).any():
+                    once &= half[p] != half[q]
+                p, q = p[once], q[once]
+                if not len(p):
+                    continue
+                earlier = (regs[:, : tab[a] * ROWS]).reshape(b - a, tab[a], ROWS)
+                sets: dict[int, np.ndarray] = {}
+                for i in range(0, len(p), 4096):
+                    u, v = p[i : i + 4096], q[i : i + 4096]
+                    new = ~(earlier[u] == earlier[v]).all(axis=2).any(axis=1)
+                    u, v = u[new], v[new]
+                    hit = likely_similarity(regs[u], regs[v], size[u], size[v]) >= threshold if len(u) else np.zeros(0, bool)
+                    for x, y in zip(u[hit].tolist(), v[hit].tolist(), strict=True):
+                        rx, ry = comp[a + x], comp[a + y]
+                        while rx in root:
+                            rx = root[rx]
+                        while ry in root:
+                            ry = root[ry]
+                        if rx == ry:
+                            continue
+                        for z in (x, y):
+                            if z not in sets:
+                                sets[z] = next(shingle_sets(texts.slice(a + z, 1), WORDS))
+                        if similar(sets[x], sets[y]):
+                            root[max(rx, ry)] = min(rx, ry)
+                            xs.append(cid[a + x])
+                            ys.append(cid[a + y])
             if xs:
-                x, y = np.concatenate(xs), np.concatenate(ys)
+                x, y = np.array(xs), np.array(ys)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     return run
@@ -153,11 +193,7 @@ def _across(threshold: float):
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text of a, text of b) -> the pairs whose full sets are similar."""
     for batch in batches:
-        keep = []
-        for u, v in zip(shingle_sets(batch.column(2), WORDS), shingle_sets(batch.column(3), WORDS), strict=True):
-            both = np.sort(np.concatenate([u, v]))
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(shared > 0 and 100 * shared >= 75 * (len(both) - shared))
+        keep = [similar(u, v) for u, v in zip(shingle_sets(batch.column(2), WORDS), shingle_sets(batch.column(3), WORDS), strict=True)]
         keep = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
@@ -172,10 +208,10 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(full.mapInArrow(_verified, "a long, b long").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, doubt: float = 0.15) -> DataFrame:
+def near_duplicates(docs: DataFrame, doubt: float = 0.12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of docs (doc_id: long, text: string).
 
-    Pairs whose estimate is below 0.75 - doubt (five standard deviations) are not verified.
+    Pairs whose estimate is below 0.75 - doubt (four standard deviations) are not verified.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = written(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, s1 long, s2 long, registers binary"), "sketches")
@@ -184,7 +220,7 @@ def near_duplicates(docs: DataFrame, doubt: float = 0.15) -> DataFrame:
         filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
         "classes",
     )
-    bands = classes.select("cid", "registers").mapInArrow(_bands, "cid long, key long")
+    bands = classes.select("cid", "registers").mapInArrow(_bands, "cid long, key long, tab int")
     leads = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("l"), F.max(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("m"))
     leads = leads.where("l.cid <> m.cid").select("key", F.col("l.cid").alias("lead"))
     members = written(bands.join(leads.hint("merge"), "key").distinct(), "members")
@@ -202,16 +238,16 @@ def near_duplicates(docs: DataFrame, doubt: float = 0.15) -> DataFrame:
     ids = written(filled.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).select("doc_id", "cid").distinct(), "ids")
     own = ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("a", "b")
     found = written(own.unionAll(_links(picks, texts)), "found")
+    # where a bucket's members are still apart, all pairs between components are tried inside tasks, in blocks
     labels = connected_components(found).withColumnRenamed("id", "cid")
-    # where a bucket's members are still apart, all pairs between components are weighed, in blocks
-    placed = members.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    placed = members.select("key", "tab", "cid").join(labels.hint("merge"), "cid", "left").select("key", "tab", "cid", F.coalesce("component", "cid").alias("comp"))
     placed = written(placed, "placed")
     apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y")
     apart = apart.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    spread = spread_blocks(placed.join(apart.hint("merge"), "key"), ["cid", "comp"])
-    spread = spread.join(classes.select("cid", "n_shingles", "registers").hint("merge"), "cid")
+    spread = spread_blocks(placed.join(apart.hint("merge"), "key"), ["tab", "cid", "comp"])
+    spread = spread.join(classes.select("cid", "n_shingles", "registers").hint("merge"), "cid").join(texts.hint("merge"), "cid")
     more = by_block(spread).mapInArrow(_across(0.75 - doubt), "a long, b long").distinct()
-    found = written(found.unionAll(_links(more, texts)), "found")
+    found = written(found.unionAll(more), "found")
     labels = connected_components(found).withColumnRenamed("id", "cid")
     of_id = ids.join(labels, "cid", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "cid")).alias("component_id"))
     result = sketches.select("doc_id", "n_shingles").join(of_id, "doc_id", "left")
