@@ -137,8 +137,15 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import suffix
+
+    return suffix.dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op8_nearest": op8_nearest,
     "op3_language": op3_language,
