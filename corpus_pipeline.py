@@ -1,3 +1,65 @@
-STAGES = []
+"""A corpus pipeline of four operators: language ID, near-dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that run() writes as Parquet in the shared folder and
+reads again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import langid, packing, setsketch, suffix
+from weftline.llm.common import read_table, written
+from weftline.llm.queries import vocabulary
+from weftline.session import ship
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that could be told; those without a letter go. lang becomes the prediction.
+
+    Rows without doc_id have no prediction to join and are judged by whether they have a letter."""
+    ship(spark)
+    model = langid.train(docs.where("lang is not null").select("doc_id", "text", "lang"))
+    names = docs.columns
+    pred = langid.predict(docs.select("doc_id", "text").where("doc_id is not null"), model).where("lang_pred <> 'und'")
+    pred = pred.groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred"))
+    kept = docs.where(F.col("text").rlike(r"\p{L}")).join(pred, "doc_id", "left").where("lang_pred is not null or doc_id is null")
+    return kept.withColumn("lang", F.coalesce("lang_pred", "lang")).select(*names)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, that with the smallest doc_id; a row without doc_id stays."""
+    ship(spark)
+    gone = setsketch.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes long repeated strings from texts; n_chars follows; every document stays."""
+    ship(spark)
+    return suffix.dedup_texts(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences; a row for each piece."""
+    ship(spark)
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("packing", packed),
+]
+
+#: Prediction by context trees, sketches and packing patterns have no SQL form; tests/llm holds run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
