@@ -1,0 +1,100 @@
+"""Lists and patterns that results must agree on."""
+
+from __future__ import annotations
+
+# --- fixed values: path parts that a scan leaves out (globs on one path part) ---
+EXCLUDE = """
+.git node_modules __pycache__ .venv venv env .env build dist target .pytest_cache .mypy_cache .ruff_cache .coverage
+htmlcov *.egg-info .tox .idea .vscode _archive .archive .weftline *.pyc *.pyo *.pyd *.so *.dll *.exe *.bin *.obj *.o *.a
+*.lib *.jar *.war *.ear *.class .DS_Store Thumbs.db *.log *.tmp *.temp *.swp *.swo *~
+""".split()
+
+# --- fixed values: globs of test files, path parts that mark tests ---
+TEST_GLOBS = """
+test_*.py *_test.py tests/**/*.py test/**/*.py spec/**/*.js spec/**/*.ts *_spec.rb *_test.go *Test.java test_*.rs
+*_test.cc *_test.cpp
+""".split()
+TEST_PARTS = ["test", "tests", "testing", "spec", "specs"]
+
+# --- fixed values: globs of configuration files ---
+CONFIG_GLOBS = """
+*.yaml *.yml *.json *.toml *.ini *.cfg *.conf *.config pyproject.toml setup.py setup.cfg requirements*.txt Pipfile
+Pipfile.lock poetry.lock Cargo.toml Cargo.lock go.mod go.sum pom.xml build.gradle package.json package-lock.json
+yarn.lock tsconfig.json .eslintrc* .prettierrc* Dockerfile docker-compose*.yml Makefile CMakeLists.txt
+""".split()
+
+# --- fixed values: names of entry points ---
+ENTRYPOINT_NAMES = """
+main.py __main__.py app.py server.py cli.py run.py manage.py index.js index.ts main.js main.ts app.js app.ts server.js
+server.ts main.rs main.go Main.java Program.cs
+""".split()
+ENTRYPOINT_STEMS = ["main", "app", "server", "cli", "run", "index", "manage", "start", "entry", "bootstrap", "launcher"]
+
+# --- fixed values: languages with their extensions, and file name globs where there is no extension ---
+LANGUAGES = """
+python .py .pyw .pyi
+javascript .js .jsx .mjs .cjs
+typescript .ts .tsx .mts .cts
+rust .rs
+go .go
+java .java
+c .c .h
+cpp .cpp .cc .cxx .c++ .hpp .hh .hxx .h++
+csharp .cs
+ruby .rb .rbw
+php .php .phtml .php3 .php4 .php5 .phps
+swift .swift
+kotlin .kt .kts
+scala .scala .sc
+r .r
+lua .lua
+perl .pl .pm .pod .t
+bash .sh .bash .zsh .fish
+toml .toml
+json .json .jsonc
+yaml .yaml .yml
+html .html .htm .xhtml
+css .css .scss .sass .less
+sql .sql
+markdown .md .markdown .mdown .mkd
+dockerfile Dockerfile dockerfile Dockerfile.*
+make Makefile makefile GNUmakefile *.mk
+cmake .cmake CMakeLists.txt
+protobuf .proto
+graphql .graphql .gql
+vue .vue
+svelte .svelte
+matlab .m
+julia .jl
+rst .rst
+"""
+EXTENSIONS = {x: line.split()[0] for line in LANGUAGES.strip().splitlines() for x in line.split()[1:] if x.startswith(".")}
+NAME_GLOBS = [(x, line.split()[0]) for line in LANGUAGES.strip().splitlines() for x in line.split()[1:] if not x.startswith(".")]
+
+# --- fixed values: words that make a function look like an equation ---
+EQUATION_WORDS = """
+loss gradient optimizer backprop forward pid control matrix tensor eigen sigmoid softmax relu activation convolution
+pooling attention kalman filter estimate predict integral derivative differential
+""".split()
+
+# --- fixed values: edge types that carry impact, and those that count as references ---
+IMPACT_EDGES = ["CALLS", "USES", "DEPENDS_ON", "IMPORTS", "READS", "WRITES", "MODIFIES"]
+REFERENCE_EDGES = ["IMPORTS", "CALLS", "USES", "READS", "DEPENDS_ON"]
+DERIVED_EDGES = ["USES_EQUATION", "EQUATION_INPUT", "EQUATION_OUTPUT", "EQUATION_INTERMEDIATE", "EQUATION_DEPENDS_ON"]
+#: Lists of an equation's analysis, the role of the variables they name, the edge type, and whether the edge leaves
+#: the equation.
+EQUATION_LISTS = [
+    ("inputs", "input", "EQUATION_INPUT"),
+    ("outputs", "output", "EQUATION_OUTPUT"),
+    ("intermediate_variables", "intermediate", "EQUATION_INTERMEDIATE"),
+    ("constants", "constant", "EQUATION_DEPENDS_ON"),
+]
+
+# --- fixed values: allowed words of analysis results ---
+EQUATION_KINDS = "control loss matrix optimization statistical physics mathematical algorithmic neural_network unknown".split()
+STATUSES = "pending in_progress completed failed verified stale".split()
+RISKS = "low medium high critical".split()
+
+# --- fixed values: US dollars for a million tokens, in and out, where the model is not listed ---
+DEFAULT_PRICES = (5.0, 15.0)
+OUTPUT_TOKENS = 500
