@@ -35,7 +35,7 @@ WORDS = 5
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 #: Classes of a bucket that one block holds at most, about.
-BLOCK = 256
+BLOCK = 1024
 #: Signs of each register for the first weighing inside a block.
 BITS = 4
 #: Base, rate and largest register of the sketch; 16 bits a register.
