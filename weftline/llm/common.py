@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.sources.shared import release, shared_folder, written
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["connected_components", "gapless_rank", "read_table", "release", "shared_folder", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = jsc.get() if jsc.isDefined() else None
-    if not folder:
-        folder = getattr(spark.sparkContext, "_weftline_folder", None)
-        if folder is None:
-            folder = spark.sparkContext._weftline_folder = tempfile.mkdtemp(prefix="weftline-")
-    return folder
 
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors,
-    and what later steps read of it is pruned and compressed."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weftline-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 256) -> DataFrame:
@@ -72,7 +51,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a")
         next_ = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = written(next_, "edges")
+        before, now = now, written(next_, "edges")
+        release(before)
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if mark == seen:
             break

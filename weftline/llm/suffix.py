@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bytes_np import U64, joined, mix, prefix_hash, substring_hash, text_chunks
-from weftline.llm.common import written
+from weftline.llm.common import release, written
 from weftline.llm.vectors import blocks, by_block
 
 LENGTH = 400
@@ -132,36 +132,40 @@ def repeated_windows(strings: list[np.ndarray], anchor: np.ndarray) -> np.ndarra
     return mask
 
 
+def _digests(pieces: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(s, digest_size=16).digest() for s in pieces]), np.int64).reshape(-1, 2)
+
+
 def _segments(gram: int):
+    """(d, h, text) -> a row for each segment, with the digest of its bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, data, offsets in text_chunks(batch.column(2)):
                 text, first, last, anchor, key = segments(data, offsets, gram)
-                at = pa.array(text + a)
+                at, buffer, base = pa.array(text + a), data.tobytes(), offsets[text]
+                digest = _digests([buffer[i:j] for i, j in zip((base + first).tolist(), (base + last + LENGTH).tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor))],
-                    ["d", "h", "key", "first", "last", "anchor"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
+                    ["d", "h", "key", "first", "last", "anchor", "s1", "s2"],
                 )
 
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, h, text, places: array of (key, first, last, anchor)) -> a row for each segment with its bytes."""
+    """(text, places: array of (key, first, last, anchor, s1, s2, copies)) -> a row for each place with its bytes."""
     for batch in batches:
-        data, offsets = joined(batch.column(2))
-        places = batch.column(3)
-        key, first, last, anchor = (x.to_numpy() for x in places.flatten().flatten())
+        data, offsets = joined(batch.column(0))
+        places = batch.column(1)
+        key, first, last, anchor, s1, s2, copies = (x.to_numpy() for x in places.flatten().flatten())
         row = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
         buffer, base = data.tobytes(), offsets[:-1][row]
         for i in range(0, len(row), 8192):
             j = slice(i, i + 8192)
             cut = [buffer[b + f : b + e + LENGTH] for b, f, e in zip(base[j], first[j], last[j], strict=True)]
-            digest = np.frombuffer(b"".join([hashlib.blake2b(s, digest_size=16).digest() for s in cut]), np.int64).reshape(-1, 2)
-            at = pa.array(row[j])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(key[j]), pa.array(first[j]), pa.array(anchor[j] - first[j]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(cut, pa.binary())],
-                ["d", "h", "key", "first", "anchor", "s1", "s2", "piece"],
+                [*(pa.array(x[j]) for x in (key, s1, s2, copies, anchor - first)), pa.array(cut, pa.binary())], ["key", "s1", "s2", "copies", "anchor", "piece"]
             )
 
 
@@ -192,15 +196,17 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repeats(texts: DataFrame, level: int) -> DataFrame:
     """(d, h, lo, hi): spans of the texts (d, h, text) that repeated strings of LENGTH bytes cover."""
-    found = written(texts.mapInArrow(_segments(LEVELS[level]), "d long, h long, key long, first int, last int, anchor int"), "segments")
-    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    places = found.join(shared.hint("merge"), "key", "left_semi").groupBy("d", "h").agg(F.collect_set(F.struct("key", "first", "last", "anchor")).alias("places"))
-    cut = texts.join(places.hint("merge"), ["d", "h"]).select("d", "h", "text", "places")
-    cut = written(cut.mapInArrow(_cut, "d long, h long, key long, first int, anchor int, s1 long, s2 long, piece binary"), "pieces")
-    different = cut.groupBy("s1", "s2").agg(
-        F.first("key").alias("key"), F.first("anchor").alias("anchor"), F.first("piece").alias("piece"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies")
-    )
-    different = written(different, "different")
+    columns = "d long, h long, key long, first int, last int, anchor int, s1 long, s2 long"
+    every = written(texts.mapInArrow(_segments(LEVELS[level]), columns), "segments")
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    found = written(every.join(shared.hint("merge"), "key", "left_semi"), "shared")
+    release(every)
+    # of equal segments one place stands for all; only its bytes are cut
+    place = F.min(F.struct("d", "h", "first", "last", "anchor", "key")).alias("p")
+    places = found.groupBy("s1", "s2").agg(place, F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies"))
+    places = places.groupBy("p.d", "p.h").agg(F.collect_set(F.struct("p.key", "p.first", "p.last", "p.anchor", "s1", "s2", "copies")).alias("places"))
+    cut = texts.join(places.hint("merge"), ["d", "h"]).select("text", "places")
+    different = written(cut.mapInArrow(_cut, "key long, s1 long, s2 long, copies int, anchor int, piece binary"), "different")
     cold, hot = different, None
     if level + 1 < len(LEVELS):
         sizes = written(different.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
@@ -213,7 +219,7 @@ def _repeats(texts: DataFrame, level: int) -> DataFrame:
         again = hot.select(F.col("s1").alias("d"), F.col("s2").alias("h"), F.col("piece").alias("text"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
         spans = spans.unionByName(_repeats(again, level + 1).select(F.col("d").alias("s1"), F.col("h").alias("s2"), "lo", "hi"))
     spans = spans.groupBy("s1", "s2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    back = cut.select("d", "h", "first", "s1", "s2").join(spans.hint("merge"), ["s1", "s2"])
+    back = found.select("d", "h", "first", "s1", "s2").join(spans.hint("merge"), ["s1", "s2"])
     return written(
         back.select("d", "h", "first", F.explode("spans").alias("s")).select("d", "h", (F.col("first") + F.col("s.lo")).alias("lo"), (F.col("first") + F.col("s.hi")).alias("hi")),
         "spans",
