@@ -841,7 +841,7 @@ def _(t):
 # ---- search ----
 @query(
     "doc01_bm25",
-    """, w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9_-]+') AS ws FROM files), s AS (SELECT id, len(ws) AS dl, len(list_filter(ws, x -> x = 'the')) AS a, len(list_filter(ws, x -> x = 'les')) AS b FROM w),
+    """, w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9_-]+') AS ws FROM files), s AS (SELECT id, len(ws) AS dl, len(list_filter(ws, lambda x: x = 'the')) AS a, len(list_filter(ws, lambda x: x = 'les')) AS b FROM w),
     st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM s)
     SELECT id, round(CASE WHEN a > 0 THEN ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END + CASE WHEN b > 0 THEN ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END, 6) AS score
     FROM s, st WHERE a > 0 OR b > 0""",
