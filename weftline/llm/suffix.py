@@ -114,7 +114,7 @@ def repeated_windows(strings: list[np.ndarray], anchor: np.ndarray) -> np.ndarra
             if not len(alive):
                 order, common = order[:0], common[:0]
                 continue
-            common = np.minimum.reduceat(common, np.concatenate([[0], alive[:-1] + 1]))
+            common = np.minimum.reduceat(common[: alive[-1] + 1], np.concatenate([[0], alive[:-1] + 1]))
             order = order[alive]
         new = symbols[column, order]
         place = np.argsort(new, kind="stable")
