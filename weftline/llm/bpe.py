@@ -214,7 +214,7 @@ class Codec:
 
 
 class LibraryCodec(Codec):
-    """The same splitting and remembering; words not met before are encoded by the tokenizers library, many at once."""
+    """The same splitting and remembering; words not met before are encoded by the tokenizers library's model."""
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -223,26 +223,53 @@ class LibraryCodec(Codec):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.tokenize = self.library.model.tokenize
+        self.symbols = dict(enumerate(byte_symbols()))
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.seen_ids) >= REMEMBERED:
-            self.seen_ids.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.seen_ids]
-        for word, found in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.seen_ids[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        """New words by the library's own model, each as the string of its bytes' symbols."""
+        for word in words:
+            ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.symbols))]
+            self.seen_ids[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.splitter.common.fullmatch(text) or (self.find_special and self.find_special.search(text)):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        words = self.splitter.words(text)
-        try:
-            return b"".join([self.seen_ids[w] for w in words])
-        except KeyError:
-            self._learn(words)
-            return b"".join([self.seen_ids[w] for w in words])
+        return next(self.encode_many([text]))
+
+    def encode_many(self, texts: list[str | None], together: int = 1 << 20) -> Iterator[bytes]:
+        """Ids of each text. Texts of about `together` characters are split into words at once, and their new words
+        learned once."""
+        at = 0
+        while at < len(texts):
+            if len(self.seen_ids) >= 2 * REMEMBERED:
+                self.seen_ids.clear()
+            out: list[bytes | None] = []
+            waiting: list[tuple[int, list[str]]] = []
+            new: dict[str, None] = {}
+            size, get = 0, self.seen_ids.get
+            while at < len(texts) and (not out or size < together):
+                text = texts[at]
+                at += 1
+                if not text:
+                    out.append(b"")
+                    continue
+                size += len(text)
+                if not self.splitter.common.fullmatch(text) or (self.find_special and self.find_special.search(text)):
+                    ids = self.library.encode(text, add_special_tokens=False).ids
+                    out.append(struct.pack(f"<{len(ids)}I", *ids))
+                    continue
+                words = self.splitter.words(text)
+                parts = list(map(get, words))
+                if None in parts:
+                    new.update(dict.fromkeys([w for w, p in zip(words, parts, strict=True) if p is None]))
+                    waiting.append((len(out), words))
+                    out.append(None)
+                else:
+                    out.append(b"".join(parts))
+            if new:
+                self._learn([*new])
+            for i, words in waiting:
+                out[i] = b"".join(map(self.seen_ids.__getitem__, words))
+            yield from out
 
 
 _codecs: dict[str, Codec] = {}
