@@ -224,6 +224,7 @@ class LibraryCodec(Codec):
         self.library.no_truncation()
         self.library.no_padding()
         self.tokenize = self.library.model.tokenize
+        self.seen_strings: dict[str, bytes] = {}
         self.symbols = dict(enumerate(byte_symbols()))
 
     def _learn(self, words: list[str]) -> None:
@@ -232,44 +233,29 @@ class LibraryCodec(Codec):
             ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.symbols))]
             self.seen_ids[word] = struct.pack(f"<{len(ids)}I", *ids)
 
+    def _string(self, string: str) -> bytes:
+        """Ids of a string without white space, by its words."""
+        words = self.splitter.fast.findall(string)
+        if len(self.seen_ids) >= REMEMBERED:
+            self.seen_ids.clear()
+        self._learn([w for w in words if w not in self.seen_ids])
+        found = self.seen_strings[string] = b"".join([self.seen_ids[w] for w in words])
+        return found
+
     def encode(self, text: str | None) -> bytes:
-        return next(self.encode_many([text]))
-
-    def encode_many(self, texts: list[str | None], together: int = 1 << 20) -> Iterator[bytes]:
-        """Ids of each text. Texts of about `together` characters are split into words at once, and their new words
-        learned once."""
-        at = 0
-        while at < len(texts):
-            if len(self.seen_ids) >= 2 * REMEMBERED:
-                self.seen_ids.clear()
-            out: list[bytes | None] = []
-            waiting: list[tuple[int, list[str]]] = []
-            new: dict[str, None] = {}
-            size, get = 0, self.seen_ids.get
-            while at < len(texts) and (not out or size < together):
-                text = texts[at]
-                at += 1
-                if not text:
-                    out.append(b"")
-                    continue
-                size += len(text)
-                if not self.splitter.common.fullmatch(text) or (self.find_special and self.find_special.search(text)):
-                    ids = self.library.encode(text, add_special_tokens=False).ids
-                    out.append(struct.pack(f"<{len(ids)}I", *ids))
-                    continue
-                words = self.splitter.words(text)
-                parts = list(map(get, words))
-                if None in parts:
-                    new.update(dict.fromkeys([w for w, p in zip(words, parts, strict=True) if p is None]))
-                    waiting.append((len(out), words))
-                    out.append(None)
-                else:
-                    out.append(b"".join(parts))
-            if new:
-                self._learn([*new])
-            for i, words in waiting:
-                out[i] = b"".join(map(self.seen_ids.__getitem__, words))
-            yield from out
+        """As no word spans white space, a text of common characters is encoded string by string."""
+        if not text:
+            return b""
+        if not self.splitter.common.fullmatch(text) or (self.find_special and self.find_special.search(text)):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.seen_strings) >= 2 * REMEMBERED:
+            self.seen_strings.clear()
+        strings = text.lower().split()
+        parts = list(map(self.seen_strings.get, strings))
+        if None in parts:
+            parts = [self._string(s) if p is None else p for p, s in zip(parts, strings, strict=True)]
+        return b"".join(parts)
 
 
 _codecs: dict[str, Codec] = {}
