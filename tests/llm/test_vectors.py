@@ -1,6 +1,8 @@
 """Operators on vectors against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,19 @@ def test_recall(spark):
         d[q] = np.inf
         hits += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {r["vec_id"] for r in found if r["query_id"] == q})
     assert hits >= 0.9 * 400
+
+
+@pytest.mark.parametrize("n", [60_000, 200_000])
+def test_recall_by_default(spark, tmp_path, n):
+    x = np.random.default_rng(n).standard_normal((n, 64)).astype(np.float32)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 64, dtype=np.int32)), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": flat}), tmp_path / "x.parquet")
+    asked = range(0, n, n // 40)
+    found = ann.nearest(spark.read.parquet(str(tmp_path / "x.parquet")), F.col("vec_id") % (n // 40) == 0).collect()
+    hits = 0
+    for q in asked:
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argpartition(d, 10)[:10].tolist()) & {r["vec_id"] for r in found if r["query_id"] == q})
+    print(n, hits / 10 / len(asked))
+    assert hits >= 0.9 * 10 * len(asked)

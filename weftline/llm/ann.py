@@ -4,7 +4,8 @@ Trees are fitted on a pseudo-random sample of at most SAMPLE vectors: each node
 projection on the difference of two of its vectors. Depth follows the number of all vectors, so that a leaf holds
 about LEAF of them, until the sample has too few vectors a leaf. Every vector is then put into its leaf of every tree.
 A query walks all trees with one priority queue of branches, nearest boundary first, until the leaves it has popped
-hold SEARCH vectors. Queries meet the vectors of their leaves in blocks (large leaves are cut into parts, so no task
+hold SEARCH vectors, or SHARE of the forest's entries where that is more: true neighbours lie in a share of the leaves,
+not in a fixed number of rows, so a fixed number loses them as the table grows. Queries meet the vectors of their leaves in blocks (large leaves are cut into parts, so no task
 holds one whole); a block gives each query its 10 nearest there by exact Euclidean distance; the best of all blocks
 are the result.
 
@@ -19,6 +20,7 @@ empty table; extra columns are not read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ from weftline.llm.common import written
 from weftline.llm.vectors import blocks, by_block, matrix, usable
 
 TREES, LEAF, SAMPLE, SEARCH, PART, SEED = 10, 64, 16384, 40000, 2048, 5
+#: Of the forest's entries (vectors times trees) a query's leaves hold at least this share.
+SHARE = 0.08
 
 
 class Forest:
@@ -115,9 +119,10 @@ def _nearest(k: int):
     return run
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 10, search: int = SEARCH, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 10, search: int | None = None, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of rows (vec_id: long, embedding) where is_query holds, the k
-    nearest other vectors found."""
+    nearest other vectors found. search: how many vectors a query's leaves hold; by default SEARCH or the SHARE of the
+    forest's entries, whichever is more."""
     spark = rows.sparkSession
     schema = "query_id long, vec_id long, score double"
     good = rows.withColumn("is_query", F.coalesce(is_query, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), "is_query", F.col("embedding").cast("array<double>").alias("e"))
@@ -126,6 +131,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, search: int = SEARCH
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = dims[0]["d"], dims[0]["count"]
+    search = max(SEARCH, math.ceil(SHARE * trees * n)) if search is None else search
     good = good.where(F.size("e") == dim)
     drawn = good.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / n))).select("vec_id", "e").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
     sample = np.array([r["e"] for r in drawn.collect()], float).reshape(-1, dim)  # bounded by SAMPLE
