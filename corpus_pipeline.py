@@ -29,10 +29,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, that with the smallest doc_id; a row without doc_id stays."""
+    """Keeps one row of each group of near-duplicate rows, that with the smallest doc_id; without doc_id comes last.
+
+    Each row is a text of its own here, as in the next stage: repeated rows of one doc_id and copies without doc_id are
+    near-duplicates like any others, while different texts of one doc_id all stay. Rows of equal doc_id in a group go
+    by the hash of their columns; then they are equal and any will do."""
     ship(spark)
-    gone = setsketch.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = setsketch.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*docs.columns).alias("h"), "_row")
+    first = rows.select("_row", order.alias("o")).join(groups.hint("merge"), "_row").groupBy("component_id").agg(F.min("o").alias("o")).select("o._row")
+    return rows.join(first.hint("merge"), "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

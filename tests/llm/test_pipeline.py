@@ -1,8 +1,9 @@
 """The pipeline against its stages done by brute force in plain Python."""
 
+import random
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from test_text import components, library, shingles, vocabulary
@@ -62,3 +63,17 @@ def test_stages_keep_columns(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).schema.names == docs.schema.names
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_repeated_rows_keep_one_text(spark, sf_dir):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    same, null, mixed, one, two = (words(90) for _ in range(5))
+    near = same + " end"
+    rows = [(7, same), (7, same), (7, near), (None, null), (None, null), (None, mixed), (9, mixed), (8, mixed), (5, one), (5, two), (3, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], spark.read.parquet(f"{sf_dir}/documents.parquet").schema).repartition(3)
+    left = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.repeated_strings(spark, left, sf_dir).collect())
+    kept = got.pop((7, near), 0) + got.pop((7, same), 0)
+    assert kept == 1
+    assert got == Counter([(None, null), (8, mixed), (5, one), (5, two), (3, None), (None, None)])
