@@ -59,6 +59,13 @@ def test_levels(spark, deps):
     assert got == want
 
 
+def test_levels_of_a_long_chain(spark):
+    deps = spark.createDataFrame([(str(i + 1), str(i)) for i in range(104)] + [("a", "b"), ("b", "a")], "source string, target string").coalesce(1)
+    placed = graph.levels(deps)
+    assert {r["node"]: r["level"] for r in placed.collect()} == {str(i): i for i in range(105)}
+    assert {r["level"]: r["dependencies"] for r in graph.level_dependencies(placed, deps).collect()} == dict.fromkeys(range(1, 105), 1)
+
+
 @QUICK
 @given(st.dictionaries(st.sampled_from("abcdef"), st.sampled_from("xy")), st.dictionaries(st.sampled_from("abcdef"), st.sampled_from("xy")))
 def test_diff_partitions_the_union(spark, old, new):

@@ -6,12 +6,18 @@ many edges reach it, and multi-edges never multiply paths.
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.values import REFERENCE_EDGES
 from weftline.operators.filters import impact_edges, of_kinds
-from weftline.sources.shared import written
+from weftline.sources.shared import release, written
+
+#: Tables of placed nodes that levels() keeps before it writes them as one.
+MERGED = 40
 
 
 def impact(edges: DataFrame, nodes: DataFrame, node_type: str, node_id: int, max_depth: int = 3) -> DataFrame:
@@ -83,25 +89,34 @@ def related_tests(affected: DataFrame, edges: DataFrame, files: DataFrame, symbo
     return files.where(F.col("path").startswith("test")).join(hits, files["id"] == hits["file_id"], "left_semi").select("path").distinct()
 
 
-def levels(deps: DataFrame, max_levels: int = 100) -> DataFrame:
+def levels(deps: DataFrame) -> DataFrame:
     """node, level: 0 without dependencies, else one more than the highest level it depends on; nodes on or behind a
     cycle are left out. deps: source depends on target; self-dependencies are dropped.
 
     Each round peels the nodes whose dependencies are all placed; a round costs two joins on node keys, and
-    its tables are written, so that plans stay short however deep the levels are.
+    its tables are written, so that plans stay short however deep the levels are. It ends with the first round that
+    finds no ready node.
     """
     deps = written(deps.where("source <> target").distinct(), "deps")
     nodes = deps.select(F.col("source").alias("node")).unionByName(deps.select(F.col("target").alias("node"))).distinct()
-    left, placed, open_deps = written(nodes, "left"), None, deps
-    for level in range(max_levels):
+    left, placed, open_deps = written(nodes, "left"), [], deps
+    for level in itertools.count():
         waiting = open_deps.select(F.col("source").alias("node")).distinct()
         ready = written(left.join(waiting, "node", "left_anti").withColumn("level", F.lit(level)), "level")
         if ready.isEmpty():
             break
-        placed = ready if placed is None else placed.unionByName(ready)
-        left = written(left.join(ready, "node", "left_anti"), "left")
-        open_deps = written(open_deps.join(ready.select(F.col("node").alias("target")), "target", "left_anti"), "deps")
-    return placed if placed is not None else nodes.where("false").withColumn("level", F.lit(0))
+        rest = written(left.join(ready, "node", "left_anti"), "left")
+        open_rest = written(open_deps.join(ready.select(F.col("node").alias("target")), "target", "left_anti"), "deps")
+        release(left)
+        release(open_deps)
+        left, open_deps = rest, open_rest
+        placed.append(ready)
+        if len(placed) == MERGED:
+            merged = written(reduce(DataFrame.unionByName, placed), "levels")
+            for table in placed:
+                release(table)
+            placed = [merged]
+    return reduce(DataFrame.unionByName, placed) if placed else nodes.where("false").withColumn("level", F.lit(0))
 
 
 def level_dependencies(levelled: DataFrame, deps: DataFrame) -> DataFrame:
