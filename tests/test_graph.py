@@ -102,3 +102,24 @@ def test_paths(spark):
     assert got["a/.hidden"][6] == "" and not got["a/.hidden"][5]
     assert got["node_modules/x.js"][4] and got["lib.so"][4]
     assert got["pyproject.toml"][2] and got["UP.PY"][0] == "python"
+
+
+def test_snapshot_documents_stay_small(spark):
+    files = spark.range(25_000).select(F.concat(F.lit("src/"), F.col("id").cast("string")).alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    documents = dml.snapshot_json(files)
+    sizes = [len(r["files"]) for r in documents.select(F.from_json("snapshot", "files map<string,string>")["files"].alias("files")).collect()]
+    assert sum(sizes) == 25_000 and len(sizes) == 3 and max(sizes) < 10_000
+    back = dml.read_snapshot(documents)
+    assert back.count() == 25_000 and back.exceptAll(files).count() == 0
+    assert [r["snapshot"] for r in dml.snapshot_json(files.limit(0)).collect()] == ['{"files":{}}']
+
+
+def test_audit_without_gathering(spark):
+    rows = spark.range(1000).repartition(3)
+    one = dml.audit("delete", rows, ["id"])
+    assert "collect_" not in one._jdf.queryExecution().optimizedPlan().toString()
+    got = one.first()
+    assert got["affected"] == 1000 and len(got["digest"]) == 64
+    assert dml.audit("delete", rows.unionAll(rows), ["id"]).first()[1:] == (2000, got["digest"])
+    assert dml.audit("delete", rows.where("id <> 5"), ["id"]).first()["digest"] != got["digest"]
+    assert dml.audit("delete", rows.limit(0), ["id"]).first()["affected"] == 0

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Paths of a snapshot's JSON document, about.
+DOCUMENT = 10000
+
 
 def upsert(table: DataFrame, new: DataFrame, keys: list[str], updated: list[str]) -> DataFrame:
     """New keys are inserted; of known keys only the `updated` columns change."""
@@ -52,10 +55,12 @@ def stale_records(records: DataFrame, dead: DataFrame) -> DataFrame:
 
 
 def snapshot_json(files: DataFrame) -> DataFrame:
-    """One JSON document {"files": {path: hash}}, sorted by path. For snapshots of one source tree; a table of paths
-    and hashes is the form for anything larger."""
+    """JSON documents {"files": {path: hash}}, sorted by path: one for up to DOCUMENT paths, else one for each hash
+    bucket of paths, with as many buckets as keep about DOCUMENT paths in each."""
     mapped = F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "hash"))))
-    return files.agg(F.to_json(F.struct(mapped.alias("files"))).alias("snapshot"))
+    buckets = max(1, -(-files.count() // DOCUMENT))
+    grouped = files if buckets == 1 else files.groupBy(F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("bucket"))
+    return grouped.agg(F.to_json(F.struct(mapped.alias("files"))).alias("snapshot")).select("snapshot")
 
 
 def read_snapshot(documents: DataFrame, column: str = "snapshot") -> DataFrame:
@@ -66,9 +71,12 @@ def read_snapshot(documents: DataFrame, column: str = "snapshot") -> DataFrame:
 
 
 def audit(operation: str, result: DataFrame, columns: list[str]) -> DataFrame:
-    """An audit row: the operation, how many rows it gave, and their keys' digest."""
-    digest = F.sha2(F.concat_ws(",", F.array_sort(F.collect_set(F.xxhash64(*columns).cast("string")))), 256)
-    return result.agg(F.lit(operation).alias("operation_type"), F.count(F.lit(1)).alias("affected"), digest.alias("digest"))
+    """An audit row: the operation, how many rows it gave, and their keys' digest (of sums over the different keys'
+    hashes, so no task holds them all)."""
+    keys = result.groupBy(F.xxhash64(*columns).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("string")
+    digest = F.sha2(F.concat_ws(",", total(F.col("h")), total(F.xxhash64("h", F.lit("audit")))), 256)
+    return keys.agg(F.lit(operation).alias("operation_type"), F.coalesce(F.sum("n"), F.lit(0)).alias("affected"), digest.alias("digest"))
 
 
 def with_columns_added(df: DataFrame, schema: T.StructType) -> DataFrame:
