@@ -1,13 +1,16 @@
 """Loops against naive ones on random graphs; diffs and edits against plain Python."""
 
+import random
 from collections import defaultdict, deque
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as fn
-from weftline.operators import aggregates, dml, graph, joins
+from weftline.operators import aggregates, dml, graph, joins, results
+from weftline.sources.shared import shared_folder
 
 KINDS = ["CALLS", "USES", "DEFINES"]
 QUICK = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
@@ -123,3 +126,83 @@ def test_audit_without_gathering(spark):
     assert dml.audit("delete", rows.unionAll(rows), ["id"]).first()[1:] == (2000, got["digest"])
     assert dml.audit("delete", rows.where("id <> 5"), ["id"]).first()["digest"] != got["digest"]
     assert dml.audit("delete", rows.limit(0), ["id"]).first()["affected"] == 0
+
+
+def test_lines_against_intervals(spark, monkeypatch):
+    """Stretches of lines give what all pairs of a file give."""
+    rng = random.Random(6)
+    spans = [(i % 3, i, rng.choice(["function", "class"]), a := rng.randint(0, 300), a + rng.choice([0, 3, 40, 250])) for i in range(120)]
+    calls = [(i % 3, i, rng.randint(0, 500), "n") for i in range(150)]
+    s = spark.createDataFrame(spans, "file_id long, id long, symbol_type string, start_line long, end_line long")
+    c = spark.createDataFrame(calls, "file_id long, id long, line long, name string")
+    want_calls, want_parents = {}, {}
+    for f, i, line, _ in calls:
+        inside = [(k != "function", a, j) for g, j, k, a, b in spans if f == g and a <= line <= b]
+        if inside:
+            want_calls[i] = min(inside)[2]
+    for f, i, _, a, b in spans:
+        around = [(x, j) for g, j, _, x, y in spans if f == g and i != j and x <= a and y >= b]
+        if around:
+            want_parents[i] = max(around)[1]
+    for lines in (128, 7):
+        monkeypatch.setattr(joins, "LINES", lines)
+        assert {r["call_id"]: r["symbol_id"] for r in joins.enclosing_symbols(c, s).collect()} == want_calls
+        assert {r["id"]: r["parent_id"] for r in joins.parents(s).collect()} == want_parents
+
+
+def test_results(spark):
+    good = {
+        "file": '{"summary": "s", "confidence": "0.5", "key_concepts": ["é"], "more": 1}',
+        "variable": '{"inferred_meaning": "m", "confidence": 0, "unit": null, "role": "state"}',
+        "dependency": '{"confidence": 1, "data_flow_edges": [{"a": "b"}]}',
+        "impact": '{"risk_summary": "r", "confidence": 0.25, "risk_level": "high"}',
+        "delete": '{"can_delete": true, "recommendation": "r", "confidence": 1.0}',
+    }
+    bad = {
+        "file": [('{"confidence": 0.5}', "summary: missing"), ('{"summary": "s", "confidence": 0.5, "purpose": "x"}', "purpose: not allowed"), ("5", "no object"), ("", "invalid JSON"), (None, "invalid JSON"), ("{'summary': 's'}", "invalid JSON"), ('{"summary": "s", "confidence": true}', "confidence: no number"), ('{"summary": "s", "confidence": 1.2}', "confidence: out of range"), ('{"summary": "s", "confidence": 1, "risk_notes": [null]}', "risk_notes: no list of texts")],
+        "variable": [('{"inferred_meaning": 4, "confidence": 0}', "inferred_meaning: no text"), ('{"inferred_meaning": "m", "confidence": 0, "unit": []}', "unit: no text")],
+        "dependency": [('{"confidence": 1, "data_flow_edges": ["a"]}', "data_flow_edges: no list of edges")],
+        "impact": [('{"risk_summary": "r", "confidence": 0.25, "risk_level": null}', "risk_level: no text")],
+        "delete": [('{"recommendation": "r", "confidence": 1.0}', "can_delete: missing"), ('{"can_delete": "no", "recommendation": "r", "confidence": 1.0}', "can_delete: no flag")],
+    }
+    for kind, text in good.items():
+        rows = [(0, text, None), *((i + 1, t, e) for i, (t, e) in enumerate(bad[kind]))]
+        got = results.validated(spark.createDataFrame(rows, "id int, output_json string, want string"), kind).orderBy("id").collect()
+        assert [r["error"] for r in got] == [e for *_, e in rows]
+        assert got[0]["new_status"] == "completed" and got[1]["new_status"] == "failed" and got[1]["result"] is None
+        assert 0 <= got[0]["result"]["confidence"] <= 1
+        if kind == "file":
+            r = got[0]["result"]
+            assert (r["purpose"], r["is_core"], r["key_concepts"], r["risk_notes"], r["confidence"]) == ("unknown", False, ["é"], [], 0.5)
+
+
+def test_results_come_once(spark):
+    """Several results for one target, and results for targets with a record, leave one record."""
+    files = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, path string")
+    rows = [(1, "file_1", '{"summary": "one", "confidence": 0.1}'), (2, "file_1", '{"summary": "two", "confidence": 0.2}'), (3, "file_1", "{"), (4, "f_2", '{"summary": "x", "confidence": 0.3}'), (5, "file_7", '{"summary": "x", "confidence": 0.3}')]
+    judged = results.judged(spark.createDataFrame(rows, "id long, task_id string, output_json string"), files, "file")
+    assert {r["id"]: r["error"] for r in judged.collect()} == {1: None, 2: None, 3: "invalid JSON", 4: None, 5: "file record not found for task_id file_7"}
+    done = results.latest(judged)
+    assert {r["id"]: r["llm_summary"] for r in results.submitted(files, done, "file").collect()} == {1: "two", 2: "x", 3: None}
+    records = spark.createDataFrame([("file", 1, None, None, "pending"), ("file", 3, None, None, "pending"), ("symbol", 2, None, None, "failed")], "target_type string, target_id long, output_json string, confidence double, status string")
+    got = sorted((r["target_type"], r["target_id"], r["status"]) for r in results.with_results(records, done, "file").collect())
+    assert got == [("file", 1, "completed"), ("file", 2, "completed"), ("file", 3, "pending"), ("symbol", 2, "failed")]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Conf:
+        @staticmethod
+        def get(_, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("C", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))})
+
+    session = type("S", (), {"conf": Conf, "sparkContext": Context})
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(session)

@@ -1,13 +1,16 @@
 """Extraction, indexing, rescans, deletion, edits and streams on a small source tree."""
 
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions.extract import entities
 from weftline.operators import graph
 from weftline.plans import lifecycle
 from weftline.sources.config import load
-from weftline.sources.scan import scan
-from weftline.streaming.rescan import run_queue, watch_tree
+from weftline.sources.scan import file_info, read_sources, scan
+from weftline.streaming.rescan import progress, run_levels, run_queue, watch_tree
 
 BEFORE = 'import helper\n\nclass Model:\n    """Doc."""\n    def compute_loss(self, x):\n        return helper.square(x)\n'
 AFTER = BEFORE.replace("compute_loss", "calculate_gradient")
@@ -78,13 +81,100 @@ def test_streams(spark, tmp_path):
     q = watch_tree(spark, str(tmp_path / "t"), str(tmp_path / "c"), lambda df, _: seen.extend(r["path"] for r in df.collect()))
     q.awaitTermination()
     assert "model.py" in seen
-    tasks = spark.createDataFrame([("file", 1), ("symbol", 2), ("equation", 3)], "target_type string, target_id long")
+
+
+OK = {
+    "file": '{"summary": "s", "confidence": 0.5}',
+    "symbol": '{"responsibility": "r", "confidence": 1}',
+    "equation": '{"mathematical_meaning": "m", "algorithmic_role": "a", "confidence": 0.5, "evidence": "e"}',
+}
+
+
+def test_queue(spark, tmp_path):
+    files = spark.createDataFrame([(1, "a.py"), (2, "x/_archive/b.py"), (3, "c.py"), (4, "d.py")], "id long, path string")
+    symbols = spark.createDataFrame([(10, 1), (11, 2)], "id long, file_id long")
+    equations = spark.createDataFrame([(20, 1), (21, 3)], "id long, file_id long")
+    rows = [("file", 1, "pending"), ("file", 2, "pending"), ("file", 3, "completed"), ("file", 4, "pending"), ("file", 9, "pending"), ("symbol", 10, "pending"), ("symbol", 11, "pending"), ("equation", 20, "pending"), ("equation", 21, "pending"), ("equation", 22, "pending")]
+    tasks = spark.createDataFrame(rows, "target_type string, target_id long, status string")
+    log = str(tmp_path / "log")
 
     def analyze(frames):
         for f in frames:
-            yield f.assign(status="completed")
+            for r in f.itertuples():
+                with open(log, "a") as out:
+                    out.write(f"{r.target_type} {r.target_id}\n")
+            said = [None if i == 4 else "{" if i == 21 else OK[k] for k, i in zip(f["target_type"], f["target_id"], strict=True)]
+            yield f.assign(output_json=said, error=["call failed" if i == 4 else None for i in f["target_id"]])[["target_type", "target_id", "output_json", "error"]]
+
+    done = run_queue(tasks, files, symbols, equations, analyze)
+    got = {(r["target_type"], r["target_id"]): (r["status"], r["error"]) for r in done.collect()}
+    skipped = ("failed", "skipped: the file is archived")
+    assert got == {
+        ("file", 1): ("completed", None), ("file", 2): skipped, ("file", 3): ("completed", None), ("file", 4): ("failed", "call failed"), ("file", 9): ("failed", "file record missing"),
+        ("symbol", 10): ("completed", None), ("symbol", 11): skipped, ("equation", 20): ("completed", None), ("equation", 21): ("failed", "invalid JSON"), ("equation", 22): ("failed", "equation record missing"),
+    }
+    with open(log) as f:
+        calls = [line.split()[0] for line in f]
+    assert calls == ["file"] * 2 + ["symbol"] + ["equation"] * 2  # layer after layer, each task once
+    assert tuple(progress(done).first()) == (4, 4, 2, 0)
+
+
+def test_levels_in_order(spark, tmp_path):
+    files = spark.createDataFrame([("a",), ("b",), ("c",)], "path string")
+    placed = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1), ("gone", 0)], "node string, level int")
+    log = str(tmp_path / "log")
 
-    assert run_queue(tasks, analyze, "target_type string, target_id long, status string").where("status = 'completed'").count() == 3
+    def analyze(frames):
+        for f in frames:
+            for r in f.itertuples():
+                with open(log, "a") as out:
+                    out.write(r.path)
+            yield f.assign(size=len(f), error=None)[["path", "size", "error"]]
+
+    got = {r["path"]: r["error"] for r in run_levels(placed, files, analyze, "path string, size int, error string").collect()}
+    assert got == {"a": None, "b": None, "c": None, "gone": "File not found"}
+    with open(log) as f:
+        calls = f.read()
+    assert calls[0] == "a" and sorted(calls) == ["a", "b", "c"]
+
+
+def test_hidden_names(spark, tmp_path):
+    for name in ("__init__.py", "__main__.py", "_util.py", "ok.py", ".eslintrc.json", "sub/_x/deep.py", "sub/y.py", "node_modules/_z.py", ".git/config.json", "_archive/old.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n")
+    got = {r["path"]: r for r in scan(spark, str(tmp_path)).collect()}
+    assert set(got) == {"__init__.py", "__main__.py", "_util.py", "ok.py", ".eslintrc.json", "sub/_x/deep.py", "sub/y.py"}
+    assert got["sub/_x/deep.py"]["text"] == "# sub/_x/deep.py\n" and got["__main__.py"]["is_entrypoint"]
+    assert got["_util.py"]["size_bytes"] == 11 and got["_util.py"]["hash"] == hashlib.sha256(b"# _util.py\n").hexdigest()
+    assert {r["path"] for r in scan(spark, str(tmp_path), ["sub", "_*", ".*"]).collect()} == {"ok.py"}
+    for name, there in (("ok.py", 1), ("_util.py", 1), ("none.py", 0), ("_none.py", 0)):
+        assert file_info(spark, str(tmp_path / name)).count() == there
+    assert read_sources(spark.createDataFrame([("a",), ("b",)], "path string"), spark.createDataFrame([("a", "t")], "path string, text string")).orderBy("path").collect() == [("a", "t"), ("b", "")]
+
+
+def test_confirmed_delete(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    tree(tmp_path / "t")
+    g = lifecycle.index(spark, str(tmp_path / "t"))
+    same, said = lifecycle.confirm_delete(g, "file", "helper.py", "helper.py")
+    assert same is g and not said.first()["success"]
+    assert lifecycle.confirm_delete(g, "symbol", "nothing", None, True)[1].first()["message"] == "Target not found"
+    less, said = lifecycle.confirm_delete(g, "symbol", "square", None, True)
+    square = g.symbols.where("name = 'square'").first()["id"]
+    assert said.first()["operation"]["impact_summary"] == "Deleted symbol: square"
+    assert less.symbols.where("name = 'square'").count() == 0 and less.edges.where((F.col("target_id") == square) | (F.col("source_id") == square)).count() == 0
+    gone, done = lifecycle.confirm_delete(g, "file", "model.py", "model.py", True)
+    assert gone.symbols.where("path = 'model.py'").count() == 0 and gone.files.count() == g.files.count() - 1
+    assert gone.edges.where("edge_type = 'CALLS'").count() == g.edges.where("edge_type = 'CALLS'").count()  # only the file's own edges go
+    for outcome in (said, done):
+        lifecycle.append_operation(outcome, str(tmp_path / "ops"))
+    assert spark.read.parquet(str(tmp_path / "ops")).count() == 2
+    twice = g.symbols.unionByName(g.symbols.where("name = 'square'").withColumn("id", F.lit(5).cast("long")))
+    with pytest.raises(ValueError, match="2 nodes"):
+        graph.find_target("symbol", "square", None, g.files, twice, g.equations)
+    for _ in range(2):
+        manual = lifecycle.store_manual(g, str(tmp_path / "manual"))
+    assert [r["order"] for r in manual.orderBy("order").collect()] == list(range(1, 8)) and "files" in manual.orderBy("order").first()["content"]
 
 
 def test_config(tmp_path, monkeypatch):

@@ -107,10 +107,28 @@ def context_hash(*columns: str) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*sorted(columns))), 256), 1, 16)
 
 
-def estimated_cost(system: Column, user: Column, price_in: float = values.DEFAULT_PRICES[0], price_out: float = values.DEFAULT_PRICES[1]) -> Column:
-    """US dollars: four characters a token, 500 tokens out."""
+def model_prices(model: Column) -> tuple[Column, Column]:
+    """US dollars for a million tokens in and out; the default where the model is null or not listed."""
+    known = [F.create_map(*[F.lit(x) for name, both in sorted(values.MODEL_PRICES.items()) for x in (name, both[i])]) for i in (0, 1)]
+    return tuple(F.coalesce(m[model], F.lit(d)) for m, d in zip(known, values.DEFAULT_PRICES, strict=True))
+
+
+def estimated_cost(system: Column, user: Column, model: Column | None = None) -> Column:
+    """US dollars: four characters a token, 500 tokens out, at the model's price."""
+    price_in, price_out = model_prices(F.lit(None).cast("string") if model is None else model)
     tokens = (F.length(system) + F.length(user)) / F.lit(4.0)
-    return tokens / 1_000_000 * price_in + F.lit(values.OUTPUT_TOKENS / 1_000_000 * price_out)
+    return tokens / 1_000_000 * price_in + F.lit(float(values.OUTPUT_TOKENS)) / 1_000_000 * price_out
+
+
+def class_kind(query_type: Column) -> Column:
+    """Kind of a class-like definition by the name of the query that found it; other names lose a plural s."""
+    pairs = [F.lit(x) for line in values.CLASS_KINDS.split("\n") if line for x in line.split()]
+    return F.coalesce(F.create_map(*pairs)[query_type], F.regexp_replace(query_type, "s+$", ""))
+
+
+def safe_json(text: Column, schema: str) -> Column:
+    """The text as JSON of the schema; null if it is not JSON as a whole."""
+    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema))
 
 
 def filled(template: str, **cells: Column) -> Column:

@@ -81,8 +81,7 @@ pooling attention kalman filter estimate predict integral derivative differentia
 IMPACT_EDGES = ["CALLS", "USES", "DEPENDS_ON", "IMPORTS", "READS", "WRITES", "MODIFIES"]
 REFERENCE_EDGES = ["IMPORTS", "CALLS", "USES", "READS", "DEPENDS_ON"]
 DERIVED_EDGES = ["USES_EQUATION", "EQUATION_INPUT", "EQUATION_OUTPUT", "EQUATION_INTERMEDIATE", "EQUATION_DEPENDS_ON"]
-#: Lists of an equation's analysis, the role of the variables they name, the edge type, and whether the edge leaves
-#: the equation.
+#: Lists of an equation's analysis, the role of the variables they name, and the edge type.
 EQUATION_LISTS = [
     ("inputs", "input", "EQUATION_INPUT"),
     ("outputs", "output", "EQUATION_OUTPUT"),
@@ -90,11 +89,123 @@ EQUATION_LISTS = [
     ("constants", "constant", "EQUATION_DEPENDS_ON"),
 ]
 
+#: Who made an edge: the static extraction or an analysis.
+BY_EXTRACTION, BY_ANALYSIS = "static_locator", "llm_analyzer"
+
+# --- fixed values: kinds of class-like definitions by the name of the query that finds them ---
+CLASS_KINDS = """
+classes class
+structs struct
+enums enum
+interfaces interface
+impls impl
+traits trait
+types type
+"""
+
 # --- fixed values: allowed words of analysis results ---
+FILE_PURPOSES = "entrypoint core_logic utility configuration test data_model api_interface unknown".split()
+SYMBOL_ROLES = "main_logic helper data_access business_rule validation transformation control_flow unknown".split()
 EQUATION_KINDS = "control loss matrix optimization statistical physics mathematical algorithmic neural_network unknown".split()
-STATUSES = "pending in_progress completed failed verified stale".split()
+VARIABLE_ROLES = "input output state parameter constant intermediate configuration unknown".split()
 RISKS = "low medium high critical".split()
 
-# --- fixed values: US dollars for a million tokens, in and out, where the model is not listed ---
+# --- fixed values: fields of analysis results; a text, flag or share without default is required ---
+RESULT_FIELDS = {
+    "file": """
+purpose file_purposes unknown
+summary text
+is_core flag false
+key_concepts texts
+risk_notes texts
+confidence share
+suggested_queries texts
+""",
+    "symbol": """
+responsibility text
+role symbol_roles unknown
+side_effects texts
+preconditions texts
+postconditions texts
+complexity text unknown
+confidence share
+related_equations texts
+data_flow pairs
+""",
+    "equation": """
+equation_type equation_kinds unknown
+name maybe
+mathematical_meaning text
+physical_meaning maybe
+algorithmic_role text
+inputs texts
+outputs texts
+intermediate_variables texts
+constants texts
+units pairs
+assumptions texts
+confidence share
+evidence text
+""",
+    "variable": """
+role variable_roles unknown
+inferred_meaning text
+unit maybe
+shape maybe
+confidence share
+""",
+    "dependency": """
+depends_on texts
+affects texts
+data_flow_edges edges
+confidence share
+""",
+    "impact": """
+affected_files texts
+affected_symbols texts
+affected_equations texts
+risk_level risks low
+risk_summary text
+suggested_test_files texts
+suggested_order texts
+confidence share
+""",
+    "delete": """
+can_delete flag
+risk_level risks low
+references texts
+dependents texts
+orphaned_code texts
+recommendation text
+confidence share
+""",
+}
+ALLOWED = {
+    "file_purposes": FILE_PURPOSES,
+    "symbol_roles": SYMBOL_ROLES,
+    "equation_kinds": EQUATION_KINDS,
+    "variable_roles": VARIABLE_ROLES,
+    "risks": RISKS,
+}
+
+# --- fixed values: US dollars for a million tokens, in and out, by model, and where the model is not listed ---
+MODEL_PRICES = {
+    "claude-3-5-sonnet-20241022": (3.0, 15.0),
+    "claude-3-opus-20240229": (15.0, 75.0),
+    "gpt-4o": (5.0, 15.0),
+    "gpt-4o-mini": (0.15, 0.6),
+    "gemini-1.5-pro": (3.5, 10.5),
+}
 DEFAULT_PRICES = (5.0, 15.0)
 OUTPUT_TOKENS = 500
+
+# --- fixed values: sections and titles of the manual, in order ---
+MANUAL = """
+overview Project Overview
+query Querying Files
+query Querying Symbols
+query Querying Equations
+safety Before Modifying
+safety Before Deleting
+recommendations Recommended Queries
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Paths of a snapshot's JSON document, about.
 DOCUMENT = 10000
@@ -47,6 +48,22 @@ def cascade_edges(edges: DataFrame, dead: DataFrame) -> DataFrame:
     return edges.join(s, ["source_type", "source_id"], "left_anti").join(t, ["target_type", "target_id"], "left_anti")
 
 
+def without_node(edges: DataFrame, node_type: str, node_id: int) -> DataFrame:
+    """Edges that do not touch the node."""
+    s = (F.col("source_type") == node_type) & (F.col("source_id") == node_id)
+    t = (F.col("target_type") == node_type) & (F.col("target_id") == node_id)
+    return edges.where(~(s | t))
+
+
+def symbols_in_order(functions: DataFrame, classes: DataFrame, variables: DataFrame) -> DataFrame:
+    """One table of symbols (file_id, name, start_line) with kind and place: functions, then classes, then variables, each by file
+    and line, as they are stored."""
+    parts = [functions.withColumns({"kind": F.lit("function"), "_k": F.lit(0)}), classes.withColumns({"kind": F.lit("class"), "_k": F.lit(1)}), variables.withColumns({"kind": F.lit("variable"), "_k": F.lit(2)})]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("_k", "start_line", "id"))
+    return rows.withColumn("place", place).drop("_k")
+
+
 def stale_records(records: DataFrame, dead: DataFrame) -> DataFrame:
     """Records of dead nodes become stale."""
     d = dead.select(F.col("node_type").alias("target_type"), F.col("node_id").alias("target_id"), F.lit(True).alias("_dead")).distinct()

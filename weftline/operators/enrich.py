@@ -6,9 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from weftline.functions.values import DERIVED_EDGES, EQUATION_LISTS
+from weftline.functions.values import BY_ANALYSIS, BY_EXTRACTION, DERIVED_EDGES, EQUATION_LISTS
 from weftline.operators.filters import archived_wildcard, undone
 from weftline.operators.joins import equations_by_name, first_of, imports_by_name, symbols_by_name, with_records
 
@@ -26,7 +25,7 @@ def static_edges(symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> Da
     """DEFINES edges, and raw IMPORTS and CALLS edges with target 0 and the name in their evidence.
 
     symbols: id, file_id; imports: file_id, name; calls: caller_id, name."""
-    by = "static_locator"
+    by = BY_EXTRACTION
     return reduce(
         DataFrame.unionByName,
         [
@@ -90,7 +89,7 @@ def derived_edges(results: DataFrame, symbols: DataFrame, equations: DataFrame,
     of_symbols = done.where("target_type = 'symbol'").join(symbols.select(F.col("id").alias("target_id"), "file_id"), "target_id")
     named = of_symbols.select("target_id", "file_id", "confidence", F.explode("result.related_equations").alias("name")).where("name <> ''")
     uses = named.join(equations_by_name(named, equations), ["file_id", "name"]).select(
-        *edge("symbol", F.col("target_id"), "equation", F.col("equation_id"), "USES_EQUATION", "symbol analysis", trusted(F.col("confidence")), "llm_analyzer")
+        *edge("symbol", F.col("target_id"), "equation", F.col("equation_id"), "USES_EQUATION", "symbol analysis", trusted(F.col("confidence")), BY_ANALYSIS)
     )
     of_equations = done.where("target_type = 'equation'").join(equations.select(F.col("id").alias("target_id"), "file_id", "symbol_id"), "target_id")
     lists = F.array(*(F.struct(F.lit(role).alias("role"), F.lit(kind).alias("kind"), F.col(f"result.{field}").alias("names")) for field, role, kind in EQUATION_LISTS))
@@ -103,7 +102,7 @@ def derived_edges(results: DataFrame, symbols: DataFrame, equations: DataFrame,
     found = r.join(v, reduce(lambda a, b: a & b, on), "left").select(
         "r.target_id", "r.kind", "r.confidence", F.coalesce("v.variable_id", F.xxhash64("r.file_id", "r.symbol_id", "r.name", "r.role")).alias("variable_id"), "r.file_id", "r.symbol_id", "r.name", "r.role"
     )
-    holds = found.select(*edge("equation", F.col("target_id"), "variable", F.col("variable_id"), F.col("kind"), "equation analysis", trusted(F.col("confidence")), "llm_analyzer"))
+    holds = found.select(*edge("equation", F.col("target_id"), "variable", F.col("variable_id"), F.col("kind"), "equation analysis", trusted(F.col("confidence")), BY_ANALYSIS))
     return first_of(uses.unionByName(holds), EDGE_KEY, [F.desc("confidence"), F.col("evidence")])
 
 
@@ -137,39 +136,12 @@ def next_undone(things: DataFrame, files: DataFrame, records: DataFrame, kind: s
     return open_.select("id", "file_id", "path", "record_id").orderBy("id", "record_id").limit(limit)
 
 
-def validated(results: DataFrame) -> DataFrame:
-    """is_valid and error of file results: summary a text, confidence a number from 0 to 1."""
-    v = F.expr("try_parse_json(output_json)")
-    summary, confidence = F.try_variant_get(v, "$.responsibility", "string"), F.try_variant_get(v, "$.confidence", "double")
-    error = (
-        F.when(v.isNull(), "invalid JSON")
-        .when(summary.isNull(), "responsibility missing")
-        .when(confidence.isNull(), "confidence missing")
-        .when((confidence < 0) | (confidence > 1), "confidence out of range")
-    )
-    return results.withColumn("error", error).withColumn("is_valid", error.isNull()).withColumn("new_status", F.when(error.isNull(), "completed").otherwise("failed"))
-
-
 def latest_records(records: DataFrame) -> DataFrame:
     return first_of(records, ["target_type", "target_id"], [F.desc("id")])
 
 
-def submit(files: DataFrame, results: DataFrame) -> DataFrame:
-    """files with the summary and status of their latest valid result (target_id, id, summary); others unchanged."""
-    latest = first_of(results, ["target_id"], [F.desc("id")]).select("target_id", F.col("summary").alias("_summary"))
-    joined = files.join(latest, files["id"] == latest["target_id"], "left")
-    return joined.withColumns(
-        {"llm_summary": F.coalesce("_summary", "llm_summary"), "analysis_status": F.when(F.col("_summary").isNotNull(), "completed").otherwise(F.col("analysis_status"))}
-    ).drop("_summary", "target_id")
-
-
 def agreement(df: DataFrame, keys: list[str], answer: str) -> DataFrame:
     """Self-consistency: share of the most frequent answer, and whether it is below two thirds."""
     counts = df.groupBy(*keys, answer).agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(*keys).agg((F.max("n") / F.sum("n")).alias("agreement"))
     return best.withColumn("flagged", F.col("agreement") < 0.66)
-
-
-def latest_first(records: DataFrame) -> DataFrame:
-    place = Window.partitionBy("target_type", "target_id").orderBy(F.desc("id"))
-    return records.withColumn("age", F.row_number().over(place) - 1)

@@ -73,3 +73,18 @@ def undone(joined: DataFrame) -> DataFrame:
 
 def impact_edges(edges: DataFrame) -> DataFrame:
     return of_kinds(edges, "edge_type", IMPACT_EDGES)
+
+
+def file_output(files: DataFrame) -> DataFrame:
+    """Files as searches give them; a missing summary is empty."""
+    return files.select("id", "path", "language", "size_bytes", F.coalesce("llm_summary", F.lit("")).alias("summary"), "is_core")
+
+
+def symbol_output(symbols: DataFrame) -> DataFrame:
+    """Symbols as a file's query gives them."""
+    return symbols.select("id", "name", "qualified_name", F.col("symbol_type").alias("type"), "start_line", "end_line")
+
+
+def equation_output(equations: DataFrame) -> DataFrame:
+    """Equations as a file's query gives them."""
+    return equations.select("id", "name", F.col("equation_type").alias("type"), "expression", "start_line")

@@ -38,23 +38,36 @@ def variables_of_equations(equations: DataFrame, variables: DataFrame) -> DataFr
     )
 
 
+#: Lines of a file whose rows meet in one group when lines are held against intervals of lines.
+LINES = 128
+
+
+def by_lines(intervals: DataFrame) -> DataFrame:
+    """intervals (start_line, end_line, ...), one row for each stretch of LINES lines that they touch, numbered _lines."""
+    stretch = lambda line: F.floor(F.col(line) / LINES)
+    return intervals.where("start_line <= end_line").withColumn("_lines", F.explode(F.sequence(stretch("start_line"), stretch("end_line"))))
+
+
 def enclosing_symbols(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each call with the first function (by place in the file) whose lines hold it, else the first class."""
-    inside = calls.select(F.col("id").alias("call_id"), "file_id", "line", F.col("name").alias("called")).join(
-        symbols.select("file_id", F.col("id").alias("symbol_id"), "symbol_type", "start_line", "end_line"), "file_id"
-    ).where("line between start_line and end_line")
+    """Each call with the first function (by place in the file) whose lines hold it, else the first class.
+
+    Calls meet only the symbols that touch their LINES lines, not all of the file."""
+    placed = by_lines(symbols.select("file_id", F.col("id").alias("symbol_id"), "symbol_type", "start_line", "end_line"))
+    lines = calls.select(F.col("id").alias("call_id"), "file_id", "line", F.col("name").alias("called"), F.floor(F.col("line") / LINES).alias("_lines"))
+    inside = lines.join(placed, ["file_id", "_lines"]).where("line between start_line and end_line").drop("_lines")
     kind = F.when(F.col("symbol_type") == "function", 0).otherwise(1)
     return first_of(inside, ["call_id"], [kind, F.col("start_line"), F.col("symbol_id")])
 
 
 def parents(entities: DataFrame) -> DataFrame:
-    """Each entity with the last other one, by (start, id), whose lines contain its own; keyed by file."""
-    a, b = entities.alias("a"), entities.alias("b")
-    pairs = a.join(b, (F.col("a.file_id") == F.col("b.file_id")) & (F.col("a.id") != F.col("b.id"))).where(
-        "b.start_line <= a.start_line and b.end_line >= a.end_line"
-    )
-    pairs = pairs.select(F.col("a.id").alias("id"), F.col("b.id").alias("parent_id"), F.col("b.start_line").alias("_at"))
-    return first_of(pairs, ["id"], [F.desc("_at"), F.desc("parent_id")]).drop("_at")
+    """Each entity with the last other one, by (start, id), whose lines contain its own; keyed by file.
+
+    An entity meets only those that touch the LINES lines around its start."""
+    own = entities.select("file_id", "id", "start_line", "end_line", F.floor(F.col("start_line") / LINES).alias("_lines")).alias("a")
+    around = by_lines(entities.select("file_id", "id", "start_line", "end_line")).alias("b")
+    pairs = own.join(around, ["file_id", "_lines"]).where("a.id <> b.id and b.start_line <= a.start_line and b.end_line >= a.end_line")
+    last = F.max(F.struct(F.col("b.start_line").alias("at"), F.col("b.id").alias("parent_id"))).alias("p")
+    return pairs.groupBy(F.col("a.id").alias("id")).agg(last).select("id", "p.parent_id")
 
 
 def module_of(path: Column) -> Column:

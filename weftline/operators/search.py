@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.shared import written
+
 
 def identifier_words(text: Column) -> Column:
     """camelCase and dots become underscores, lower case."""
@@ -18,19 +21,23 @@ def tokens(text: Column) -> Column:
 
 
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, score of documents (id, text) that hold a term. Two aggregations: term counts, then collection statistics."""
+    """id, score of documents (id, text) that hold a term.
+
+    Texts are read and cut into tokens once; what is kept of each is its length and a count for each term. The
+    collection's statistics (two numbers, and one for each term) come to the driver."""
+    names = [f"tf{i}" for i in range(len(terms))]
     words = docs.select("id", tokens(F.col("text")).alias("w"))
-    sized = words.select("id", "w", F.size("w").alias("dl"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     times = lambda term: F.size(F.filter("w", lambda x: x == term))
-    counted = sized.select("id", "dl", *(times(t).alias(f"tf{i}") for i, t in enumerate(terms)))
-    found = counted.where(reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))]))
-    long = found.select("id", "dl", F.explode(F.array(*(F.struct(F.lit(t).alias("term"), F.col(f"tf{i}").alias("tf")) for i, t in enumerate(terms)))).alias("x")).select("id", "dl", "x.term", "x.tf").where("tf > 0")
-    df = long.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = long.join(F.broadcast(df), "term").join(F.broadcast(stats))  # at most a row for each term, and one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("id").agg(F.sum(part).alias("score"))
+    counted = written(words.select("id", F.size("w").alias("dl"), *(times(t).alias(n) for t, n in zip(terms, names, strict=True))), "counts")
+    total = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(n) > 0).alias(n) for n in names)).first()
+    if not total["n"]:
+        return counted.select("id", F.lit(0.0).alias("score"))
+    scores = []
+    for n in names:
+        idf = math.log(1 + (total["n"] - total[n] + 0.5) / (total[n] + 0.5))
+        scores.append(F.lit(idf) * F.col(n) * (k1 + 1) / (F.col(n) + k1 * (1 - b + b * F.col("dl") / F.lit(max(total["avgdl"], 1e-9)))))
+    found = counted.where(reduce(lambda x, y: x | y, [F.col(n) > 0 for n in names]))
+    return found.select("id", reduce(lambda x, y: x + y, scores).alias("score"))
 
 
 def trigrams(text: Column) -> Column:

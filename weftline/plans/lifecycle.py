@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as fn
 from weftline.functions.extract import extract
+from weftline.functions.values import MANUAL
 from weftline.operators import dml, enrich, joins
+from weftline.operators.graph import find_target
 from weftline.sources.scan import scan
 from weftline.sources.shared import written
 
@@ -104,6 +106,34 @@ def deleted(graph: Graph, paths: list[str]) -> Graph:
     )
 
 
+def confirm_delete(graph: Graph, target_type: str, name: str | None, path: str | None, confirmed: bool = False) -> tuple[Graph, DataFrame]:
+    """The graph without the target, and what happened: success, message, and for a deletion the audit row (operation_type,
+    target_type, target_name, impact_summary, status), null otherwise.
+
+    Nothing happens without confirmation or target; several targets raise. A file takes its symbols and equations with
+    it, of edges only its own; a symbol its own edges; an equation no edge."""
+    spark = graph.files.sparkSession
+    columns = "success boolean, message string, operation struct<operation_type: string, target_type: string, target_name: string, impact_summary: string, status: string>"
+    said = lambda ok, text, row=None: spark.createDataFrame([(ok, text, row)], columns)
+    if not confirmed:
+        return graph, said(False, "Deletion not confirmed")
+    found = find_target(target_type, name, path, graph.files, graph.symbols, graph.equations)
+    if found is None:
+        return graph, said(False, "Target not found")
+    other = lambda df, key="id": df.where(F.col(key) != found)
+    if target_type == "file":
+        out = replace(
+            graph, files=other(graph.files), entities=graph.entities.where(F.xxhash64("path") != found), symbols=other(graph.symbols, "file_id"),
+            equations=other(graph.equations, "file_id"), edges=dml.without_node(graph.edges, "file", found),
+        )
+    elif target_type == "symbol":
+        out = replace(graph, symbols=other(graph.symbols), edges=dml.without_node(graph.edges, "symbol", found))
+    else:
+        out = replace(graph, equations=other(graph.equations))
+    text = f"Deleted {target_type}: {name}"
+    return out, said(True, text, ("delete", target_type, name, text, "completed"))
+
+
 def edited(graph: Graph, path: str, edits: list[dict]) -> DataFrame:
     """The files table with line edits applied to one file, in order; rescan() takes it from there.
 
@@ -124,6 +154,37 @@ def nodes_of(graph: Graph) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def manual_entries(graph: Graph, samples: int = 5) -> DataFrame:
+    """section, title, content, order: the manual's entries, with figures and examples out of the graph's tables."""
+    spark = graph.files.sparkSession
+    counts = {k: df.count() for k, df in (("files", graph.files), ("symbols", graph.symbols), ("equations", graph.equations))}
+    names = lambda df, c: ", ".join(r[0] for r in df.where(F.col(c).isNotNull()).orderBy(c).select(c).limit(samples).collect()) or "none"
+    core = names(graph.files.where("is_entrypoint"), "path")
+    content = [
+        ", ".join(f"{n} {k}" for k, n in counts.items()) + f"; entry points: {core}",
+        f"by path, language or a part of the summary; for example {names(graph.files, 'path')}",
+        f"by name or qualified name; for example {names(graph.symbols, 'qualified_name')}",
+        f"by name or a part of the expression; for example {names(graph.equations, 'name')}",
+        "see what an impact query gives, to the depth that matters",
+        "see references and dependents first; deletions must be confirmed",
+        f"impact of {core}; symbols of {core}",
+    ]
+    titles = [line.split(" ", 1) for line in MANUAL.strip().split("\n")]
+    rows = [(section, title, text, i + 1) for i, ((section, title), text) in enumerate(zip(titles, content, strict=True))]
+    return spark.createDataFrame(rows, "section string, title string, content string, order int")
+
+
+def store_manual(graph: Graph, path: str) -> DataFrame:
+    """Replaces the manual at `path` by the graph's entries."""
+    manual_entries(graph).coalesce(1).write.mode("overwrite").parquet(path)
+    return graph.files.sparkSession.read.parquet(path)
+
+
+def append_operation(outcome: DataFrame, path: str) -> None:
+    """Adds the audit row of confirm_delete(), if there is one, to the operations at `path`."""
+    outcome.where("operation is not null").select("operation.*", F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
 def report(graph: Graph, samples: int = 10) -> str:
     """A Markdown overview: counts, core files, symbols and equations, `samples` of each."""
     counts = graph.files.groupBy("language").count().orderBy(F.desc("count"), "language").collect()  # a row a language

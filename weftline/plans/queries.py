@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions import scalars as fn
+from weftline.functions import values
 from weftline.functions.values import EQUATION_WORDS, IMPACT_EDGES, REFERENCE_EDGES
 from weftline.operators import aggregates as agg
-from weftline.operators import dml, enrich, filters, graph, joins, search
+from weftline.operators import dml, enrich, filters, graph, joins, results, search
 from weftline.plans.tables import Tables, oracle
 
 REGISTERED: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -106,7 +107,17 @@ def _(t):
 
 @query("prj01_file_output", "SELECT id, path, language, size_bytes, coalesce(llm_summary, '') AS summary, is_core FROM files", "files")
 def _(t):
-    return t.files.select("id", "path", "language", "size_bytes", F.coalesce("llm_summary", F.lit("")).alias("summary"), "is_core")
+    return filters.file_output(t.files)
+
+
+@query("prj01_symbol_output", "SELECT id, name, qualified_name, symbol_type AS type, start_line, end_line FROM symbols", "symbols")
+def _(t):
+    return filters.symbol_output(t.symbols)
+
+
+@query("prj01_equation_output", "SELECT id, name, equation_type AS type, expression, start_line FROM equations", "equations")
+def _(t):
+    return filters.equation_output(t.equations)
 
 
 # ---- joins ----
@@ -188,18 +199,18 @@ def _(t):
 
 @query(
     "join10_import_by_suffix",
-    """SELECT n.name, min(f.id) AS file_id FROM (SELECT DISTINCT language || '.doc_' || CAST(id AS VARCHAR) AS name FROM files WHERE id % 5 = 0) n
+    """SELECT n.name, min(f.id) AS file_id FROM (SELECT DISTINCT language || '.doc_' || CAST(id AS VARCHAR) AS name FROM files) n
     JOIN files f ON replace(replace(f.path, '/', '.'), '.py', '') = n.name OR ends_with(replace(replace(f.path, '/', '.'), '.py', ''), '.' || n.name) GROUP BY n.name""",
     "files",
 )
 def _(t):
-    names = t.files.where("id % 5 = 0").select(F.concat("language", F.lit(".doc_"), F.col("id").cast("string")).alias("name"))
+    names = t.files.select(F.concat("language", F.lit(".doc_"), F.col("id").cast("string")).alias("name"))
     return joins.imports_by_suffix(names, t.files)
 
 
-@query("join11_call_to_symbol", "SELECT c.name, max(s.id) AS symbol_id FROM (SELECT DISTINCT qualified_name AS name FROM symbols WHERE file_id % 3 = 0) c JOIN symbols s ON coalesce(s.qualified_name, s.name) = c.name GROUP BY c.name", "symbols")
+@query("join11_call_to_symbol", "SELECT c.name, max(s.id) AS symbol_id FROM (SELECT DISTINCT qualified_name AS name FROM symbols) c JOIN symbols s ON coalesce(s.qualified_name, s.name) = c.name GROUP BY c.name", "symbols")
 def _(t):
-    return joins.symbols_by_name(t.symbols.where("file_id % 3 = 0").select(F.col("qualified_name").alias("name")), t.symbols)
+    return joins.symbols_by_name(t.symbols.select(F.col("qualified_name").alias("name")), t.symbols)
 
 
 @query("join12_defining_file", "SELECT c.name, min(s.file_id) AS file_id FROM (SELECT DISTINCT name FROM calls) c JOIN symbols s ON s.name = c.name GROUP BY c.name", "calls", "symbols")
@@ -292,16 +303,27 @@ def _(t):
     return agg.first_imports(t.imports).select("file_id", "name", F.col("place").cast("int").alias("place"))
 
 
+#: Imports by name, each with the first Python module or file stem of that name.
+FOUND_FILES = """SELECT n.name, min(f.id) AS fid FROM (SELECT DISTINCT name FROM named_imports) n
+    JOIN files f ON replace(replace(f.path, '/', '.'), '.py', '') = n.name OR replace(f.filename, '.py', '') = n.name GROUP BY n.name"""
+FILE_EDGES = f"SELECT 'file' AS source_type, n.file_id AS source_id, 'file' AS target_type, f.fid AS target_id, 'IMPORTS' AS edge_type FROM named_imports n JOIN ({FOUND_FILES}) f ON f.name = n.name"
+IMPORT_TABLES = ("links", "imports", "named_imports", "files")
+
+
+def file_edges(t):
+    """An edge for each import, as often as it stands in the file."""
+    found = t.named_imports.join(joins.imports_by_name(t.named_imports, t.files).withColumnRenamed("file_id", "fid"), "name")
+    return found.select(*enrich.edge("file", F.col("file_id"), "file", F.col("fid"), "IMPORTS", F.concat(F.lit("Import: "), "name"), F.col("place").cast("double"), "x"))
+
+
 @query(
     "agg12_dedup_edges",
-    """SELECT source_type, source_id, target_type, target_id, edge_type, min(confidence) AS confidence FROM
-    (SELECT 'file' AS source_type, file_id AS source_id, 'file' AS target_type, CAST(length(name) AS BIGINT) AS target_id, 'IMPORTS' AS edge_type, CAST(place AS DOUBLE) AS confidence FROM imports) q
-    GROUP BY source_type, source_id, target_type, target_id, edge_type""",
-    "links", "imports",
+    f"""SELECT source_type, source_id, target_type, target_id, edge_type, min(confidence) AS confidence FROM
+    ({FILE_EDGES.replace(" FROM named_imports n JOIN", ", CAST(n.place AS DOUBLE) AS confidence FROM named_imports n JOIN")}) q GROUP BY source_type, source_id, target_type, target_id, edge_type""",
+    *IMPORT_TABLES,
 )
 def _(t):
-    raw = t.imports.select(*enrich.edge("file", F.col("file_id"), "file", F.length("name").cast("long"), "IMPORTS", "x", F.col("place").cast("double"), "x"))
-    return agg.dedup_edges(raw, [F.col("confidence")]).select(*enrich.EDGE_KEY, "confidence")
+    return agg.dedup_edges(file_edges(t), [F.col("confidence")]).select(*enrich.EDGE_KEY, "confidence")
 
 
 @query(
@@ -345,9 +367,9 @@ def _(t):
     return core.unionByName(agg.take(t.files.where("analysis_status = 'completed'"), 50, "path").select(F.lit("completed").alias("section"), "id", "path"))
 
 
-@query("srt06_sorted_diff", f"SELECT change, array_to_string(list_sort(list(path)), ',') AS paths FROM ({DIFF}) d GROUP BY change", "snapshot_old", "snapshot_new")
+@query("srt06_sorted_diff", f"SELECT change, path FROM ({DIFF}) d ORDER BY change, path", "snapshot_old", "snapshot_new")
 def _(t):
-    return agg.joined_names(joins.snapshot_diff(t.snapshot_old, t.snapshot_new), ["change"], "path", "p").select("change", F.replace("p", F.lit(", "), F.lit(",")).alias("paths"))
+    return joins.snapshot_diff(t.snapshot_old, t.snapshot_new).select("change", "path").orderBy("change", "path")
 
 
 @query("srt07_entity_order", "SELECT id, row_number() OVER (PARTITION BY file_id ORDER BY start_line, id) AS place FROM symbols", "symbols")
@@ -402,24 +424,52 @@ def gra01_impact(t):
 REGISTERED["gra01_impact"] = (gra01_impact, oracle("SELECT 1", "edges", "nodes").replace("WITH", "WITH RECURSIVE", 1).removesuffix(" SELECT 1") + IMPACT_SQL)
 
 
-@query("gra02_find_target", "SELECT node_type, node_id, name FROM nodes WHERE node_type = 'nation' AND name = (SELECT min(n_name) FROM nation)", "nodes")
+WANTED = """SELECT DISTINCT * FROM (SELECT 'file' AS target_type, CAST(NULL AS VARCHAR) AS name, path FROM files
+  UNION ALL SELECT 'symbol', name, 'conv_' || CAST(file_id AS VARCHAR) || '.' || name FROM calls UNION ALL SELECT 'symbol', name || 'x', 'conv_' || CAST(file_id AS VARCHAR) || '.' || name FROM calls
+  UNION ALL SELECT 'equation', name, expression FROM equations UNION ALL SELECT 'equation', 'x', name FROM equations) q"""
+
+
+@query(
+    "gra02_find_target",
+    f""", wanted AS ({WANTED}), fits AS (SELECT w.*, f.id FROM wanted w JOIN files f ON w.target_type = 'file' AND f.path = w.path
+    UNION SELECT w.*, s.id FROM wanted w JOIN symbols s ON w.target_type = 'symbol' AND s.name = w.name UNION SELECT w.*, s.id FROM wanted w JOIN symbols s ON w.target_type = 'symbol' AND s.qualified_name = w.path
+    UNION SELECT w.*, e.id FROM wanted w JOIN equations e ON w.target_type = 'equation' AND e.name = w.name UNION SELECT w.*, e.id FROM wanted w JOIN equations e ON w.target_type = 'equation' AND e.name = w.path),
+    counted AS (SELECT target_type, name, path, count(*) AS matches, min(id) AS id FROM fits GROUP BY ALL)
+    SELECT w.target_type, w.name, w.path, coalesce(c.matches, 0) AS matches, CASE WHEN c.matches = 1 THEN c.id END AS id FROM wanted w
+    LEFT JOIN counted c ON w.target_type = c.target_type AND w.name IS NOT DISTINCT FROM c.name AND w.path IS NOT DISTINCT FROM c.path""",
+    "files", "symbols", "calls", "equations",
+)
 def _(t):
-    least = t.nation.agg(F.min("n_name").alias("name"))
-    return t.nodes.where("node_type = 'nation'").join(F.broadcast(least), "name", "left_semi").select("node_type", "node_id", "name")
+    w = lambda df, kind, name, path: df.select(F.lit(kind).alias("target_type"), name.cast("string").alias("name"), path.alias("path"))
+    place = F.concat(F.lit("conv_"), F.col("file_id").cast("string"), F.lit("."), "name")
+    wanted = w(t.files, "file", F.lit(None), F.col("path")).unionByName(w(t.calls, "symbol", F.col("name"), place)).unionByName(w(t.calls, "symbol", F.concat("name", F.lit("x")), place))
+    wanted = wanted.unionByName(w(t.equations, "equation", F.col("name"), F.col("expression"))).unionByName(w(t.equations, "equation", F.lit("x"), F.col("name")))
+    return graph.resolve_targets(wanted, t.files, t.symbols, t.equations)
 
 
-FILE_EDGES = "SELECT 'file' AS source_type, file_id AS source_id, 'file' AS target_type, CAST(length(name) AS BIGINT) AS target_id, 'IMPORTS' AS edge_type FROM imports"
+#: Calls with the symbol around them and the symbol they name, each pair once.
+CALLERS = """SELECT DISTINCT c.sid AS source_id, s.id AS target_id FROM (SELECT c.file_id, c.name, s.id AS sid, row_number() OVER (PARTITION BY c.id ORDER BY CASE WHEN s.symbol_type = 'function' THEN 0 ELSE 1 END, s.start_line, s.id) AS place
+  FROM calls c JOIN symbols s ON c.file_id = s.file_id AND c.line BETWEEN s.start_line AND s.end_line) c
+  JOIN (SELECT qualified_name, max(id) AS id FROM symbols GROUP BY 1) s ON s.qualified_name = 'conv_' || CAST(c.file_id AS VARCHAR) || '.' || c.name WHERE c.place = 1"""
 
 
-def file_edges(t):
-    return t.imports.select(F.lit("file").alias("source_type"), F.col("file_id").alias("source_id"), F.lit("file").alias("target_type"), F.length("name").cast("long").alias("target_id"), F.lit("IMPORTS").alias("edge_type"))
+def call_edges(t):
+    """Symbol to symbol, by the symbols around calls and those that calls name."""
+    placed = joins.enclosing_symbols(t.calls, t.symbols)
+    called = placed.select(F.col("symbol_id").alias("caller_id"), F.concat(F.lit("conv_"), F.col("file_id").cast("string"), F.lit("."), "called").alias("name"))
+    raw = enrich.static_edges(t.symbols, t.named_imports.select("file_id", "name"), called)
+    return enrich.resolve_edges(raw, t.files, t.symbols)
 
 
-@query("gra03_related_tests", f"SELECT DISTINCT f.path FROM ({FILE_EDGES}) e JOIN files f ON f.id = e.source_id WHERE e.target_id % 2 = 0 AND starts_with(f.path, 'test')", "links", "imports", "files")
+@query(
+    "gra03_related_tests",
+    f"""SELECT DISTINCT f.path FROM (SELECT e.source_id AS file_id FROM ({FILE_EDGES}) e JOIN files a ON a.id = e.target_id AND a.is_core
+    UNION SELECT s.file_id FROM ({CALLERS}) e JOIN symbols k ON k.id = e.target_id AND k.symbol_type = 'class' JOIN symbols s ON s.id = e.source_id) q JOIN files f ON f.id = q.file_id WHERE starts_with(f.path, 'test')""",
+    *IMPORT_TABLES, "symbols", "calls",
+)
 def _(t):
-    edges = file_edges(t)
-    affected = edges.where("target_id % 2 = 0").select(F.col("target_type").alias("type"), F.col("target_id").alias("id")).distinct()
-    return graph.related_tests(affected, edges, t.files, t.symbols)
+    affected = t.files.where("is_core").select(F.lit("file").alias("type"), "id").unionByName(t.symbols.where("symbol_type = 'class'").select(F.lit("symbol").alias("type"), "id"))
+    return graph.related_tests(affected, call_edges(t), t.files, t.symbols)
 
 
 @query("gra04_references", f"SELECT source_type, source_id, edge_type FROM edges WHERE target_type = 'customer' AND target_id = 7 AND edge_type IN ({REFS})", "edges")
@@ -449,23 +499,33 @@ def _(t):
     return graph.delete_safety(t.edges, t.nodes.select("node_type", "node_id"))
 
 
-@query("gra08_symbol_neighbourhood", "SELECT e.source_id, e.target_id, e.edge_type, n.name AS source_name FROM edges e JOIN nodes n ON n.node_type = e.source_type AND n.node_id = e.source_id WHERE e.target_type = 'customer' OR e.source_type = 'customer'", "edges", "nodes")
+USES = """SELECT n.target_id AS source_id, coalesce(l.id, a.id) AS target_id FROM named n LEFT JOIN (SELECT file_id, name, min(id) AS id FROM equations GROUP BY 1, 2) l ON l.file_id = n.file_id AND l.name = n.name
+    LEFT JOIN (SELECT name, min(id) AS id FROM equations GROUP BY 1) a ON a.name = n.name WHERE n.name <> '' AND a.id IS NOT NULL GROUP BY ALL"""
+DONE = """, done AS (SELECT target_type, target_id, output_json, CASE WHEN coalesce(confidence, 0) = 0 THEN 0.8 ELSE confidence END AS confidence FROM results WHERE status = 'completed' AND json_valid(output_json)),
+named AS (SELECT d.target_id, s.file_id, d.confidence, unnest(CAST(d.output_json->'related_equations' AS VARCHAR[])) AS name FROM done d JOIN symbols s ON s.id = d.target_id WHERE d.target_type = 'symbol')"""
+
+
+
+@query(
+    "gra08_symbol_neighbourhood",
+    DONE + f""", e AS ({CALLERS}), u AS ({USES}) SELECT e.target_id AS symbol_id, 'caller' AS part, s.id, s.name, s.qualified_name AS detail FROM e JOIN symbols s ON s.id = e.source_id JOIN symbols o ON o.id = e.target_id
+    UNION ALL SELECT e.source_id, 'callee', s.id, s.name, s.qualified_name FROM e JOIN symbols s ON s.id = e.target_id JOIN symbols o ON o.id = e.source_id
+    UNION ALL SELECT u.source_id, 'equation', q.id, q.name, q.equation_type FROM u JOIN equations q ON q.id = u.target_id JOIN symbols o ON o.id = u.source_id""",
+    "results", "symbols", "equations", "calls",
+)
 def _(t):
-    near = t.edges.where("target_type = 'customer' or source_type = 'customer'")
-    return joins.to_nodes(near, t.nodes, "source").select("source_id", "target_id", "edge_type", "source_name")
+    edges = call_edges(t).unionByName(enrich.derived_edges(t.results, t.symbols, t.equations, t.variables))
+    return graph.symbol_neighbourhood(edges, t.symbols, t.equations)
 
 
 @query(
     "gra09_file_neighbourhood",
-    "SELECT f.id, coalesce(s.n, 0) AS symbols, coalesce(e.n, 0) AS equations, coalesce(i.n, 0) AS imports FROM files f LEFT JOIN (SELECT file_id, count(*) AS n FROM symbols GROUP BY 1) s ON s.file_id = f.id LEFT JOIN (SELECT file_id, count(*) AS n FROM equations GROUP BY 1) e ON e.file_id = f.id LEFT JOIN (SELECT file_id, count(*) AS n FROM imports GROUP BY 1) i ON i.file_id = f.id",
-    "files", "symbols", "equations", "links", "imports",
+    f"""SELECT s.file_id, 'symbol' AS part, s.id, s.name, s.symbol_type AS detail FROM symbols s JOIN files f ON f.id = s.file_id UNION ALL SELECT e.file_id, 'equation', e.id, e.name, e.equation_type FROM equations e JOIN files f ON f.id = e.file_id
+    UNION ALL SELECT DISTINCT i.source_id, 'dependency', f.id, f.path, 'import' FROM ({FILE_EDGES}) i JOIN files f ON f.id = i.target_id JOIN files o ON o.id = i.source_id""",
+    *IMPORT_TABLES, "symbols", "equations",
 )
 def _(t):
-    count = lambda df, name: df.groupBy(F.col("file_id").alias("id")).agg(F.count(F.lit(1)).alias(name))
-    out = t.files.select("id")
-    for df, name in ((t.symbols, "symbols"), (t.equations, "equations"), (t.imports, "imports")):
-        out = out.join(count(df, name), "id", "left")
-    return out.fillna(0)
+    return graph.file_neighbourhood(t.files, t.symbols, t.equations, call_edges(t))
 
 
 STATIC = """SELECT 'file' AS source_type, file_id AS source_id, 'symbol' AS target_type, id AS target_id, 'DEFINES' AS edge_type, 'static analysis' AS evidence, 1.0::DOUBLE AS confidence FROM symbols
@@ -493,12 +553,6 @@ def _(t):
     return enrich.resolve_edges(enrich.static_edges(t.symbols, named, calls), t.files, t.symbols).drop("evidence", "created_by")
 
 
-REGISTERED["gra11_resolved_edges"] = (REGISTERED["gra11_resolved_edges"][0], REGISTERED["gra11_resolved_edges"][1].replace(") , files2", "), files2"))
-
-DONE = """, done AS (SELECT target_type, target_id, output_json, CASE WHEN coalesce(confidence, 0) = 0 THEN 0.8 ELSE confidence END AS confidence FROM results WHERE status = 'completed' AND json_valid(output_json)),
-named AS (SELECT d.target_id, s.file_id, d.confidence, unnest(CAST(d.output_json->'related_equations' AS VARCHAR[])) AS name FROM done d JOIN symbols s ON s.id = d.target_id WHERE d.target_type = 'symbol')"""
-
-
 @query(
     "gra12_derived_uses",
     DONE + """ SELECT 'symbol' AS source_type, n.target_id AS source_id, 'equation' AS target_type, coalesce(l.id, a.id) AS target_id, 'USES_EQUATION' AS edge_type, max(n.confidence) AS confidence
@@ -524,10 +578,6 @@ def _(t):
     return found.groupBy("source_id", "edge_type").agg(F.count_distinct("target_id").alias("names"), F.max("confidence").alias("confidence"))
 
 
-for _name in ("gra12_derived_uses", "gra12_derived_variables"):
-    REGISTERED[_name] = (REGISTERED[_name][0], REGISTERED[_name][1].replace(") , done", "), done"))
-
-
 @query("gra13_without_derived", f"SELECT source_id, edge_type FROM ({STATIC}) e WHERE edge_type NOT IN ('USES_EQUATION', 'EQUATION_INPUT')", "symbols", "links", "imports", "calls")
 def _(t):
     return enrich.without_derived(enrich.static_edges(t.symbols, t.imports, t.calls.withColumnRenamed("id", "caller_id"))).select("source_id", "edge_type")
@@ -535,16 +585,17 @@ def _(t):
 
 @query(
     "gra14_file_dependencies",
-    """SELECT source, target, kind, confidence FROM (
-      SELECT n.file_id AS source, f.id AS target, 'import' AS kind, 0.9::DOUBLE AS confidence FROM imports n JOIN files f ON f.id = length(n.name)
-      UNION ALL SELECT c.file_id, s.file_id, 'call', 0.7::DOUBLE FROM calls c JOIN (SELECT name, min(file_id) AS file_id FROM symbols GROUP BY name) s ON s.name = c.name) q WHERE source <> target""",
-    "links", "imports", "files", "calls", "symbols",
+    """, mods AS (SELECT id, replace(replace(path, '/', '.'), '.py', '') AS module FROM files WHERE ends_with(path, '.py')),
+    found AS (SELECT n.name, min(m.id) AS target FROM (SELECT DISTINCT name FROM named_imports) n JOIN mods m ON m.module = n.name OR ends_with(m.module, '.' || n.name) GROUP BY n.name)
+    SELECT source, target, kind, confidence FROM (SELECT n.file_id AS source, f.target, 'import' AS kind, 0.9::DOUBLE AS confidence FROM named_imports n JOIN found f ON f.name = n.name
+      UNION ALL SELECT c.file_id, s.file_id, 'call', 0.7::DOUBLE FROM calls c JOIN (SELECT qualified_name AS name, min(file_id) AS file_id FROM symbols GROUP BY 1) s ON s.name = 'conv_' || CAST(c.file_id // 2 AS VARCHAR) || '.' || c.name) q
+    WHERE source <> target AND source IN (SELECT id FROM files)""",
+    *IMPORT_TABLES, "calls", "symbols",
 )
 def _(t):
-    found = t.imports.join(t.files.select("id"), F.length("name") == F.col("id")).select(F.col("file_id").alias("source"), F.col("id").alias("target"), F.lit("import").alias("kind"), F.lit(0.9).alias("confidence"))
-    calls = t.calls.select("file_id", "name").join(joins.defining_files(t.calls, t.symbols).withColumnRenamed("file_id", "target"), "name")
-    called = calls.select(F.col("file_id").alias("source"), "target", F.lit("call").alias("kind"), F.lit(0.7).alias("confidence"))
-    return found.unionByName(called).where("source <> target")
+    files = t.files.select("id", "path", fn.language(F.col("path")).isNotNull().alias("is_source"))
+    calls = t.calls.select("file_id", F.concat(F.lit("conv_"), F.floor(F.col("file_id") / 2).cast("string"), F.lit("."), "name").alias("name"))
+    return graph.file_dependencies(files, t.named_imports, calls, t.symbols.select("file_id", F.col("qualified_name").alias("name")))
 
 
 LEVELS_SQL = """, lv(node, level) AS (SELECT target, 0 FROM deps WHERE target NOT IN (SELECT source FROM deps)
@@ -575,15 +626,15 @@ REGISTERED["gra16_level_dependencies"] = (
 
 @query("doc05_forward_paths", None)
 def doc05(t):
-    return graph.reach_with_paths(t.edges.where("source_type <> 'region'"), "order", 1, 3).unionByName(graph.reach_with_paths(t.edges.where("source_type <> 'region'"), "lineitem", 2, 4))
+    return graph.reach_with_paths(t.edges, "order", 1, 4).unionByName(graph.reach_with_paths(t.edges, "lineitem", 2, 4))
 
 
 REGISTERED["doc05_forward_paths"] = (
     doc05,
     oracle("SELECT 1", "edges").replace("WITH", "WITH RECURSIVE", 1).removesuffix(" SELECT 1")
-    + """, walk(t, i, d, path, top) AS (SELECT 'order', CAST(1 AS BIGINT), 0, 'order:1', 3 UNION ALL SELECT 'lineitem', CAST(2 AS BIGINT), 0, 'lineitem:2', 4
-  UNION ALL SELECT target_type, target_id, d + 1, path || ' > ' || target_type || ':' || target_id, top FROM walk JOIN edges ON source_type = t AND source_id = i WHERE d < top AND source_type <> 'region')
-SELECT t AS type, i AS id, CAST(d AS INTEGER) AS depth, path FROM walk WHERE d > 0""",
+    + """, walk(t, i, d, seen, top) AS (SELECT 'order', CAST(1 AS BIGINT), 0, ['order:1'], 4 UNION ALL SELECT 'lineitem', CAST(2 AS BIGINT), 0, ['lineitem:2'], 4
+  UNION ALL SELECT target_type, target_id, d + 1, list_append(seen, target_type || ':' || target_id), top FROM walk JOIN edges ON source_type = t AND source_id = i WHERE d < top AND NOT list_contains(seen, target_type || ':' || target_id))
+SELECT t AS type, i AS id, CAST(d AS INTEGER) AS depth, array_to_string(seen, ' > ') AS path FROM walk WHERE d > 0""",
 )
 
 
@@ -617,33 +668,125 @@ def _(t):
     return enrich.next_undone(t.symbols, t.files, t.results, "symbol", 10)
 
 
-@query("tsk04_prompts", "SELECT id, 'Analyze the following ' || language || ' file: ' || path || chr(10) || coalesce(llm_summary, '') AS prompt FROM files", "files")
+FILE_PROMPT = "Say what {path} ({language}, {size} bytes) is for.\n\n{text}"
+SYMBOL_PROMPT = "Say what {name} ({kind}, lines {first} to {last} of {path}) does."
+
+
+def asked(kind: str) -> str:
+    """The SQL text of what a prompt asks for."""
+    kinds = {"text": "string", "maybe": "string", "flag": "boolean", "share": "double", "texts": "array<string>", "pairs": "map<string,string>"}
+    lines = [line.split() for line in values.RESULT_FIELDS[kind].strip().split("\n")]
+    return "chr(10) || 'Answer with one JSON object of these fields: " + ", ".join(f"{x[0]} ({kinds.get(x[1]) or ' | '.join(values.ALLOWED[x[1]])})" for x in lines) + "'"
+
+
+@query("tsk04_file_prompts", f"SELECT id, 'Say what ' || path || ' (' || language || ', ' || size_bytes || ' bytes) is for.' || chr(10) || chr(10) || coalesce(text, '') || {asked('file')} AS prompt FROM files", "files")
+def _(t):
+    context = {"path": F.col("path"), "language": F.col("language"), "size": F.col("size_bytes"), "text": F.col("text")}
+    return t.files.select("id", results.prompt(FILE_PROMPT, context, "file").alias("prompt"))
+
+
+@query("tsk04_symbol_prompts", f"SELECT s.id, 'Say what ' || s.name || ' (' || s.symbol_type || ', lines ' || s.start_line || ' to ' || s.end_line || ' of ' || f.path || ') does.' || {asked('symbol')} AS prompt FROM symbols s JOIN files f ON f.id = s.file_id", "symbols", "files")
+def _(t):
+    placed = t.symbols.join(t.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    context = {"name": F.col("name"), "kind": F.col("symbol_type"), "first": F.col("start_line"), "last": F.col("end_line"), "path": F.col("path")}
+    return placed.select("id", results.prompt(SYMBOL_PROMPT, context, "symbol").alias("prompt"))
+
+
+def problem_sql(kind: str) -> str:
+    """SQL for the first thing wrong with the JSON text j (valid) of a result."""
+    cases = ["WHEN NOT json_valid(output_json) THEN 'invalid JSON'", "WHEN json_type(j) <> 'OBJECT' THEN 'no object'"]
+    for line in values.RESULT_FIELDS[kind].strip().split("\n"):
+        name, what, *default = line.split()
+        found = f"json_type(j, '$.{name}')"
+        if what in ("text", "flag", "share") and not default:
+            cases.append(f"WHEN {found} IS NULL THEN '{name}: missing'")
+        if what in values.ALLOWED:
+            cases += [f"WHEN {found} <> 'VARCHAR' THEN '{name}: no text'", f"WHEN json_extract_string(j, '$.{name}') NOT IN ({quoted(values.ALLOWED[what])}) THEN '{name}: not allowed'"]
+        elif what == "share":
+            number = f"TRY_CAST(json_extract_string(j, '$.{name}') AS DOUBLE)"
+            cases += [f"WHEN {found} NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT', 'VARCHAR') OR {found} IS NOT NULL AND {number} IS NULL THEN '{name}: no number'", f"WHEN {number} NOT BETWEEN 0 AND 1 THEN '{name}: out of range'"]
+        elif what == "flag":
+            cases.append(f"WHEN {found} <> 'BOOLEAN' THEN '{name}: no flag'")
+        elif what in ("texts", "pairs"):
+            shape, inner, said = ("ARRAY", "[*]", "no list of texts") if what == "texts" else ("OBJECT", ".*", "no texts by name")
+            cases.append(f"WHEN {found} <> '{shape}' OR len(list_filter(json_type(j, '$.{name}{inner}'), lambda x: x <> 'VARCHAR')) > 0 THEN '{name}: {said}'")
+        else:
+            cases.append(f"WHEN {found} NOT IN ('VARCHAR'{", 'NULL'" if what == 'maybe' else ''}) THEN '{name}: no text'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+def judged_sql(kind: str, targets: str) -> str:
+    """SQL of the submissions of a kind with the JSON text j, target_id and error."""
+    plain = f"SELECT *, CASE WHEN json_valid(output_json) THEN output_json ELSE 'null' END AS j, CAST(split_part(task_id, '_', -1) AS BIGINT) AS target_id FROM submissions WHERE target_type = '{kind}'"
+    return f"SELECT q.*, coalesce({problem_sql(kind)}, CASE WHEN target_id NOT IN (SELECT id FROM {targets}) THEN '{kind} record not found for task_id ' || task_id END) AS error FROM ({plain}) q"
+
+
+def submissions(t, kind):
+    return t.submissions.where(F.col("target_type") == kind)
+
+
+for _kind, _table in (("file", "files"), ("symbol", "symbols"), ("equation", "equations")):
+
+    @query(f"tsk06_validated_{_kind}", f"SELECT id, e IS NULL AS is_valid, e AS error FROM (SELECT id, {problem_sql(_kind)} AS e FROM (SELECT *, CASE WHEN json_valid(output_json) THEN output_json ELSE 'null' END AS j FROM submissions WHERE target_type = '{_kind}') q) p", "submissions")
+    def _(t, kind=_kind):
+        return results.validated(submissions(t, kind), kind).select("id", "is_valid", "error")
+
+    @query(f"tsk05_accepted_{_kind}", f"SELECT id, error IS NULL AS accepted, error FROM ({judged_sql(_kind, _table)}) q", "submissions", _table)
+    def _(t, kind=_kind, table=_table):
+        return results.judged(submissions(t, kind), getattr(t, table), kind).select("id", "accepted", "error")
+
+
+def done_sql(kind: str, targets: str) -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY id DESC) AS place FROM ({judged_sql(kind, targets)}) a WHERE error IS NULL) b WHERE place = 1"
+
+
+def done(t, kind, table):
+    return results.latest(results.judged(submissions(t, kind), getattr(t, table), kind))
+
+
+@query(
+    "tsk05_submit_file",
+    f"""SELECT f.id, CASE WHEN d.id IS NULL THEN f.purpose ELSE d.j->>'$.purpose' END AS purpose, CASE WHEN d.id IS NULL THEN f.llm_summary ELSE d.j->>'$.summary' END AS llm_summary,
+    CAST(d.j->>'$.confidence' AS DOUBLE) AS llm_confidence, CASE WHEN d.id IS NULL THEN f.is_core ELSE CAST(d.j->>'$.is_core' AS BOOLEAN) END AS is_core,
+    CASE WHEN d.id IS NULL THEN f.key_concepts ELSE CAST(d.j->'$.key_concepts' AS VARCHAR) END AS key_concepts, CASE WHEN d.id IS NULL THEN f.risk_notes ELSE coalesce(CAST(d.j->'$.risk_notes' AS VARCHAR), '[]') END AS risk_notes,
+    CASE WHEN d.id IS NULL THEN f.analysis_status ELSE 'completed' END AS analysis_status FROM files f LEFT JOIN ({done_sql('file', 'files')}) d ON d.target_id = f.id""",
+    "submissions", "files",
+)
 def _(t):
-    template = "Analyze the following {language} file: {path}\n{summary}"
-    return t.files.select("id", fn.filled(template, language=F.col("language"), path=F.col("path"), summary=F.col("llm_summary")).alias("prompt"))
+    return results.submitted(t.files, done(t, "file", "files"), "file").select("id", *results.CHANGES["file"])
 
 
-LATEST = "SELECT target_id, arg_max(output_json, id) AS summary FROM results WHERE target_type = 'symbol' AND status = 'completed' GROUP BY target_id"
+@query(
+    "tsk05_submit_symbol",
+    f"""SELECT s.id, d.j->>'$.responsibility' AS llm_summary, d.j->>'$.responsibility' AS responsibility, CAST(d.j->'$.side_effects' AS VARCHAR) AS side_effects, CAST(d.j->>'$.confidence' AS DOUBLE) AS confidence
+    FROM symbols s LEFT JOIN ({done_sql('symbol', 'symbols')}) d ON d.target_id = s.id""",
+    "submissions", "symbols",
+)
+def _(t):
+    return results.submitted(t.symbols, done(t, "symbol", "symbols"), "symbol").select("id", *results.CHANGES["symbol"])
 
 
 @query(
-    "tsk05_submit",
-    f"SELECT f.id, coalesce(r.summary, f.llm_summary) AS llm_summary, CASE WHEN r.summary IS NOT NULL THEN 'completed' ELSE f.analysis_status END AS analysis_status FROM files f LEFT JOIN ({LATEST}) r ON r.target_id = f.id",
-    "files", "results",
+    "tsk05_submit_equation",
+    f"""SELECT e.id, CASE WHEN d.id IS NULL THEN e.name ELSE d.j->>'$.name' END AS name, CASE WHEN d.id IS NULL THEN e.equation_type ELSE d.j->>'$.equation_type' END AS equation_type, d.j->>'$.mathematical_meaning' AS mathematical_meaning,
+    CASE WHEN d.id IS NOT NULL THEN d.j->>'$.physical_meaning' END AS physical_meaning, d.j->>'$.algorithmic_role' AS algorithmic_role, CAST(d.j->'$.inputs' AS VARCHAR) AS inputs_json,
+    CASE WHEN d.id IS NOT NULL THEN '[]' END AS outputs_json, CASE WHEN d.id IS NOT NULL THEN '[]' END AS intermediate_variables_json, CASE WHEN d.id IS NOT NULL THEN '[]' END AS constants_json, CAST(d.j->'$.units' AS VARCHAR) AS units_json,
+    CASE WHEN d.id IS NOT NULL THEN '[]' END AS assumptions, CAST(d.j->>'$.confidence' AS DOUBLE) AS confidence FROM equations e LEFT JOIN ({done_sql('equation', 'equations')}) d ON d.target_id = e.id""",
+    "submissions", "equations",
 )
 def _(t):
-    done = t.results.where("target_type = 'symbol' and status = 'completed'").withColumn("summary", F.col("output_json")).select("target_id", F.col("id"), "summary")
-    return enrich.submit(t.files.select("id", "llm_summary", "analysis_status"), done.select("target_id", "id", "summary")).select("id", "llm_summary", "analysis_status")
+    return results.submitted(t.equations, done(t, "equation", "equations"), "equation").select("id", *results.CHANGES["equation"])
 
 
 @query(
-    "tsk06_validated",
-    """SELECT id, e IS NULL AS is_valid, e AS error FROM (SELECT id, CASE WHEN NOT json_valid(output_json) THEN 'invalid JSON' WHEN json_extract_string(CASE WHEN json_valid(output_json) THEN output_json ELSE 'null' END, '$.responsibility') IS NULL THEN 'responsibility missing'
-    WHEN CAST(json_extract_string(CASE WHEN json_valid(output_json) THEN output_json ELSE 'null' END, '$.confidence') AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'confidence out of range' END AS e FROM results) q""",
-    "results",
+    "tsk05_records",
+    f"""SELECT 'file' AS target_type, target_id, 'completed' AS status, CAST(j->>'$.confidence' AS DOUBLE) AS confidence FROM ({done_sql('file', 'files')}) d
+    UNION ALL SELECT target_type, target_id, status, confidence FROM records WHERE target_id NOT IN (SELECT target_id FROM ({done_sql('file', 'files')}) d)""",
+    "submissions", "files", "records",
 )
 def _(t):
-    return enrich.validated(t.results).select("id", "is_valid", "error")
+    records = t.records.withColumn("output_json", F.lit(None).cast("string"))
+    return results.with_results(records, done(t, "file", "files"), "file").drop("output_json")
 
 
 @query("tsk09_latest_progress", "SELECT status, count(*) AS n FROM (SELECT target_type, target_id, arg_max(status, id) AS status FROM results GROUP BY 1, 2) q GROUP BY status", "results")
@@ -651,9 +794,23 @@ def _(t):
     return enrich.latest_records(t.results).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tsk12_cost", "SELECT id, round((length('You analyze source code.') + length(text)) / 4.0 / 1000000 * 5.0 + 500 / 1000000.0 * 15.0, 9) AS cost FROM files", "files")
+@query("tsk12_cost", "SELECT id, round((length('Judge source code.') + length(text)) / 4.0 / 1000000 * 5.0 + 500 / 1000000.0 * 15.0, 9) AS cost FROM files", "files")
 def _(t):
-    return t.files.select("id", F.round(fn.estimated_cost(F.lit("You analyze source code."), F.col("text")), 9).alias("cost"))
+    return t.files.select("id", F.round(fn.estimated_cost(F.lit("Judge source code."), F.col("text")), 9).alias("cost"))
+
+
+PRICES = "VALUES " + ", ".join(f"('{m}', {a}, {b})" for m, (a, b) in values.MODEL_PRICES.items())
+
+
+@query(
+    "tsk12_cost_by_model",
+    f"""SELECT f.id, f.model, round(length(text) / 4e0 / 1e6 * coalesce(CAST(p.a AS DOUBLE), 5e0) + 500e0 / 1e6 * coalesce(CAST(p.b AS DOUBLE), 15e0), 12) AS cost FROM
+    (SELECT *, CASE id % 7 WHEN 0 THEN 'claude-3-5-sonnet-20241022' WHEN 1 THEN 'claude-3-opus-20240229' WHEN 2 THEN 'gpt-4o' WHEN 3 THEN 'gpt-4o-mini' WHEN 4 THEN 'gemini-1.5-pro' WHEN 5 THEN 'other' END AS model FROM files) f LEFT JOIN ({PRICES}) p(m, a, b) ON p.m = f.model""",
+    "files",
+)
+def _(t):
+    model = F.get(F.array(*map(F.lit, values.MODEL_PRICES), F.lit("other")), (F.col("id") % 7).cast("int"))
+    return t.files.select("id", model.alias("model"), F.round(fn.estimated_cost(F.lit(""), F.col("text"), model), 12).alias("cost"))
 
 
 @query("tsk13_context_hash", """SELECT id, substring(sha256('{"id":' || id || ',"language":"' || language || '","path":"' || path || '"}'), 1, 16) AS context_hash FROM files""", "files")
@@ -671,10 +828,15 @@ def _(t):
     return dml.upsert(t.snapshot_old, t.snapshot_new, ["path"], ["hash"])
 
 
-@query("snk02_insert_symbols", "SELECT id, 'function' AS kind FROM symbols WHERE symbol_type = 'function' UNION ALL SELECT id, 'class' FROM symbols WHERE symbol_type = 'class' UNION ALL SELECT id, 'variable' FROM variables", "symbols", "variables")
+@query(
+    "snk02_insert_symbols",
+    """SELECT id, kind, row_number() OVER (PARTITION BY file_id ORDER BY k, start_line, id)::INTEGER AS place FROM (SELECT id, file_id, start_line, symbol_type AS kind, CASE symbol_type WHEN 'function' THEN 0 ELSE 1 END AS k FROM symbols
+    UNION ALL SELECT id, file_id, 0, 'variable', 2 FROM variables) q""",
+    "symbols", "variables",
+)
 def _(t):
-    parts = [t.symbols.where(F.col("symbol_type") == k).select("id", F.lit(k).alias("kind")) for k in ("function", "class")]
-    return parts[0].unionByName(parts[1]).unionByName(t.variables.select("id", F.lit("variable").alias("kind")))
+    part = lambda kind: t.symbols.where(F.col("symbol_type") == kind).select("id", "file_id", "start_line")
+    return dml.symbols_in_order(part("function"), part("class"), t.variables.select("id", "file_id", F.lit(0).cast("long").alias("start_line"))).select("id", "kind", "place")
 
 
 @query("snk03_insert_ignore", "SELECT path, hash FROM snapshot_old UNION ALL SELECT path, hash FROM snapshot_new WHERE path NOT IN (SELECT path FROM snapshot_old)", "snapshot_old", "snapshot_new")
@@ -684,12 +846,14 @@ def _(t):
 
 @query(
     "snk04_add_edges",
-    f"SELECT edge_type, count(*) AS n FROM (SELECT source_type, source_id, target_type, target_id, edge_type FROM edges UNION SELECT * FROM ({FILE_EDGES}) f) q GROUP BY edge_type",
-    "edges", "links", "imports",
+    f"""SELECT source_type, source_id, target_type, target_id, edge_type FROM edges UNION SELECT * FROM ({FILE_EDGES}) f
+    UNION SELECT source_type, source_id, target_type, target_id, edge_type FROM edges WHERE edge_type = 'USES'""",
+    "edges", *IMPORT_TABLES,
 )
 def _(t):
-    full = lambda df: df.withColumns({"evidence": F.lit("x"), "confidence": F.lit(1.0)})
-    return enrich.add_edges(full(t.edges), full(file_edges(t))).groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+    full = lambda df: df.select(*enrich.EDGE_KEY).withColumns({"evidence": F.lit("x"), "confidence": F.lit(1.0)})
+    new = full(file_edges(t)).unionByName(full(t.edges.where("edge_type = 'USES'")))
+    return enrich.add_edges(full(t.edges), new).select(*enrich.EDGE_KEY)
 
 
 @query(
@@ -712,6 +876,11 @@ def _(t):
     return dml.cascade_edges(t.edges, dead).select("source_id", "target_id", "edge_type")
 
 
+@query("snk09_without_node", "SELECT * FROM edges WHERE NOT (source_type = 'customer' AND source_id = 7) AND NOT (target_type = 'customer' AND target_id = 7)", "edges")
+def _(t):
+    return dml.without_node(t.edges, "customer", 7)
+
+
 @query("snk07_stale_records", "SELECT id, CASE WHEN target_type = 'symbol' AND target_id % 2 = 0 THEN 'stale' ELSE status END AS status FROM results", "results")
 def _(t):
     dead = t.results.where("target_type = 'symbol' and target_id % 2 = 0").select(F.col("target_type").alias("node_type"), F.col("target_id").alias("node_id"))
@@ -776,9 +945,21 @@ def _(t):
     return t.files.select("id", agg.truncated(F.col("text")).alias("short"))
 
 
-@query("fn10_safe_json", "SELECT id, json_valid(output_json) AS ok FROM results", "results")
+@query(
+    "fn10_safe_json",
+    """SELECT id, json_valid(output_json) AS ok, CASE WHEN NOT json_valid(output_json) THEN '{}' WHEN output_json->>'$.responsibility' IS NULL THEN '{"confidence":' || (output_json->>'$.confidence') || '}'
+    ELSE '{"responsibility":"' || (output_json->>'$.responsibility') || '","confidence":' || (output_json->>'$.confidence') || '}' END AS dumped FROM results""",
+    "results",
+)
+def _(t):
+    read = fn.safe_json(F.col("output_json"), "responsibility string, confidence double")
+    return t.results.select("id", read.isNotNull().alias("ok"), F.coalesce(F.to_json(read), F.lit("{}")).alias("dumped"))
+
+
+@query("fn18_class_kind", "SELECT id, symbol_type AS kind FROM symbols", "symbols")
 def _(t):
-    return t.results.select("id", F.expr("try_parse_json(output_json)").isNotNull().alias("ok"))
+    plural = F.when(F.col("symbol_type") == "class", "classes").otherwise("functions")
+    return t.symbols.select("id", fn.class_kind(plural).alias("kind"))
 
 
 @query("fn11_equations", f"SELECT id, substring(text, 1, 500) AS expression FROM files WHERE regexp_matches(lower(text), '{'|'.join(EQUATION_WORDS)}')", "files")
@@ -851,9 +1032,6 @@ def _(t):
     return search.bm25(t.files.select("id", "text"), ["the", "les"]).withColumn("score", F.round("score", 6))
 
 
-REGISTERED["doc01_bm25"] = (REGISTERED["doc01_bm25"][0], REGISTERED["doc01_bm25"][1].replace(") , w AS", "), w AS"))
-
-
 @query(
     "doc02_tiered_search",
     "SELECT node_type, node_id, CAST(min(tier) AS INTEGER) AS tier FROM (SELECT node_type, node_id, 1 AS tier FROM nodes WHERE name = 'Customer#000000007' UNION ALL SELECT node_type, node_id, 2 FROM nodes WHERE name ILIKE '%00000001%' UNION ALL SELECT source_type, source_id, 3 FROM edges WHERE target_type = 'customer' AND target_id = 7) q GROUP BY node_type, node_id ORDER BY 3, 1, 2 LIMIT 25",

@@ -14,7 +14,7 @@ SELECT DISTINCT source_type, source_id, target_type, target_id, edge_type FROM (
   UNION ALL SELECT 'customer', c_custkey, 'nation', CAST(c_nationkey AS BIGINT), 'USES' FROM {customer}
   UNION ALL SELECT 'supplier', s_suppkey, 'nation', CAST(s_nationkey AS BIGINT), 'USES' FROM {supplier}
   UNION ALL SELECT 'order', o_orderkey, 'customer', o_custkey, 'CALLS' FROM {orders}
-  UNION ALL SELECT 'lineitem', l_orderkey, 'order', l_orderkey, 'IMPORTS' FROM {lineitem} WHERE l_linenumber = 1
+  UNION ALL SELECT 'lineitem', l_orderkey, 'order', l_orderkey, 'IMPORTS' FROM {lineitem}
   UNION ALL SELECT 'region', CAST(n_regionkey AS BIGINT), 'nation', CAST(n_nationkey AS BIGINT), 'DEFINES' FROM {nation}) u""",
     "nodes": """
 SELECT 'region' AS node_type, CAST(r_regionkey AS BIGINT) AS node_id, r_name AS name FROM {region}
@@ -22,7 +22,7 @@ UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), n_name FROM {nation}
 UNION ALL SELECT 'customer', c_custkey, c_name FROM {customer}
 UNION ALL SELECT 'supplier', s_suppkey, s_name FROM {supplier}
 UNION ALL SELECT 'order', o_orderkey, o_orderpriority FROM {orders}
-UNION ALL SELECT 'lineitem', l_orderkey, l_returnflag FROM {lineitem} WHERE l_linenumber = 1""",
+UNION ALL SELECT 'lineitem', l_orderkey, min(l_returnflag) FROM {lineitem} GROUP BY l_orderkey""",
     "files": """
 SELECT d.doc_id AS id,
   CASE WHEN d.doc_id % 11 = 0 THEN d.source || '/_archive' WHEN d.doc_id % 13 = 0 THEN '_archive/' || d.source
@@ -32,7 +32,7 @@ SELECT d.doc_id AS id,
   CASE WHEN d.doc_id % 7 = 0 THEN 'test_' ELSE '' END || 'doc_' || CAST(d.doc_id AS VARCHAR(20))
   || CASE d.doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.rs' WHEN 3 THEN '.md' ELSE '.yaml' END AS filename,
   d.lang AS language, d.source AS purpose, d.n_chars AS size_bytes, d.text AS text,
-  CASE WHEN l.doc_id IS NULL THEN NULL ELSE substring(d.text, 1, 200) END AS llm_summary,
+  CASE WHEN l.doc_id IS NULL THEN NULL ELSE d.text END AS llm_summary,
   CAST(NULL AS VARCHAR(20)) AS key_concepts, CASE WHEN l.toxic = 1 THEN 'toxic' END AS risk_notes,
   CASE WHEN l.doc_id IS NULL THEN 'pending' ELSE 'completed' END AS analysis_status,
   coalesce(l.quality, 0) = 1 AS is_core
@@ -77,16 +77,36 @@ FROM (
   UNION ALL SELECT 'region', CAST(0 AS BIGINT), 'cycle', CAST(0 AS BIGINT) FROM {region} WHERE r_regionkey = 0
   UNION ALL SELECT 'cycle', CAST(0 AS BIGINT), 'cycle', CAST(1 AS BIGINT) FROM {region} WHERE r_regionkey = 0
   UNION ALL SELECT 'cycle', CAST(1 AS BIGINT), 'cycle', CAST(0 AS BIGINT) FROM {region} WHERE r_regionkey = 0) u""",
+    # a path is a user with the number in an event's properties; its hash is the type of its last event
     "snapshot_old": """
-SELECT path, hash FROM (SELECT 'u' || CAST(user_id AS VARCHAR(20)) AS path, event_type AS hash,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM {events} WHERE ts < TIMESTAMP '2024-01-16' AND user_id % 7 <> 0) u WHERE place = 1""",
+SELECT path, hash FROM (SELECT 'u' || CAST(user_id AS VARCHAR(20)) || '/k' || substring(props, 7, length(props) - 7) AS path, event_type AS hash,
+  row_number() OVER (PARTITION BY user_id, props ORDER BY ts DESC, event_id DESC) AS place FROM {events} WHERE ts < TIMESTAMP '2024-01-16') u WHERE place = 1""",
     "snapshot_new": """
-SELECT path, hash FROM (SELECT 'u' || CAST(user_id AS VARCHAR(20)) AS path, event_type AS hash,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM {events} WHERE ts >= TIMESTAMP '2024-01-16' AND user_id % 10 <> 0) u WHERE place = 1""",
+SELECT path, hash FROM (SELECT 'u' || CAST(user_id AS VARCHAR(20)) || '/k' || substring(props, 7, length(props) - 7) AS path, event_type AS hash,
+  row_number() OVER (PARTITION BY user_id, props ORDER BY ts DESC, event_id DESC) AS place FROM {events} WHERE ts >= TIMESTAMP '2024-01-16') u WHERE place = 1""",
+    # what is handed in for files, symbols and equations; some of it is not JSON, no object, or wrong in one field
+    "submissions": """
+SELECT id, kind || '_' || CAST(target AS VARCHAR(20)) AS task_id, kind AS target_type, output_json FROM (
+  SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'file' WHEN 1 THEN 'symbol' ELSE 'equation' END AS kind,
+    CASE event_id % 3 WHEN 1 THEN (event_id % 90) * 1000 + event_id % 4 ELSE event_id % 700 END AS target,
+    CASE WHEN event_id % 10 = 9 THEN '{{"a": ' WHEN event_id % 23 = 0 THEN '["a"]' ELSE
+      '{{"purpose": "' || CASE WHEN event_id % 11 = 0 THEN 'magic' ELSE 'utility' END || '", "summary": '
+      || CASE WHEN event_id % 13 = 0 THEN '5' ELSE '"does é ' || event_type || '"' END
+      || ', "is_core": ' || CASE WHEN event_id % 4 = 0 THEN 'true' WHEN event_id % 29 = 0 THEN '"often"' ELSE 'false' END
+      || ', "key_concepts": [' || CASE WHEN event_id % 31 = 0 THEN '1' ELSE '"' || event_type || '", "b"' END || ']'
+      || CASE WHEN event_id % 5 = 0 THEN '' ELSE ', "risk_notes": ["n"]' END
+      || ', "responsibility": ' || CASE WHEN event_id % 14 = 1 THEN 'null' ELSE '"r ' || event_type || '"' END
+      || ', "role": "' || CASE WHEN event_id % 17 = 1 THEN 'boss' ELSE 'helper' END || '", "side_effects": ["io", "u' || CAST(user_id AS VARCHAR(20))
+      || '"], "equation_type": "' || CASE WHEN event_id % 17 = 2 THEN 'sorcery' ELSE 'loss' END || '", "name": ' || CASE WHEN event_id % 5 = 2 THEN 'null' ELSE '"eq"' END
+      || ', "mathematical_meaning": "m", "algorithmic_role": "a", "evidence": "e", "inputs": ["x"], "units": {{"m": ' || CASE WHEN event_id % 19 = 2 THEN '3' ELSE '"kg"' END || '}}'
+      || CASE WHEN event_id % 37 < 2 THEN '' ELSE ', "confidence": ' || CASE WHEN event_id % 16 < 2 THEN '1.5' WHEN event_id % 16 = 2 THEN '[]' WHEN event_id % 16 = 3 THEN '1' ELSE '0.5' END END || '}}'
+    END AS output_json FROM {events}) u""",
     # links of pages: what a page imports
     "imports": r"""
 SELECT page_id AS file_id, link AS name, place AS place FROM (
   SELECT page_id, link, place FROM {links}) u""",
+    # imports under the names of modules
+    "named_imports": "SELECT file_id, 'doc_' || CAST(file_id * 5 AS VARCHAR(20)) AS name, place FROM {imports}",
 }
 LINKS_DUCKDB = """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS place FROM pages"""
 
@@ -113,9 +133,9 @@ class Tables:
 
 
 def oracle(body: str, *projections: str) -> str:
-    """body over the named projections, as SQL for the raw tables."""
+    """body over the named projections, as SQL for the raw tables. A body may begin with a comma and further tables."""
     parts = []
     for name in projections:
         text = LINKS_DUCKDB if name == "links" else re.sub(r"(?<!\{)\{(\w+)\}", r"\1", PROJECTIONS[name]).replace("{{", "{").replace("}}", "}")
         parts.append(f"{name} AS ({text.replace('AS VARCHAR(20)', 'AS VARCHAR')})")
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    return f"WITH {', '.join(parts)}{'' if body.startswith(', ') else ' '}{body}" if parts else body

@@ -23,12 +23,19 @@ def local_session(cores: str | int = "*", app: str = "weftline", memory: str = "
     )
 
 
+#: Bytes of the batches that tasks hand to Python: long texts come a few at a time.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per session, so that tasks can import it.
+    """Send this package to the executors, once per session, so that tasks can import it; bound Arrow batches, where
+    the session has no smaller bound of its own.
 
     The archive holds only the package's own .py files; Spark's file server hands it out.
     """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, "64m") in ("64m", "64MB", "67108864b", "67108864"):
+        spark.conf.set(BATCH, BATCH_BYTES)
     if getattr(sc, "_weftline_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))

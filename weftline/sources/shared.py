@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,24 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or an own folder where it is unset (as in tests)."""
+    """spark.checkpoint.dir; an own folder where it is unset and the session is local (as in tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jsc.get() if jsc.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = getattr(spark.sparkContext, "_weftline_folder", None)
         if folder is None:
             folder = spark.sparkContext._weftline_folder = tempfile.mkdtemp(prefix="weftline-")
     return folder
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, *partitions: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors, and what
-    later steps read of it is pruned and compressed."""
+    later steps read of it is pruned and compressed. partitions: columns whose values get folders of their own."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weftline-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out
