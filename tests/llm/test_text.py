@@ -244,6 +244,56 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def naive_place(vectors, left):
+    out = []
+    for v in vectors:
+        fits = [s for s in range(len(left)) if left[s][0] >= v[0]]
+        best = max(fits, key=lambda s: (sum(x * y for x, y in zip(left[s], v, strict=True)), -s)) if fits else max(range(len(left)), key=lambda s: (left[s][0], -s))
+        out.append(best)
+        left[best] = [x - y for x, y in zip(left[best], v, strict=True)]
+    return out
+
+
+def test_placing():
+    rng = np.random.default_rng(8)
+    for n, shards in ((0, 3), (1, 3), (40, 4), (300, 16)):
+        vectors = rng.integers(1, 1000, (n, 3)).astype(float)
+        vectors = vectors[np.argsort(-vectors[:, 0], kind="stable")] / max(vectors.sum(), 1)
+        want = naive_place(vectors.tolist(), [[0.3 / shards] * 3 for _ in range(shards)])
+        assert sharding.place(vectors, np.full((shards, 3), 0.3 / shards)).tolist() == want
+
+
+@pytest.mark.parametrize("cell", [50_000, 7])
+def test_sharding_by_brute_force(docs, monkeypatch, cell):
+    """Every group where the plain rule puts it: large ones first, then each cell's own."""
+    monkeypatch.setattr(sharding, "CELL", cell)
+    monkeypatch.setattr(sharding, "PER_SHARD", 8)
+    docs = docs.where("text is null or length(text) < 10000")  # no group above a shard
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text, F.col("text").isNull()).alias("g"), (F.octet_length(text) + 1).alias("b"), sharding.token_count(text).alias("t")).collect()
+    groups = defaultdict(lambda: [0, 0, 0])
+    for r in rows:
+        groups[r["g"]] = [x + y for x, y in zip(groups[r["g"]], (r["b"], r["t"], 1), strict=True)]
+    total = [sum(v[i] for v in groups.values()) for i in range(3)]
+    capacity = total[0] / 4
+    cells = -(-len(groups) // cell)
+    cell_of = {r["g"]: r["c"] for r in docs.select(F.xxhash64(text, F.col("text").isNull()).alias("g")).withColumn("c", F.pmod(F.xxhash64("g"), F.lit(cells))).collect()}
+    order = sorted(groups, key=lambda g: (-groups[g][0], g))
+    large = [g for g in order if groups[g][0] > capacity / 8]
+    assert large and len(large) < len(groups) and all(groups[g][0] <= capacity for g in large)
+    share = lambda v: [x / y for x, y in zip(v, total, strict=True)]
+    left = [[0.25] * 3 for _ in range(4)]
+    want = dict(zip(large, naive_place([share(groups[g]) for g in large], left), strict=True))
+    small = [g for g in order if g not in want]
+    whole = [sum(groups[g][i] for g in small) for i in range(3)]
+    for c in range(cells):
+        own = [g for g in small if cell_of[g] == c]
+        part = [sum(groups[g][i] for g in own) / whole[i] for i in range(3)]
+        want |= dict(zip(own, naive_place([share(groups[g]) for g in own], [[x * y for x, y in zip(room, part, strict=True)] for room in left]), strict=True))
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, 4).collect()}
+    assert got == {r["doc_id"]: want[r["g"]] for r in rows}
+
+
 def test_sharding_splits_hot_groups(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text here").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     loads = [r["s"] for r in sharding.shard(docs).groupBy("shard").agg(F.sum("size").alias("s")).collect()]

@@ -11,10 +11,11 @@ are the result.
 
 The forest that tasks get is bounded by the sample: TREES trees of at most SAMPLE / 16 leaves.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, null ids, and vectors of
-another length than most, take no part, as queries or as candidates; rows with one vec_id are one candidate (its
-nearest row); with fewer candidates than k all are returned; ties go to the smaller vec_id; an empty table gives an
-empty table; extra columns are not read.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and null ids, take no part, as
+queries or as candidates; vectors meet only those of their length: the forest holds those of the most frequent length,
+all others are searched exactly, in blocks; rows with one vec_id are one candidate (its nearest row), and one query
+(the nearest of what its rows find); with fewer candidates than k all are returned; ties go to the smaller vec_id; an
+empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -100,18 +101,25 @@ def _nearest(k: int):
                 if not len(asked) or not len(there):
                     continue
                 x, q = matrix(vectors.take(pa.array(there))), matrix(vectors.take(pa.array(asked)))
+                names, of = np.unique(ids[there], return_inverse=True)
                 for one, i in zip(q, asked, strict=True):
                     ok = (ids[there] != ids[i]) & (leaf[there] == leaf[i])
                     d = np.sqrt(((x - one) ** 2).sum(axis=1))
                     d[~ok] = np.inf
-                    best = np.lexsort((ids[there], d))[:k] if len(d) <= 4 * k else None
+                    if len(names) < len(there):  # rows of one id are one candidate
+                        least = np.full(len(names), np.inf)
+                        np.minimum.at(least, of, d)
+                        own, d = names, least
+                    else:
+                        own = ids[there]
+                    best = np.lexsort((own, d))[:k] if len(d) <= 4 * k else None
                     if best is None:
                         limit = np.partition(d, k - 1)[k - 1]
                         some = np.flatnonzero(d <= limit)
-                        best = some[np.lexsort((ids[there][some], d[some]))[:k]]
+                        best = some[np.lexsort((own[some], d[some]))[:k]]
                     best = best[np.isfinite(d[best])]
                     out_q.append(np.full(len(best), ids[i]))
-                    out_id.append(ids[there][best])
+                    out_id.append(own[best])
                     out_score.append(d[best])
             if out_q:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_id, out_score)], ["query_id", "vec_id", "score"])
@@ -119,10 +127,11 @@ def _nearest(k: int):
     return run
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 10, search: int | None = None, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 10, search: int | None = None, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of rows (vec_id: long, embedding) where is_query holds, the k
     nearest other vectors found. search: how many vectors a query's leaves hold; by default SEARCH or the SHARE of the
-    forest's entries, whichever is more."""
+    forest's entries, whichever is more. sample: how many vectors the trees are fitted on at most; it bounds their depth,
+    so raise it with the table where leaves of n * 16 / sample vectors are too large."""
     spark = rows.sparkSession
     schema = "query_id long, vec_id long, score double"
     good = rows.withColumn("is_query", F.coalesce(is_query, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), "is_query", F.col("embedding").cast("array<double>").alias("e"))
@@ -132,11 +141,11 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, search: int | None =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = dims[0]["d"], dims[0]["count"]
     search = max(SEARCH, math.ceil(SHARE * trees * n)) if search is None else search
-    good = good.where(F.size("e") == dim)
-    drawn = good.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / n))).select("vec_id", "e").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
-    sample = np.array([r["e"] for r in drawn.collect()], float).reshape(-1, dim)  # bounded by SAMPLE
-    depth = int(np.clip(np.log2(max(min(n / leaf, len(sample) / 16), 1)), 0, 16))
-    forest = spark.sparkContext.broadcast(Forest(sample, depth, trees))
+    every, good = good, good.where(F.size("e") == dim)
+    drawn = good.where(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / n))).select("vec_id", "e").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    fitted = np.array([r["e"] for r in drawn.collect()], float).reshape(-1, dim)  # bounded by the sample
+    depth = int(np.clip(np.log2(max(min(n / leaf, len(fitted) / 16), 1)), 0, 16))
+    forest = spark.sparkContext.broadcast(Forest(fitted, depth, trees))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +176,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, search: int | None =
     there = index.join(F.broadcast(large), "leaf", "left").select(
         "vec_id", "leaf", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(False).alias("is_query")
     )
-    both = asked.unionByName(there).join(good.select("vec_id", "e"), "vec_id")
+    # other lengths: each row in one part of its length, each query in all of them
+    rare = every.where(F.size("e") != dim).withColumn("leaf", -F.size("e").cast("long"))
+    lengths = rare.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    rare = rare.join(lengths, "leaf")
+    rare_there = rare.select("vec_id", "leaf", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.lit(False).alias("is_query"), "e")
+    rare_asked = rare.where("is_query").select("vec_id", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_query"), "e")
+    both = asked.unionByName(there).join(good.select("vec_id", "e"), "vec_id").unionByName(rare_there).unionByName(rare_asked)
     near = by_block(both.withColumn("block", F.xxhash64("leaf", "part"))).mapInArrow(_nearest(k), schema)
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -13,13 +13,15 @@ all others by the library's own normalizer and pre-tokenizer. Words met before a
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; special tokens' strings in a text are
 those tokens, as in the tokenizers library; rows are encoded each by itself, repeated or not; an empty table gives an
-empty table; extra columns are not read.
+empty table; extra columns are not read; a word that no sequence of the vocabulary's tokens covers (none, where it has
+all bytes) raises an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -159,6 +161,8 @@ class WordEncoder:
                 last[end], size[end] = token, n
         out, at = [], len(codes)
         while at > 0:
+            if last[at] < 0:
+                raise ValueError(f"the vocabulary has no tokens for {word[:20]!r}")
             out.append(last[at])
             at -= size[at]
         return out[::-1]
@@ -173,6 +177,7 @@ class Codec:
         self.splitter, self.encoder = Splitter(path, spec), WordEncoder(spec)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.find_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special_start = os.path.commonprefix(list(self.special))
         names = [""] * (max([*self.encoder.vocab.values(), *self.special.values()]) + 1)
         for token, i in {**self.encoder.vocab, **self.special}.items():
             names[i] = token
@@ -192,7 +197,7 @@ class Codec:
 
     def _parts(self, text: str) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian 32-bit words, tokens joined by spaces) of each stretch between special tokens."""
-        for k, part in enumerate(self.find_special.split(text) if self.find_special and "<|" in text else [text]):
+        for k, part in enumerate(self.find_special.split(text) if self.find_special and self.special_start in text else [text]):
             if k % 2:
                 yield self.special[part].to_bytes(4, "little"), part
             elif words := self.splitter.words(part):

@@ -15,12 +15,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, buckets: int = 256) -> DataFrame:
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, rows: int, share: int = 50_000) -> DataFrame:
     """Adds name: 0, 1, 2, ... within each group, without bringing a group into one task.
 
-    Rows of a group fall into hash buckets; bucket sizes (at most `buckets` numbers a group) are added up,
-    and only a bucket's own rows are sorted together. Ties beyond `order` get an arbitrary order.
+    Rows of a group fall into hash buckets, as many as keep about `share` of all `rows` in a bucket even if one group
+    holds them all (at most 2**16 a group); bucket sizes are added up, and only a bucket's own rows are sorted
+    together. Ties beyond `order` get an arbitrary order.
     """
+    buckets = min(max(16, rows // share), 1 << 16)
     bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = bucketed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,8 +9,9 @@ how many vectors it found linked, and a root that stands for the group's local c
 With the defaults a pair at cosine 0.98 shares no code with probability 5e-5; nearer pairs are missed more rarely.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label,
-link with nothing; a vec_id counts once however often its row is repeated; a null vec_id has a null component and is
-kept; an empty table gives an empty table; extra columns are not read.
+link with nothing; a vec_id counts once however often its row is repeated; of different
+vectors of one vec_id (or one vector under several labels) that with the least hash counts, its other rows link with
+nothing; a null vec_id has a null component and is kept; an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -101,6 +102,10 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98) -> DataFram
     """vec_id, n_links, component_id, kept; one row for each row of rows (vec_id: long, embedding, label)."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("e"))
     rows = rows.withColumn("good", usable(F.col("e")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
+    rows = rows.withColumn("hash", F.xxhash64("label", "e"))
+    several = rows.where("good").groupBy("vec_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most")
+    several = written(several.select("vec_id", "least"), "several")
+    rows = rows.join(several, "vec_id", "left").withColumn("good", F.col("good") & (F.col("least").isNull() | (F.col("hash") == F.col("least")))).drop("hash", "least")
     good = rows.where("good")
     classes = written(
         good.groupBy("label", "e").agg(F.min("vec_id").alias("cid"), F.count_distinct("vec_id").alias("weight")).withColumn("group", F.xxhash64("label", F.size("e"))),

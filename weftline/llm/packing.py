@@ -110,6 +110,6 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID)
                 [*own, pa.array(table[at, 2] + ranks - table[at, 1]), pa.array(table[at, 3])], [*names, "sequence_id", "offset"]
             )
 
-    ranked = gapless_rank(cut, ["length"], ["doc_id", "start"], "_rank")
+    ranked = gapless_rank(cut, ["length"], ["doc_id", "start"], "_rank", sum(histogram.values()))
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ranked.select(*names, "_rank").mapInArrow(run, columns)

@@ -15,9 +15,8 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import chat
 
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame(
-        [(-7, 0, "user", SYNTHETIC), (-7, 1, "assistant", SYNTHETIC)], "conv_id long, turn long, role string, text string"
-    )
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(SYNTHETIC).alias("text"))
     place = Window.partitionBy("conv_id").orderBy(
         F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     )

@@ -35,7 +35,8 @@ def url_path(url: Column) -> Column:
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     """rules: (verdict, host, path)."""
-    return spark.createDataFrame(rules, "verdict string, host string, path string")
+    rows = [F.struct(*(F.lit(x).cast("string").alias(n) for x, n in zip(rule, ("verdict", "host", "path"), strict=True))) for rule in rules]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def _digest(host: Column, path: Column) -> Column:
@@ -76,9 +77,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     sizes = rules.agg(
         F.sort_array(F.collect_set(F.size(F.split("rule_host", r"\.", -1)))), F.sort_array(F.collect_set(F.length("rule_path")))
     ).first()
-    parts = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}).drop("rule", "verdict")
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    own = [F.col("page")[c].alias(c) for c in names]
+    # the whole row is one value, so that no column's name can clash
+    parts = pages.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("page"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     if not sizes[0]:
-        return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return parts.select(*own, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     made = expressions(parts.select("host", "path").distinct(), sizes[0], sizes[1])
     fits = made.join(rules.withColumnRenamed("digest", "rule_digest"), "short").where("digest = rule_digest")
     best = fits.groupBy("host", "path").agg(
@@ -89,8 +93,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
                 F.concat("rule_host", "rule_path").alias("rule"),
                 F.col("verdict").alias("verdict"),
             )
-        ).alias("_best")
+        ).alias("best")
     )
     judged = parts.join(best, ["host", "path"], "left")
-    kept = [parts[c] for c in parts.columns]
-    return judged.select(*kept, F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    return judged.select(*own, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
