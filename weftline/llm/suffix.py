@@ -1,26 +1,29 @@
 """Exact removal of long repeated substrings by column-wise multi-document suffix sorting.
 
-A byte goes if it lies in a string of LENGTH bytes that also starts anywhere else. Work is dealt out by anchors: each
-window of LENGTH bytes has one anchor, the gram of a fixed size in it with the least hash (the leftmost of equal
-ones), so equal windows have equal anchors at equal places. Runs of consecutive windows with one anchor are a segment;
-every window start lies in exactly one segment, and windows can only be equal inside segments of one anchor. Anchors
-met once are out. The others' segments form collections whose members are aligned at the anchor.
+A byte goes if it lies in a string of `length` bytes that also starts anywhere else (with across=True: in another
+text). Work is dealt out by anchors: each window of `length` bytes has one anchor, the gram of a fixed size in it with
+the least hash (the leftmost of equal ones), so equal windows have equal anchors at equal places. Runs of consecutive
+windows with one anchor are a segment; every window start lies in exactly one segment, and windows can only be equal
+inside segments of one anchor. Anchors met once are out. The others' segments form collections whose members are
+aligned at the anchor.
 
 In each collection the suffixes are sorted column by column, from the last to the first: every round inserts one
 symbol for each segment in front of its suffix. The new order is the old one, stably sorted by the new symbols (the
 collection's Burrows-Wheeler column), and the common prefix of two neighbours with one new symbol is one more than the
-least common prefix between their old places. A window is repeated if its suffix shares LENGTH symbols with a
+least common prefix between their old places. A window is repeated if its suffix shares `length` symbols with a
 neighbour. As members are aligned, only suffixes of one column can share that much, so one round's order and common
 prefixes are all that is kept; columns are read once, in sequence. What the method keeps in external files between
 rounds is here the written segments: Spark's tables are the sequential files.
 
-Equal segments are counted and enter as two; more could change nothing. Anchors with more than HOT different segments
-are cut again with longer anchors, up to anchors of the whole LENGTH, where all segments of an anchor are equal; so
-no task gets a collection that grows with a third of the input.
+Equal segments are one, with a flag that says whether it was met more than once. Anchors with more than HOT different
+segments are cut again with longer anchors, up to anchors of the whole length, where all segments of an anchor are
+equal; so no task gets a collection that grows with a third of the input. Joins on anchors and on segments are salted
+for keys that hold more than 1 / HEAVY of all segments (see `skewed`).
 
-Defined cases: a null text is empty; rows are separate documents, repeated rows (and rows of one doc_id) too; texts
-shorter than LENGTH bytes lose nothing; an empty table gives an empty table; extra columns of the input are kept by
-`dedup_texts` and not read by `dedup_report`.
+Defined cases: a null text is empty; rows are separate documents, repeated rows (and rows of one doc_id) too,
+but that across=True takes rows of one doc_id (or none) and one text as one document; texts
+shorter than `length` bytes lose nothing; an empty table gives an empty table; extra columns of the input, whatever
+their names, are kept by `dedup_texts` and not read by `dedup_report`.
 """
 
 from __future__ import annotations
@@ -37,21 +40,27 @@ from weftline.llm.bytes_np import U64, joined, mix, prefix_hash, substring_hash,
 from weftline.llm.common import release, written
 from weftline.llm.vectors import blocks, by_block
 
+#: Bytes of a repeated string, where the caller names no other length.
 LENGTH = 400
-#: Anchor sizes of the levels; the last is LENGTH itself.
-LEVELS = (64, 370, LENGTH)
 #: Different segments of an anchor that one task sorts at most; segments sorted together.
 HOT, TOGETHER = 4000, 16384
+#: Keys with more than this share of all segments are salted; there are fewer than HEAVY of them.
+HEAVY = 1024
 #: Bits for a place in a run of text that is searched for anchors at once, and the run's windows.
 PLACE_BITS, RUN = 24, 1 << 20
 
 
-def anchors(data: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of its anchor for each window of LENGTH bytes, hash of the gram at each place)."""
+def levels(length: int) -> tuple[int, ...]:
+    """Anchor sizes of the levels; the last is the length itself. (64, 370, 400) for 400."""
+    return max(1, length * 4 // 25), max(1, length * 37 // 40), length
+
+
+def anchors(data: np.ndarray, gram: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(place of its anchor for each window of `length` bytes, hash of the gram at each place)."""
     prefix = prefix_hash(data)
     starts = np.arange(len(data) - gram + 1)
     hashes = substring_hash(prefix, starts, starts + gram)
-    width = LENGTH - gram + 1
+    width = length - gram + 1
     if width == 1:
         return starts, hashes
     low = U64((1 << PLACE_BITS) - 1)
@@ -63,16 +72,16 @@ def anchors(data: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & low).astype(np.int64), hashes
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, offsets: np.ndarray, gram: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(text number, first window, last window, anchor, key) of the segments of concatenated texts; places are
     counted from the text's start."""
     out = []
-    for begin in range(0, max(len(data) - LENGTH + 1, 0), RUN):
-        part = data[begin : begin + RUN + LENGTH - 1]
-        anchor, hashes = anchors(part, gram)
+    for begin in range(0, max(len(data) - length + 1, 0), RUN):
+        part = data[begin : begin + RUN + length - 1]
+        anchor, hashes = anchors(part, gram, length)
         at = begin + np.arange(len(anchor))
         text = np.searchsorted(offsets, at, "right") - 1
-        good = at + LENGTH <= offsets[text + 1]
+        good = at + length <= offsets[text + 1]
         first = good.copy()
         first[1:] &= ~good[:-1] | (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
         last = good.copy()
@@ -85,19 +94,26 @@ def segments(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def repeated_windows(strings: list[np.ndarray], anchor: np.ndarray) -> np.ndarray:
-    """For aligned strings (anchor: place of each one's anchor), a mask (strings, columns): whether the LENGTH symbols
-    from there also start, in the same column, in another string. Column of a string's place p: p - anchor + shift."""
+def repeated_windows(strings: list[np.ndarray], anchor: np.ndarray, least: np.ndarray, most: np.ndarray, many: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For different aligned strings (anchor: place of each one's anchor), a mask (strings, columns): whether the
+    `length` symbols from there also start, in the same column, in a string met elsewhere. Column of a string's place
+    p: p - anchor + shift. least, most: the least and largest number of the texts that hold a string; strings whose
+    all holders are one text do not count for each other (give different numbers where they shall). many: strings
+    that by themselves are met more than once."""
     n, sizes = len(strings), np.array([len(s) for s in strings])
     shift = int(anchor.max())
     start, end = shift - anchor, shift - anchor + sizes
     width = int(end.max())
     symbols = np.zeros((width, n), np.uint8)  # a row for each column, read once
+    mask = np.zeros((n, width), bool)
     for i, s in enumerate(strings):
         symbols[start[i] : end[i], i] = s
+        if many[i]:
+            mask[i, start[i] : end[i] - length + 1] = True
+    if n == 1:
+        return mask
     ending = np.argsort(-end, kind="stable")
     next_in = 0
-    mask = np.zeros((n, width), bool)
     order, common = np.zeros(0, np.int64), np.zeros(0, np.int16)
     for column in range(width - 1, -1, -1):
         joining = next_in
@@ -122,108 +138,153 @@ def repeated_windows(strings: list[np.ndarray], anchor: np.ndarray) -> np.ndarra
         pairs[0], pairs[2::2] = 0, place[:-1] + 1
         pairs[1::2] = place + 1
         same = np.concatenate([[False], new[place[1:]] == new[place[:-1]]])
-        least = np.minimum.reduceat(np.append(common, np.int16(LENGTH)), pairs)[::2]
-        common = np.where(same, np.minimum(least + 1, LENGTH), 0).astype(np.int16)
+        lower = np.minimum.reduceat(np.append(common, np.int16(length)), pairs)[::2]
+        common = np.where(same, np.minimum(lower + 1, length), 0).astype(np.int16)
         order = order[place]
-        hit = common >= LENGTH
-        hit[:-1] |= hit[1:]
-        if hit.any():
+        if (common >= length).any():
+            first = np.flatnonzero(common < length)  # suffixes that share `length` symbols stand side by side
+            apart = np.minimum.reduceat(least[order], first) != np.maximum.reduceat(most[order], first)
+            counts = np.diff(np.append(first, len(order)))
+            hit = np.repeat(apart & (counts > 1), counts)
             mask[order[hit], column] = True
     return mask
 
 
 def _digests(pieces: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join([hashlib.blake2b(s, digest_size=16).digest() for s in pieces]), np.int64).reshape(-1, 2)
+    return np.frombuffer(b"".join([hashlib.blake2b(s, digest_size=8).digest() for s in pieces]), np.int64)
 
 
-def _segments(gram: int):
-    """(d, h, text) -> a row for each segment, with the digest of its bytes."""
+def _segments(gram: int, length: int):
+    """(d, h, text, ...) -> a row for each segment, with a digest of its bytes, which with the key names it; further
+    columns are carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = [n for n in batch.schema.names if n != "text"]
             for a, _, data, offsets in text_chunks(batch.column(2)):
-                text, first, last, anchor, key = segments(data, offsets, gram)
+                text, first, last, anchor, key = segments(data, offsets, gram, length)
                 at, buffer, base = pa.array(text + a), data.tobytes(), offsets[text]
-                digest = _digests([buffer[i:j] for i, j in zip((base + first).tolist(), (base + last + LENGTH).tolist(), strict=True)])
+                digest = _digests([buffer[i:j] for i, j in zip((base + first).tolist(), (base + last + length).tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(key), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor)), pa.array(digest[:, 0]), pa.array(digest[:, 1])],
-                    ["d", "h", "key", "first", "last", "anchor", "s1", "s2"],
+                    [*(batch.column(batch.schema.get_field_index(n)).take(at) for n in names), pa.array(key), pa.array(digest), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor))],
+                    [*names, "key", "s", "first", "last", "anchor"],
                 )
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, places: array of (key, first, last, anchor, s1, s2, copies)) -> a row for each place with its bytes."""
-    for batch in batches:
-        data, offsets = joined(batch.column(0))
-        places = batch.column(1)
-        key, first, last, anchor, s1, s2, copies = (x.to_numpy() for x in places.flatten().flatten())
-        row = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
-        buffer, base = data.tobytes(), offsets[:-1][row]
-        for i in range(0, len(row), 8192):
-            j = slice(i, i + 8192)
-            cut = [buffer[b + f : b + e + LENGTH] for b, f, e in zip(base[j], first[j], last[j], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x[j]) for x in (key, s1, s2, copies, anchor - first)), pa.array(cut, pa.binary())], ["key", "s1", "s2", "copies", "anchor", "piece"]
-            )
-
-
-def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Collections (block, s1, s2, copies, anchor, piece) -> repeated spans (s1, s2, lo, hi) of the pieces, in bytes."""
-    for table, borders in blocks(batches):
-        copies, anchor = table.column("copies").to_numpy(), table.column("anchor").to_numpy().astype(np.int64)
-        s1, s2, pieces = table.column("s1").to_numpy(), table.column("s2").to_numpy(), table.column("piece").combine_chunks()
-        a = 0
-        while a < len(borders) - 1:
-            b = max(a + 1, int(np.searchsorted(borders, borders[a] + TOGETHER, "right")) - 1)
-            rows = np.arange(borders[a], borders[b])
-            a = b
-            if len(rows) == 1 and copies[rows[0]] < 2:
-                continue
-            rows = rows.repeat(copies[rows])
-            strings = [np.frombuffer(pieces[int(i)].as_buffer(), np.uint8) for i in rows]
-            mask = repeated_windows(strings, anchor[rows])
-            edge = np.zeros((len(rows), 1), np.int8)
-            steps = np.diff(mask.astype(np.int8), axis=1, prepend=edge, append=edge)
-            (i, lo), (_, hi) = np.nonzero(steps == 1), np.nonzero(steps == -1)
-            back = anchor[rows][i] - int(anchor[rows].max())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s1[rows[i]]), pa.array(s2[rows[i]]), pa.array((lo + back).astype(np.int32)), pa.array((hi - 1 + back + LENGTH).astype(np.int32))],
-                ["s1", "s2", "lo", "hi"],
-            )
-
-
-def _repeats(texts: DataFrame, level: int) -> DataFrame:
-    """(d, h, lo, hi): spans of the texts (d, h, text) that repeated strings of LENGTH bytes cover."""
-    columns = "d long, h long, key long, first int, last int, anchor int, s1 long, s2 long"
-    every = written(texts.mapInArrow(_segments(LEVELS[level]), columns), "segments")
-    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    found = written(every.join(shared.hint("merge"), "key", "left_semi"), "shared")
+def _cut(length: int, names: list[str]):
+    """(text, places: array of (first, last, anchor, then names)) -> a row for each place: names, anchor, its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = joined(batch.column(0))
+            places = batch.column(1)
+            first, last, anchor, *rest = places.flatten().flatten()
+            first, last, anchor = (x.to_numpy() for x in (first, last, anchor))
+            row = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+            buffer, base = data.tobytes(), offsets[:-1][row]
+            for i in range(0, len(row), 8192):
+                j = slice(i, i + 8192)
+                cut = [buffer[b + f : b + e + length] for b, f, e in zip(base[j], first[j], last[j], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(x.slice(i, 8192) for x in rest), pa.array((anchor - first)[j]), pa.array(cut, pa.binary())], [*names, "anchor", "piece"])
+
+    return run
+
+
+def _sorted(length: int, across: bool):
+    """Collections (block, s, many, anchor, piece; least, most if across) -> repeated spans (key, s, lo, hi) of the pieces, in bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, borders in blocks(batches):
+            many, anchor = table.column("many").to_numpy(), table.column("anchor").to_numpy().astype(np.int64)
+            key, s, pieces = table.column("block").to_numpy(), table.column("s").to_numpy(), table.column("piece").combine_chunks()
+            least, most = (table.column(c).to_numpy() for c in ("least", "most")) if across else (None, None)
+            a = 0
+            while a < len(borders) - 1:
+                b = max(a + 1, int(np.searchsorted(borders, borders[a] + TOGETHER, "right")) - 1)
+                rows = np.arange(borders[a], borders[b])
+                a = b
+                if len(rows) == 1 and not many[rows[0]]:
+                    continue
+                strings = [np.frombuffer(pieces[int(i)].as_buffer(), np.uint8) for i in rows]
+                low, high = (least[rows], most[rows]) if across else (np.arange(len(rows)), np.arange(len(rows)))
+                mask = repeated_windows(strings, anchor[rows], low, high, many[rows], length)
+                edge = np.zeros((len(rows), 1), np.int8)
+                steps = np.diff(mask.astype(np.int8), axis=1, prepend=edge, append=edge)
+                (i, lo), (_, hi) = np.nonzero(steps == 1), np.nonzero(steps == -1)
+                back = anchor[rows][i] - int(anchor[rows].max())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[rows[i]]), pa.array(s[rows[i]]), pa.array((lo + back).astype(np.int32)), pa.array((hi - 1 + back + length).astype(np.int32))],
+                    ["key", "s", "lo", "hi"],
+                )
+
+    return run
+
+
+def skewed(left: DataFrame, right: DataFrame, on: list[str], heavy: DataFrame, salt: list[str], how: str) -> DataFrame:
+    """left joined with right on the columns `on`. heavy (on, parts) names left's keys with very many rows, fewer than
+    HEAVY of them: their rows are dealt over `parts` tasks by the columns `salt`, right's are copied to each."""
+    parts = F.coalesce("_parts", F.lit(1))
+    heavy = F.broadcast(heavy.select(*on, F.col("parts").alias("_parts")))
+    dealt = left.join(heavy, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt), parts).cast("int")).drop("_parts")
+    copied = right.join(heavy, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))).drop("_parts")
+    return dealt.join(copied.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
+def _heavy(counts: DataFrame, total: int) -> DataFrame:
+    """Of counts (..., n), the rows with more than 1 / HEAVY of the total, and the parts they are dealt over."""
+    limit = max(total // HEAVY, 1)
+    return counts.where(F.col("n") > limit).withColumn("parts", F.ceil(F.col("n") / limit).cast("int"))
+
+
+def _repeats(texts: DataFrame, level: int, length: int, across: bool) -> DataFrame:
+    """(d, h, lo, hi): spans of the texts (d, h, text) that repeated strings of `length` bytes cover. On deeper levels
+    the texts are different segments, and carry many (met more than once) and, if across, least and most (the numbers
+    of the documents that hold them)."""
+    carried = (["many boolean"] + ["least long", "most long"] * across) * (level > 0)
+    every = written(texts.mapInArrow(_segments(levels(length)[level], length), ", ".join(["d long", "h long", *carried, "key long", "s long", "first int", "last int", "anchor int"])), "segments")
+    own = F.xxhash64("d", "h")
+    numbers = [] if not across else [F.min("least").alias("least"), F.max("most").alias("most")] if level else [F.min(own).alias("least"), F.max(own).alias("most")]
+    n = F.count(F.lit(1)).alias("n")
+    met = F.expr("least <> most") if across else F.expr("n > 1 or many") if level else F.expr("n > 1")
+    flags = [F.max("many").alias("many")] * (level > 0)
+    keys = written(every.groupBy("key").agg(n, *numbers, *flags).where(met).select("key", "n"), "keys")
+    total = every.count()
+    found = written(skewed(every, keys.select("key"), ["key"], _heavy(keys, total), ["d", "h", "first"], "left_semi"), "shared")
     release(every)
+    release(keys)
     # of equal segments one place stands for all; only its bytes are cut
-    place = F.min(F.struct("d", "h", "first", "last", "anchor", "key")).alias("p")
-    places = found.groupBy("s1", "s2").agg(place, F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies"))
-    places = places.groupBy("p.d", "p.h").agg(F.collect_set(F.struct("p.key", "p.first", "p.last", "p.anchor", "s1", "s2", "copies")).alias("places"))
-    cut = texts.join(places.hint("merge"), ["d", "h"]).select("text", "places")
-    different = written(cut.mapInArrow(_cut, "key long, s1 long, s2 long, copies int, anchor int, piece binary"), "different")
-    cold, hot = different, None
-    if level + 1 < len(LEVELS):
-        sizes = written(different.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
+    place = F.min(F.struct("d", "h", "first", "last", "anchor")).alias("p")
+    different = written(found.groupBy("key", "s").agg(place, n, *numbers, *flags).withColumn("many", met), "places")
+    heavy = written(_heavy(different.select("key", "s", "n"), total), "heavy")
+    names = {"key": "long", "s": "long", "many": "boolean"} | ({"least": "long", "most": "long"} if across else {})
+    places = different.groupBy("p.d", "p.h").agg(F.collect_set(F.struct("p.first", "p.last", "p.anchor", *names)).alias("places"))
+    once = texts.groupBy("d", "h").agg(F.first("text").alias("text")) if level == 0 else texts.select("d", "h", "text")  # equal rows, however many, are cut once
+    cut = once.join(places.hint("merge"), ["d", "h"]).select("text", "places")
+    pieces = written(cut.mapInArrow(_cut(length, list(names)), ", ".join(f"{k} {v}" for k, v in names.items()) + ", anchor int, piece binary"), "different")
+    cold, hot, done = pieces, None, [found, different, heavy, pieces]
+    if level + 1 < len(levels(length)):
+        sizes = written(different.groupBy("key").agg(n).where(F.col("n") > HOT), "hot")
+        done.append(sizes)
         if not sizes.isEmpty():
-            cold = different.join(sizes.hint("merge"), "key", "left_anti")
-            hot = different.join(sizes.hint("merge"), "key", "left_semi")
-    sorted_ = by_block(cold.select(F.col("key").alias("block"), "s1", "s2", "copies", "anchor", "piece"))
-    spans = sorted_.mapInArrow(_sorted, "s1 long, s2 long, lo int, hi int")
+            parts = _heavy(sizes, total)
+            cold = skewed(pieces, sizes.select("key"), ["key"], parts, ["s"], "left_anti")
+            hot = skewed(pieces, sizes.select("key"), ["key"], parts, ["s"], "left_semi")
+    sorted_ = by_block(cold.withColumnRenamed("key", "block"))
+    spans = sorted_.mapInArrow(_sorted(length, across), "key long, s long, lo int, hi int")
     if hot is not None:
-        again = hot.select(F.col("s1").alias("d"), F.col("s2").alias("h"), F.col("piece").alias("text"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
-        spans = spans.unionByName(_repeats(again, level + 1).select(F.col("d").alias("s1"), F.col("h").alias("s2"), "lo", "hi"))
-    spans = spans.groupBy("s1", "s2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    back = found.select("d", "h", "first", "s1", "s2").join(spans.hint("merge"), ["s1", "s2"])
-    return written(
-        back.select("d", "h", "first", F.explode("spans").alias("s")).select("d", "h", (F.col("first") + F.col("s.lo")).alias("lo"), (F.col("first") + F.col("s.hi")).alias("hi")),
+        again = hot.select(F.col("key").alias("d"), F.col("s").alias("h"), F.col("piece").alias("text"), *(c for c in names if c not in ("key", "s")))
+        spans = spans.unionByName(_repeats(again, level + 1, length, across).select(F.col("d").alias("key"), F.col("h").alias("s"), "lo", "hi"))
+    spans = spans.groupBy("key", "s").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    back = skewed(found.select("d", "h", "first", "key", "s"), spans, ["key", "s"], heavy, ["d", "h", "first"], "inner")
+    out = written(
+        back.select("d", "h", "first", F.explode("spans").alias("x")).select("d", "h", (F.col("first") + F.col("x.lo")).alias("lo"), (F.col("first") + F.col("x.hi")).alias("hi")),
         "spans",
     )
+    for table in done:
+        release(table)
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -231,9 +292,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), "h": F.xxhash64("text", F.col("doc_id").isNull())})
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, across: bool = False) -> DataFrame:
     """d, h, spans: for each text (see _keyed) with repeats, spans (lo, hi) in bytes that together cover them."""
-    found = _repeats(_keyed(docs).select("d", "h", "text"), 0)
+    found = _repeats(_keyed(docs).select("d", "h", "text"), 0, length, across)
     return found.groupBy("d", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -260,41 +321,51 @@ def _runs(spans) -> list[tuple[int, int]]:
     return merged([(s["lo"], s["hi"]) for s in spans]) if spans else []
 
 
-def dedup_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text)."""
+def dedup_report(docs: DataFrame, length: int = LENGTH, passage: int | None = None, min_words: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text).
+
+    With passage, n_passages too: how many maximal runs of at least min_words words consist of strings of `passage`
+    bytes that other documents hold as well. What is removed does not depend on it."""
     docs = docs.select("doc_id", "text")
-    both = _keyed(docs).join(repeated_spans(docs).hint("merge"), ["d", "h"], "left").select("doc_id", "text", "spans")
+    spans = repeated_spans(docs, length)
+    if passage is not None:
+        spans = spans.join(repeated_spans(docs, passage, across=True).withColumnRenamed("spans", "shared"), ["d", "h"], "full_outer")
+    extra = ["shared"] if passage is not None else []
+    both = _keyed(docs).join(spans.hint("merge"), ["d", "h"], "left").select("doc_id", "text", "spans", *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, counts, shas = [], [], [], []
-            for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, runs = text or b"", _runs(spans)
+            sizes, removed, counts, shas, passages = [], [], [], [], []
+            for text, *spans in zip(*(c.cast(pa.binary()).to_pylist() if i == 0 else c.to_pylist() for i, c in enumerate(batch.columns[1:])), strict=True):
+                data, runs = text or b"", _runs(spans[0])
                 sizes.append(len(data))
                 removed.append(sum(hi - lo for lo, hi in runs))
                 counts.append(len(runs))
                 shas.append(hashlib.sha256(without(data, runs)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(shas, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            )
+                passages.append(sum(len(data[lo:hi].split()) >= min_words for lo, hi in _runs(spans[-1])))
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(shas, pa.string()), *([pa.array(passages, pa.int64())] if extra else [])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passages"] if extra else [])])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passages long" * len(extra))
 
 
-def dedup_texts(docs: DataFrame) -> DataFrame:
+def dedup_texts(docs: DataFrame, length: int = LENGTH, across: bool = False, min_words: int = 0) -> DataFrame:
     """docs with the repeats removed from text; other columns stay. A removed run that begins or ends inside a
-    character leaves the whole character, so texts stay valid UTF-8; texts without repeats are untouched."""
+    character leaves the whole character, so texts stay valid UTF-8; texts without repeats are untouched.
+
+    across: only strings that also start in another document are repeats. min_words: maximal runs with fewer words
+    ([^\\x20\\x09-\\x0D]+) stay."""
     names = docs.columns
-    keyed = docs.withColumn("_row", F.struct(*names)).select("doc_id", "text", "_row")
-    spans = repeated_spans(docs.select("doc_id", "text"))
-    both = _keyed(keyed).join(spans.hint("merge"), ["d", "h"], "left").select("_row.*", F.col("spans").alias("_spans"))
+    keyed = _keyed(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))).select("d", "h", "row")
+    both = keyed.join(repeated_spans(docs.select("doc_id", "text"), length, across).hint("merge"), ["d", "h"], "left").select("row", "spans")
     text_at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_at).cast(pa.binary()).to_pylist()
-            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
+            columns = batch.column(0).flatten()
+            texts = columns[text_at].cast(pa.binary()).to_pylist()
+            for i, spans in enumerate(batch.column(1).to_pylist()):
                 if spans:
                     data, runs = texts[i], []
                     for lo, hi in _runs(spans):
@@ -302,9 +373,9 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
                             lo += 1
                         while hi > lo and hi < len(data) and data[hi] & 0xC0 == 0x80:
                             hi -= 1
-                        runs.append((lo, hi))
+                        if len(data[lo:hi].split()) >= min_words:
+                            runs.append((lo, hi))
                     texts[i] = without(data, runs)
-            columns = [batch.column(i) for i in range(len(names))]
             columns[text_at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
