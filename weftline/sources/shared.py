@@ -29,7 +29,7 @@ def written(df: DataFrame, what: str, *partitions: str) -> DataFrame:
     later steps read of it is pruned and compressed. partitions: columns whose values get folders of their own."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weftline-{what}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partitions).parquet(path)
+    df.write.partitionBy(*partitions).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out
