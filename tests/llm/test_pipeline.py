@@ -6,21 +6,25 @@ import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 from test_text import components, library, shingles, vocabulary
 
+from weftline.llm import suffix
 
-def brute_removed(texts, size=400):
-    """Texts without the bytes of repeated strings; a run keeps characters it would cut."""
+
+def brute_removed(texts, size=corpus_pipeline.PASSAGE_BYTES, words=corpus_pipeline.PASSAGE_WORDS):
+    """Texts without the runs of enough words in strings that another text holds; a run keeps characters it would cut."""
     data = [(t or "").encode() for t in texts]
-    seen = defaultdict(int)
-    for b in data:
+    holders = defaultdict(set)
+    for k, b in enumerate(data):
         for i in range(len(b) - size + 1):
-            seen[b[i : i + size]] += 1
+            holders[b[i : i + size]].add(k)
     out = []
     for b in data:
         runs = []
         for i in range(len(b) - size + 1):
-            if seen[b[i : i + size]] > 1:
+            if len(holders[b[i : i + size]]) > 1:
                 if runs and i <= runs[-1][1]:
                     runs[-1][1] = i + size
                 else:
@@ -31,11 +35,25 @@ def brute_removed(texts, size=400):
                 lo += 1
             while hi > lo and hi < len(b) and b[hi] & 0xC0 == 0x80:
                 hi -= 1
-            kept, at = kept + b[at:lo], hi
+            if len(b[lo:hi].split()) >= words:
+                kept, at = kept + b[at:lo], hi
         out.append((kept + b[at:]).decode())
     return out
 
 
+@pytest.mark.parametrize(("size", "words"), [(400, 0), (150, 51), (60, 4)])
+def test_passages_of_other_documents(spark, sf_dir, size, words):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    own = " ".join(f"w{i * i}" for i in range(80))
+    rows += [(-1, f"{own} é {own}"), (-2, "x " + rows[0][1][:900]), (-3, rows[0][1][:900] + " y"), (-4, None), (-5, "")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, spans int, d int, `a.b` int").repartition(3)
+    got = suffix.dedup_texts(docs, size, across=True, min_words=words)
+    assert got.schema == docs.schema
+    want = [w if t is not None else None for (_, t), w in zip(rows, brute_removed([t for _, t in rows], size, words), strict=True)]
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == dict(zip([i for i, _ in rows], want, strict=True))
+    assert want[-5] == rows[-5][1] and sum(w != t for (_, t), w in zip(rows, want, strict=True)) > 2
+
+
 def test_pipeline(spark, sf_dir):
     tok = library(vocabulary())
     docs = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r["text"] and any(c.isalpha() for c in r["text"])]
@@ -65,6 +83,20 @@ def test_stages_keep_columns(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_stages_with_clashing_columns(spark, sf_dir):
+    """Columns named like those inside the stages stay as they are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").drop("n_chars")
+    inside = ["lang_pred", "_row", "row", "doc", "_spans", "spans", "component_id", "d", "h", "o", "score", "letters", "a.b"]
+    odd = docs.select("*", *(F.col("doc_id").alias(c) for c in inside))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, more = stage(spark, docs, sf_dir).collect(), stage(spark, odd, sf_dir)
+        assert more.columns == odd.columns
+        rows = more.collect()
+        assert all(r[c] == r["doc_id"] for r in rows for c in inside)
+        assert sorted(tuple(r)[:4] for r in rows) == sorted(map(tuple, plain))
+    assert corpus_pipeline.packed(spark, odd, sf_dir).count() == corpus_pipeline.packed(spark, docs, sf_dir).count()
+
+
 def test_repeated_rows_keep_one_text(spark, sf_dir):
     rng = random.Random(4)
     words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))

@@ -19,7 +19,7 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -66,13 +66,13 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of whole texts of about CHUNK bytes."""
-    data, offsets = joined(column)
-    row, rows = 0, len(offsets) - 1
+    """(first row, end row, bytes, offsets) of runs of whole texts of about CHUNK bytes; only a run is copied."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    row, rows = 0, len(ends)
     while row < rows:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
-        end = min(end, rows)
-        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        before = ends[row - 1] if row else 0
+        end = min(max(row + 1, int(np.searchsorted(ends, before + CHUNK, "right"))), rows)
+        yield row, end, *joined(column.slice(row, end - row))
         row = end
 
 

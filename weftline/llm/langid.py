@@ -10,9 +10,9 @@ tables, longest first, for all languages at a time. Every byte of every text is
 
 The prediction is the language with the shortest code; the score is its posterior probability under equal priors.
 
-Bounds: training uses a pseudo-random sample of labelled documents, about SAMPLE_DOCS of each language (all, where
-there are fewer) whatever the size of the corpus, whole texts; so the model that reaches the driver and the tasks is
-bounded by the sample.
+Bounds: training uses a pseudo-random sample of labelled documents, about SAMPLE_DOCS of each of at most MAX_LANGS
+languages (all, where there are fewer) whatever the size of the corpus, whole texts; so the model that reaches the
+driver and the tasks is bounded by the sample.
 
 Defined cases: a null text or one without a letter is `und` with score 0; without any labelled training text every
 document is `und`; ties go to the alphabetically first language; rows are judged each by itself; an empty table gives
@@ -25,13 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.bytes_np import joined, text_chunks
 
 #: Bytes of context, and about how many documents of each language are learned from.
 ORDER, SAMPLE_DOCS = 3, 400
+#: Languages that are learned at most, those with most labelled documents.
+MAX_LANGS = 256
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
@@ -163,21 +167,25 @@ class Model:
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of the labelled rows (doc_id, text, lang); lang is not null."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return Model([])
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])
+    labelled = labelled.where(F.col("lang").isin(sorted(counts)))
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
     grams = labelled.where(drawn).select("lang", "text").mapInArrow(_counted, "lang string, size int, gram long, n long")
     total = grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     return Model([tuple(r) for r in total.collect()])  # bounded by the sample
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for each row of docs (doc_id, text)."""
+def predict(docs: DataFrame, model: Model, carried: str = "doc_id", text: str = "text") -> DataFrame:
+    """The column `carried`, lang_pred, score for each row of docs (carried, text). With text "x.y" the text is field y
+    of the carried column x."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample
-    docs = docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    inner = text.split(".")[1] if "." in text else None
+    docs = docs.select(carried, letters) if inner else docs.select(carried, letters, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -185,16 +193,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             n = batch.num_rows
             pred, score = np.full(n, "und", object), np.zeros(n)
             if m.langs:
-                for a, b, data, offsets in text_chunks(batch.column(1)):
+                texts = pc.struct_field(batch.column(0), inner) if inner else batch.column(2)
+                for a, b, data, offsets in text_chunks(texts):
                     bits = m.code_lengths(data, offsets)
                     best = bits.argmin(axis=1)
                     gap = np.minimum(bits - bits[np.arange(b - a), best][:, None], 1000)
                     pred[a:b], score[a:b] = np.array(m.langs, object)[best], 1 / (2.0**-gap).sum(axis=1)
-            none = ~batch.column(2).to_numpy(zero_copy_only=False)
+            none = ~batch.column(1).to_numpy(zero_copy_only=False)
             pred[none], score[none] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], [carried, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.mapInArrow(run, T.StructType([docs.schema[carried], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -10,7 +10,8 @@ itself, and nothing that grows with the corpus meets in one task. A group larger
 parts of equal size first, as nothing could balance it; all others stay whole.
 
 Tokens are counted as the splits of a byte-level vocabulary's pre-tokenizer: runs of letters, single digits, runs of
-other marks (on the test corpus the count for word_bpe_49k.json is 1.2 to 2 times that in nine of ten documents).
+other marks (tokens of word_bpe_49k.json are 1.95 times that on the documents of sf0.01, 1.64 to 2.33 times in nine of
+ten of them; correlation 0.991). Only shares of the total count, so the factor does not matter.
 
 The law that holds is `bytes`: the shards' sizes are near equal.
 
