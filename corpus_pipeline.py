@@ -6,7 +6,7 @@ reads again as the next stage's docs. All but the last return the columns of doc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import langid, packing, setsketch, suffix
@@ -15,17 +15,27 @@ from weftline.llm.queries import vocabulary
 from weftline.session import ship
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """doc: each row as one value, so that no column's name can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
+def fields(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of docs out of a column doc, some changed."""
+    return [changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that could be told; those without a letter go. lang becomes the prediction.
 
-    Rows without doc_id have no prediction to join and are judged by whether they have a letter."""
+    Each row is judged by its own text, repeated rows and rows without doc_id too; a null text goes. Where no row has
+    a lang to learn from, rows with a letter stay as they are. Extra columns stay, whatever their names."""
     ship(spark)
     model = langid.train(docs.where("lang is not null").select("doc_id", "text", "lang"))
-    names = docs.columns
-    pred = langid.predict(docs.select("doc_id", "text").where("doc_id is not null"), model).where("lang_pred <> 'und'")
-    pred = pred.groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred"))
-    kept = docs.where(F.col("text").rlike(r"\p{L}")).join(pred, "doc_id", "left").where("lang_pred is not null or doc_id is null")
-    return kept.withColumn("lang", F.coalesce("lang_pred", "lang")).select(*names)
+    said = langid.predict(whole_rows(docs), model, "doc", "doc.text")
+    if not model.langs:
+        return said.where(F.col("doc.text").rlike(r"\p{L}")).select(*fields(docs))
+    return said.where("lang_pred <> 'und'").select(*fields(docs, lang=F.col("lang_pred")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,23 +43,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Each row is a text of its own here, as in the next stage: repeated rows of one doc_id and copies without doc_id are
     near-duplicates like any others, while different texts of one doc_id all stay. Rows of equal doc_id in a group go
-    by the hash of their columns; then they are equal and any will do."""
+    by the hash of their columns; then they are equal and any will do. Null and empty texts stay; extra columns too."""
     ship(spark)
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = setsketch.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*docs.columns).alias("h"), "_row")
-    first = rows.select("_row", order.alias("o")).join(groups.hint("merge"), "_row").groupBy("component_id").agg(F.min("o").alias("o")).select("o._row")
-    return rows.join(first.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    rows = written(whole_rows(docs).select(F.monotonically_increasing_id().alias("row"), "doc"), "rows")
+    groups = setsketch.near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("doc_id"), F.xxhash64("doc").alias("h"), "row")
+    first = rows.select("row", order.alias("o")).join(groups.hint("merge"), "row").groupBy("component_id").agg(F.min("o").alias("o")).select("o.row")
+    return rows.join(first.hint("merge"), "row", "left_semi").select(*fields(docs))
+
+
+#: A passage that repeats in another document goes if it has at least so many words (over 50); strings of so many bytes
+#: find it (3 for each of its words with the space behind it, about half of what prose has).
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 150
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes long repeated strings from texts; n_chars follows; every document stays."""
+    """Removes passages of PASSAGE_WORDS words or more that other documents hold too; n_chars, if there, follows; every
+    document stays.
+
+    What a document repeats by itself stays, as do null texts; repeated rows (of one doc_id, or none, and one text) are
+    one document; extra columns stay, whatever their names."""
     ship(spark)
-    return suffix.dedup_texts(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = suffix.dedup_texts(docs, PASSAGE_BYTES, across=True, min_words=PASSAGE_WORDS)
+    if "n_chars" not in docs.columns:
+        return left
+    return left.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences; a row for each piece."""
+    """Packs the documents' tokens into sequences; a row for each piece. A null or empty text is one piece of its end
+    id; repeated rows are packed each by itself, ties in length by doc_id; extra columns are not read."""
     ship(spark)
     return packing.pack(docs, vocabulary())
 
