@@ -6,7 +6,7 @@ about LEAF of them, until the sample has too few vectors a leaf. Every vector is
 A query walks all trees with one priority queue of branches, nearest boundary first, until the leaves it has popped
 hold SEARCH vectors, or SHARE of the forest's entries where that is more: true neighbours lie in a share of the leaves,
 not in a fixed number of rows, so a fixed number loses them as the table grows. Queries meet the vectors of their leaves in blocks (large leaves are cut into parts, so no task
-holds one whole); a block gives each query its 10 nearest there by exact Euclidean distance; the best of all blocks
+holds one whole, and a vector goes there with its leaves, so each is shuffled once a tree); a block gives each query its 10 nearest there by exact Euclidean distance; the best of all blocks
 are the result.
 
 The forest that tasks get is bounded by the sample: TREES trees of at most SAMPLE / 16 leaves.
@@ -34,6 +34,8 @@ from weftline.llm.common import written
 from weftline.llm.vectors import blocks, by_block, matrix, usable
 
 TREES, LEAF, SAMPLE, SEARCH, PART, SEED = 10, 64, 16384, 40000, 2048, 5
+#: Rows that a task puts into leaves at once.
+ROWS = 1024
 #: Of the forest's entries (vectors times trees) a query's leaves hold at least this share.
 SHARE = 0.08
 
@@ -147,34 +149,44 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, search: int | None =
     depth = int(np.clip(np.log2(max(min(n / leaf, len(fitted) / 16), 1)), 0, 16))
     forest = spark.sparkContext.broadcast(Forest(fitted, depth, trees))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tree = np.arange(trees, dtype=np.int64) << 32
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = forest.value.leaves(matrix(batch.column(1))).astype(np.int64) + (np.arange(trees, dtype=np.int64) << 32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), trees)), pa.array(found.ravel())], ["vec_id", "leaf"])
+            leaves, n = np.unique(forest.value.leaves(matrix(batch.column(0))) + tree, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(n)], ["leaf", "n"])
 
-    index = written(good.select("vec_id", "e").mapInArrow(place, "vec_id long, leaf long"), "index")
-    counts = index.groupBy("leaf").count().collect()  # bounded by trees and leaves
+    counts = good.select("e").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()  # bounded by trees and leaves
     sizes = np.zeros((trees, 1 << depth), np.int64)
     for r in counts:
-        sizes[r["leaf"] >> 32, r["leaf"] & 0xFFFFFFFF] = r["count"]
+        sizes[r["leaf"] >> 32, r["leaf"] & 0xFFFFFFFF] = r["n"]
     shared = spark.sparkContext.broadcast(sizes)
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                some = batch.slice(a, ROWS)
+                leaves = (forest.value.leaves(matrix(some.column(1))) + tree).ravel()
+                at = pa.array(np.repeat(np.arange(some.num_rows), trees))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), pa.array(leaves), some.column(1).take(at)], ["vec_id", "leaf", "e"])
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["vec_id", "leaf", "parts", "e"]
         for batch in batches:
-            ids, out_id, out_leaf, out_parts = batch.column(0).to_numpy(), [], [], []
-            for i, q in zip(ids, matrix(batch.column(1)), strict=True):
-                for t, at in forest.value.probes(q, shared.value, search):
-                    if shared.value[t, at]:
-                        out_id.append(i)
-                        out_leaf.append((t << 32) + at)
-                        out_parts.append(-(-int(shared.value[t, at]) // PART))
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_leaf, pa.int64()), pa.array(out_parts, pa.int32())], ["vec_id", "leaf", "parts"])
-
-    asked = good.where("is_query").select("vec_id", "e").mapInArrow(ask, "vec_id long, leaf long, parts int")
-    asked = asked.select("vec_id", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_query"))
-    large = spark.createDataFrame([(r["leaf"], -(-r["count"] // PART)) for r in counts if r["count"] > PART] or [(-1, 1)], "leaf long, parts int")
-    there = index.join(F.broadcast(large), "leaf", "left").select(
-        "vec_id", "leaf", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(False).alias("is_query")
+            for row, q in enumerate(matrix(batch.column(1))):
+                found = [(t, at) for t, at in forest.value.probes(q, shared.value, search) if shared.value[t, at]]
+                leaves = np.array([(t << 32) + at for t, at in found], np.int64)
+                parts = np.array([-(-int(shared.value[t, at]) // PART) for t, at in found], np.int32)
+                for a in range(0, len(found), ROWS):
+                    at = pa.array(np.full(len(leaves[a : a + ROWS]), row))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(leaves[a : a + ROWS]), pa.array(parts[a : a + ROWS]), batch.column(1).take(at)], names)
+
+    kinds = ("vec_id long, leaf long, ", "e array<double>")
+    asked = good.where("is_query").select("vec_id", "e").mapInArrow(ask, "parts int, ".join(kinds))
+    asked = asked.select("vec_id", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_query"), "e")
+    large = spark.createDataFrame([(r["leaf"], -(-r["n"] // PART)) for r in counts if r["n"] > PART] or [(-1, 1)], "leaf long, parts int")
+    there = good.select("vec_id", "e").mapInArrow(place, "".join(kinds)).join(F.broadcast(large), "leaf", "left").select(
+        "vec_id", "leaf", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(False).alias("is_query"), "e"
     )
     # other lengths: each row in one part of its length, each query in all of them
     rare = every.where(F.size("e") != dim).withColumn("leaf", -F.size("e").cast("long"))
@@ -182,7 +194,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, search: int | None =
     rare = rare.join(lengths, "leaf")
     rare_there = rare.select("vec_id", "leaf", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), F.lit(False).alias("is_query"), "e")
     rare_asked = rare.where("is_query").select("vec_id", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_query"), "e")
-    both = asked.unionByName(there).join(good.select("vec_id", "e"), "vec_id").unionByName(rare_there).unionByName(rare_asked)
+    both = asked.unionByName(there).unionByName(rare_there).unionByName(rare_asked)
     near = by_block(both.withColumn("block", F.xxhash64("leaf", "part"))).mapInArrow(_nearest(k), schema)
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
