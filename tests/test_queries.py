@@ -36,3 +36,17 @@ def test_against_sql(name, tables, duck):
     assert sql is not None
     want = duck.sql(f"SELECT {', '.join(columns)} FROM ({sql}) q").fetchall()
     assert got == sorted(repr(tuple(map(plain, r))) for r in want)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "PythonRDD" not in plan
+
+
+def test_plans(tables):
+    """Texts are read once, lines meet by stretches, and filters and columns reach the scan."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    scores = plan(REGISTERED["doc01_bm25"][0](tables))
+    assert "text:string" not in scores and "documents.parquet" not in scores
+    assert "_lines" in plan(REGISTERED["join07_enclosing_symbol"][0](tables))
+    reach = plan(REGISTERED["gra01_impact"][0](tables))
+    assert "Exchange" not in reach and "lineitem.parquet" not in reach
+    one = plan(tables.customer.where("c_custkey = 7").select("c_name"))
+    assert "PushedFilters: [IsNotNull(c_custkey), EqualTo(c_custkey,7)]" in one and "ReadSchema: struct<c_custkey:bigint,c_name:string>" in one

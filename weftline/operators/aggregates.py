@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.operators.joins import first_of
 
@@ -25,6 +28,23 @@ def coverage(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.groupBy(*keys).agg(F.count_if(done).alias("analyzed"), F.count(F.lit(1)).alias("total"))
 
 
+def counters(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of each table, by one aggregation over all of them."""
+    names = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("name")) for name, df in tables.items()])
+    return names.agg(*(F.count_if(F.col("name") == name).alias(name) for name in tables))
+
+
+def paths_of_tests(files: DataFrame) -> DataFrame:
+    """Different paths that begin with "test"."""
+    return files.where(F.col("path").startswith("test")).select("path").distinct()
+
+
+def placed_in_file(entities: DataFrame) -> DataFrame:
+    """Entities (id, file_id, start_line) with their place in the file, by line and id."""
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("start_line", "id"))
+    return entities.withColumn("place", place.cast("long"))
+
+
 def joined_names(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
     """Distinct sorted values, joined by a comma."""
     return df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(column)), ", ").alias(name))
@@ -76,5 +96,10 @@ def take(df: DataFrame, limit: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 
 
+def shortened(text: Column, limit: int = 80) -> Column:
+    """The text's first characters, cut without a mark."""
+    return F.substring(text, 1, limit)
+
+
 def truncated(text: Column, limit: int = 200) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text)

@@ -123,6 +123,12 @@ def new_tasks(records: DataFrame, files: DataFrame, symbols: DataFrame, equation
     return wanted.join(records.select("target_type", "target_id"), ["target_type", "target_id"], "left_anti").withColumn("status", F.lit("pending"))
 
 
+def rescan_tasks(changes: DataFrame, files: DataFrame) -> DataFrame:
+    """A pending task for each file that a snapshot diff (path, change) calls added or changed."""
+    touched = changes.where("change in ('added', 'changed')").select("path")
+    return files.join(touched, "path", "left_semi").select(F.lit("file").alias("target_type"), F.col("id").alias("target_id"), F.lit("pending").alias("status"))
+
+
 def next_tasks(files: DataFrame, records: DataFrame, limit: int = 1) -> DataFrame:
     """The next pending file records outside archives, by record id."""
     open_ = with_records(files, records, "file", "inner").where("status = 'pending'").where(~archived_wildcard(F.col("path")))

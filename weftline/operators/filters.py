@@ -66,6 +66,11 @@ def touching(edges: DataFrame, node_type: str, node_id: int) -> DataFrame:
     return edges.where(source | target)
 
 
+def on_line(entities: DataFrame, line: int) -> DataFrame:
+    """Entities whose lines hold the line."""
+    return entities.where(F.lit(line).between(F.col("start_line"), F.col("end_line")))
+
+
 def undone(joined: DataFrame) -> DataFrame:
     """After an outer join with records: no record, or a pending one."""
     return joined.where(F.col("record_id").isNull() | (F.col("status") == "pending"))

@@ -194,19 +194,19 @@ def level_dependencies(levelled: DataFrame, deps: DataFrame) -> DataFrame:
     return levelled.join(deps.where("source <> target"), levelled["node"] == deps["source"]).groupBy("level").agg(F.count_distinct("target").alias("dependencies"))
 
 
-def reach_with_paths(edges: DataFrame, node_type: str, node_id: int, max_depth: int = 3) -> DataFrame:
-    """Along out-edges: type, id, depth, path (a string of node keys) of each simple path of at most max_depth edges.
+def reach_with_paths(edges: DataFrame, node_type: str, node_id: int, max_depth: int = 3, backward: bool = False) -> DataFrame:
+    """Along out-edges (backward: in-edges): type, id, depth, path (a string of node keys) of each simple path of at most
+    max_depth edges.
 
     One row for each path, so their number grows with the branching to the power of max_depth: bound it."""
     spark = edges.sparkSession
-    key = lambda t, i: F.concat(t, F.lit(":"), i.cast("string"))
-    first = f"{node_type}:{node_id}"
-    frontier = spark.createDataFrame([(node_type, node_id, [first])], "source_type string, source_id long, seen array<string>")
-    found = None
+    near, far = ("target", "source") if backward else ("source", "target")
+    step_of = edges.select(F.col(f"{near}_type").alias("from_type"), F.col(f"{near}_id").alias("from_id"), F.col(f"{far}_type").alias("type"), F.col(f"{far}_id").alias("id"))
+    frontier = spark.createDataFrame([(node_type, node_id, [f"{node_type}:{node_id}"])], "from_type string, from_id long, seen array<string>")
+    found = []
     for depth in range(1, max_depth + 1):
-        step = edges.join(frontier, ["source_type", "source_id"]).withColumn("_key", key(F.col("target_type"), F.col("target_id")))
-        step = step.where(~F.array_contains("seen", F.col("_key")))
-        frontier = written(step.select(F.col("target_type").alias("source_type"), F.col("target_id").alias("source_id"), F.concat("seen", F.array("_key")).alias("seen")), "paths")
-        level = frontier.select(F.col("source_type").alias("type"), F.col("source_id").alias("id"), F.lit(depth).alias("depth"), F.array_join("seen", " > ").alias("path"))
-        found = level if found is None else found.unionByName(level)
-    return found
+        step = step_of.join(frontier, ["from_type", "from_id"]).withColumn("_key", F.concat("type", F.lit(":"), F.col("id").cast("string")))
+        level = written(step.where(~F.array_contains("seen", F.col("_key"))).select("type", "id", F.concat("seen", F.array("_key")).alias("seen")), "paths")
+        found.append(level.select("type", "id", F.lit(depth).alias("depth"), F.array_join("seen", " > ").alias("path")))
+        frontier = level.select(F.col("type").alias("from_type"), F.col("id").alias("from_id"), "seen")
+    return reduce(DataFrame.unionByName, found)

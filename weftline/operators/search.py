@@ -20,15 +20,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_-]+"), F.lit(0))
 
 
-def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, score of documents (id, text) that hold a term.
+def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, weights: dict[str, float] | None = None) -> DataFrame:
+    """id, score of documents (id, text) that hold a term; a term that ends in * stands for all words it begins.
+
+    weights names the columns that are searched instead of text, and how much a word in each counts.
 
     Texts are read and cut into tokens once; what is kept of each is its length and a count for each term. The
     collection's statistics (two numbers, and one for each term) come to the driver."""
-    names = [f"tf{i}" for i in range(len(terms))]
-    words = docs.select("id", tokens(F.col("text")).alias("w"))
-    times = lambda term: F.size(F.filter("w", lambda x: x == term))
-    counted = written(words.select("id", F.size("w").alias("dl"), *(times(t).alias(n) for t, n in zip(terms, names, strict=True))), "counts")
+    weights, names = weights or {"text": 1.0}, [f"tf{i}" for i in range(len(terms))]
+    cut = {f"_{c}": tokens(F.coalesce(c, F.lit(""))) for c in weights}
+    fits = lambda x, term: x.startswith(term[:-1]) if term.endswith("*") else x == term
+    times = lambda term: reduce(lambda x, y: x + y, [F.lit(float(w)) * F.size(F.filter(f"_{c}", lambda x: fits(x, term))) for c, w in weights.items()])
+    length = reduce(lambda x, y: x + y, [F.size(c) for c in cut])
+    words = docs.select("id", *(x.alias(n) for n, x in cut.items()))
+    counted = written(words.select("id", length.alias("dl"), *(times(t).alias(n) for t, n in zip(terms, names, strict=True))), "counts")
     total = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(n) > 0).alias(n) for n in names)).first()
     if not total["n"]:
         return counted.select("id", F.lit(0.0).alias("score"))
@@ -44,11 +49,19 @@ def trigrams(text: Column) -> Column:
     return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
 
 
-def trigram_candidates(df: DataFrame, column: str, query: str) -> DataFrame:
-    """Rows that hold all trigrams of the query, then the query itself."""
+def trigram_index(df: DataFrame, key: str, column: str) -> DataFrame:
+    """trigram, key: which rows hold which trigram; write it once, partitioned or sorted by trigram, for many queries."""
+    return df.select(key, F.explode(F.array_distinct(trigrams(F.col(column)))).alias("trigram"))
+
+
+def trigram_search(index: DataFrame, df: DataFrame, key: str, column: str, query: str) -> DataFrame:
+    """Rows of df that hold the query: those that the index gives for all of its trigrams, then the text itself. Queries
+    of fewer than three characters are looked for in all rows."""
     wanted = sorted({query[i : i + 3] for i in range(len(query) - 2)})
-    has = F.array_intersect(trigrams(F.col(column)), F.array(*map(F.lit, wanted)))
-    return df.where((F.size(has) == len(wanted)) & F.col(column).contains(query))
+    if not wanted:
+        return df.where(F.col(column).contains(query))
+    hits = index.where(F.col("trigram").isin(wanted)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted))
+    return df.join(hits.select(key), key, "left_semi").where(F.col(column).contains(query))
 
 
 def tiered(tiers: list[DataFrame], limit: int) -> DataFrame:

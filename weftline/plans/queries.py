@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.functions import scalars as fn
 from weftline.functions import values
 from weftline.functions.values import EQUATION_WORDS, IMPACT_EDGES, REFERENCE_EDGES
 from weftline.operators import aggregates as agg
-from weftline.operators import dml, enrich, filters, graph, joins, results, search
+from weftline.operators import dml, enrich, filters, graph, joins, results, search, sets
 from weftline.plans.tables import Tables, oracle
 
 REGISTERED: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -102,7 +101,7 @@ def _(t):
 
 @query("fil13_line_interval", "SELECT id, start_line, end_line FROM symbols WHERE 3 BETWEEN start_line AND end_line", "symbols")
 def _(t):
-    return t.symbols.where(F.lit(3).between(F.col("start_line"), F.col("end_line"))).select("id", "start_line", "end_line")
+    return filters.on_line(t.symbols, 3).select("id", "start_line", "end_line")
 
 
 @query("prj01_file_output", "SELECT id, path, language, size_bytes, coalesce(llm_summary, '') AS summary, is_core FROM files", "files")
@@ -261,8 +260,7 @@ def _(t):
 
 @query("agg04_counters", "SELECT (SELECT count(*) FROM files) AS files_scanned, (SELECT count(*) FROM symbols) AS symbols_extracted, (SELECT count(*) FROM equations) AS equations_found", "files", "symbols", "equations")
 def _(t):
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name), F.lit(1).alias("k"))
-    return one(t.files, "files_scanned").join(one(t.symbols, "symbols_extracted"), "k").join(one(t.equations, "equations_found"), "k").drop("k")
+    return agg.counters({"files_scanned": t.files, "symbols_extracted": t.symbols, "equations_found": t.equations})
 
 
 @query("agg05_joined_names", "SELECT file_id, array_to_string(list_sort(list(DISTINCT name)), ', ') AS names FROM symbols GROUP BY file_id", "symbols")
@@ -277,7 +275,7 @@ def _(t):
 
 @query("agg07_distinct_test_paths", "SELECT DISTINCT path FROM files WHERE starts_with(path, 'test')", "files")
 def _(t):
-    return t.files.where(F.col("path").startswith("test")).select("path").distinct()
+    return agg.paths_of_tests(t.files)
 
 
 @query("agg08_in_degree", "SELECT source, count(*) AS in_degree FROM deps GROUP BY source", "deps")
@@ -374,38 +372,38 @@ def _(t):
 
 @query("srt07_entity_order", "SELECT id, row_number() OVER (PARTITION BY file_id ORDER BY start_line, id) AS place FROM symbols", "symbols")
 def _(t):
-    return t.symbols.select("id", F.row_number().over(Window.partitionBy("file_id").orderBy("start_line", "id")).cast("long").alias("place"))
+    return agg.placed_in_file(t.symbols).select("id", "place")
 
 
 @query("srt08_truncated", "SELECT id, substring(text, 1, 80) AS short FROM files", "files")
 def _(t):
-    return t.files.select("id", F.substring("text", 1, 80).alias("short"))
+    return t.files.select("id", agg.shortened(F.col("text")).alias("short"))
 
 
 # ---- sets ----
 @query("set01_paths_in_both", "SELECT path FROM snapshot_old INTERSECT SELECT path FROM snapshot_new", "snapshot_old", "snapshot_new")
 def _(t):
-    return t.snapshot_old.select("path").intersect(t.snapshot_new.select("path"))
+    return sets.in_both(t.snapshot_old, t.snapshot_new, "path")
 
 
 @query("set01_paths_gone", "SELECT path FROM snapshot_old EXCEPT SELECT path FROM snapshot_new", "snapshot_old", "snapshot_new")
 def _(t):
-    return t.snapshot_old.select("path").subtract(t.snapshot_new.select("path"))
+    return sets.only_left(t.snapshot_old, t.snapshot_new, "path")
 
 
 @query("set02_union_names", "SELECT name FROM symbols UNION SELECT name FROM calls", "symbols", "calls")
 def _(t):
-    return t.symbols.select("name").unionByName(t.calls.select("name")).distinct()
+    return sets.in_either(t.symbols, t.calls, "name")
 
 
 @query("set03_bag_union", "SELECT id, file_id FROM symbols UNION ALL SELECT id, file_id FROM calls", "symbols", "calls")
 def _(t):
-    return t.symbols.select("id", "file_id").unionByName(t.calls.select("id", "file_id"))
+    return sets.together(t.symbols, t.calls, ["id", "file_id"])
 
 
 @query("set04_concat_lists", "SELECT file_id, array_to_string(list_concat(list_sort(list(name)), list_sort(list(symbol_type))), ',') AS names FROM symbols GROUP BY file_id", "symbols")
 def _(t):
-    return t.symbols.groupBy("file_id").agg(F.array_join(F.concat(F.array_sort(F.collect_list("name")), F.array_sort(F.collect_list("symbol_type"))), ",").alias("names"))
+    return sets.joined_lists(t.symbols, "file_id", ["name", "symbol_type"], "names")
 
 
 # ---- graph ----
@@ -649,6 +647,18 @@ def _(t):
     return enrich.new_tasks(t.records, t.files, t.symbols, t.equations)
 
 
+@query(
+    "tsk02_rescan_tasks",
+    f"""SELECT 'file' AS target_type, f.id AS target_id, 'pending' AS status FROM files f WHERE f.path IN (SELECT path FROM (SELECT path, hash FROM (SELECT path, CAST(size_bytes AS VARCHAR) AS hash FROM files WHERE analysis_status = 'completed') o) q
+    WHERE length(hash) > 3) OR f.analysis_status <> 'completed'""",
+    "files",
+)
+def _(t):
+    known = t.files.where("analysis_status = 'completed'").select("path", F.col("size_bytes").cast("string").alias("hash"))
+    now = t.files.select("path", F.substring(F.col("size_bytes").cast("string"), 1, 3).alias("hash"))
+    return enrich.rescan_tasks(joins.snapshot_diff(known, now), t.files)
+
+
 @query(
     "tsk03_next_file_tasks",
     r"SELECT r.id AS record_id, f.id AS file_id, f.path FROM files f JOIN records r ON r.target_id = f.id WHERE r.status = 'pending' AND NOT (f.path LIKE '%/_archive/%' OR f.path LIKE '%\_archive\%') ORDER BY r.id LIMIT 10",
@@ -1048,9 +1058,36 @@ def _(t):
     return t.pages.select("page_id", search.identifier_words(F.col("url")).alias("words"))
 
 
+@query(
+    "doc01_bm25_columns",
+    """, w AS (SELECT id, regexp_extract_all(lower(path), '[a-z0-9_-]+') AS p, regexp_extract_all(lower(coalesce(llm_summary, '')), '[a-z0-9_-]+') AS t FROM files),
+    s AS (SELECT id, len(p) + len(t) AS dl, 4 * len(list_filter(p, lambda x: starts_with(x, 'doc_1'))) + len(list_filter(t, lambda x: starts_with(x, 'doc_1'))) AS a, 4 * len(list_filter(p, lambda x: x = 'les')) + len(list_filter(t, lambda x: x = 'les')) AS b FROM w),
+    st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM s)
+    SELECT id, round(CASE WHEN a > 0 THEN ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END + CASE WHEN b > 0 THEN ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END, 6) AS score
+    FROM s, st WHERE a > 0 OR b > 0""",
+    "files",
+)
+def _(t):
+    return search.bm25(t.files, ["doc_1*", "les"], weights={"path": 4.0, "llm_summary": 1.0}).withColumn("score", F.round("score", 6))
+
+
 @query("doc04_trigram_search", "SELECT page_id, url FROM pages WHERE contains(url, 'example.net/fr')")
 def _(t):
-    return search.trigram_candidates(t.pages, "url", "example.net/fr").select("page_id", "url")
+    return search.trigram_search(search.trigram_index(t.pages, "page_id", "url"), t.pages, "page_id", "url", "example.net/fr").select("page_id", "url")
+
+
+@query("doc05_backward_paths", None)
+def doc05_backward(t):
+    return graph.reach_with_paths(t.edges, "customer", 7, 2, backward=True)
+
+
+REGISTERED["doc05_backward_paths"] = (
+    doc05_backward,
+    oracle("SELECT 1", "edges").replace("WITH", "WITH RECURSIVE", 1).removesuffix(" SELECT 1")
+    + """, walk(t, i, d, seen) AS (SELECT 'customer', CAST(7 AS BIGINT), 0, ['customer:7']
+  UNION ALL SELECT source_type, source_id, d + 1, list_append(seen, source_type || ':' || source_id) FROM walk JOIN edges ON target_type = t AND target_id = i WHERE d < 2 AND NOT list_contains(seen, source_type || ':' || source_id))
+SELECT t AS type, i AS id, CAST(d AS INTEGER) AS depth, array_to_string(seen, ' > ') AS path FROM walk WHERE d > 0""",
+)
 
 
 @query(

@@ -90,7 +90,7 @@ def hidden_files(spark: SparkSession, root: str, exclude: list[str] | None = Non
 def scan(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
     """The tree's included files: path below root, size, time, SHA-256, text and classes. Files that vanish or cannot be
     read while the scan runs are left out."""
-    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root)
     return scanned(seen.unionByName(hidden_files(spark, root, exclude).where("content is not null")), root, exclude)
 
 
