@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from weftline.functions import scalars as fn
 from weftline.functions.values import REFERENCE_EDGES
 from weftline.operators.filters import impact_edges, of_kinds
-from weftline.operators.joins import defining_files, imports_by_suffix, to_nodes
+from weftline.operators.joins import defining_files, imports_by_suffix
 from weftline.sources.shared import release, written
 
 #: Tables of placed nodes that levels() keeps before it writes them as one.
 MERGED = 40
+#: Rows of a frontier that impact() broadcasts at most.
+FRONTIER = 500_000
 
 
 def resolve_targets(wanted: DataFrame, files: DataFrame, symbols: DataFrame, equations: DataFrame) -> DataFrame:
@@ -56,26 +58,26 @@ def impact(edges: DataFrame, nodes: DataFrame, node_type: str, node_id: int, max
     carry impact count; an edge from an unknown node is neither given nor followed. Entries are per edge: a node may
     occur under several edge types and depths. reach is direct at depth 1, else transitive.
 
-    A round reads the edges once and joins them with its frontier alone; names are looked up for what it found.
+    A round reads the written edges once and joins them with its frontier, the nodes that its predecessor reached and
+    none before it; frontiers of at most FRONTIER rows are broadcast, so that a round shuffles only what it found.
     """
     spark = edges.sparkSession
-    known = written(impact_edges(edges).select("source_type", "source_id", "target_type", "target_id", "edge_type"), "known")
-    named = written(nodes.select("node_type", "node_id", "name"), "nodes")
-    frontier = spark.createDataFrame([(node_type, node_id)], "target_type string, target_id long")
-    visited, found = frontier, []
+    sources = nodes.select(F.col("node_type").alias("source_type"), F.col("node_id").alias("source_id"), "name")
+    known = written(impact_edges(edges).select("source_type", "source_id", "target_type", "target_id", "edge_type").join(sources, ["source_type", "source_id"]), "known")
+    frontier = visited = spark.range(1).select(F.lit(node_type).alias("target_type"), F.lit(node_id).cast("long").alias("target_id"))
+    found, small = [], True
     for depth in range(max_depth + 1):
-        level = written(to_nodes(known.join(frontier, ["target_type", "target_id"]), named, "source").withColumn("depth", F.lit(depth + 1)), "level")
-        found.append(level)
+        level = known.join(F.broadcast(frontier) if small else frontier, ["target_type", "target_id"]).withColumn("depth", F.lit(depth + 1))
         if depth < max_depth:
+            level = written(level, "level")
             reached = level.select(F.col("source_type").alias("target_type"), F.col("source_id").alias("target_id")).distinct()
-            frontier = written(reached.join(visited, ["target_type", "target_id"], "left_anti"), "frontier")
-            visited = visited.unionByName(frontier)
-    release(known)
-    release(named)
+            frontier = reached.join(visited, ["target_type", "target_id"], "left_anti")
+            visited, small = visited.unionByName(reached), level.count() <= FRONTIER
+        found.append(level)
     return reduce(DataFrame.unionByName, found).select(
         F.col("source_type").alias("type"),
         F.col("source_id").alias("id"),
-        F.col("source_name").alias("name"),
+        "name",
         "edge_type",
         "depth",
         F.when(F.col("depth") == 1, "direct").otherwise("transitive").alias("reach"),
