@@ -17,6 +17,7 @@ nothing; a null vec_id has a null component and is kept; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from weftline.llm.vectors import blocks, by_block, matrix, spread_blocks, usable
 TABLES, BITS, BLOCK, SEED = 32, 20, 512, 7
 
 
+@lru_cache(maxsize=8)
 def planes(dim: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([SEED, dim])).standard_normal((dim, TABLES * BITS))
 
