@@ -142,7 +142,28 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import merkle
+
+    return merkle.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import secrets
+
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm import spelling
+
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op11_manifest": op11_manifest,
+    "op12_secrets": op12_secrets,
+    "op13_spelling": op13_spelling,
     "op1_chat": op1_chat,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op2_embedding_dedup": op2_embedding_dedup,
