@@ -9,8 +9,8 @@ from weftline.functions.extract import entities
 from weftline.operators import graph
 from weftline.plans import lifecycle
 from weftline.sources.config import load
-from weftline.sources.scan import file_info, read_sources, scan
-from weftline.streaming.rescan import progress, run_levels, run_queue, watch_tree
+from weftline.sources.scan import file_info, scan
+from weftline.streaming.rescan import progress, run_levels, run_queue
 
 BEFORE = 'import helper\n\nclass Model:\n    """Doc."""\n    def compute_loss(self, x):\n        return helper.square(x)\n'
 AFTER = BEFORE.replace("compute_loss", "calculate_gradient")
@@ -74,15 +74,6 @@ def test_index_rescan_delete(spark, tmp_path):
     assert "cube" in names(after.symbols, "function")
 
 
-def test_streams(spark, tmp_path):
-    (tmp_path / "t").mkdir()
-    tree(tmp_path / "t")
-    seen = []
-    q = watch_tree(spark, str(tmp_path / "t"), str(tmp_path / "c"), lambda df, _: seen.extend(r["path"] for r in df.collect()))
-    q.awaitTermination()
-    assert "model.py" in seen
-
-
 OK = {
     "file": '{"summary": "s", "confidence": 0.5}',
     "symbol": '{"responsibility": "r", "confidence": 1}',
@@ -149,7 +140,6 @@ def test_hidden_names(spark, tmp_path):
     assert {r["path"] for r in scan(spark, str(tmp_path), ["sub", "_*", ".*"]).collect()} == {"ok.py"}
     for name, there in (("ok.py", 1), ("_util.py", 1), ("none.py", 0), ("_none.py", 0)):
         assert file_info(spark, str(tmp_path / name)).count() == there
-    assert read_sources(spark.createDataFrame([("a",), ("b",)], "path string"), spark.createDataFrame([("a", "t")], "path string, text string")).orderBy("path").collect() == [("a", "t"), ("b", "")]
 
 
 def test_confirmed_delete(spark, tmp_path):

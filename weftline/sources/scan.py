@@ -1,25 +1,14 @@
-"""Scans of source trees into the files table. Nothing goes through the driver.
-
-Spark's file source lists and reads all files but those it takes as hidden: names, of a file or of a folder above it,
-that begin with a dot or an underscore. These are listed in a task, folder by folder without excluded ones, and read
-in tasks through Arrow's file systems (local, HDFS, object stores). Streams see no hidden files.
-"""
+"""Scans of source trees into the files table. Nothing goes through the driver but counts."""
 
 from __future__ import annotations
 
 import posixpath
-import re
-from collections.abc import Iterator
 
-import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as fn
-from weftline.functions.values import EXCLUDE
-
-RAW = "path string, modificationTime timestamp, length long, content binary"
+from weftline.sources.tree import contents, listed, one_file
 
 
 def file_id(path: Column) -> Column:
@@ -43,78 +32,51 @@ def classified(files: DataFrame) -> DataFrame:
     ).withColumns({"is_source": F.col("language").isNotNull(), "file_type": F.when(F.col("language").isNotNull(), "source").otherwise("other"), "analysis_status": F.lit("pending")})
 
 
-def _hidden(name: str) -> bool:
-    """Whether Spark's file source leaves the name out."""
-    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
-
-
-def hidden_files(spark: SparkSession, root: str, exclude: list[str] | None = None, parallel: int = 64) -> DataFrame:
-    """The tree's files that Spark's source does not see, as a binaryFile frame. Unreadable files have null content."""
-    left_out = re.compile("|".join(fn.glob_regex(g).removeprefix("(?s)") for g in (EXCLUDE if exclude is None else exclude) or ["\0"]), re.DOTALL)
-
-    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for uri in frame["root"]:
-                fs, top = pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
-                folders = [(top, False)]
-                while folders:
-                    folder, below = folders.pop()
-                    rows = []
-                    for info in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
-                        hidden = below or _hidden(info.base_name)
-                        if left_out.search(info.base_name):
-                            continue
-                        if info.type == pafs.FileType.Directory:
-                            folders.append((info.path, hidden))
-                        elif info.type == pafs.FileType.File and hidden:
-                            rows.append((posixpath.join(uri.rstrip("/"), posixpath.relpath(info.path, top)), info.path, info.mtime, info.size))
-                    yield pd.DataFrame(rows, columns=["path", "inner", "modificationTime", "length"])
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs = None
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                if fs is None:
-                    fs = pafs.FileSystem.from_uri(root)[0] if "://" in root or root.startswith("file:") else pafs.LocalFileSystem()
-                try:
-                    with fs.open_input_stream(row.inner) as f:
-                        content = f.read()
-                except OSError:
-                    content = None
-                yield pd.DataFrame({"path": [row.path], "modificationTime": [row.modificationTime], "length": [row.length], "content": [content]})
-
-    names = spark.createDataFrame([(root,)], "root string").mapInPandas(listed, "path string, inner string, modificationTime timestamp, length long")
-    return names.repartition(parallel, "path").mapInPandas(read, RAW)
+def wanted(path: Column, exclude: list[str] | None = None) -> Column:
+    """Whether the files table holds the file: no part of its path is excluded, and its name or extension is known."""
+    return fn.included(path) if exclude == [] else ~fn.excluded(path, exclude) & fn.included(path)
+
+
+def read_tree(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
+    """The tree's included files with contents, and error rows (see `tree`). Only included files are opened."""
+    files = listed(spark, root, exclude)
+    return contents(files.where(wanted(F.col("path"), exclude) | F.col("error").isNotNull()), root)
 
 
 def scan(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
-    """The tree's included files: path below root, size, time, SHA-256, text and classes. Files that vanish or cannot be
-    read while the scan runs are left out."""
-    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root)
-    return scanned(seen.unionByName(hidden_files(spark, root, exclude).where("content is not null")), root, exclude)
+    """The tree's included files: path below root, size, time, SHA-256, text and classes; see skipped() for those that
+    cannot be read."""
+    return scanned(read_tree(spark, root, exclude))
+
+
+def skipped(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
+    """path, error of the tree's folders that cannot be listed and included files that cannot be read."""
+    return read_tree(spark, root, exclude).where("error is not null").select("path", "error")
 
 
 def file_info(spark: SparkSession, path: str) -> DataFrame:
     """The files table's row of one file (path: its name), empty if there is none."""
-    folder, name = posixpath.split(path)
-    if _hidden(name):
-        raw = hidden_files(spark, folder).where(F.col("path").endswith("/" + name) & ~F.substring_index("path", folder.rstrip("/") + "/", -1).contains("/"))
-    else:
-        raw = spark.read.format("binaryFile").schema(RAW).option("pathGlobFilter", re.sub(r"([\[\]{}*?\\])", r"\\\1", name)).load(folder)
-    return scanned(raw.where("content is not null"), folder, [])
+    return scanned(one_file(spark, *posixpath.split(path)).where(fn.included(F.col("path"))))
+
+
+def text_of(content: Column) -> Column:
+    """UTF-8 bytes as text; what is not UTF-8 becomes replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
-def scanned(raw: DataFrame, root: str, exclude: list[str] | None = None) -> DataFrame:
-    """A binaryFile frame (batch or stream) as files table."""
-    base = root.rstrip("/").removeprefix("file:") + "/"
-    path = F.substring_index(F.col("path"), base, -1)
-    files = raw.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"), "content")
-    kept = fn.included(F.col("path")) if exclude == [] else ~fn.excluded(F.col("path"), exclude) & fn.included(F.col("path"))
-    files = files.where(kept)
-    text = F.decode(F.col("content"), "UTF-8")
-    return classified(files.withColumns({"hash": F.sha2("content", 256), "text": text}).drop("content"))
+def scanned(raw: DataFrame) -> DataFrame:
+    """Rows of a tree with contents as files table; rows with an error are left out."""
+    files = raw.where("error is null").select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("last_modified"), "content")
+    return classified(files.withColumns({"hash": F.sha2("content", 256), "text": text_of(F.col("content"))}).drop("content"))
 
 
 def read_sources(files: DataFrame, texts: DataFrame) -> DataFrame:
     """files with the text that texts (path, text) has for their path; empty where there is none."""
     return files.drop("text").join(texts.select("path", "text"), "path", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def with_sources(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+    """files (path, ...) with their texts as they are in the tree now; empty for files that are gone or cannot be read.
+    Only these files are opened, wherever they lie."""
+    there = listed(spark, root, []).join(files.select("path").distinct(), "path", "left_semi")
+    return read_sources(files, scanned(contents(there, root)))

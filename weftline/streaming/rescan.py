@@ -1,28 +1,18 @@
-"""Incremental runs on Structured Streaming: file trees and task queues in micro-batches."""
+"""Task queues in layers and levels."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from weftline.operators.filters import archived_wildcard
 from weftline.operators.results import validated
-from weftline.sources.scan import scanned
 from weftline.sources.shared import written
 
 
-def watch_tree(spark: SparkSession, root: str, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Hands each batch of new files (as files table) to `handle`, once; ends when all present files are through."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
-    files = scanned(raw, root)
-    return files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def _targets(files: DataFrame, symbols: DataFrame, equations: DataFrame, kind: str) -> DataFrame:
     """target_id, path: the targets of a kind that exist, with their file's path."""
     paths = files.select(F.col("id").alias("file_id"), "path")
