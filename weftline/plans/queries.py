@@ -11,7 +11,7 @@ from weftline.functions import scalars as fn
 from weftline.functions import values
 from weftline.functions.values import EQUATION_WORDS, IMPACT_EDGES, REFERENCE_EDGES
 from weftline.operators import aggregates as agg
-from weftline.operators import dml, enrich, filters, graph, joins, results, search, sets
+from weftline.operators import dml, enrich, filters, graph, joins, postings, results, search, sets
 from weftline.plans.tables import Tables, oracle
 
 REGISTERED: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -1071,6 +1071,39 @@ def _(t):
     return search.bm25(t.files, ["doc_1*", "les"], weights={"path": 4.0, "llm_summary": 1.0}).withColumn("score", F.round("score", 6))
 
 
+def words_of(t):
+    """The stored word index of the files' texts."""
+    return t.index("words", "documents", lambda index: postings.add_texts(index, t.files.select("id", "text")))
+
+
+@query("doc01_stored_words", REGISTERED["doc01_bm25"][1])
+def _(t):
+    return postings.ranked(words_of(t), ["the", "les"]).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "doc01_stored_best",
+    """, w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9_-]+') AS ws FROM files), s AS (SELECT id, len(ws) AS dl, len(list_filter(ws, lambda x: starts_with(x, 'tion'))) AS a, len(list_filter(ws, lambda x: x = 'les')) AS b,
+      len(list_filter(ws, lambda x: starts_with(x, 'thing'))) AS c FROM w),
+    st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db, count(*) FILTER (c > 0) AS dc FROM s)
+    SELECT id, round(score, 6) AS score FROM (SELECT id, ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl))
+      + ln(1 + (n - dc + 0.5) / (dc + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM s, st WHERE a > 0 OR b > 0 OR c > 0) q ORDER BY q.score DESC, id LIMIT 20""",
+    "files",
+)
+def _(t):
+    return postings.ranked(words_of(t), ["tion*", "les", "thing*"], k=20).withColumn("score", F.round("score", 6))
+
+
+def grams_of(t):
+    """The stored trigram index of the pages' texts."""
+    return t.index("grams", "pages", lambda index: postings.add_grams(index, t.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"))))
+
+
+@query("doc04_stored_grams", "SELECT page_id, length(html) AS n FROM pages WHERE contains(html, 'href=\"/aulich\">')")
+def _(t):
+    return postings.holding(grams_of(t), 'href="/aulich">').select(F.col("id").alias("page_id"), F.length("text").cast("long").alias("n"))
+
+
 @query("doc04_trigram_search", "SELECT page_id, url FROM pages WHERE contains(url, 'example.net/fr')")
 def _(t):
     return search.trigram_search(search.trigram_index(t.pages, "page_id", "url"), t.pages, "page_id", "url", "example.net/fr").select("page_id", "url")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.operators.postings import Index
+from weftline.sources.shared import shared_folder
+
+#: Indexes that this process has opened.
+OPENED: dict = {}
+
 PROJECTIONS = {
     # polymorphic adjacency list; the reverse DEFINES edges prove edge-type filters
     "edges": """
@@ -122,6 +130,19 @@ class Tables:
             self.made[name] = self._make(name)
         return self.made[name]
 
+    def index(self, name: str, source: str, build: Callable[[Index], object]) -> Index:
+        """The stored index of that name over the table source, kept in the shared folder: built at its first use, and
+        again when the table's file has changed."""
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{source}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        mark = hashlib.sha256(f"{path} {status.getLen()} {status.getModificationTime()}".encode()).hexdigest()[:20]
+        place = f"{shared_folder(self.spark)}/weftline-{name}-{mark}"
+        found = OPENED.setdefault((self.spark.sparkContext.applicationId, place), Index(self.spark, place))
+        if not found.exists():
+            build(found)
+        return found
+
     def _make(self, name: str) -> DataFrame:
         if name == "links":
             return self.pages.selectExpr("page_id", "posexplode(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as (at, link)").selectExpr("page_id", "link", "at + 1 as place")
