@@ -26,14 +26,16 @@ def plan(df):
 @pytest.fixture(scope="module")
 def words(spark, tmp_path_factory):
     """An index of three segments with small blocks, and all documents."""
-    span, postings.SPAN = postings.SPAN, 7
+    span, first = postings.SPAN, postings.FIRST_BLOCKS
+    postings.SPAN, postings.FIRST_BLOCKS = 7, 2
     index, parts = Index(spark, str(tmp_path_factory.mktemp("index"))), []
     for i in range(3):
         rows = [(100_000 * i + r[0], *r[1:]) for r in corpus(90, i)]
         parts += rows
         postings.add_texts(index, spark.createDataFrame(rows, "id long, text string, title string").repartition(2), {"text": 1.0, "title": 3.0}, buckets=8)
     postings.SPAN = span
-    return index, spark.createDataFrame(parts, "id long, text string, title string")
+    yield index, spark.createDataFrame(parts, "id long, text string, title string")
+    postings.FIRST_BLOCKS = first
 
 
 TERMS = [["the"], ["the", "index*"], ["in*", "doc_1*", "zebra"], ["d*"], ["indigo", "nothing"], ["ab*", "abc*", "abcde*"], ["nothing"], ["the", "the"]]

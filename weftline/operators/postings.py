@@ -34,8 +34,10 @@ SPAN, BUCKETS, PREFIXES, MARK, PART = 4096, 64, (2, 3, 4), "^", 16
 #: Letters that decide a word's bucket.
 HEAD = 4
 #: Blocks whose documents give the score that others must reach, at first.
-FIRST_BLOCKS = 4
-SEGMENT = "segment string, n long, total long, buckets int, id_type string"
+FIRST_BLOCKS = 32
+#: Grams whose lists are cut with each other.
+RAREST = 4
+SEGMENT = "segment string, n long, total long, blocks long, buckets int, id_type string"
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -50,13 +52,22 @@ class Index:
     path: str
     opened: dict = field(default_factory=dict)
 
-    def exists(self, name: str = "segments") -> bool:
+    def _folder(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def exists(self, name: str = "segments") -> bool:
+        fs, path = self._folder(name)
+        return fs.exists(path)
 
     def segments(self) -> list:
-        """A row for each finished segment; compact() keeps them few."""
-        return self.spark.read.schema(SEGMENT).parquet(f"{self.path}/segments").orderBy("segment").collect()
+        """A row for each finished segment, read again when there are new ones; compact() keeps them few."""
+        fs, path = self._folder("segments")
+        now = tuple(sorted(f.getPath().getName() for f in fs.listStatus(path)))
+        if self.opened.get("listing") != now:
+            self.opened["segments"] = self.spark.read.schema(SEGMENT).parquet(f"{self.path}/segments").orderBy("segment").collect()
+            self.opened["listing"] = now
+        return self.opened["segments"]
 
     def table(self, name: str, segments: list) -> DataFrame:
         """postings or texts of the segments."""
@@ -73,6 +84,9 @@ class Index:
 
 def _placed(docs: DataFrame) -> DataFrame:
     """docs with _at, a number of each row, and its block; written."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
     rows = written(docs.withColumn("_at", F.monotonically_increasing_id()), "placed")
     within = F.floor(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) / SPAN)
     out = rows.withColumn("block", F.shiftleft(F.shiftright("_at", 33), 22) + within)
@@ -92,7 +106,7 @@ def _finish(index: Index, counted: DataFrame, placed: DataFrame, totals: Column,
     if texts is not None:
         parted = texts.withColumn("part", F.pmod(F.xxhash64(F.floor(F.col("block") / PART)), F.lit(1 << 16)).cast("int"))
         parted.repartition("part").sortWithinPartitions("part", "block").write.partitionBy("part").option("compression", "zstd").parquet(f"{index.path}/texts/segment={segment}")
-    done = placed.agg(F.lit(segment).alias("segment"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(totals), F.lit(0)).cast("long").alias("total"), F.lit(buckets).alias("buckets"), F.lit(placed.schema["id"].dataType.simpleString()).alias("id_type"))
+    done = placed.agg(F.lit(segment).alias("segment"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(totals), F.lit(0)).cast("long").alias("total"), F.count_distinct("block").alias("blocks"), F.lit(buckets).alias("buckets"), F.lit(placed.schema["id"].dataType.simpleString()).alias("id_type"))
     done.coalesce(1).write.mode("append").parquet(f"{index.path}/segments")
     release(placed)
 
@@ -155,8 +169,8 @@ def ranked(index: Index, terms: list[str], k: int | None = None, k1: float = 1.2
     postings, buckets = index.table("postings", segments), segments[0]["buckets"]
     columns = ["segment", "block", "n", "max_tf", "min_dl", "ids", "tf", "dl"]
     rows = reduce(DataFrame.unionByName, [_rows(postings, t, buckets).select(*columns, F.lit(i).alias("q")) for i, t in enumerate(terms)])
-    df = {r["q"]: r["n"] for r in rows.groupBy("q").agg(F.sum("n").alias("n")).collect()}
-    weight = F.coalesce(*(F.when(F.col("q") == q, math.log(1 + (n - m + 0.5) / (m + 0.5))) for q, m in df.items()), F.lit(0.0))
+    df = rows.agg(*(F.coalesce(F.sum(F.when(F.col("q") == i, F.col("n"))), F.lit(0)) for i in range(len(terms)))).first()
+    weight = F.coalesce(*(F.when(F.col("q") == q, math.log(1 + (n - m + 0.5) / (m + 0.5))) for q, m in enumerate(df)))
     mean = max(total / n, 1e-9) if n else 1e-9
     gain = lambda tf, dl: F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(mean)))
     rows = rows.withColumn("weight", weight)
@@ -167,8 +181,11 @@ def ranked(index: Index, terms: list[str], k: int | None = None, k1: float = 1.2
 
     if k is None:
         return scored(rows)
+    first = max(FIRST_BLOCKS, -(-k // SPAN))
+    if sum(s["blocks"] for s in segments) <= first:  # the first look is at all there is
+        return scored(rows).orderBy(F.desc("score"), "id").limit(k)
     bounds = rows.groupBy("segment", "block").agg(F.sum(gain(F.col("max_tf"), F.col("min_dl"))).alias("bound"))
-    best = bounds.orderBy(F.desc("bound"), "segment", "block").limit(max(FIRST_BLOCKS, -(-k // SPAN)))
+    best = bounds.orderBy(F.desc("bound"), "segment", "block").limit(first)
     reached = scored(rows.join(F.broadcast(best), ["segment", "block"], "left_semi")).orderBy(F.desc("score")).limit(k).agg(F.min("score"), F.count(F.lit(1))).first()
     floor = reached[0] if reached[1] == k else 0.0
     left = bounds.where(F.col("bound") >= floor * (1 - 1e-12)).select("segment", "block")
@@ -178,21 +195,22 @@ def ranked(index: Index, terms: list[str], k: int | None = None, k1: float = 1.2
 def holding(index: Index, query: str) -> DataFrame:
     """id, text of the documents whose text holds the query.
 
-    The rarest gram's blocks are the only ones in which the other grams' lists are read; a block's lists are cut with
-    each other from the shortest on, and only the texts of the parts that hold what is left are read. Queries of fewer
-    than three characters are looked for in all texts."""
+    The rarest gram's blocks are the only ones in which the next RAREST grams' lists are read; a block's lists are cut
+    with each other from the shortest on, and only the texts of the parts that hold what is left are read. Queries of
+    fewer than three characters are looked for in all texts."""
     segments = index.segments()
     texts = index.table("texts", segments)
     grams = sorted({query[i : i + 3] for i in range(len(query) - 2)})
     if not grams:
         return texts.where(F.col("text").contains(query)).select("id", "text")
     buckets, postings = segments[0]["buckets"], index.table("postings", segments)
-    rows = reduce(DataFrame.unionByName, [_rows(postings, g, buckets).select("segment", "block", "n", "ids", "term") for g in grams])
-    df = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    if len(df) < len(grams):
+    among = reduce(lambda a, b: a | b, [F.col("bucket") == bucket_of(F.lit(g), buckets) for g in grams])
+    rows = postings.where(among & F.col("term").isin(grams)).select("segment", "block", "n", "ids", "term")
+    df = dict(zip(grams, rows.agg(*(F.sum(F.when(F.col("term") == g, F.col("n"))) for g in grams)).first(), strict=True))
+    if None in df.values():
         return texts.limit(0).select("id", "text")
-    rarest = min(df, key=lambda g: (df[g], g))
-    near = rows.join(rows.where(F.col("term") == rarest).select("segment", "block"), ["segment", "block"], "left_semi")
+    grams = sorted(grams, key=lambda g: (df[g], g))[:RAREST]  # the texts decide in the end
+    near = rows.where(F.col("term").isin(grams)).join(rows.where(F.col("term") == grams[0]).select("segment", "block"), ["segment", "block"], "left_semi")
     lists = near.groupBy("segment", "block").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("lists")).where(F.size("lists") == len(grams))
     both = F.aggregate(F.slice("lists", 2, len(grams)), F.element_at("lists", 1)["ids"], lambda acc, x: F.array_intersect(acc, x["ids"]))
     hits = written(lists.select("segment", "block", F.explode(both).alias("id")), "hits")
@@ -213,6 +231,6 @@ def compact(index: Index, into: str) -> Index:
     if index.exists("texts"):
         part = F.pmod(F.xxhash64(F.floor(F.col("block") / PART)), F.lit(1 << 16)).cast("int")
         moved(index.table("texts", all_)).withColumn("part", part).repartition("part").sortWithinPartitions("part", "block").write.partitionBy("part").option("compression", "zstd").parquet(f"{into}/texts/segment={segment}")
-    done = [(segment, sum(s["n"] for s in all_), sum(s["total"] for s in all_), all_[0]["buckets"], all_[0]["id_type"])]
+    done = [(segment, sum(s["n"] for s in all_), sum(s["total"] for s in all_), sum(s["blocks"] for s in all_), all_[0]["buckets"], all_[0]["id_type"])]
     index.spark.createDataFrame(done, SEGMENT).coalesce(1).write.mode("append").parquet(f"{into}/segments")
     return out

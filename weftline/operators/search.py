@@ -46,7 +46,11 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, we
 
 
 def trigrams(text: Column) -> Column:
-    return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """All runs of three code points, in order. What a lambda captures is computed for every element: here nothing is, so
+    that long texts take linear time."""
+    points, n = F.split(text, ""), F.length(text)
+    threes = F.arrays_zip(F.slice(points, F.lit(1), n - 2).alias("a"), F.slice(points, F.lit(2), n - 2).alias("b"), F.slice(points, F.lit(3), n - 2).alias("c"))
+    return F.when(n >= 3, F.transform(threes, lambda x: F.concat(x["a"], x["b"], x["c"]))).otherwise(F.array().cast("array<string>"))
 
 
 def trigram_index(df: DataFrame, key: str, column: str) -> DataFrame:
