@@ -41,7 +41,7 @@ def brute_removed(texts, size=corpus_pipeline.PASSAGE_BYTES, words=corpus_pipeli
     return out
 
 
-@pytest.mark.parametrize(("size", "words"), [(400, 0), (150, 51), (60, 4)])
+@pytest.mark.parametrize(("size", "words"), [(400, 0), (101, 51), (60, 4)])
 def test_passages_of_other_documents(spark, sf_dir, size, words):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     own = " ".join(f"w{i * i}" for i in range(80))
@@ -54,6 +54,15 @@ def test_passages_of_other_documents(spark, sf_dir, size, words):
     assert want[-5] == rows[-5][1] and sum(w != t for (_, t), w in zip(rows, want, strict=True)) > 2
 
 
+def test_short_words(spark, sf_dir):
+    """A passage of 51 words of a letter each goes, one of 50 stays."""
+    letters = " ".join("abcdefghijklmnopqrstuvwxyz"[i * i % 23] for i in range(51))
+    rows = [(1, f"one of its own {letters}"), (2, f"two {letters} and its end"), (3, f"three {letters[:99]}!"), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_strings(spark, docs, sf_dir).collect()}
+    assert got == {1: "one of its own", 2: "two and its end", 3: rows[2][1], 4: None}
+
+
 def test_pipeline(spark, sf_dir):
     tok = library(vocabulary())
     docs = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r["text"] and any(c.isalpha() for c in r["text"])]

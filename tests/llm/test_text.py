@@ -1,6 +1,7 @@
 """Operators on texts against brute force, the public library and exact round trips."""
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -276,8 +277,7 @@ def test_sharding_by_brute_force(docs, monkeypatch, cell):
         groups[r["g"]] = [x + y for x, y in zip(groups[r["g"]], (r["b"], r["t"], 1), strict=True)]
     total = [sum(v[i] for v in groups.values()) for i in range(3)]
     capacity = total[0] / 4
-    cells = -(-len(groups) // cell)
-    cell_of = {r["g"]: r["c"] for r in docs.select(F.xxhash64(text, F.col("text").isNull()).alias("g")).withColumn("c", F.pmod(F.xxhash64("g"), F.lit(cells))).collect()}
+    tiers = {g: max(0, math.floor(math.log(capacity / 8 / v[0]) / math.log(8))) for g, v in groups.items()}
     order = sorted(groups, key=lambda g: (-groups[g][0], g))
     large = [g for g in order if groups[g][0] > capacity / 8]
     assert large and len(large) < len(groups) and all(groups[g][0] <= capacity for g in large)
@@ -286,14 +286,27 @@ def test_sharding_by_brute_force(docs, monkeypatch, cell):
     want = dict(zip(large, naive_place([share(groups[g]) for g in large], left), strict=True))
     small = [g for g in order if g not in want]
     whole = [sum(groups[g][i] for g in small) for i in range(3)]
-    for c in range(cells):
-        own = [g for g in small if cell_of[g] == c]
+    cells = {t: -(-sum(tiers[g] == t for g in small) // cell) for t in set(tiers.values())}
+    hashed = {r["g"]: r["h"] for r in docs.select(F.xxhash64(text, F.col("text").isNull()).alias("g")).withColumn("h", F.xxhash64("g")).collect()}
+    for t, c in [(t, c) for t, n in cells.items() for c in range(n)]:
+        own = [g for g in small if tiers[g] == t and hashed[g] % cells[t] == c]
         part = [sum(groups[g][i] for g in own) / whole[i] for i in range(3)]
-        want |= dict(zip(own, naive_place([share(groups[g]) for g in own], [[x * y for x, y in zip(room, part, strict=True)] for room in left]), strict=True))
+        room = [[x * y for x, y in zip(left[(s + c) % 4], part, strict=True)] for s in range(4)]
+        want |= dict(zip(own, ((s + c) % 4 for s in naive_place([share(groups[g]) for g in own], room)), strict=True))
     got = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, 4).collect()}
     assert got == {r["doc_id"]: want[r["g"]] for r in rows}
 
 
+def test_more_cells_than_parts_of_a_shard(spark, monkeypatch):
+    """Heavy-tailed sizes in more cells than PER_SHARD: bytes stay balanced."""
+    monkeypatch.setattr(sharding, "CELL", 400)
+    monkeypatch.setattr(sharding, "PER_SHARD", 16)
+    size = F.least(F.lit(3000), (8 / F.pow(1 - F.rand(5), 0.8)).cast("int"))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit(" "), F.repeat(F.lit("x"), size)).alias("text"))
+    loads = [r["s"] for r in sharding.shard(docs, 4).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(loads) == 4 and max(loads) < 1.01 * min(loads)
+
+
 def test_sharding_splits_hot_groups(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text here").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
     loads = [r["s"] for r in sharding.shard(docs).groupBy("shard").agg(F.sum("size").alias("s")).collect()]

@@ -4,10 +4,13 @@ Documents with equal texts form a group, a vector of bytes, tokens and rows in s
 first, each to the shard where the dot product of its vector with the shard's residual capacities is highest.
 
 Groups larger than 1 / PER_SHARD of a shard are placed on the driver; there are at most shards * PER_SHARD of them.
-All other groups fall into cells by hash, about CELL groups each; a task places the groups of its cell, each by the
-same rule, against the cell's share of the capacity that the large groups have left. So every group is placed by
-itself, and nothing that grows with the corpus meets in one task. A group larger than a whole shard is split into
-parts of equal size first, as nothing could balance it; all others stay whole.
+All other groups fall into tiers by size, each a PER_SHARD-th of the one above, and within a tier into cells by hash,
+about CELL groups each; a task places the groups of its cell, each by the same rule, against the cell's share of the
+capacity that the large groups have left. So every group is placed by itself, and nothing that grows with the corpus
+meets in one task. As sizes in a cell differ by a factor of PER_SHARD at most, none is more than a small part of a
+shard's share of a full cell, however many cells there are; a tier that fills no cell is one cell. Ties go to another
+shard first in each cell, so that what cells have too much does not add up. A group larger than a whole shard is split
+into parts of equal size first, as nothing could balance it; all others stay whole.
 
 Tokens are counted as the splits of a byte-level vocabulary's pre-tokenizer: runs of letters, single digits, runs of
 other marks (tokens of word_bpe_49k.json are 1.95 times that on the documents of sf0.01, 1.64 to 2.33 times in nine of
@@ -55,13 +58,19 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{M}]+|\p{N}|[^\s\p{L}\p{M}\p{N}]+"))
 
 
+def tier(size: Column, largest: float) -> Column:
+    """0 for sizes above a PER_SHARD-th of `largest`, 1 for those above a PER_SHARD-th of that, and so on."""
+    return F.greatest(F.lit(0), F.floor(F.log(F.lit(float(largest)) / size) / math.log(PER_SHARD))).cast("int")
+
+
 def _in_cell(left: np.ndarray, total: np.ndarray, whole: np.ndarray):
-    """Frames of one cell's groups (group, b, t, r) -> (group, shard), by the cell's share of the capacities left."""
+    """Frames of one cell's groups (group, cell, b, t, r) -> (group, shard), by the cell's share of the capacities left."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["b", "group"], ascending=[False, True], kind="stable")
-        vectors = frame[["b", "t", "r"]].to_numpy(float)
-        return pd.DataFrame({"group": frame["group"].to_numpy(), "shard": place(vectors / total, left * (vectors.sum(axis=0) / whole))})
+        vectors, turn = frame[["b", "t", "r"]].to_numpy(float), int(frame["cell"].iloc[0]) % len(left)
+        placed = place(vectors / total, np.roll(left, -turn, axis=0) * (vectors.sum(axis=0) / whole))
+        return pd.DataFrame({"group": frame["group"].to_numpy(), "shard": ((placed + turn) % len(left)).astype(np.int32)})
 
     return run
 
@@ -95,12 +104,14 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     where = [(x[0], x[1], count[x[0]], int(s)) for x, s in zip(items, placed, strict=True)]
     table = spark.createDataFrame(where, "group long, part int, parts int, shard int")
     numbers = table.select("group", "parts").distinct()
-    # all other groups, in cells
-    cells = max(1, math.ceil(groups.count() / CELL))
-    small = groups.where(F.col("b") <= capacity / PER_SHARD).withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(cells)).cast("int"))
+    # all other groups, in cells of their tiers
+    small = groups.where(F.col("b") <= capacity / PER_SHARD).withColumn("tier", tier(F.col("b"), capacity / PER_SHARD))
+    cells = {r["tier"]: max(1, math.ceil(r["count"] / CELL)) for r in small.groupBy("tier").count().collect()}  # a few tiers
+    number = F.coalesce(*(F.when(F.col("tier") == t, n) for t, n in sorted(cells.items())), F.lit(1))
+    small = small.withColumn("cell", F.pmod(F.xxhash64("group"), number).cast("int"))
     rest = small.agg(F.sum("b"), F.sum("t"), F.sum("r")).first()
     whole = np.maximum(np.array([x or 0 for x in rest], float), 1)
-    of_small = written(small.groupBy("cell").applyInPandas(_in_cell(np.maximum(left, 0), total, whole), "group long, shard int"), "placed")
+    of_small = written(small.groupBy("tier", "cell").applyInPandas(_in_cell(np.maximum(left, 0), total, whole), "group long, shard int"), "placed")
     release(groups)
     # rows of large groups, however many, meet a broadcast table; the others' groups are small
     keyed = rows.join(F.broadcast(numbers), "group", "left")
