@@ -52,9 +52,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(first.hint("merge"), "row", "left_semi").select(*fields(docs))
 
 
-#: A passage that repeats in another document goes if it has at least so many words (over 50); strings of so many bytes
-#: find it (3 for each of its words with the space behind it, about half of what prose has).
-PASSAGE_WORDS, PASSAGE_BYTES = 51, 150
+#: A passage that repeats in another document goes if it has at least so many words (over 50). Strings of so many bytes
+#: find it: so many words have at least a byte each and one between them, so none is missed.
+PASSAGE_WORDS = 51
+PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
