@@ -277,7 +277,7 @@ def test_sharding_by_brute_force(docs, monkeypatch, cell):
         groups[r["g"]] = [x + y for x, y in zip(groups[r["g"]], (r["b"], r["t"], 1), strict=True)]
     total = [sum(v[i] for v in groups.values()) for i in range(3)]
     capacity = total[0] / 4
-    tiers = {g: max(0, math.floor(math.log(capacity / 8 / v[0]) / math.log(8))) for g, v in groups.items()}
+    tiers = {g: max(0, math.floor(math.log(capacity / 8 / v[0]) / math.log(sharding.TIER))) for g, v in groups.items()}
     order = sorted(groups, key=lambda g: (-groups[g][0], g))
     large = [g for g in order if groups[g][0] > capacity / 8]
     assert large and len(large) < len(groups) and all(groups[g][0] <= capacity for g in large)

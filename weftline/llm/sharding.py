@@ -4,10 +4,10 @@ Documents with equal texts form a group, a vector of bytes, tokens and rows in s
 first, each to the shard where the dot product of its vector with the shard's residual capacities is highest.
 
 Groups larger than 1 / PER_SHARD of a shard are placed on the driver; there are at most shards * PER_SHARD of them.
-All other groups fall into tiers by size, each a PER_SHARD-th of the one above, and within a tier into cells by hash,
+All other groups fall into tiers by size, each a TIER-th of the one above, and within a tier into cells by hash,
 about CELL groups each; a task places the groups of its cell, each by the same rule, against the cell's share of the
 capacity that the large groups have left. So every group is placed by itself, and nothing that grows with the corpus
-meets in one task. As sizes in a cell differ by a factor of PER_SHARD at most, none is more than a small part of a
+meets in one task. As sizes in a cell differ by a factor of TIER at most, none is more than a small part of a
 shard's share of a full cell, however many cells there are; a tier that fills no cell is one cell. Ties go to another
 shard first in each cell, so that what cells have too much does not add up. A group larger than a whole shard is split
 into parts of equal size first, as nothing could balance it; all others stay whole.
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import gapless_rank, release, written
 
-#: Shards, large groups a shard at most, groups that a task places.
-SHARDS, PER_SHARD, CELL = 16, 256, 50_000
+#: Shards, large groups a shard at most, groups that a task places, largest by smallest size of a tier.
+SHARDS, PER_SHARD, CELL, TIER = 16, 256, 50_000, 16
 
 
 def place(vectors: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -59,8 +59,8 @@ def token_count(text: Column) -> Column:
 
 
 def tier(size: Column, largest: float) -> Column:
-    """0 for sizes above a PER_SHARD-th of `largest`, 1 for those above a PER_SHARD-th of that, and so on."""
-    return F.greatest(F.lit(0), F.floor(F.log(F.lit(float(largest)) / size) / math.log(PER_SHARD))).cast("int")
+    """0 for sizes above a TIER-th of `largest`, 1 for those above a TIER-th of that, and so on."""
+    return F.greatest(F.lit(0), F.floor(F.log(F.lit(float(largest)) / size) / math.log(TIER))).cast("int")
 
 
 def _in_cell(left: np.ndarray, total: np.ndarray, whole: np.ndarray):
