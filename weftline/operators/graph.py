@@ -51,6 +51,13 @@ def find_target(target_type: str, name: str | None, path: str | None, files: Dat
     return row["id"]
 
 
+def named(sources: DataFrame, found: DataFrame, small: bool) -> DataFrame:
+    """The nodes (source_type, source_id, name) that are sources of found edges; with few of these, without a shuffle of
+    all nodes."""
+    wanted = found.select("source_type", "source_id").distinct()
+    return sources.join(F.broadcast(wanted) if small else wanted, ["source_type", "source_id"], "left_semi")
+
+
 def impact(edges: DataFrame, nodes: DataFrame, node_type: str, node_id: int, max_depth: int = 3) -> DataFrame:
     """Edges by which others depend on the node, with depth: type, id, name, edge_type, depth, reach.
 
@@ -58,21 +65,24 @@ def impact(edges: DataFrame, nodes: DataFrame, node_type: str, node_id: int, max
     carry impact count; an edge from an unknown node is neither given nor followed. Entries are per edge: a node may
     occur under several edge types and depths. reach is direct at depth 1, else transitive.
 
-    A round reads the written edges once and joins them with its frontier, the nodes that its predecessor reached and
-    none before it; frontiers of at most FRONTIER rows are broadcast, so that a round shuffles only what it found.
+    A round reads the written, narrow edges once and joins them with its frontier, the nodes that its predecessor reached
+    and none before it; names are looked up for what was found, not for all edges. Frontiers and what they find are
+    broadcast up to FRONTIER rows.
     """
     spark = edges.sparkSession
     sources = nodes.select(F.col("node_type").alias("source_type"), F.col("node_id").alias("source_id"), "name")
-    known = written(impact_edges(edges).select("source_type", "source_id", "target_type", "target_id", "edge_type").join(sources, ["source_type", "source_id"]), "known")
+    known = written(impact_edges(edges).select("source_type", "source_id", "target_type", "target_id", "edge_type"), "known")
     frontier = visited = spark.range(1).select(F.lit(node_type).alias("target_type"), F.lit(node_id).cast("long").alias("target_id"))
     found, small = [], True
     for depth in range(max_depth + 1):
-        level = known.join(F.broadcast(frontier) if small else frontier, ["target_type", "target_id"]).withColumn("depth", F.lit(depth + 1))
+        step = written(known.join(F.broadcast(frontier) if small else frontier, ["target_type", "target_id"]).withColumn("depth", F.lit(depth + 1)), "step")
+        small = step.count() <= FRONTIER
+        level = written(step.join(named(sources, step, small), ["source_type", "source_id"]), "level")
+        release(step)
         if depth < max_depth:
-            level = written(level, "level")
             reached = level.select(F.col("source_type").alias("target_type"), F.col("source_id").alias("target_id")).distinct()
             frontier = reached.join(visited, ["target_type", "target_id"], "left_anti")
-            visited, small = visited.unionByName(reached), level.count() <= FRONTIER
+            visited = visited.unionByName(reached)
         found.append(level)
     return reduce(DataFrame.unionByName, found).select(
         F.col("source_type").alias("type"),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.reach import reach_tree
 from weftline.sources.shared import written
 
 
@@ -74,6 +76,28 @@ def tiered(tiers: list[DataFrame], limit: int) -> DataFrame:
     return all_.groupBy("node_type", "node_id").agg(F.min("tier").alias("tier")).orderBy("tier", "node_type", "node_id").limit(limit)
 
 
+def tiered_text(nodes: DataFrame, edges: DataFrame, query: str, cap: int, depth: int = 2) -> DataFrame:
+    """node_type, node_id, tier, score, depth of at most `cap` nodes (node_type, node_id, name): 1, those whose name is the
+    query; 2, those whose name holds words of it, by score; 3, those that are at most `depth` edges away from any of
+    these, in either direction, by least distance. Each node is in its best tier. Nothing is expanded once the cap is
+    full."""
+    named = written(nodes.select(F.struct("node_type", "node_id").alias("id"), "name"), "named")
+    words = sorted(set(re.findall("[a-z0-9_-]+", query.lower())))
+    exact = named.where(F.col("name") == query).select("id", F.lit(1).alias("tier"), F.lit(None).cast("double").alias("score")).distinct()
+    hits = exact
+    if words:
+        ranked = bm25(named.withColumnRenamed("name", "text"), words).join(exact.select("id"), "id", "left_anti")
+        hits = exact.unionByName(ranked.orderBy(F.desc("score"), "id").limit(cap).select("id", F.lit(2).alias("tier"), "score"))
+    found = written(hits.select("id.*", "tier", "score", F.lit(0).alias("depth")), "hits")
+    if found.count() < cap:
+        both = edges.select("source_type", "source_id", "target_type", "target_id")
+        turned = both.select(F.col("target_type").alias("source_type"), F.col("target_id").alias("source_id"), F.col("source_type").alias("target_type"), F.col("source_id").alias("target_id"))
+        tree = reach_tree(both.unionByName(turned), found.select(F.col("node_type").alias("type"), F.col("node_id").alias("id")), depth, enough=cap)
+        known = tree.where("depth > 0").select(F.col("type").alias("node_type"), F.col("id").alias("node_id"), F.lit(3).alias("tier"), F.lit(None).cast("double").alias("score"), "depth")
+        found = found.unionByName(known.join(nodes.select("node_type", "node_id").distinct(), ["node_type", "node_id"], "left_semi"))
+    return found.orderBy("tier", F.desc("score"), "depth", "node_type", "node_id").limit(cap)
+
+
 def search_nodes(nodes: DataFrame, query: str, kinds: list[str]) -> DataFrame:
     return nodes.where(F.col("node_type").isin(kinds) & F.col("name").ilike(f"%{query}%"))
 

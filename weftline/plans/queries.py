@@ -11,7 +11,7 @@ from weftline.functions import scalars as fn
 from weftline.functions import values
 from weftline.functions.values import EQUATION_WORDS, IMPACT_EDGES, REFERENCE_EDGES
 from weftline.operators import aggregates as agg
-from weftline.operators import dml, enrich, filters, graph, joins, postings, results, search, sets
+from weftline.operators import dml, enrich, filters, graph, joins, postings, reach, results, search, sets
 from weftline.plans.tables import Tables, oracle
 
 REGISTERED: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
@@ -610,6 +610,25 @@ def gra15_levels(t):
 REGISTERED["gra15_levels"] = (gra15_levels, oracle("SELECT 1", "deps").replace("WITH", "WITH RECURSIVE", 1).removesuffix(" SELECT 1") + LEVELS_SQL)
 
 
+CYCLES_SQL = """, reach(a, b) AS (SELECT source, target FROM deps UNION SELECT r.a, d.target FROM reach r JOIN deps d ON d.source = r.b),
+ring AS (SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a),
+short AS (SELECT DISTINCT coalesce(p.cycle, d.source) AS source, coalesce(q.cycle, d.target) AS target FROM deps d LEFT JOIN ring p ON p.node = d.source LEFT JOIN ring q ON q.node = d.target
+  WHERE coalesce(p.cycle, d.source) <> coalesce(q.cycle, d.target)),
+lv(node, level) AS (SELECT target, 0 FROM short WHERE target NOT IN (SELECT source FROM short) UNION SELECT s.source, level + 1 FROM lv JOIN short s ON s.target = lv.node),
+sizes AS (SELECT cycle, count(*) AS size FROM ring GROUP BY cycle),
+top AS (SELECT node, max(level) AS level FROM lv GROUP BY node)
+SELECT n.node, CAST(coalesce(t.level, 0) AS INTEGER) AS level, r.cycle, z.size FROM (SELECT source AS node FROM deps UNION SELECT target FROM deps) n LEFT JOIN ring r ON r.node = n.node LEFT JOIN sizes z ON z.cycle = r.cycle
+LEFT JOIN top t ON t.node = coalesce(r.cycle, n.node)"""
+
+
+@query("gra15_cycles", None)
+def gra15_cycles(t):
+    return reach.levels_with_cycles(t.deps)
+
+
+REGISTERED["gra15_cycles"] = (gra15_cycles, oracle("SELECT 1", "deps").replace("WITH", "WITH RECURSIVE", 1).removesuffix(" SELECT 1") + CYCLES_SQL)
+
+
 @query("gra16_level_dependencies", None)
 def gra16(t):
     return graph.level_dependencies(graph.levels(t.deps), t.deps)
@@ -636,6 +655,47 @@ SELECT t AS type, i AS id, CAST(d AS INTEGER) AS depth, array_to_string(seen, '
 )
 
 
+REACH_SQL = """, walk(t, i, d) AS (SELECT 'region', CAST(1 AS BIGINT), 0 UNION SELECT source_type, source_id, d + 1 FROM walk JOIN edges ON target_type = t AND target_id = i WHERE d < 10),
+near AS (SELECT t, i, CAST(min(d) AS INTEGER) AS d FROM walk GROUP BY t, i),
+tree AS (SELECT n.t, n.i, n.d, min({'t': p.t, 'i': p.i}) AS up FROM near n LEFT JOIN edges e ON e.source_type = n.t AND e.source_id = n.i AND n.d > 0 LEFT JOIN near p ON p.t = e.target_type AND p.i = e.target_id
+  WHERE n.d = 0 OR p.d = n.d - 1 GROUP BY n.t, n.i, n.d)"""
+
+
+def reached(t):
+    start = t.region.where("r_regionkey = 1").select(F.lit("region").alias("type"), F.col("r_regionkey").cast("long").alias("id"))
+    return reach.reach_tree(t.edges, start, 10, backward=True)
+
+
+def recursive(body, *projections):
+    return oracle("SELECT 1", *projections).replace("WITH", "WITH RECURSIVE", 1).removesuffix(" SELECT 1") + body
+
+
+@query("doc05_reach_ten", None)
+def doc05_reach(t):
+    return reached(t)
+
+
+REGISTERED["doc05_reach_ten"] = (doc05_reach, recursive(REACH_SQL + " SELECT t AS type, i AS id, d AS depth, CASE WHEN d > 0 THEN up.t END AS from_type, CASE WHEN d > 0 THEN up.i END AS from_id FROM tree", "edges"))
+
+
+@query("doc05_paths_back", None)
+def doc05_back(t):
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").select(F.lit("lineitem").alias("type"), F.col("o_orderkey").alias("id"))
+    return reach.paths_in(reached(t), urgent)
+
+
+REGISTERED["doc05_paths_back"] = (
+    doc05_back,
+    recursive(
+        REACH_SQL
+        + """, up(t, i, depth, nx, path) AS (SELECT t, i, d, tree.up, t || ':' || i FROM tree JOIN orders ON t = 'lineitem' AND i = o_orderkey WHERE o_orderpriority = '1-URGENT'
+      UNION ALL SELECT u.t, u.i, u.depth, CASE WHEN r.d > 0 THEN r.up END, r.t || ':' || r.i || ' > ' || u.path FROM up u JOIN tree r ON r.t = u.nx.t AND r.i = u.nx.i)
+      SELECT t AS type, i AS id, depth, path FROM up WHERE nx IS NULL""",
+        "edges",
+    ),
+)
+
+
 # ---- tasks ----
 @query(
     "tsk01_new_tasks",
@@ -1053,6 +1113,25 @@ def _(t):
     return search.tiered([exact, t.nodes.where(F.col("name").ilike("%00000001%")), near], 25)
 
 
+TIERS_SQL = """, w AS (SELECT node_type AS t, node_id AS i, name, regexp_extract_all(lower(name), '[a-z0-9_-]+') AS ws FROM nodes),
+s AS (SELECT t, i, name, len(ws) AS dl, len(list_filter(ws, lambda x: x = 'asia')) AS a FROM w),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (a > 0) AS da FROM s),
+hits AS (SELECT t, i, 1 AS tier, CAST(NULL AS DOUBLE) AS score, 0 AS depth FROM s WHERE name = 'ASIA'
+  UNION ALL SELECT t, i, 2, ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl)), 0 FROM s, st WHERE a > 0 AND name <> 'ASIA'),
+walk(t, i, d) AS (SELECT t, i, 0 FROM hits UNION SELECT CASE WHEN source_type = t AND source_id = i THEN target_type ELSE source_type END, CASE WHEN source_type = t AND source_id = i THEN target_id ELSE source_id END, d + 1
+  FROM walk JOIN edges ON (source_type = t AND source_id = i) OR (target_type = t AND target_id = i) WHERE d < 2),
+far AS (SELECT t, i, 3 AS tier, CAST(NULL AS DOUBLE) AS score, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY t, i HAVING min(d) > 0)
+SELECT t AS node_type, i AS node_id, tier, round(score, 6) AS score, depth FROM (SELECT * FROM hits UNION ALL SELECT * FROM far) q ORDER BY tier, q.score DESC NULLS LAST, depth, t, i LIMIT 300"""
+
+
+@query("doc02_three_tiers", None)
+def doc02_three(t):
+    return search.tiered_text(t.nodes, t.edges, "ASIA", 300).withColumn("score", F.round("score", 6))
+
+
+REGISTERED["doc02_three_tiers"] = (doc02_three, recursive(TIERS_SQL, "nodes", "edges"))
+
+
 @query("doc03_identifier_words", "SELECT page_id, lower(replace(regexp_replace(url, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '.', '_')) AS words FROM pages".replace("\\\\", "\\"))
 def _(t):
     return t.pages.select("page_id", search.identifier_words(F.col("url")).alias("words"))
