@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Words that a worker remembers; it starts anew beyond that.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Pairs of tokens whose compatibility a worker remembers.
 REMEMBERED_PAIRS = 500_000
 NEVER = 1 << 60
