@@ -95,3 +95,16 @@ def test_recall_by_default(spark, tmp_path, n):
         hits += len(set(np.argpartition(d, 10)[:10].tolist()) & {r["vec_id"] for r in found if r["query_id"] == q})
     print(n, hits / 10 / len(asked))
     assert hits >= 0.9 * 10 * len(asked)
+
+
+def test_extreme_doubles(spark):
+    """Very large and very small components: pairs link, and queries have neighbours at finite distances."""
+    rows = [(10 * i + j, [s * 1.0, s * (1.0 + 0.001 * j)], 0) for i, s in enumerate((1e200, 1e-200, 1.0)) for j in range(3)] + [(90, [1e308, -1e308], 1), (91, [-1e308, 1e308], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    links = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicate_vectors(df).collect()}
+    assert links == {**{10 * i + j: (8, 0) for i in range(3) for j in range(3)}, 90: (0, 90), 91: (0, 91)}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(df, F.col("vec_id") % 10 == 0, k=2).collect()}
+    assert [got[q, r][0] for q in (0, 10, 20) for r in (1, 2)] == [1, 2, 11, 12, 21, 22]
+    for q, s in ((0, 1e200), (10, 1e-200), (20, 1.0)):
+        assert got[q, 1][1] == pytest.approx(s * 0.001) and got[q, 2][1] == pytest.approx(s * 0.002)
+    assert len(got) == 8 and got[90, 1][0] != 91

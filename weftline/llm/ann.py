@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm.common import written
-from weftline.llm.vectors import blocks, by_block, matrix, usable
+from weftline.llm.vectors import blocks, by_block, distances, matrix, usable
 
 TREES, LEAF, SAMPLE, SEARCH, PART, SEED = 10, 64, 16384, 40000, 2048, 5
 #: Rows that a task puts into leaves at once.
@@ -103,23 +103,22 @@ def _nearest(k: int):
                 if not len(asked) or not len(there):
                     continue
                 x, q = matrix(vectors.take(pa.array(there))), matrix(vectors.take(pa.array(asked)))
-                names, of = np.unique(ids[there], return_inverse=True)
+                several = len(np.unique(ids[there])) < len(there)
                 for one, i in zip(q, asked, strict=True):
-                    ok = (ids[there] != ids[i]) & (leaf[there] == leaf[i])
-                    d = np.sqrt(((x - one) ** 2).sum(axis=1))
-                    d[~ok] = np.inf
-                    if len(names) < len(there):  # rows of one id are one candidate
-                        least = np.full(len(names), np.inf)
+                    use = np.flatnonzero((ids[there] != ids[i]) & (leaf[there] == leaf[i]))
+                    if not len(use):
+                        continue
+                    d, own = distances(x[use], one), ids[there][use]
+                    if several:  # rows of one id are one candidate
+                        own, of = np.unique(own, return_inverse=True)
+                        least = np.full(len(own), np.inf)
                         np.minimum.at(least, of, d)
-                        own, d = names, least
-                    else:
-                        own = ids[there]
+                        d = least
                     best = np.lexsort((own, d))[:k] if len(d) <= 4 * k else None
                     if best is None:
                         limit = np.partition(d, k - 1)[k - 1]
                         some = np.flatnonzero(d <= limit)
                         best = some[np.lexsort((own[some], d[some]))[:k]]
-                    best = best[np.isfinite(d[best])]
                     out_q.append(np.full(len(best), ids[i]))
                     out_id.append(own[best])
                     out_score.append(d[best])

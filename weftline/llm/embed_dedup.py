@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.bytes_np import U64, mix
 from weftline.llm.common import connected_components, written
-from weftline.llm.vectors import blocks, by_block, matrix, spread_blocks, usable
+from weftline.llm.vectors import blocks, by_block, matrix, scaled, spread_blocks, usable
 
 TABLES, BITS, BLOCK, SEED = 32, 20, 512, 7
 
@@ -48,7 +48,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = batch.column(2).value_lengths().to_numpy()
         for dim in np.unique(lengths):
             part = batch.filter(pa.array(lengths == dim))
-            found = codes(matrix(part.column(2))).astype(U64)
+            found = codes(scaled(matrix(part.column(2)))).astype(U64)
             group = part.column(1).to_numpy().view(U64)
             keys = mix(mix(found * U64(64) + np.arange(TABLES, dtype=U64)) ^ group[:, None], 3)
             yield pa.RecordBatch.from_arrays(
@@ -67,7 +67,7 @@ def _compared(threshold: float):
             for a, b in zip(borders[:-1], borders[1:], strict=True):
                 for k in np.unique(key[a:b]):  # one, but for a clash of block hashes
                     at = a + np.flatnonzero(key[a:b] == k)
-                    x = matrix(vectors.take(pa.array(at)))
+                    x = scaled(matrix(vectors.take(pa.array(at))))
                     norms, own = np.sqrt((x * x).sum(axis=1)), codes(x)
                     left, right = np.flatnonzero(side[at] <= 0), np.flatnonzero(side[at] >= 0)
                     cosine = (x[left] @ x[right].T) / norms[left][:, None] / norms[right][None, :]

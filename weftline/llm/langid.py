@@ -165,9 +165,10 @@ class Model:
         return out
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model of the labelled rows (doc_id, text, lang); lang is not null."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int | None = None) -> Model:
+    """A model of the labelled rows (doc_id, text, lang); lang is not null. max_langs (MAX_LANGS): how many languages are
+    learned, those with most rows; the model's size is this times the grams of sample_docs documents."""
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs or MAX_LANGS).collect()}
     if not counts:
         return Model([])
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])

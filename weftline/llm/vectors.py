@@ -24,6 +24,28 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two above their largest component: directions stay as they are to the last bit, and
+    squares of very large or small components neither overflow nor vanish."""
+    if not x.size:
+        return x
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -exponent[:, None])
+
+
+def distances(x: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x from one; infinite only where no double holds them."""
+    with np.errstate(over="ignore", under="ignore"):
+        away = x - one
+        d = np.sqrt((away**2).sum(axis=1))
+        odd = np.flatnonzero(~np.isfinite(d) | (d < 1e-140))
+        if len(odd):
+            _, exponent = np.frexp(np.abs(away[odd]).max(axis=1))
+            d[odd] = np.ldexp(np.sqrt((scaled(away[odd]) ** 2).sum(axis=1)), exponent)
+            d[np.isnan(d)] = np.inf
+    return d
+
+
 def blocks(batches: Iterator[pa.RecordBatch], key: str = "block") -> Iterator[tuple[pa.Table, np.ndarray]]:
     """(rows, borders) of whole groups from a partition sorted by `key`: group i is rows borders[i]:borders[i + 1].
     A group that spans Arrow batches is put together first."""
