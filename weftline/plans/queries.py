@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,8 +12,10 @@ from weftline.functions import scalars as fn
 from weftline.functions import values
 from weftline.functions.values import EQUATION_WORDS, IMPACT_EDGES, REFERENCE_EDGES
 from weftline.operators import aggregates as agg
-from weftline.operators import dml, enrich, filters, graph, joins, postings, reach, results, search, sets
+from weftline.operators import dml, enrich, filters, graph, hierarchy, joins, postings, reach, results, search, sets
+from weftline.operators.keyed import KeyedTable
 from weftline.plans.tables import Tables, oracle
+from weftline.sources.shared import shared_folder
 
 REGISTERED: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 
@@ -738,6 +741,16 @@ def _(t):
     return enrich.next_undone(t.symbols, t.files, t.results, "symbol", 10)
 
 
+@query(
+    "tsk03_next_equation_tasks",
+    r"""SELECT e.id, e.file_id, f.path, r.id AS record_id FROM equations e JOIN files f ON f.id = e.file_id LEFT JOIN (SELECT * FROM results WHERE target_type = 'equation') r ON r.target_id = e.id
+    WHERE (r.id IS NULL OR r.status = 'pending') AND NOT (f.path LIKE '%/_archive/%' OR f.path LIKE '%\_archive\%') ORDER BY e.id, r.id LIMIT 10""",
+    "equations", "files", "results",
+)
+def _(t):
+    return enrich.next_undone(t.equations, t.files, t.results, "equation", 10)
+
+
 FILE_PROMPT = "Say what {path} ({language}, {size} bytes) is for.\n\n{text}"
 SYMBOL_PROMPT = "Say what {name} ({kind}, lines {first} to {last} of {path}) does."
 
@@ -938,11 +951,13 @@ def _(t):
 
 @query(
     "snk07_cascade_edges",
-    "SELECT source_id, target_id, edge_type FROM edges WHERE NOT (source_type = 'customer' AND source_id % 4 = 0) AND NOT (target_type = 'customer' AND target_id % 4 = 0)",
+    """, gone AS (SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders))
+    SELECT source_id, target_id, edge_type FROM edges WHERE NOT (source_type = 'customer' AND source_id IN (SELECT id FROM gone)) AND NOT (target_type = 'customer' AND target_id IN (SELECT id FROM gone))""",
     "edges",
 )
 def _(t):
-    dead = t.nodes.where("node_type = 'customer' and node_id % 4 = 0").select("node_type", "node_id")
+    gone = t.customer.join(t.orders, t.customer["c_custkey"] == t.orders["o_custkey"], "left_anti")
+    dead = gone.select(F.lit("customer").alias("node_type"), F.col("c_custkey").alias("node_id"))
     return dml.cascade_edges(t.edges, dead).select("source_id", "target_id", "edge_type")
 
 
@@ -951,19 +966,59 @@ def _(t):
     return dml.without_node(t.edges, "customer", 7)
 
 
-@query("snk07_stale_records", "SELECT id, CASE WHEN target_type = 'symbol' AND target_id % 2 = 0 THEN 'stale' ELSE status END AS status FROM results", "results")
+@query(
+    "snk07_stale_records",
+    "SELECT id, CASE WHEN target_type = 'symbol' AND target_id NOT IN (SELECT id FROM symbols) THEN 'stale' ELSE status END AS status FROM results",
+    "results", "symbols",
+)
 def _(t):
-    dead = t.results.where("target_type = 'symbol' and target_id % 2 = 0").select(F.col("target_type").alias("node_type"), F.col("target_id").alias("node_id"))
+    named = t.results.where("target_type = 'symbol'").select(F.col("target_id").alias("id")).distinct()
+    dead = named.join(t.symbols, "id", "left_anti").select(F.lit("symbol").alias("node_type"), F.col("id").alias("node_id"))
     return dml.stale_records(t.results, dead).select("id", "status")
 
 
 @query(
     "snk08_nodes_of_dead_files",
-    "SELECT 'file' AS node_type, id AS node_id FROM files WHERE id % 10 = 3 UNION ALL SELECT 'symbol', id FROM symbols WHERE file_id % 10 = 3 AND file_id IN (SELECT id FROM files) UNION ALL SELECT 'equation', id FROM equations WHERE file_id % 10 = 3 AND file_id IN (SELECT id FROM files) UNION ALL SELECT 'variable', id FROM variables WHERE file_id % 10 = 3 AND file_id IN (SELECT id FROM files)",
-    "files", "symbols", "equations", "variables",
+    """, gone AS (SELECT target_id AS id FROM records WHERE status = 'failed' AND target_id IN (SELECT id FROM files))
+    SELECT 'file' AS node_type, id AS node_id FROM gone UNION ALL SELECT 'symbol', id FROM symbols WHERE file_id IN (SELECT id FROM gone) UNION ALL SELECT 'equation', id FROM equations WHERE file_id IN (SELECT id FROM gone)
+    UNION ALL SELECT 'variable', id FROM variables WHERE file_id IN (SELECT id FROM gone)""",
+    "files", "symbols", "equations", "variables", "records",
+)
+def _(t):
+    failed = t.records.where("status = 'failed'").select(F.col("target_id").alias("id"))
+    return dml.nodes_of_files(t.files.join(failed, "id", "left_semi"), t.symbols, t.equations, t.variables)
+
+
+@query(
+    "snk01_in_place",
+    "SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NOT NULL THEN n.hash ELSE o.hash END AS hash FROM snapshot_old o FULL OUTER JOIN snapshot_new n ON o.path = n.path",
+    "snapshot_old", "snapshot_new",
 )
 def _(t):
-    return dml.nodes_of_files(t.files.where("id % 10 = 3"), t.symbols, t.equations, t.variables)
+    table = KeyedTable(t.spark, f"{shared_folder(t.spark)}/weftline-keyed-{uuid.uuid4().hex}", ["path"], "path string, hash string")
+    table.insert_ignore(t.snapshot_old)
+    table.upsert(t.snapshot_new, ["hash"])
+    return table.read()
+
+
+@query("fn17_qualified_names", None)
+def fn17_qualified(t):
+    key = F.concat_ws(":", F.col("source_type"), F.col("source_id").cast("string"))
+    above = t.edges.where("edge_type <> 'DEFINES'").select(key.alias("node"), F.concat_ws(":", F.col("target_type"), F.col("target_id").cast("string")).alias("parent"))
+    named = t.nodes.select(F.concat_ws(":", F.col("node_type"), F.col("node_id").cast("string")).alias("node"), "name")
+    return hierarchy.ancestry(named.join(above, "node", "left"))
+
+
+REGISTERED["fn17_qualified_names"] = (
+    fn17_qualified,
+    recursive(
+        """, named AS (SELECT node_type || ':' || node_id AS node, name FROM nodes), above AS (SELECT source_type || ':' || source_id AS node, target_type || ':' || target_id AS parent FROM edges WHERE edge_type <> 'DEFINES'),
+        down(node, root, depth, names) AS (SELECT n.node, n.node, 0, n.name FROM named n WHERE NOT EXISTS (SELECT 1 FROM above a JOIN named p ON p.node = a.parent WHERE a.node = n.node)
+          UNION ALL SELECT n.node, d.root, d.depth + 1, d.names || '.' || n.name FROM down d JOIN above a ON a.parent = d.node JOIN named n ON n.node = a.node)
+        SELECT node, root, depth, names AS qualified_name FROM down""",
+        "nodes", "edges",
+    ),
+)
 
 
 @query("snk12_snapshot_round_trip", "SELECT path, hash FROM snapshot_new", "snapshot_new")
