@@ -172,3 +172,37 @@ def test_config(tmp_path, monkeypatch):
     (tmp_path / "c.json").write_text('{"llm": {"model": "${MODEL_NAME}", "mode": "local"}, "parallel": {"batch_size": 7}}')
     s = load(str(tmp_path / "c.json"))
     assert (s.llm_model, s.llm_mode, s.batch_size, s.max_analysis_depth) == ("m", "local", 7, 3)
+
+
+def edge_rows(g):
+    return {tuple(r) for r in g.edges.select("source_type", "source_id", "target_type", "target_id", "edge_type", "evidence", "confidence").collect()}
+
+
+def test_edges_after_changes(spark, tmp_path):
+    """After every step the edges are those of a full rebuild, and files that nothing affects keep theirs unresolved anew."""
+    write = lambda name, text: ((tmp_path / name).parent.mkdir(parents=True, exist_ok=True), (tmp_path / name).write_text(text))
+    write("a.py", "import b\nimport pkg.c\ndef f():\n    g()\n    h()\n")
+    write("b.py", "import a\ndef g():\n    return k()\n")
+    write("pkg/c.py", "from b import g\ndef h():\n    g()\n\ndef k():\n    h()\n")
+    write("alone.py", "import nothing\ndef own():\n    own()\n")
+    write("late.py", "import fresh\nimport x.fresh\ndef late():\n    newcomer()\n    f()\n")
+    g = lifecycle.index(spark, str(tmp_path))
+
+    def step():
+        after, changes = lifecycle.rescan(g, scan(spark, str(tmp_path)))
+        assert edge_rows(after) == edge_rows(lifecycle.index(spark, str(tmp_path)))
+        affected = {r["path"] for r in lifecycle.affected_files(g, after.entities, after.symbols, changes).collect()}
+        return after, affected
+
+    write("b.py", "import a\n\ndef g2():\n    return k()\n")  # a definition goes, another comes
+    g, affected = step()
+    assert affected == {"b.py", "a.py", "pkg/c.py"}
+    write("fresh.py", "def newcomer():\n    late()\n")  # what was not resolved is
+    g, affected = step()
+    assert affected == {"fresh.py", "late.py"}
+    (tmp_path / "pkg/c.py").unlink()
+    write("alone.py", "import nothing\n\n\ndef own():\n    own()\n")
+    g, affected = step()
+    assert "late.py" not in affected and {"a.py", "b.py", "alone.py", "pkg/c.py"} <= affected
+    g, affected = step()
+    assert affected == set()

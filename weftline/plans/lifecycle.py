@@ -46,26 +46,60 @@ def equations_of(symbols: DataFrame) -> DataFrame:
     )
 
 
-def edges_of(files: DataFrame, entities: DataFrame, symbols: DataFrame) -> DataFrame:
-    """All edges, from the entities of all files: so a changed file loses no edge that comes from an unchanged one."""
-    imports = entities.where("kind = 'import'").select(F.xxhash64("path").alias("file_id"), fn.unquoted(F.col("name")).alias("name"), "start_line")
+def edges_of(files: DataFrame, entities: DataFrame, symbols: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """All edges, or those that come from the files `only` (path): uses in these files, resolved against all there is."""
+    own = lambda df: df if only is None else df.join(only, "path", "left_semi")
+    uses, here = own(entities), own(symbols)
+    imports = uses.where("kind = 'import'").select(F.xxhash64("path").alias("file_id"), fn.unquoted(F.col("name")).alias("name"), "start_line")
     imports = joins.first_of(imports, ["file_id", "name"], [F.col("start_line")])
-    calls = entities.where("kind = 'call'").select(F.xxhash64("path", "name", "start_line").alias("id"), F.xxhash64("path").alias("file_id"), F.col("start_line").alias("line"), "name")
-    defs = symbols.where("symbol_type in ('function', 'class')")
-    called = joins.enclosing_symbols(calls.dropDuplicates(["id"]), defs).select(F.col("symbol_id").alias("caller_id"), F.col("called").alias("name")).distinct()
-    raw = enrich.static_edges(symbols, imports, called)
-    return enrich.resolve_edges(raw, files.select("id", "path", "filename"), defs)
+    calls = uses.where("kind = 'call'").select(F.xxhash64("path", "name", "start_line").alias("id"), F.xxhash64("path").alias("file_id"), F.col("start_line").alias("line"), "name")
+    defs = "symbol_type in ('function', 'class')"
+    called = joins.enclosing_symbols(calls.dropDuplicates(["id"]), here.where(defs)).select(F.col("symbol_id").alias("caller_id"), F.col("called").alias("name")).distinct()
+    raw = enrich.static_edges(here, imports, called)
+    return enrich.resolve_edges(raw, files.select("id", "path", "filename"), symbols.where(defs))
+
+
+def affected_files(before: Graph, entities: DataFrame, symbols: DataFrame, changes: DataFrame) -> DataFrame:
+    """path: the files whose edges may differ after changes (path, change): those that changed, and those that import or
+    call a name for which a changed file had or has a definition. Modules are defined by paths, so only files that came
+    or went count for imports. entities and symbols are those after the changes."""
+    touched = changes.where("change <> 'same'").select("path")
+    moved = changes.where("change in ('added', 'deleted')").select("path")
+    defined = before.symbols.unionByName(symbols).where("symbol_type in ('function', 'class')").join(touched, "path", "left_semi")
+    names = defined.select(F.coalesce("qualified_name", "name").alias("name")).distinct()
+    calling = entities.where("kind = 'call'").select("path", "name").join(names, "name", "left_semi")
+    imports = entities.where("kind = 'import'").select("path", fn.unquoted(F.col("name")).alias("name"))
+    modules = moved.select(joins.module_of(F.col("path")).alias("name")).distinct()
+    stems = moved.select(F.replace(fn.filename(F.col("path")), F.lit(".py"), F.lit("")).alias("stem")).distinct()
+    by_stem = imports.withColumn("stem", joins.last_part(F.col("name"))).join(stems, "stem", "left_semi")
+    using = calling.select("path").unionByName(imports.join(modules, "name", "left_semi").select("path")).unionByName(by_stem.select("path"))
+    return touched.unionByName(using).distinct()
+
+
+def edges_after(before: Graph, files: DataFrame, entities: DataFrame, symbols: DataFrame, changes: DataFrame) -> DataFrame:
+    """The edges after changes: those of affected files are made and resolved anew, all others stay. Equal to edges_of()
+    on everything; what is joined grows with the change and what uses it. The old edges are read once, against a
+    set of affected nodes, not shuffled where that set is small."""
+    affected = written(affected_files(before, entities, symbols, changes), "affected")
+    gone = affected.select(F.lit("file").alias("source_type"), F.xxhash64("path").alias("source_id"))
+    gone = gone.unionByName(before.symbols.join(affected, "path", "left_semi").select(F.lit("symbol").alias("source_type"), F.col("id").alias("source_id")))
+    kept = before.edges.join(gone, ["source_type", "source_id"], "left_anti")
+    return kept.unionByName(edges_of(files, entities, symbols, affected).select(*kept.columns))
 
 
 def assembled(files: DataFrame, entities: DataFrame, records: DataFrame | None) -> Graph:
+    """The graph of files and entities, all of it made anew."""
     files, entities = written(files, "files"), written(entities, "entities")
     symbols = written(symbols_of(entities), "symbols")
+    return finished(files, entities, symbols, edges_of(files, entities, symbols), records)
+
+
+def finished(files: DataFrame, entities: DataFrame, symbols: DataFrame, edges: DataFrame, records: DataFrame | None) -> Graph:
     equations = equations_of(symbols)
-    edges = written(edges_of(files, entities, symbols), "edges")
     if records is None:
         records = files.sparkSession.createDataFrame([], "target_type string, target_id long, status string")
     tasks = enrich.new_tasks(records, files.where("is_source"), symbols, equations)
-    return Graph(files, entities, symbols, equations, edges, written(records.unionByName(tasks), "records"))
+    return Graph(files, entities, symbols, equations, written(edges, "edges"), written(records.unionByName(tasks), "records"))
 
 
 def index(spark: SparkSession, root: str, exclude: list[str] | None = None) -> Graph:
@@ -76,25 +110,31 @@ def index(spark: SparkSession, root: str, exclude: list[str] | None = None) -> G
 def rescan(graph: Graph, current: DataFrame) -> tuple[Graph, DataFrame]:
     """The graph after the tree became `current` (a scan), and the changes (path, change).
 
-    Only new and changed files are extracted; what unchanged files said is kept and resolved anew."""
+    Only new and changed files are extracted, and only edges of files that they affect are made anew (edges_after)."""
     current = written(current, "scan")
     changes = written(joins.snapshot_diff(graph.files, current), "changes")
     touched = changes.where("change in ('changed', 'deleted')").select("path")
     fresh = current.join(changes.where("change in ('changed', 'added')"), "path", "left_semi")
-    kept = graph.entities.join(touched, "path", "left_anti")
-    dead = dml.nodes_of_files(graph.files.join(touched, "path", "left_semi"), graph.symbols, graph.equations, graph.symbols.limit(0))
+    dead = dml.nodes_of_files(graph.files.join(touched, "path", "left_semi"), graph.symbols, graph.equations, no_variables(graph))
     same = changes.where("change = 'same'").select("path")
-    files = graph.files.join(same, "path", "left_semi").unionByName(fresh)
+    files = written(graph.files.join(same, "path", "left_semi").unionByName(fresh), "files")
+    found = written(extract(fresh), "extracted")
+    entities = written(graph.entities.join(touched, "path", "left_anti").unionByName(found), "entities")
+    symbols = written(graph.symbols.join(touched, "path", "left_anti").unionByName(symbols_of(found)), "symbols")
     records = dml.stale_records(graph.records, dead)
-    alive = records.where("status <> 'stale'")
-    out = assembled(files, kept.unionByName(extract(fresh)), alive)
+    out = finished(files, entities, symbols, edges_after(graph, files, entities, symbols, changes), records.where("status <> 'stale'"))
     return replace(out, records=out.records.unionByName(records.where("status = 'stale'"))), changes
 
 
+def no_variables(graph: Graph) -> DataFrame:
+    """Extraction gives no variables with roles; edges to those that analysis names go with their equations' edges."""
+    return graph.symbols.select("id", "file_id").limit(0)
+
+
 def deleted(graph: Graph, paths: list[str]) -> Graph:
     """The graph without the files and all they hold; edges at either end go, records become stale."""
     gone = graph.files.where(F.col("path").isin(paths))
-    dead = dml.nodes_of_files(gone, graph.symbols, graph.equations, graph.symbols.limit(0))
+    dead = dml.nodes_of_files(gone, graph.symbols, graph.equations, no_variables(graph))
     out = lambda df: df.join(gone.select(F.col("id").alias("file_id")), "file_id", "left_anti")
     return Graph(
         graph.files.join(gone.select("id"), "id", "left_anti"),
