@@ -66,11 +66,11 @@ def impact(edges: DataFrame, nodes: DataFrame, node_type: str, node_id: int, max
     occur under several edge types and depths. reach is direct at depth 1, else transitive.
 
     A round reads the written, narrow edges once and joins them with its frontier, the nodes that its predecessor reached
-    and none before it; names are looked up for what was found, not for all edges. Frontiers and what they find are
+    and none before it; names, written once, are looked up for what was found, not for all edges. Frontiers and what they find are
     broadcast up to FRONTIER rows.
     """
     spark = edges.sparkSession
-    sources = nodes.select(F.col("node_type").alias("source_type"), F.col("node_id").alias("source_id"), "name")
+    sources = written(nodes.select(F.col("node_type").alias("source_type"), F.col("node_id").alias("source_id"), "name"), "names")
     known = written(impact_edges(edges).select("source_type", "source_id", "target_type", "target_id", "edge_type"), "known")
     frontier = visited = spark.range(1).select(F.lit(node_type).alias("target_type"), F.lit(node_id).cast("long").alias("target_id"))
     found, small = [], True
@@ -84,6 +84,8 @@ def impact(edges: DataFrame, nodes: DataFrame, node_type: str, node_id: int, max
             frontier = reached.join(visited, ["target_type", "target_id"], "left_anti")
             visited = visited.unionByName(reached)
         found.append(level)
+    release(known)
+    release(sources)
     return reduce(DataFrame.unionByName, found).select(
         F.col("source_type").alias("type"),
         F.col("source_id").alias("id"),
