@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,29 @@ def test_near_duplicates(docs, monkeypatch, block):
     assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+def test_near_duplicates_of_one_bucket(spark, monkeypatch):
+    """Three families of pages that share a band (all are made to), and pages of their own, in blocks of three members:
+    further leaders or blocks at once, the links are the same; a repeated id brings two families together."""
+    monkeypatch.setattr(setsketch, "BLOCK", 3)
+    monkeypatch.setattr(setsketch, "ROUNDS", 2)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(100 * f + i, " ".join([*(f"{f}{w}" for w in words), f"end{i}"])) for f in range(3) for i in range(7)]
+    rows += [(1000 + i, " ".join(f"own{i}x{j}" for j in range(30))) for i in range(5)] + [(3, " ".join(f"1{w}" for w in words))]
+    bands = setsketch._bands
+
+    def one_key(batches):
+        for batch in bands(batches):
+            key = np.where(batch.column(2).to_numpy() == 0, 0, batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), batch.column(2)], ["cid", "key", "tab"])
+
+    monkeypatch.setattr(setsketch, "_bands", one_key)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {100 * f + i: (0, 0, 200)[f] for f in range(3) for i in range(7)} | {1000 + i: 1000 + i for i in range(5)}
+    for work in (0.0, 1e9):
+        got = {(r["doc_id"], r["component_id"]) for r in setsketch.near_duplicates(df, work=work).collect()}
+        assert got == set(want.items())
+
+
 def test_near_duplicates_edges(spark, empty):
     assert setsketch.near_duplicates(empty).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A B C D E F"), (3, None)]

@@ -7,9 +7,10 @@ similarity. Registers are cut into bands; sets that agree in a band are candidat
 
 Equal sets are one class, whatever their number. No bucket's pairs are written out: each bucket has a pseudo-random
 leader, (leader, member) pairs are weighed by the joint likelihood of their registers, and each class first verifies
-one likely partner on the full sets. Only where a bucket's members are then still in different components, all pairs
-between components are weighed inside tasks, in blocks of a bounded size, and the likely ones verified there; so every
-link between texts that share a band is found or implied.
+one likely partner on the full sets. Where many members of buckets are then still in different components, a member of
+another component leads, and so on. In the buckets that stay apart all pairs between components are weighed inside
+tasks, in blocks of a bounded number of sketches; texts are read for the members of likely pairs alone, once a block,
+and verified there. So every link between texts that share a band is found or implied.
 
 With the defaults (40 bands of 5) a pair of similarity 0.75 shares no band with probability 2e-5.
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bytes_np import U64, mix, shingle_sets
-from weftline.llm.common import connected_components, written
+from weftline.llm.common import connected_components, release, written
 from weftline.llm.vectors import blocks, by_block, spread_blocks
 
 WORDS = 5
@@ -38,6 +39,8 @@ REGISTERS = BANDS * ROWS
 BLOCK = 1024
 #: Signs of each register for the first weighing inside a block.
 BITS = 4
+#: Times that other leaders are tried at most before blocks.
+ROUNDS = 6
 #: Base, rate and largest register of the sketch; 16 bits a register.
 B, A, Q = 1.001, 20.0, 65534
 FACTORS = mix(np.arange(REGISTERS, dtype=U64), 11) | U64(1)
@@ -143,53 +146,82 @@ def similar(u: np.ndarray, v: np.ndarray) -> bool:
 
 
 def _across(threshold: float):
-    """Blocks of buckets -> links that join different components: every pair of a block that no earlier band holds is
-    either verified on the full sets, too unlikely, or already joined inside the block."""
+    """Blocks of buckets -> likely pairs of different components that share no earlier band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, borders in blocks(batches):
-            cid, comp, n, side, tab = (table.column(c).to_numpy() for c in ("cid", "comp", "n_shingles", "side", "tab"))
-            all_regs, texts, xs, ys = table.column("registers").combine_chunks(), table.column("text").combine_chunks(), [], []
-            for a, b in zip(borders[:-1], borders[1:], strict=True):
-                size = n[a:b].astype(float)
-                regs, half = _sketch_matrix(all_regs.slice(a, b - a)), side[a:b]
-                bits, root = _signs(regs), {}
-                p, q = np.nonzero(bits @ bits.T >= (threshold - 0.05) * bits.shape[1])
-                once = (p < q) & (comp[a:b][p] != comp[a:b][q]) & (np.minimum(size[p], size[q]) >= 0.75 * np.maximum(size[p], size[q]))
-                if (half != 0).any():
-                    once &= half[p] != half[q]
+            cid, comp, n, side, tab, block = (table.column(c).to_numpy() for c in ("cid", "comp", "n_shingles", "side", "tab", "block"))
+            regs, us, vs, waiting = _sketch_matrix(table.column("registers").combine_chunks()), [], [], 0
+
+            def likely(us=us, vs=vs, cid=cid, comp=comp, n=n, block=block, regs=regs):
+                u, v = np.concatenate(us), np.concatenate(vs)
+                hit = _estimates(regs[u], regs[v], n[u], n[v], threshold) >= threshold
+                u, v = u[hit], v[hit]
+                us.clear(), vs.clear()
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (block[u], cid[u], comp[u], cid[v], comp[v])], ["block", "a", "ca", "b", "cb"])
+
+            for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+                if b - a <= 32:
+                    p, q = np.triu_indices(b - a, 1)
+                else:
+                    bits = _signs(regs[a:b])
+                    p, q = np.nonzero(np.triu(bits @ bits.T, 1) >= (threshold - 0.05) * bits.shape[1])
+                p, q = a + p, a + q
+                once = comp[p] != comp[q]
+                if side[a:b].any():
+                    once &= side[p] != side[q]
                 p, q = p[once], q[once]
-                if not len(p):
-                    continue
-                earlier = (regs[:, : tab[a] * ROWS]).reshape(b - a, tab[a], ROWS)
-                sets: dict[int, np.ndarray] = {}
                 for i in range(0, len(p), 4096):
                     u, v = p[i : i + 4096], q[i : i + 4096]
-                    new = ~(earlier[u] == earlier[v]).all(axis=2).any(axis=1)
-                    u, v = u[new], v[new]
-                    hit = likely_similarity(regs[u], regs[v], size[u], size[v]) >= threshold if len(u) else np.zeros(0, bool)
-                    for x, y in zip(u[hit].tolist(), v[hit].tolist(), strict=True):
-                        rx, ry = comp[a + x], comp[a + y]
-                        while rx in root:
-                            rx = root[rx]
-                        while ry in root:
-                            ry = root[ry]
-                        if rx == ry:
-                            continue
-                        for z in (x, y):
-                            if z not in sets:
-                                sets[z] = next(shingle_sets(texts.slice(a + z, 1), WORDS))
-                        if similar(sets[x], sets[y]):
-                            root[max(rx, ry)] = min(rx, ry)
-                            xs.append(cid[a + x])
-                            ys.append(cid[a + y])
-            if xs:
-                x, y = np.array(xs), np.array(ys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                    earlier = (regs[u, : tab[a] * ROWS] == regs[v, : tab[a] * ROWS]).reshape(len(u), tab[a], ROWS)
+                    new = ~earlier.all(axis=2).any(axis=1)
+                    us.append(u[new])
+                    vs.append(v[new])
+                    waiting += int(new.sum())
+                    if waiting >= 4096:
+                        yield likely()
+                        waiting = 0
+            if waiting:
+                yield likely()
 
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of likely pairs (b not null) and of the texts of their members -> links that join different components of
+    their block: each pair is verified on the full sets unless the block's links join its components already."""
+    for table, borders in blocks(batches):
+        columns = [table.column(c).to_pylist() for c in ("a", "ca", "b", "cb")]
+        texts, found = table.column("text").combine_chunks(), []
+        for start, end in zip(borders[:-1], borders[1:], strict=True):
+            rows = range(start, end)
+            at: dict[int, list[int]] = {}
+            for i in rows:
+                if columns[2][i] is None:
+                    at.setdefault(columns[0][i], []).append(i)
+            sets: dict[int, list[np.ndarray]] = {}
+            root: dict[int, int] = {}
+            for i in rows:
+                a, ra, b, rb = (c[i] for c in columns)
+                if b is None:
+                    continue
+                while ra in root:
+                    ra = root[ra]
+                while rb in root:
+                    rb = root[rb]
+                if ra == rb:
+                    continue
+                for x in (a, b):
+                    if x not in sets:
+                        sets[x] = [next(shingle_sets(texts.slice(j, 1), WORDS)) for j in at.get(x, ())]
+                if any(similar(u, v) for u in sets[a] for v in sets[b]):
+                    root[max(ra, rb)] = min(ra, rb)
+                    found.append((min(a, b), max(a, b)))
+        if found:
+            x, y = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, text of a, text of b) -> the pairs whose full sets are similar."""
     for batch in batches:
@@ -198,22 +230,58 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar."""
+def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets are similar. Only texts of the pairs' members are kept and shuffled
+    again; where the pairs are few, Spark sends their ids to the texts."""
+    pairs = written(pairs, "pairs")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "wanted")
+    texts = written(docs.select(F.col("doc_id").alias("cid"), "text").join(wanted, "cid", "left_semi"), "texts")
     full = (
         pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
         .join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
         .select("a", "b", "ta", "tb")
     )
-    return written(full.mapInArrow(_verified, "a long, b long").distinct(), "links")
+    links = written(full.mapInArrow(_verified, "a long, b long").distinct(), "links")
+    for used in (pairs, wanted, texts):
+        release(used)
+    return links
+
+
+def _star_links(stars: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links among pairs (a, b) of a leader and a member: each class that has likely partners verifies one, where it can
+    one that many others verify too."""
+    side = lambda n: classes.select(F.col("cid").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}")).hint("merge")
+    weighed = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    likely = written(weighed.mapInArrow(_weighed(threshold), "a long, b long, likely double"), "likely")
+    both = likely.select(F.col("a").alias("x"), F.col("b").alias("y"), "likely").unionAll(likely.select(F.col("b").alias("x"), F.col("a").alias("y"), "likely"))
+    picks = both.groupBy("x").agg(F.min(F.struct(F.col("likely") < 0.8, F.xxhash64("y"), F.col("y").alias("y"))).alias("p"))
+    links = _links(picks.select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct(), docs)
+    release(likely)
+    return links
 
 
-def near_duplicates(docs: DataFrame, doubt: float = 0.12) -> DataFrame:
+def _block_links(placed: DataFrame, apart: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links that join the components inside buckets: all pairs between components are weighed, in blocks."""
+    apart = apart.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    spread = spread_blocks(placed.join(apart, "key"), ["tab", "cid", "comp"])
+    spread = spread.join(classes.select("cid", "n_shingles", "registers").hint("merge"), "cid")
+    pairs = written(by_block(spread).mapInArrow(_across(threshold), "block long, a long, ca long, b long, cb long"), "pairs")
+    ids = written(pairs.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    texts = ids.join(docs, "doc_id").select("block", F.col("doc_id").alias("a"), *(F.lit(None).cast("long").alias(c) for c in ("ca", "b", "cb")), "text")
+    both = texts.unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
+    links = written(by_block(both).mapInArrow(_joined, "a long, b long").distinct(), "links")
+    release(pairs)
+    release(ids)
+    return links
+
+
+def near_duplicates(docs: DataFrame, doubt: float = 0.12, work: float = 4.0) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of docs (doc_id: long, text: string).
 
-    Pairs whose estimate is below 0.75 - doubt (four standard deviations) are not verified.
+    Pairs whose estimate is below 0.75 - doubt (four standard deviations) are not verified. While blocks would hold more
+    than `work` times the members of all buckets, further leaders are tried first; links are the same for any value.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, threshold = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 0.75 - doubt
     sketches = written(docs.mapInArrow(_sketches, "doc_id long, n_shingles long, s1 long, s2 long, registers binary"), "sketches")
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = written(
@@ -221,39 +289,49 @@ def near_duplicates(docs: DataFrame, doubt: float = 0.12) -> DataFrame:
         "classes",
     )
     bands = classes.select("cid", "registers").mapInArrow(_bands, "cid long, key long, tab int")
-    leads = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("l"), F.max(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("m"))
-    leads = leads.where("l.cid <> m.cid").select("key", F.col("l.cid").alias("lead"))
-    members = written(bands.join(leads.hint("merge"), "key").distinct(), "members")
-    side = lambda n: classes.select(F.col("cid").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}")).hint("merge")
-    stars = members.where("cid <> lead").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
-    likely = written(stars.mapInArrow(_weighed(0.75 - doubt), "a long, b long, likely double"), "likely")
-    wanted = members.select("cid").distinct()
-    texts = written(docs.select(F.col("doc_id").alias("cid"), "text").join(wanted.hint("merge"), "cid", "left_semi"), "texts")
-    # each class tries one likely partner first, where it can one that many others try too
-    both = likely.select(F.col("a").alias("x"), F.col("b").alias("y"), "likely").unionAll(likely.select(F.col("b").alias("x"), F.col("a").alias("y"), "likely"))
-    picks = both.groupBy("x").agg(F.min(F.struct(F.col("likely") < 0.8, F.xxhash64("y"), F.col("y").alias("y"))).alias("p"))
-    picks = picks.select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
+    leads = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("l"), F.max("cid").alias("x"), F.min("cid").alias("y"))
+    leads = leads.where("x <> y").select("key", F.col("l.cid").alias("lead"))
+    # written as joined, so that a hot key's rows can be split; ids of several texts may repeat until `placed`
+    members = written(bands.join(leads.hint("merge"), "key"), "members")
+    pair = [F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")]
+    links = _star_links(members.where("cid <> lead").select(*pair).distinct(), classes, docs, threshold)
     # a doc_id with several texts is one document: its classes are linked
     ids = written(filled.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).select("doc_id", "cid").distinct(), "ids")
     own = ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("a", "b")
-    found = written(own.unionAll(_links(picks, texts)), "found")
-    # where a bucket's members are still apart, all pairs between components are tried inside tasks, in blocks
-    labels = connected_components(found).withColumnRenamed("id", "cid")
-    placed = members.select("key", "tab", "cid").join(labels.hint("merge"), "cid", "left").select("key", "tab", "cid", F.coalesce("component", "cid").alias("comp"))
-    placed = written(placed, "placed")
-    apart = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y")
-    apart = apart.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    spread = spread_blocks(placed.join(apart.hint("merge"), "key"), ["tab", "cid", "comp"])
-    spread = spread.join(classes.select("cid", "n_shingles", "registers").hint("merge"), "cid").join(texts.hint("merge"), "cid")
-    more = by_block(spread).mapInArrow(_across(0.75 - doubt), "a long, b long").distinct()
-    found = written(found.unionAll(more), "found")
-    labels = connected_components(found).withColumnRenamed("id", "cid")
+    found, all_members, used = written(own.unionAll(links), "found"), None, [members, links]
+    for turn in range(ROUNDS + 1):
+        labels = connected_components(found).withColumnRenamed("id", "cid")
+        placed = members.select("key", "tab", "cid").distinct().join(labels, "cid", "left")
+        placed = written(placed.select("key", "tab", "cid", F.coalesce("component", "cid").alias("comp")), "placed")
+        apart = placed.groupBy("key").agg(
+            F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("comp", "key", F.lit(turn)), F.xxhash64("cid"), "cid", "comp")).alias("l")
+        )
+        apart = written(apart.where("x <> y").select("key", "c", F.col("l.cid").alias("lead"), F.col("l.comp").alias("lead_comp")), "apart")
+        used += [placed, apart, found]
+        rows = apart.agg(F.sum("c"), F.sum(F.col("c") * F.ceil(F.col("c") / BLOCK))).first()
+        if rows[0] is None:
+            break
+        all_members = all_members or placed.count()
+        if turn == ROUNDS or rows[1] <= work * all_members:
+            links = _block_links(placed, apart, classes, docs, threshold)
+            found = written(found.unionAll(links), "found")
+            labels = connected_components(found).withColumnRenamed("id", "cid")
+            used += [links, found]
+            break
+        links = _star_links(placed.join(apart, "key").where("comp <> lead_comp").select(*pair).distinct(), classes, docs, threshold)
+        found = written(found.unionAll(links), "found")
+        used.append(links)
     of_id = ids.join(labels, "cid", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "cid")).alias("component_id"))
     result = sketches.select("doc_id", "n_shingles").join(of_id, "doc_id", "left")
-    return result.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+    result = written(
+        result.select(
+            "doc_id",
+            "n_shingles",
+            F.coalesce("component_id", "doc_id").alias("component_id"),
+            F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+        ),
+        "near",
     )
+    for table in (sketches, classes, ids, *used):
+        release(table)
+    return result
