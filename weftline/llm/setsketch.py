@@ -9,8 +9,8 @@ Equal sets are one class, whatever their number. No bucket's pairs are written o
 leader, (leader, member) pairs are weighed by the joint likelihood of their registers, and each class first verifies
 one likely partner on the full sets. Where many members of buckets are then still in different components, a member of
 another component leads, and so on. In the buckets that stay apart all pairs between components are weighed inside
-tasks, in blocks of a bounded number of sketches; texts are read for the members of likely pairs alone, once a block,
-and verified there. So every link between texts that share a band is found or implied.
+tasks, in blocks of a bounded number of sketches; members with a likely partner then meet again with their
+texts, once a block, and the likely pairs are verified there. So every link between texts that share a band is found or implied.
 
 With the defaults (40 bands of 5) a pair of similarity 0.75 shares no band with probability 2e-5.
 
@@ -40,7 +40,7 @@ BLOCK = 1024
 #: Signs of each register for the first weighing inside a block.
 BITS = 4
 #: Times that other leaders are tried at most before blocks.
-ROUNDS = 6
+ROUNDS = 3
 #: Base, rate and largest register of the sketch; 16 bits a register.
 B, A, Q = 1.001, 20.0, 65534
 FACTORS = mix(np.arange(REGISTERS, dtype=U64), 11) | U64(1)
@@ -146,19 +146,19 @@ def similar(u: np.ndarray, v: np.ndarray) -> bool:
 
 
 def _across(threshold: float):
-    """Blocks of buckets -> likely pairs of different components that share no earlier band."""
+    """Blocks of buckets -> those of their rows that have a likely partner in another component: never more than a block has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, borders in blocks(batches):
-            cid, comp, n, side, tab, block = (table.column(c).to_numpy() for c in ("cid", "comp", "n_shingles", "side", "tab", "block"))
+            comp, n, side, tab = (table.column(c).to_numpy() for c in ("comp", "n_shingles", "side", "tab"))
             regs, us, vs, waiting = _sketch_matrix(table.column("registers").combine_chunks()), [], [], 0
+            chosen = np.zeros(len(regs), bool)
 
-            def likely(us=us, vs=vs, cid=cid, comp=comp, n=n, block=block, regs=regs):
+            def likely(us=us, vs=vs, n=n, regs=regs, chosen=chosen):
                 u, v = np.concatenate(us), np.concatenate(vs)
                 hit = _estimates(regs[u], regs[v], n[u], n[v], threshold) >= threshold
-                u, v = u[hit], v[hit]
+                chosen[u[hit]] = chosen[v[hit]] = True
                 us.clear(), vs.clear()
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in (block[u], cid[u], comp[u], cid[v], comp[v])], ["block", "a", "ca", "b", "cb"])
 
             for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
                 if b - a <= 32:
@@ -179,47 +179,61 @@ def _across(threshold: float):
                     vs.append(v[new])
                     waiting += int(new.sum())
                     if waiting >= 4096:
-                        yield likely()
+                        likely()
                         waiting = 0
             if waiting:
-                yield likely()
+                likely()
+            yield from table.filter(pa.array(chosen)).to_batches()
 
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of likely pairs (b not null) and of the texts of their members -> links that join different components of
-    their block: each pair is verified on the full sets unless the block's links join its components already."""
-    for table, borders in blocks(batches):
-        columns = [table.column(c).to_pylist() for c in ("a", "ca", "b", "cb")]
-        texts, found = table.column("text").combine_chunks(), []
-        for start, end in zip(borders[:-1], borders[1:], strict=True):
-            rows = range(start, end)
-            at: dict[int, list[int]] = {}
-            for i in rows:
-                if columns[2][i] is None:
-                    at.setdefault(columns[0][i], []).append(i)
-            sets: dict[int, list[np.ndarray]] = {}
-            root: dict[int, int] = {}
-            for i in rows:
-                a, ra, b, rb = (c[i] for c in columns)
-                if b is None:
-                    continue
-                while ra in root:
-                    ra = root[ra]
-                while rb in root:
-                    rb = root[rb]
-                if ra == rb:
+def _joined(threshold: float):
+    """Blocks of buckets -> links that join different components: every pair of a block that no earlier band holds is
+    either verified on the full sets, too unlikely, or already joined inside the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, borders in blocks(batches):
+            cid, comp, n, side, tab = (table.column(c).to_numpy() for c in ("cid", "comp", "n_shingles", "side", "tab"))
+            all_regs, texts, xs, ys = table.column("registers").combine_chunks(), table.column("text").combine_chunks(), [], []
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                size = n[a:b].astype(float)
+                regs, half = _sketch_matrix(all_regs.slice(a, b - a)), side[a:b]
+                bits, root = _signs(regs), {}
+                p, q = np.nonzero(bits @ bits.T >= (threshold - 0.05) * bits.shape[1])
+                once = (p < q) & (comp[a:b][p] != comp[a:b][q]) & (np.minimum(size[p], size[q]) >= 0.75 * np.maximum(size[p], size[q]))
+                if (half != 0).any():
+                    once &= half[p] != half[q]
+                p, q = p[once], q[once]
+                if not len(p):
                     continue
-                for x in (a, b):
-                    if x not in sets:
-                        sets[x] = [next(shingle_sets(texts.slice(j, 1), WORDS)) for j in at.get(x, ())]
-                if any(similar(u, v) for u in sets[a] for v in sets[b]):
-                    root[max(ra, rb)] = min(ra, rb)
-                    found.append((min(a, b), max(a, b)))
-        if found:
-            x, y = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+                earlier = (regs[:, : tab[a] * ROWS]).reshape(b - a, tab[a], ROWS)
+                sets: dict[int, np.ndarray] = {}
+                for i in range(0, len(p), 4096):
+                    u, v = p[i : i + 4096], q[i : i + 4096]
+                    new = ~(earlier[u] == earlier[v]).all(axis=2).any(axis=1)
+                    u, v = u[new], v[new]
+                    hit = likely_similarity(regs[u], regs[v], size[u], size[v]) >= threshold if len(u) else np.zeros(0, bool)
+                    for x, y in zip(u[hit].tolist(), v[hit].tolist(), strict=True):
+                        rx, ry = comp[a + x], comp[a + y]
+                        while rx in root:
+                            rx = root[rx]
+                        while ry in root:
+                            ry = root[ry]
+                        if rx == ry:
+                            continue
+                        for z in (x, y):
+                            if z not in sets:
+                                sets[z] = next(shingle_sets(texts.slice(a + z, 1), WORDS))
+                        if similar(sets[x], sets[y]):
+                            root[max(rx, ry)] = min(rx, ry)
+                            xs.append(cid[a + x])
+                            ys.append(cid[a + y])
+            if xs:
+                x, y = np.array(xs), np.array(ys)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,13 +279,13 @@ def _block_links(placed: DataFrame, apart: DataFrame, classes: DataFrame, docs:
     apart = apart.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
     spread = spread_blocks(placed.join(apart, "key"), ["tab", "cid", "comp"])
     spread = spread.join(classes.select("cid", "n_shingles", "registers").hint("merge"), "cid")
-    pairs = written(by_block(spread).mapInArrow(_across(threshold), "block long, a long, ca long, b long, cb long"), "pairs")
-    ids = written(pairs.select("block", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    texts = ids.join(docs, "doc_id").select("block", F.col("doc_id").alias("a"), *(F.lit(None).cast("long").alias(c) for c in ("ca", "b", "cb")), "text")
-    both = texts.unionByName(pairs.withColumn("text", F.lit(None).cast("string")))
-    links = written(by_block(both).mapInArrow(_joined, "a long, b long").distinct(), "links")
-    release(pairs)
-    release(ids)
+    spread = spread.select("block", "cid", "comp", "side", "tab", "n_shingles", "registers")
+    some = written(by_block(spread).mapInArrow(_across(threshold), "block long, cid long, comp long, side int, tab int, n_shingles long, registers binary"), "some")
+    wanted = written(some.select("cid").distinct(), "wanted")
+    texts = written(docs.select(F.col("doc_id").alias("cid"), "text").join(wanted, "cid", "left_semi"), "texts")
+    links = written(by_block(some.join(texts.hint("merge"), "cid")).mapInArrow(_joined(threshold), "a long, b long").distinct(), "links")
+    for used in (some, wanted, texts):
+        release(used)
     return links
 
 
