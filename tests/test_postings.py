@@ -100,3 +100,28 @@ def test_registered(spark, sf_dir):
     began = time.time()
     postings.ranked(words_of(tables), ["the", "les"], 10).collect()
     assert time.time() - began < 5
+
+
+def test_blocks_are_bounded_and_lists_made_in_one_task(spark, tmp_path, monkeypatch):
+    """Spans are cut into blocks by bytes, and nothing but whole lists is shuffled once words are counted."""
+    monkeypatch.setattr(postings, "SPAN", 50)
+    monkeypatch.setattr(postings, "BLOCK_BYTES", 300)
+    rows = [*[r[:2] for r in corpus(150, 5)], (900, "Kelvin KELVIN İstanbul ΣΣ the"), (901, "the " * 300), (902, None)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    words = postings.add_texts(Index(spark, str(tmp_path / "words")), docs, buckets=4)
+    lists = words.table("postings", words.segments())
+    assert lists.groupBy("term", "block").count().where("count > 1").isEmpty() and lists.select("block").distinct().count() > 12
+    assert words.segments()[0]["n"] == len(rows) and words.segments()[0]["total"] == sum(len(search_words(t)) for _, t in rows)
+    for terms in (["the"], ["kelvin", "i*"], ["the", "index*"]):
+        want = {r["id"]: r["score"] for r in search.bm25(docs, terms).collect()}
+        assert {r["id"]: r["score"] for r in postings.ranked(words, terms).collect()} == pytest.approx(want)
+    grams = postings.add_grams(Index(spark, str(tmp_path / "grams")), docs, buckets=4)
+    for query in ("index", "the the", "Kel", "x", "ndigo "):
+        assert {r["id"] for r in postings.holding(grams, query).collect()} == {i for i, t in rows if t and query in t}
+    placed = docs.withColumn("_span", F.lit(0).cast("long"))
+    made = plan(postings._postings(placed.localCheckpoint(), ["text"], [1.0], postings._word_lists))
+    assert made.count("Exchange") == 1 and "Aggregate" not in made
+
+
+def search_words(text):
+    return postings.WORD.findall((text or "").lower())

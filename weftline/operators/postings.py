@@ -6,9 +6,12 @@ An index is a folder:
     postings/segment=S/bucket=B/   (term, block, n, max_tf, min_dl, ids, tf, dl), sorted by term
     texts/segment=S/part=P/        (block, id, text), for substring search only
 
-Documents of a segment lie in blocks of at most SPAN. A row of postings holds one term's documents of one block: so a
-term that every document holds is many bounded rows in several files, and all terms' rows of a block speak of the same
-documents. A word's bucket comes from its first four letters; words that begin with the same four letters share one. The
+Documents of a segment lie in spans of at most SPAN, and these in blocks of at most BLOCK_BYTES of text or
+of one document (texts are stored by spans). A row of postings holds one term's documents of one block: so a term that
+every document holds is many bounded rows in several files, and all terms' rows of a block speak of the same documents.
+A block is counted and its lists are made in one task, so that only finished lists are shuffled, once, to their buckets.
+The row of the term MARK has the number of a block's documents and of their tokens, and no ids. Lists of grams have ids
+alone. A word's bucket comes from its first four letters; words that begin with the same four letters share one. The
 beginnings of PREFIXES letters are terms of their own, under a mark that no word holds.
 
 A query reads only its terms' buckets (partition filters) and within them the row groups that hold its terms. The best k
@@ -19,18 +22,28 @@ the blocks with the highest bounds give a k-th score, and of the others only tho
 from __future__ import annotations
 
 import math
+import re
 import uuid
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.search import tokens, trigrams
 from weftline.sources.shared import release, written
 
 #: Documents of a block; buckets of terms; letters of stored beginnings, and their mark; blocks of a part of texts.
 SPAN, BUCKETS, PREFIXES, MARK, PART = 4096, 64, (2, 3, 4), "^", 16
+#: Bytes of a block's texts; bits of a block's number that count the blocks of a span.
+BLOCK_BYTES, SUB_BITS = 16_000_000, 12
+#: What search.tokens finds in lower-cased text.
+WORD = re.compile("[a-z0-9_-]+")
 #: Letters that decide a word's bucket.
 HEAD = 4
 #: Blocks whose documents give the score that others must reach, at first.
@@ -83,30 +96,151 @@ class Index:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """docs with _at, a number of each row, and its block; written."""
+    """docs with _span, the number of the span they lie in; written."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:
         docs = docs.repartition(cores)
     rows = written(docs.withColumn("_at", F.monotonically_increasing_id()), "placed")
     within = F.floor(F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) / SPAN)
-    out = rows.withColumn("block", F.shiftleft(F.shiftright("_at", 33), 22) + within)
+    out = rows.withColumn("_span", F.shiftleft(F.shiftright("_at", 33), 21) + within).drop("_at")
     out._weftline_path = rows._weftline_path
     return out
 
 
-def _finish(index: Index, counted: DataFrame, placed: DataFrame, totals: Column, buckets: int, texts: DataFrame | None) -> None:
-    """Stores counted (term, block, id, tf, dl), one row a document and term, as a new segment."""
+def _grouped(codes: np.ndarray, docs: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """codes, docs and the sum of weights (without: 1), a row for each different pair, by code and document."""
+    order = np.lexsort((docs, codes))
+    codes, docs = codes[order], docs[order]
+    new = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (docs[1:] != docs[:-1])]) if len(codes) else np.zeros(0, np.int64)
+    sums = np.ones(len(new)) if weights is None else np.add.reduceat(weights[order], new) if len(new) else np.zeros(0)
+    return codes[new], docs[new], sums
+
+
+def _lists(terms: pa.Array, codes: np.ndarray, docs: np.ndarray, tf: np.ndarray, ids: pa.Array, dl: np.ndarray | None, block: int) -> pa.RecordBatch:
+    """Rows of postings of one block from pairs by code and document; codes point into terms, docs into ids."""
+    new = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    offsets = pa.array(np.r_[new, len(codes)], pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, ids.take(pa.array(docs)))
+    none = pa.array(np.zeros(len(new) + 1), pa.int32())
+    if dl is None:
+        least, tfs, dls = np.zeros(len(new), np.int32), pa.ListArray.from_arrays(none, pa.array([], pa.float64())), pa.ListArray.from_arrays(none, pa.array([], pa.int32()))
+    else:
+        each = dl[docs].astype(np.int32)
+        least = np.minimum.reduceat(each, new) if len(new) else np.zeros(0, np.int32)
+        tfs, dls = pa.ListArray.from_arrays(offsets, pa.array(tf)), pa.ListArray.from_arrays(offsets, pa.array(each))
+    most = np.maximum.reduceat(tf, new) if len(new) else np.zeros(0)
+    n = np.diff(np.r_[new, len(codes)])
+    columns = [terms.take(pa.array(codes[new])), pa.array(np.full(len(new), block)), pa.array(n, pa.int64()), pa.array(most), pa.array(least), lists, tfs, dls]
+    return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "max_tf", "min_dl", "ids", "tf", "dl"])
+
+
+def _of_block(rows: int, total: int, ids: pa.Array, block: int) -> pa.RecordBatch:
+    """The row of MARK: how many documents and tokens the block has."""
+    none = pa.array([0, 0], pa.int32())
+    empty = [pa.ListArray.from_arrays(none, pa.array([], t)) for t in (ids.type, pa.float64(), pa.int32())]
+    columns = [pa.array([MARK]), pa.array([block]), pa.array([rows]), pa.array([float(total)]), pa.array([0], pa.int32()), *empty]
+    return pa.RecordBatch.from_arrays(columns, ["term", "block", "n", "max_tf", "min_dl", "ids", "tf", "dl"])
+
+
+def _text(value: bytes | None) -> str:
+    return (value or b"").decode("utf-8", "replace")
+
+
+def _word_lists(columns: list[pa.Array], weights: list[float], ids: pa.Array, block: int) -> Iterator[pa.RecordBatch]:
+    """Lists of the words of columns (search.tokens), and of their beginnings."""
+    dl, code, found, at, tf = np.zeros(len(ids), np.int64), defaultdict(), array("q"), [], []
+    code.default_factory = code.__len__
+    for column, weight in zip(columns, weights, strict=True):
+        different, times = np.zeros(len(ids), np.int64), array("q")
+        for doc, text in enumerate(column.to_pylist()):
+            counts = Counter(WORD.findall(_text(text).lower()))
+            found.extend(map(code.__getitem__, counts))
+            times.extend(counts.values())
+            different[doc] = len(counts)
+            dl[doc] += counts.total()
+        at.append(np.repeat(np.arange(len(ids)), different))
+        tf.append(np.frombuffer(times, np.int64) * weight)
+    words = pa.array(code, pa.string())
+    codes, docs, tf = _grouped(np.frombuffer(found, np.int64), np.concatenate(at), np.concatenate(tf))
+    yield _of_block(len(ids), int(dl.sum()), ids, block)
+    yield _lists(words, codes, docs, tf, ids, dl, block)
+    lengths = pc.utf8_length(words).to_numpy().astype(np.int64)
+    for letters in PREFIXES:
+        begun = pc.binary_join_element_wise(pa.scalar(MARK), pc.utf8_slice_codeunits(words, 0, letters), "").dictionary_encode()
+        of = begun.indices.to_numpy().astype(np.int64)
+        long = lengths[codes] >= letters
+        yield _lists(begun.dictionary, *_grouped(of[codes[long]], docs[long], tf[long]), ids, dl, block)
+
+
+def _gram_lists(columns: list[pa.Array], weights: list[float], ids: pa.Array, block: int) -> Iterator[pa.RecordBatch]:
+    """Lists of the runs of three code points of a column (string)."""
+    grams, docs = [], []
+    for at, text in enumerate(columns[0].to_pylist()):
+        points = np.frombuffer(_text(text).encode("utf-32-le"), np.uint32).astype(np.int64)
+        if len(points) >= 3:
+            grams.append(np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:]))
+            docs.append(np.full(len(grams[-1]), at))
+    yield _of_block(len(ids), 0, ids, block)
+    if grams:
+        different, codes = np.unique(np.concatenate(grams), return_inverse=True)
+        points = np.stack([different >> 42, (different >> 21) & 0x1FFFFF, different & 0x1FFFFF], 1).astype("<u4")
+        text = points.tobytes().decode("utf-32-le")
+        terms = pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string())
+        yield _lists(terms, *_grouped(codes, np.concatenate(docs), None), ids, None, block)
+
+
+def _postings(placed: DataFrame, names: list[str], weights: list[float], make: Callable) -> DataFrame:
+    """Rows of postings by make, from the columns names of placed (also id, _span). A task sees whole spans."""
+    kind = placed.schema["id"].dataType.simpleString()
+    most, bits = BLOCK_BYTES, SUB_BITS
+
+    def size(column: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
+
+    def block_of(parts: list[pa.RecordBatch], span: int, sub: int) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()
+        for batch in whole:  # one, as a block is below 2 GB
+            batch = batch.take(pc.array_sort_indices(batch.column("id"), null_placement="at_start"))
+            yield from make([batch.column(n) for n in names], weights, batch.column("id"), (span << bits) + sub)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span, sub, parts, held = None, 0, [], 0
+        for batch in batches:
+            spans, sizes = batch.column("_span").to_numpy(), sum(size(batch.column(n)) for n in names)
+            start = 0
+            for at in range(len(spans)):
+                other = spans[at] != span
+                if other or (held + sizes[at] > most and held):
+                    if at > start:
+                        parts.append(batch.slice(start, at - start))
+                    if parts:
+                        yield from block_of(parts, span, sub)
+                    sub = 0 if other else sub + 1
+                    span, parts, held, start = int(spans[at]), [], 0, at
+                held += int(sizes[at])
+            parts.append(batch.slice(start))
+        if parts:
+            yield from block_of(parts, span, sub)
+
+    dealt = placed.select("id", "_span", *(F.col(n).cast("binary").alias(n) for n in names)).repartition("_span").sortWithinPartitions("_span")
+    columns = f"term string, block long, n long, max_tf double, min_dl int, ids array<{kind}>, tf array<double>, dl array<int>"
+    return dealt.mapInArrow(run, columns)
+
+
+def _finish(index: Index, lists: DataFrame, placed: DataFrame, buckets: int, texts: DataFrame | None) -> None:
+    """Stores rows of postings as a new segment."""
     segment = uuid.uuid4().hex
-    item = F.sort_array(F.collect_list(F.struct("id", "tf", "dl")))
-    lists = counted.groupBy("term", "block").agg(item.alias("x"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-    rows = lists.select("term", "block", F.size("x").cast("long").alias("n"), "max_tf", "min_dl", F.col("x.id").alias("ids"), F.col("x.tf").alias("tf"), F.col("x.dl").alias("dl"), bucket_of(F.col("term"), buckets).alias("bucket"))
-    # a bucket is one file for about every million documents
-    dealt = rows.repartition("bucket", F.floor(F.col("block") / 256)).sortWithinPartitions("bucket", "term", "block")
-    dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{index.path}/postings/segment={segment}")
+    postings = f"{index.path}/postings/segment={segment}"
+    rows = lists.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    # a bucket is at most one file for about every million documents, and a task writes few of them
+    dealt = rows.repartition("bucket", F.floor(F.shiftright("block", SUB_BITS) / 256)).sortWithinPartitions("bucket", "term", "block")
+    dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(postings)
     if texts is not None:
         parted = texts.withColumn("part", F.pmod(F.xxhash64(F.floor(F.col("block") / PART)), F.lit(1 << 16)).cast("int"))
         parted.repartition("part").sortWithinPartitions("part", "block").write.partitionBy("part").option("compression", "zstd").parquet(f"{index.path}/texts/segment={segment}")
-    done = placed.agg(F.lit(segment).alias("segment"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(totals), F.lit(0)).cast("long").alias("total"), F.count_distinct("block").alias("blocks"), F.lit(buckets).alias("buckets"), F.lit(placed.schema["id"].dataType.simpleString()).alias("id_type"))
+    blocks = index.spark.read.schema("term string, n long, max_tf double, bucket int").parquet(postings).where((F.col("bucket") == bucket_of(F.lit(MARK), buckets)) & (F.col("term") == MARK))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    done = blocks.agg(F.lit(segment).alias("segment"), count("n").alias("n"), count("max_tf").alias("total"), F.count(F.lit(1)).alias("blocks"), F.lit(buckets).alias("buckets"), F.lit(placed.schema["id"].dataType.simpleString()).alias("id_type"))
     done.coalesce(1).write.mode("append").parquet(f"{index.path}/segments")
     release(placed)
 
@@ -116,29 +250,20 @@ def _buckets(index: Index, buckets: int) -> int:
     return index.segments()[0]["buckets"] if index.exists() else buckets
 
 
-def _weighed(column: str, weight: float) -> Column:
-    return F.transform(tokens(F.coalesce(column, F.lit(""))), lambda x: F.struct(x.alias("term"), F.lit(float(weight)).alias("w")))
-
-
 def add_texts(index: Index, docs: DataFrame, weights: dict[str, float] | None = None, buckets: int = BUCKETS) -> Index:
     """Adds documents (id, and the columns that weights names, else text) as a segment. A null column is empty; a word
     counts its column's weight; a document of a new segment is not checked against older ones."""
     weights, buckets = weights or {"text": 1.0}, _buckets(index, buckets)
-    words = F.concat(*(_weighed(c, w) for c, w in weights.items()))
-    placed = _placed(docs.select("id", words.alias("words")).withColumn("dl", F.size("words")))
-    begun = [F.when(F.length("w.term") >= p, F.concat(F.lit(MARK), F.substring("w.term", 1, p))) for p in PREFIXES]
-    each = placed.select("_at", "block", "id", "dl", F.explode("words").alias("w")).select("_at", "block", "id", "dl", "w.w", F.explode(F.array_compact(F.array("w.term", *begun))).alias("term"))
-    counted = each.groupBy("_at", "block", "id", "dl", "term").agg(F.sum("w").alias("tf"))
-    _finish(index, counted, placed, F.col("dl"), buckets, None)
+    placed = _placed(docs.select("id", *weights))
+    _finish(index, _postings(placed, list(weights), [float(w) for w in weights.values()], _word_lists), placed, buckets, None)
     return index
 
 
 def add_grams(index: Index, docs: DataFrame, buckets: int = BUCKETS) -> Index:
-    """Adds documents (id, text) as a segment of grams; their texts are stored beside, by blocks."""
+    """Adds documents (id, text) as a segment of grams; their texts are stored beside, by spans."""
     buckets = _buckets(index, buckets)
     placed = _placed(docs.select("id", "text"))
-    counted = placed.select("block", "id", F.explode(F.array_distinct(trigrams(F.col("text")))).alias("term")).select("term", "block", "id", F.lit(1.0).alias("tf"), F.lit(0).alias("dl"))
-    _finish(index, counted, placed, F.lit(0), buckets, placed.select("block", "id", "text"))
+    _finish(index, _postings(placed, ["text"], [], _gram_lists), placed, buckets, placed.select(F.col("_span").alias("block"), "id", "text"))
     return index
 
 
@@ -213,7 +338,7 @@ def holding(index: Index, query: str) -> DataFrame:
     near = rows.where(F.col("term").isin(grams)).join(rows.where(F.col("term") == grams[0]).select("segment", "block"), ["segment", "block"], "left_semi")
     lists = near.groupBy("segment", "block").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("lists")).where(F.size("lists") == len(grams))
     both = F.aggregate(F.slice("lists", 2, len(grams)), F.element_at("lists", 1)["ids"], lambda acc, x: F.array_intersect(acc, x["ids"]))
-    hits = written(lists.select("segment", "block", F.explode(both).alias("id")), "hits")
+    hits = written(lists.select("segment", F.shiftright("block", SUB_BITS).alias("block"), F.explode(both).alias("id")), "hits")
     part = F.pmod(F.xxhash64(F.floor(F.col("block") / PART)), F.lit(1 << 16)).cast("int")
     parts = [r[0] for r in hits.select(part.alias("part")).distinct().collect()]  # at most the folders of the index
     near_texts = texts.where(F.col("part").isin(parts)) if parts else texts.limit(0)
@@ -225,12 +350,12 @@ def compact(index: Index, into: str) -> Index:
     out, segment, all_ = Index(index.spark, into), uuid.uuid4().hex, index.segments()
     number = {s["segment"]: i for i, s in enumerate(all_)}
     place = F.coalesce(*(F.when(F.col("segment") == s, i) for s, i in number.items()))
-    moved = lambda df: df.withColumn("block", F.col("block") + F.shiftleft(place.cast("long"), 52)).drop("segment")
-    dealt = moved(index.table("postings", all_)).repartition("bucket", F.floor(F.col("block") / 256)).sortWithinPartitions("bucket", "term", "block")
+    moved = lambda df, bits: df.withColumn("block", F.col("block") + F.shiftleft(place.cast("long"), bits)).drop("segment")
+    dealt = moved(index.table("postings", all_), 52).repartition("bucket", F.floor(F.shiftright("block", SUB_BITS) / 256)).sortWithinPartitions("bucket", "term", "block")
     dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{into}/postings/segment={segment}")
     if index.exists("texts"):
         part = F.pmod(F.xxhash64(F.floor(F.col("block") / PART)), F.lit(1 << 16)).cast("int")
-        moved(index.table("texts", all_)).withColumn("part", part).repartition("part").sortWithinPartitions("part", "block").write.partitionBy("part").option("compression", "zstd").parquet(f"{into}/texts/segment={segment}")
+        moved(index.table("texts", all_), 52 - SUB_BITS).withColumn("part", part).repartition("part").sortWithinPartitions("part", "block").write.partitionBy("part").option("compression", "zstd").parquet(f"{into}/texts/segment={segment}")
     done = [(segment, sum(s["n"] for s in all_), sum(s["total"] for s in all_), sum(s["blocks"] for s in all_), all_[0]["buckets"], all_[0]["id_type"])]
     index.spark.createDataFrame(done, SEGMENT).coalesce(1).write.mode("append").parquet(f"{into}/segments")
     return out

@@ -136,7 +136,7 @@ class Tables:
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{source}.parquet")
         status = path.getFileSystem(conf).getFileStatus(path)
-        mark = hashlib.sha256(f"2 {path} {status.getLen()} {status.getModificationTime()}".encode()).hexdigest()[:20]
+        mark = hashlib.sha256(f"3 {path} {status.getLen()} {status.getModificationTime()}".encode()).hexdigest()[:20]
         place = f"{shared_folder(self.spark)}/weftline-{name}-{mark}"
         found = OPENED.setdefault((self.spark.sparkContext.applicationId, place), Index(self.spark, place))
         if not found.exists():
