@@ -206,3 +206,27 @@ def test_shared_folder_must_be_named_on_a_cluster():
     session = type("S", (), {"conf": Conf, "sparkContext": Context})
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_folder(session)
+
+
+def test_paths_read_near_edges_alone(spark, monkeypatch):
+    """Few ends: their ids reach what edges is made of, below distinct. Many: all edges are written once. Same paths."""
+    rows = [("a", i, "a", j) for i, j in [(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5), (5, 6), (6, 7), (2, 1), (7, 2)]] + [("b", 1, "a", 1)]
+    edges = spark.createDataFrame(rows * 2, "source_type string, source_id long, target_type string, target_id long").distinct()
+    asked, made, whole = [], [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, what: (made.append(what), asked.append(df._jdf.queryExecution().optimizedPlan().toString())) and whole(df, what))
+
+    def paths(backward):
+        return sorted(tuple(r) for r in graph.reach_with_paths(edges, "a", 1, 5, backward).collect())
+
+    few = {b: paths(b) for b in (False, True)}
+    assert set(made) == {"paths"}
+    first = asked[0]
+    assert first.index("Aggregate") < first.index("source_id#") and "Filter" in first[first.index("Aggregate") :]
+    made.clear()
+    monkeypatch.setattr(graph, "NEAR", 1)
+    assert {b: paths(b) for b in (False, True)} == few and made.count("known") == 2
+    walk, want = [(("a", 1), ["a:1"])], []
+    for depth in range(1, 6):
+        walk = [((t, i), [*seen, f"{t}:{i}"]) for (a, n), seen in walk for s, k, t, i in rows if (s, k) == (a, n) and f"{t}:{i}" not in seen]
+        want += [(t, i, depth, " > ".join(seen)) for (t, i), seen in walk]
+    assert few[False] == sorted(want)

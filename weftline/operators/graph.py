@@ -23,6 +23,8 @@ from weftline.sources.shared import release, written
 MERGED = 40
 #: Rows of a frontier that impact() broadcasts at most.
 FRONTIER = 500_000
+#: Nodes whose edges reach_with_paths() asks for by their ids at most.
+NEAR = 1000
 
 
 def resolve_targets(wanted: DataFrame, files: DataFrame, symbols: DataFrame, equations: DataFrame) -> DataFrame:
@@ -212,15 +214,29 @@ def reach_with_paths(edges: DataFrame, node_type: str, node_id: int, max_depth:
     """Along out-edges (backward: in-edges): type, id, depth, path (a string of node keys) of each simple path of at most
     max_depth edges.
 
-    One row for each path, so their number grows with the branching to the power of max_depth: bound it."""
+    One row for each path, so their number grows with the branching to the power of max_depth: bound it. A round whose
+    paths end in at most NEAR nodes reads the edges of these alone, by a filter that reaches what edges is made of; the
+    first other one writes all edges, which later ones read."""
     spark = edges.sparkSession
     near, far = ("target", "source") if backward else ("source", "target")
-    step_of = edges.select(F.col(f"{near}_type").alias("from_type"), F.col(f"{near}_id").alias("from_id"), F.col(f"{far}_type").alias("type"), F.col(f"{far}_id").alias("id"))
+    steps_of = lambda some: some.select(F.col(f"{near}_type").alias("from_type"), F.col(f"{near}_id").alias("from_id"), F.col(f"{far}_type").alias("type"), F.col(f"{far}_id").alias("id"))
     frontier = spark.createDataFrame([(node_type, node_id, [f"{node_type}:{node_id}"])], "from_type string, from_id long, seen array<string>")
-    found = []
+    found, ends, size, known = [], [(node_type, node_id)], 1, None
     for depth in range(1, max_depth + 1):
-        step = step_of.join(frontier, ["from_type", "from_id"]).withColumn("_key", F.concat("type", F.lit(":"), F.col("id").cast("string")))
+        if len(ends) <= NEAR:
+            ids = {kind: [i for k, i in ends if k == kind] for kind, _ in ends}
+            some = (edges if known is None else known).where(reduce(lambda a, b: a | b, [(F.col(f"{near}_type") == k) & F.col(f"{near}_id").isin(v) for k, v in ids.items()]))
+        else:
+            known = written(edges, "known") if known is None else known
+            some = known
+        step = steps_of(some).join(F.broadcast(frontier) if size <= FRONTIER else frontier, ["from_type", "from_id"])
+        step = step.withColumn("_key", F.concat("type", F.lit(":"), F.col("id").cast("string")))
         level = written(step.where(~F.array_contains("seen", F.col("_key"))).select("type", "id", F.concat("seen", F.array("_key")).alias("seen")), "paths")
         found.append(level.select("type", "id", F.lit(depth).alias("depth"), F.array_join("seen", " > ").alias("path")))
-        frontier = level.select(F.col("type").alias("from_type"), F.col("id").alias("from_id"), "seen")
+        frontier, size = level.select(F.col("type").alias("from_type"), F.col("id").alias("from_id"), "seen"), level.count()
+        if not size:
+            break
+        ends = [tuple(r) for r in level.select("type", "id").distinct().limit(NEAR + 1).collect()]
+    if known is not None:
+        release(known)
     return reduce(DataFrame.unionByName, found)
