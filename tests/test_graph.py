@@ -230,3 +230,18 @@ def test_paths_read_near_edges_alone(spark, monkeypatch):
         walk = [((t, i), [*seen, f"{t}:{i}"]) for (a, n), seen in walk for s, k, t, i in rows if (s, k) == (a, n) and f"{t}:{i}" not in seen]
         want += [(t, i, depth, " > ".join(seen)) for (t, i), seen in walk]
     assert few[False] == sorted(want)
+
+
+def test_many_pairs(spark, monkeypatch):
+    """A key with many rows on both sides is dealt over many tasks; nothing is lost, null keys join nothing."""
+    monkeypatch.setattr(joins, "CELL", 16)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 256)
+    left = spark.range(700).select(F.col("id").alias("l"), F.when(F.col("id") % 7 > 0, F.least(F.col("id") % 7, F.lit(2))).alias("k"))
+    right = spark.range(90).select(F.col("id").alias("r"), F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("k"))
+    out = joins.many_pairs(left, right, "k")
+    want = sorted((a["k"], a["l"], b["r"]) for a in left.collect() for b in right.collect() if a["k"] is not None and a["k"] == b["k"])
+    assert sorted((r["k"], r["l"], r["r"]) for r in out.select("k", "l", "r").collect()) == want
+    sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 20 and max(sizes) < len(want) / 8
+    monkeypatch.undo()
+    assert sorted((r["k"], r["l"], r["r"]) for r in joins.many_pairs(left, right, "k").select("k", "l", "r").collect()) == want

@@ -31,11 +31,39 @@ def to_nodes(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
     )
 
 
+#: Rows of each side of a cell, and pairs that a task makes, about, where a key has many rows on both sides of a join.
+CELL, TASK_PAIRS = 2048, 1 << 22
+
+
+def many_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left inner join right on key, for keys that have many rows on both sides: the pairs of such a key are cells of
+    about CELL by CELL rows, dealt over as many tasks as there are pairs for, so that a task's work does not grow with
+    the tables. Rows of a side that are equal in all columns share a cell. Only the number of pairs comes to the driver,
+    and keys with more than CELL rows on a side are broadcast."""
+    left, right = left.where(F.col(key).isNotNull()), right.where(F.col(key).isNotNull())
+    counted = lambda df, n: df.groupBy(key).agg(F.count(F.lit(1)).alias(n))
+    both = counted(left, "_l").join(counted(right, "_r"), key)
+    pairs = both.agg(F.sum(F.col("_l").cast("double") * F.col("_r"))).first()[0] or 0
+    if pairs <= TASK_PAIRS:
+        return left.join(right, key)
+    cells = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    heavy = F.broadcast(both.where((F.col("_l") > CELL) | (F.col("_r") > CELL)).select(key, cells("_l").alias("_l"), cells("_r").alias("_r")))
+
+    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1))).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        out = df.join(heavy, key, "left").select(*df.columns, at.alias(f"{own}_at"), copies.alias(f"{other}_at"))
+        return out.repartition(tasks, key, "_l_at", "_r_at")
+
+    # not fewer than Spark's own number, or it would deal them anew
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(pairs) // TASK_PAIRS))
+    return placed(left, "_l", "_r").join(placed(right, "_r", "_l").hint("merge"), [key, "_l_at", "_r_at"]).drop("_l_at", "_r_at")
+
+
 def variables_of_equations(equations: DataFrame, variables: DataFrame) -> DataFrame:
     """Variables of each equation's symbol; equations without symbol have none."""
-    return equations.select(F.col("id").alias("equation_id"), "symbol_id").join(
-        variables.select(F.col("id").alias("variable_id"), "symbol_id", F.col("name").alias("variable_name")), "symbol_id"
-    )
+    wanted = variables.select(F.col("id").alias("variable_id"), "symbol_id", F.col("name").alias("variable_name"))
+    return many_pairs(equations.select(F.col("id").alias("equation_id"), "symbol_id"), wanted, "symbol_id")
 
 
 #: Lines of a file whose rows meet in one group when lines are held against intervals of lines.
