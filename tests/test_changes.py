@@ -73,6 +73,29 @@ def test_odd_parents(spark):
     assert got == {"a": ("a", 0, "A"), "b": ("a", 1, "A.B"), "c": ("a", 2, "A.B.C"), "d": ("d", 0, "D"), "x": none, "y": none, "z": none, "s": none}
 
 
+def test_layers(spark, monkeypatch):
+    """Bushy trees: leaves are laid aside before any round, dangling parents, cycles and null names among them; a parent
+    of most nodes is joined by few of them in the rounds."""
+    doubled, sizes = hierarchy._doubled, []
+    monkeypatch.setattr(hierarchy, "_doubled", lambda nodes, count: sizes.append(count) or doubled(nodes, count))
+    rows = [(0, None, "r")] + [(i, 0, f"a{i}") for i in range(1, 5)] + [(10 + i, 1 + i % 4, f"b{i}") for i in range(40)] + [(100 + i, 10 + i % 40, f"c{i}") for i in range(900)]
+    rows += [(2000 + i, 1999, f"d{i}") for i in range(20)] + [(3000, 3001, "x"), (3001, 3000, "y")] + [(3100 + i, 3000, "z") for i in range(9)] + [(4000, None, None), (4001, 4000, None), (4002, 4001, "n")]
+    known = {n: (p, m) for n, p, m in rows}
+
+    def above(node):
+        names, at, depth = [known[node][1]], node, 0
+        while known[at][0] in known:
+            at, depth = known[at][0], depth + 1
+            names.insert(0, known[at][1])
+            if depth > len(known):
+                return None, None, None
+        return at, depth, ".".join(n for n in names if n is not None) or None
+
+    got = {r["node"]: tuple(r)[1:] for r in hierarchy.ancestry(spark.createDataFrame(rows, "node long, parent long, name string")).collect()}
+    assert got == {n: above(n) for n in known}
+    assert sizes[0] < 30  # of 983
+
+
 OK = {
     "file": '{"summary": "s", "confidence": 0.5}',
     "symbol": '{"responsibility": "r", "confidence": 1}',
