@@ -230,36 +230,54 @@ class LibraryCodec(Codec):
         self.library.no_padding()
         self.tokenize = self.library.model.tokenize
         self.seen_strings: dict[str, bytes] = {}
+        self.older_strings: dict[str, bytes] = {}
+        self.older_ids: dict[str, bytes] = {}
         self.symbols = dict(enumerate(byte_symbols()))
 
-    def _learn(self, words: list[str]) -> None:
-        """New words by the library's own model, each as the string of its bytes' symbols."""
-        for word in words:
-            ids = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.symbols))]
-            self.seen_ids[word] = struct.pack(f"<{len(ids)}I", *ids)
+    def _new(self, word: str) -> bytes:
+        """A word's ids by the library's own model, as the string of its bytes' symbols; visible ASCII is its own."""
+        ids = [t.id for t in self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _known(self, word: str) -> bytes | None:
+        """Ids of a word that was met beside others in a string."""
+        return self.seen_ids.get(word) or self.older_ids.get(word)
+
+    def _part(self, word: str) -> bytes:
+        ids = self.seen_ids.get(word)
+        if ids is None:
+            ids = self._known(word) or self.seen_strings.get(word) or self.older_strings.get(word) or self._new(word)
+            if len(self.seen_ids) >= REMEMBERED // 2:
+                self.older_ids, self.seen_ids = self.seen_ids, {}
+            self.seen_ids[word] = ids
+        return ids
 
     def _string(self, string: str) -> bytes:
         """Ids of a string without white space, by its words."""
-        words = self.splitter.fast.findall(string)
-        if len(self.seen_ids) >= REMEMBERED:
-            self.seen_ids.clear()
-        self._learn([w for w in words if w not in self.seen_ids])
-        found = self.seen_strings[string] = b"".join([self.seen_ids[w] for w in words])
+        found = self.older_strings.get(string)
+        if found is None:
+            if string.isalpha():
+                found = self._known(string) or self._new(string)
+            else:
+                found = b"".join([self._part(w) for w in self.splitter.fast.findall(string)])
+        self.seen_strings[string] = found
         return found
 
     def encode(self, text: str | None) -> bytes:
-        """As no word spans white space, a text of common characters is encoded string by string."""
+        """As no word spans white space, a text of common characters is encoded string by string. What is remembered is
+        of two ages: the older half goes when the younger is full, but for what was met again."""
         if not text:
             return b""
         if not self.splitter.common.fullmatch(text) or (self.find_special and self.find_special.search(text)):
             ids = self.library.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.seen_strings) >= 2 * REMEMBERED:
-            self.seen_strings.clear()
+        if len(self.seen_strings) >= REMEMBERED:
+            self.older_strings, self.seen_strings = self.seen_strings, {}
         strings = text.lower().split()
         parts = list(map(self.seen_strings.get, strings))
         if None in parts:
-            parts = [self._string(s) if p is None else p for p, s in zip(parts, strings, strict=True)]
+            new, seen = self._string, self.seen_strings
+            parts = [p or seen.get(s) or new(s) for p, s in zip(parts, strings, strict=True)]
         return b"".join(parts)
 
 
