@@ -1,16 +1,19 @@
 """The pipeline against its stages done by brute force in plain Python."""
 
+import os
 import random
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_text import components, library, shingles, vocabulary
 
 from weftline.llm import suffix
+from weftline.sources import shared
 
 
 def brute_removed(texts, size=corpus_pipeline.PASSAGE_BYTES, words=corpus_pipeline.PASSAGE_WORDS):
@@ -118,3 +121,33 @@ def test_repeated_rows_keep_one_text(spark, sf_dir):
     kept = got.pop((7, near), 0) + got.pop((7, same), 0)
     assert kept == 1
     assert got == Counter([(None, null), (8, mixed), (5, one), (5, two), (3, None), (None, None)])
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    """The shuffle files of a written table's query are gone when it is written."""
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    blocks = lambda: {n for d in folder for _, _, names in os.walk(d) for n in names if n.startswith("shuffle_")}
+    before = blocks()
+    table = shared.written(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    assert blocks() <= before and table.count() == 7
+    assert spark.conf.get(shared.CLEANUP) == "false"
+
+
+@pytest.mark.parametrize(("size", "of"), [(400, 1), (101, 4)])
+def test_segments_come_in_shares(spark, sf_dir, monkeypatch, size, of):
+    """Segments of short strings are written a share of the anchors at a time; together they are all."""
+    counts = []
+
+    def noted(df, what):
+        out = shared.written(df, what)
+        counts.extend([out.count()] if what == "segments" else [])
+        return out
+
+    monkeypatch.setattr(suffix, "written", noted)
+    monkeypatch.setattr(suffix, "HOT", 1 << 30)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id % 4 = 0")
+    suffix.repeated_spans(docs, size, across=True)
+    texts = [(r["text"] or "").encode() for r in docs.collect()]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    every = suffix.segments(np.frombuffer(b"".join(texts), np.uint8), offsets, suffix.levels(size)[0], size)
+    assert len(counts) == of and 0.98 * len(every[0]) < sum(counts) < 1.02 * len(every[0]) and max(counts) < 1.2 * sum(counts) / of

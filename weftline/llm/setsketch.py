@@ -22,6 +22,7 @@ with a null doc_id are kept and link with nothing; an empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ from weftline.llm.vectors import blocks, by_block, spread_blocks
 WORDS = 5
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
+#: Shares of the buckets, by their keys, that are made one after the other: disk holds the shuffles of one.
+SHARES = 4
 #: Classes of a bucket that one block holds at most, about.
 BLOCK = 1024
 #: Signs of each register for the first weighing inside a block.
@@ -104,6 +107,19 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _members(classes: DataFrame) -> list[DataFrame]:
+    """Tables (key, cid, tab, lead): the classes in buckets of several, and each bucket's leader. A bucket's rows are
+    dealt by its key, whatever their bands."""
+    out = []
+    for share in range(SHARES):
+        bands = classes.select("cid", "registers").mapInArrow(_bands, "cid long, key long, tab int").where(F.pmod("key", F.lit(SHARES)) == share)
+        leads = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("l"), F.max("cid").alias("x"), F.min("cid").alias("y"))
+        leads = leads.where("x <> y").select("key", F.col("l.cid").alias("lead"))
+        # written as joined, so that a hot key's rows can be split; ids of several texts may repeat until `placed`
+        out.append(written(bands.join(leads.hint("merge"), "key"), "members"))
+    return out
+
+
 def _estimates(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, threshold: float) -> np.ndarray:
     """Joint estimates, 0 where sizes or agreeing registers leave no chance of `threshold`."""
     out = np.zeros(len(u))
@@ -302,17 +318,14 @@ def near_duplicates(docs: DataFrame, doubt: float = 0.12, work: float = 4.0) ->
         filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")),
         "classes",
     )
-    bands = classes.select("cid", "registers").mapInArrow(_bands, "cid long, key long, tab int")
-    leads = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("l"), F.max("cid").alias("x"), F.min("cid").alias("y"))
-    leads = leads.where("x <> y").select("key", F.col("l.cid").alias("lead"))
-    # written as joined, so that a hot key's rows can be split; ids of several texts may repeat until `placed`
-    members = written(bands.join(leads.hint("merge"), "key"), "members")
+    parts = _members(classes)
+    members = reduce(DataFrame.unionAll, parts)
     pair = [F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")]
     links = _star_links(members.where("cid <> lead").select(*pair).distinct(), classes, docs, threshold)
     # a doc_id with several texts is one document: its classes are linked
     ids = written(filled.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).select("doc_id", "cid").distinct(), "ids")
     own = ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b").select("a", "b")
-    found, all_members, used = written(own.unionAll(links), "found"), None, [members, links]
+    found, all_members, used = written(own.unionAll(links), "found"), None, [*parts, links]
     for turn in range(ROUNDS + 1):
         labels = connected_components(found).withColumnRenamed("id", "cid")
         placed = members.select("key", "tab", "cid").distinct().join(labels, "cid", "left")

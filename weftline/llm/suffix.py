@@ -18,7 +18,10 @@ rounds is here the written segments: Spark's tables are the sequential files.
 Equal segments are one, with a flag that says whether it was met more than once. Anchors with more than HOT different
 segments are cut again with longer anchors, up to anchors of the whole length, where all segments of an anchor are
 equal; so no task gets a collection that grows with a third of the input. Joins on anchors and on segments are salted
-for keys that hold more than 1 / HEAVY of all segments (see `skewed`).
+for keys that hold more than 1 / HEAVY of all segments (see `skewed`). Short strings have dense anchors, and so segments
+that together have several times the texts' bytes. Then anchors are dealt into shares by their hash, and one share after
+the other is done wholly, from the texts to the spans: windows of different anchors never meet, so nothing is lost, and
+disk holds the segments of one share at a time.
 
 Defined cases: a null text is empty; rows are separate documents, repeated rows (and rows of one doc_id) too,
 but that across=True takes rows of one doc_id (or none) and one text as one document; texts
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +59,12 @@ def levels(length: int) -> tuple[int, ...]:
     return max(1, length * 4 // 25), max(1, length * 37 // 40), length
 
 
+def shares(length: int) -> int:
+    """Shares of the anchors that are done one after the other: each has about as many segments as strings of LENGTH
+    bytes have in all, as a text's anchors lie about length / 2 bytes apart."""
+    return -(-LENGTH // length)
+
+
 def anchors(data: np.ndarray, gram: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(place of its anchor for each window of `length` bytes, hash of the gram at each place)."""
     prefix = prefix_hash(data)
@@ -154,15 +164,17 @@ def _digests(pieces: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([hashlib.blake2b(s, digest_size=8).digest() for s in pieces]), np.int64)
 
 
-def _segments(gram: int, length: int):
-    """(d, h, text, ...) -> a row for each segment, with a digest of its bytes, which with the key names it; further
-    columns are carried along."""
+def _segments(gram: int, length: int, share: int = 0, of: int = 1):
+    """(d, h, text, ...) -> a row for each segment of a share of the keys, with a digest of its bytes, which with the
+    key names it; further columns are carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [n for n in batch.schema.names if n != "text"]
             for a, _, data, offsets in text_chunks(batch.column(2)):
                 text, first, last, anchor, key = segments(data, offsets, gram, length)
+                mine = mix(key.view(U64), 51) % U64(of) == share
+                text, first, last, anchor, key = (x[mine] for x in (text, first, last, anchor, key))
                 at, buffer, base = pa.array(text + a), data.tobytes(), offsets[text]
                 digest = _digests([buffer[i:j] for i, j in zip((base + first).tolist(), (base + last + length).tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(
@@ -238,12 +250,12 @@ def _heavy(counts: DataFrame, total: int) -> DataFrame:
     return counts.where(F.col("n") > limit).withColumn("parts", F.ceil(F.col("n") / limit).cast("int"))
 
 
-def _repeats(texts: DataFrame, level: int, length: int, across: bool) -> DataFrame:
-    """(d, h, lo, hi): spans of the texts (d, h, text) that repeated strings of `length` bytes cover. On deeper levels
-    the texts are different segments, and carry many (met more than once) and, if across, least and most (the numbers
-    of the documents that hold them)."""
+def _repeats(texts: DataFrame, level: int, length: int, across: bool, share: int = 0, of: int = 1) -> DataFrame:
+    """(d, h, lo, hi): spans of the texts (d, h, text) that repeated strings of `length` bytes cover, as far as their
+    anchors are of the share. On deeper levels the texts are different segments, and carry many (met more than once)
+    and, if across, least and most (the numbers of the documents that hold them)."""
     carried = (["many boolean"] + ["least long", "most long"] * across) * (level > 0)
-    every = written(texts.mapInArrow(_segments(levels(length)[level], length), ", ".join(["d long", "h long", *carried, "key long", "s long", "first int", "last int", "anchor int"])), "segments")
+    every = written(texts.mapInArrow(_segments(levels(length)[level], length, share, of), ", ".join(["d long", "h long", *carried, "key long", "s long", "first int", "last int", "anchor int"])), "segments")
     own = F.xxhash64("d", "h")
     numbers = [] if not across else [F.min("least").alias("least"), F.max("most").alias("most")] if level else [F.min(own).alias("least"), F.max(own).alias("most")]
     n = F.count(F.lit(1)).alias("n")
@@ -263,7 +275,7 @@ def _repeats(texts: DataFrame, level: int, length: int, across: bool) -> DataFra
     once = texts.groupBy("d", "h").agg(F.first("text").alias("text")) if level == 0 else texts.select("d", "h", "text")  # equal rows, however many, are cut once
     cut = once.join(places.hint("merge"), ["d", "h"]).select("text", "places")
     pieces = written(cut.mapInArrow(_cut(length, list(names)), ", ".join(f"{k} {v}" for k, v in names.items()) + ", anchor int, piece binary"), "different")
-    cold, hot, done = pieces, None, [found, different, heavy, pieces]
+    cold, hot, done = pieces, None, [found, heavy, pieces]
     if level + 1 < len(levels(length)):
         sizes = written(different.groupBy("key").agg(n).where(F.col("n") > HOT), "hot")
         done.append(sizes)
@@ -271,6 +283,7 @@ def _repeats(texts: DataFrame, level: int, length: int, across: bool) -> DataFra
             parts = _heavy(sizes, total)
             cold = skewed(pieces, sizes.select("key"), ["key"], parts, ["s"], "left_anti")
             hot = skewed(pieces, sizes.select("key"), ["key"], parts, ["s"], "left_semi")
+    release(different)
     sorted_ = by_block(cold.withColumnRenamed("key", "block"))
     spans = sorted_.mapInArrow(_sorted(length, across), "key long, s long, lo int, hi int")
     if hot is not None:
@@ -294,8 +307,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, across: bool = False) -> DataFrame:
     """d, h, spans: for each text (see _keyed) with repeats, spans (lo, hi) in bytes that together cover them."""
-    found = _repeats(_keyed(docs).select("d", "h", "text"), 0, length, across)
-    return found.groupBy("d", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    texts, of = _keyed(docs).select("d", "h", "text"), shares(length)
+    found = [_repeats(texts, 0, length, across, share, of) for share in range(of)]
+    spans = written(reduce(DataFrame.unionAll, found).groupBy("d", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "repeats")
+    for table in found:
+        release(table)
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -24,12 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Whether the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str, *partitions: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors, and what
-    later steps read of it is pruned and compressed. partitions: columns whose values get folders of their own."""
+    later steps read of it is pruned and compressed. partitions: columns whose values get folders of their own. The
+    write's shuffle files go with its end, as only the table is read from then on."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/weftline-{what}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partitions).option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partitions).option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out
