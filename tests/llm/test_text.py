@@ -386,3 +386,34 @@ def test_library_codec_keeps_what_it_meets_again(monkeypatch):
         text = f"common words, été {''.join(rng.choices('abcdefg', k=7))} {rng.randint(0, 9999)}x it's (common) {''.join(rng.choices('hijk', k=6))}! naïve_{i}"
         assert c.encode(text) == b"".join(x.to_bytes(4, "little") for x in library.encode(text, add_special_tokens=False).ids)
     assert asked.count("common") == 1 and len(c.seen_strings) + len(c.older_strings) < 2 * 60 + 40 and len(c.seen_ids) <= 30
+
+
+def test_words_of_many_texts_are_encoded_once(monkeypatch):
+    """What texts of a batch share is encoded once for all of them, in any group of words; ids and decoded texts are the
+    library's, in the texts' order."""
+    import pyarrow as pa
+
+    path = vocabulary()
+    tok, rng = library(path), np.random.default_rng(7)
+    texts = [None, "", " \t\n", "a\tb\x0bc\x0cd\re", "<|endoftext|>x y", "İSTANBUL ſ K", "it's ''ll 'Steam _a1é", "x" * 300, "漢字 ٣ é", *(t for _, t, *_ in documents())]
+    texts += [" " + " ".join("".join(rng.choice(list("AbcdehilnorstÉ',.1"), rng.integers(1, 12))) for _ in range(30)) for _ in range(60)]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    packed = [struct.pack(f"<{len(ids)}I", *ids) for ids in want]
+    monkeypatch.setattr(bpe, "TOGETHER", 100)
+    codec, asked = bpe.Codec(path), Counter()
+    whole = codec._ids_of
+    codec._ids_of = lambda words: asked.update(words) or whole(words)
+    column = pa.array([*texts, *texts])
+    assert codec.encode_decode_all(column) == 2 * [(p, tok.decode(ids, skip_special_tokens=False)) for p, ids in zip(packed, want, strict=True)]
+    assert set(asked.values()) == {1} and len(asked) > 1000
+    assert codec.encode_all(column.slice(3)) == (packed + packed)[3:] and bpe.LibraryCodec(path).encode_all(column) == packed + packed
+    assert codec.encode_decode_all(column.slice(0, 0)) == codec.encode_all(column.slice(0, 0)) == []
+    with pytest.raises(ValueError, match="no tokens for"):
+        codec.encoder.lengths[:] = 1
+        codec.encoder.automaton.clear()
+        codec.encoder.automaton.add_word("一", 0)
+        codec.encoder.automaton.make_automaton()
+        codec.encoder.all_ids(["ab"])
+    batches = [pa.record_batch({"text": pa.array(["x" * 1000] * 10)}) for _ in range(5)]
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 25_000)
+    assert [b.num_rows for b in bpe.grouped(iter(batches))] == [20, 20, 10] and list(bpe.grouped(iter([]))) == []

@@ -9,7 +9,9 @@ the back-pointers from the end of the word gives the exact ids.
 
 The texts' preparation (normal form, white space, lower case, splitting into words) is that of the vocabulary file,
 which a parameter names. Texts that hold only common characters are split by a fast pattern that finds the same words;
-all others by the library's own normalizer and pre-tokenizer. Words met before are looked up.
+all others by the library's own normalizer and pre-tokenizer. Texts of the first kind are encoded many at a time: each
+different word of them goes through the recurrence once, many words side by side. In others words met before are looked
+up.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; special tokens' strings in a text are
 those tokens, as in the tokenizers library; rows are encoded each by itself, repeated or not; an empty table gives an
@@ -25,8 +27,11 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Words that a worker remembers; it starts anew beyond that.
@@ -34,6 +39,12 @@ REMEMBERED = 100_000
 #: Pairs of tokens whose compatibility a worker remembers.
 REMEMBERED_PAIRS = 500_000
 NEVER = 1 << 60
+#: So many words go through the recurrence together; words of more bytes go one by one.
+TOGETHER, LONG = 20_000, 64
+#: Bytes of the batches whose texts are encoded together.
+GROUP_BYTES = 16 << 20
+#: Size of the table of pairs' answers, what spreads pairs over it, and what stands in it at first.
+ANSWER_BITS, SPREAD, NO_ANSWER = 20, np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
 
 
 def byte_symbols() -> list[str]:
@@ -90,8 +101,8 @@ class WordEncoder:
         self.inner = {b: chr(0x4E00 + b) for b in range(256)}
         self.final = {b: chr(0x4F00 + b) for b in range(256)}
         by_symbol = {symbols[b]: b for b in range(256)}
-        self.automaton = ahocorasick.Automaton()
-        self.size = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.lengths = np.zeros(max(self.vocab.values()) + 1, np.int64)
         reachable = set(parts) | {self.vocab[symbols[b] + e] for b in range(256) for e in ("", self.suffix) if symbols[b] + e in self.vocab}
         for token, i in self.vocab.items():
             if i not in reachable:
@@ -103,10 +114,13 @@ class WordEncoder:
             codes = [self.inner[by_symbol[c]] for c in plain]
             if ends:
                 codes[-1] = self.final[by_symbol[plain[-1]]]
-            self.automaton.add_word("".join(codes), (i, len(codes)))
+            self.automaton.add_word("".join(codes), i)
+            self.lengths[i] = len(codes)
         self.automaton.make_automaton()
         self.inner_table = {b: ord(c) for b, c in self.inner.items()}
+        self.sizes = self.lengths.tolist()
         self.rights, self.lefts, self.known = {}, {}, {}
+        self.answers = np.full(1 << ANSWER_BITS, NO_ANSWER, np.uint64)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """(piece, rank of the merge that consumes it) of the pieces at one border of a token, smallest first."""
@@ -118,31 +132,32 @@ class WordEncoder:
             consumed = self.parts[now][2]
             now = self.parts[now][side]
 
+    def _judge(self, left: int, right: int) -> bool:
+        ours = self.rights.get(left)
+        if ours is None:
+            ours = self.rights[left] = self._spine(left, 1)
+        theirs = self.lefts.get(right)
+        if theirs is None:
+            theirs = self.lefts[right] = self._spine(right, 0)
+        i = j = 0
+        while True:
+            (a, a_gone), (b, b_gone) = ours[i], theirs[j]
+            across = self.rank.get((a, b), NEVER)
+            if across < a_gone and across <= b_gone and across < NEVER:
+                return False
+            if a_gone == b_gone == NEVER:
+                return True
+            if a_gone <= b_gone:
+                i += 1
+            else:
+                j += 1
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges on left's text followed by right's end as these two tokens."""
         key = left << 20 | right
         known = self.known.get(key)
         if known is None:
-            ours = self.rights.get(left)
-            if ours is None:
-                ours = self.rights[left] = self._spine(left, 1)
-            theirs = self.lefts.get(right)
-            if theirs is None:
-                theirs = self.lefts[right] = self._spine(right, 0)
-            i = j = 0
-            known = True
-            while True:
-                (a, a_gone), (b, b_gone) = ours[i], theirs[j]
-                across = self.rank.get((a, b), NEVER)
-                if across < a_gone and across <= b_gone and across < NEVER:
-                    known = False
-                    break
-                if a_gone == b_gone == NEVER:
-                    break
-                if a_gone <= b_gone:
-                    i += 1
-                else:
-                    j += 1
+            known = self._judge(left, right)
             if len(self.known) >= REMEMBERED_PAIRS:
                 self.known.clear()
             self.known[key] = known
@@ -152,8 +167,8 @@ class WordEncoder:
         raw = word.encode()
         codes = raw[:-1].decode("latin-1").translate(self.inner_table) + self.final[raw[-1]] if self.suffix else raw.decode("latin-1").translate(self.inner_table)
         last, size, compatible = [-1] * (len(codes) + 1), [0] * (len(codes) + 1), self.compatible
-        for at, (token, n) in self.automaton.iter(codes):
-            end = at + 1
+        for at, token in self.automaton.iter(codes):
+            end, n = at + 1, self.sizes[token]
             if last[end] >= 0:
                 continue
             before = last[end - n]
@@ -167,6 +182,56 @@ class WordEncoder:
             at -= size[at]
         return out[::-1]
 
+    def _all_compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """compatible() of many pairs. Answers lie in a table of fixed size, where a pair may take another's place."""
+        keys = (left << 20 | right).astype(np.uint64)
+        slots = keys * SPREAD >> np.uint64(64 - ANSWER_BITS)
+        found = self.answers[slots]
+        new = np.flatnonzero(found >> np.uint64(1) != keys)
+        if len(new):
+            asked, at = np.unique(keys[new], return_inverse=True)
+            said = np.array([self._judge(k >> 20, k & 0xFFFFF) for k in asked.tolist()], np.uint64)[at]
+            found[new] = self.answers[slots[new]] = keys[new] << np.uint64(1) | said
+        return found & np.uint64(1) == 1
+
+    def all_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one word's after another's; number of ids of each): the recurrence over the prefixes of one
+        length of all words at a time. Long words go one by one."""
+        raw = [w.encode() for w in words]
+        if any(len(r) > LONG for r in raw):
+            ids, counts = self.all_ids([w for w, r in zip(words, raw, strict=True) if len(r) <= LONG])
+            short = iter(np.split(ids, np.cumsum(counts)[:-1]))
+            each = [np.array(self.ids(w)) if len(r) > LONG else next(short) for w, r in zip(words, raw, strict=True)]
+            return np.concatenate(each), np.array(list(map(len, each)))
+        if not raw:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        borders = np.cumsum(sizes + 1)  # words follow each other with a place before each, which is its empty prefix
+        starts = borders - sizes - 1
+        symbols = np.frombuffer(b"\0" + b"\0".join(raw) + b"\0", np.uint8).astype("<u2") + np.uint16(0x4E00)
+        if self.suffix:
+            symbols[borders - 1] += np.uint16(0x100)
+        symbols[starts] = symbols[-1] = ord(" ")
+        ends, tokens = np.fromiter(chain.from_iterable(self.automaton.iter(symbols.tobytes().decode("utf-16-le"))), np.int64).reshape(-1, 2).T
+        before = ends - self.lengths[tokens]
+        prefix = ends - np.repeat(starts, sizes + 1)[ends]
+        order, last = np.argsort(prefix, kind="stable"), np.full(borders[-1] + 1, -1)
+        for group in np.split(order, np.cumsum(np.bincount(prefix))[:-1]):
+            whole = prefix[group] == self.lengths[tokens[group]]
+            pairs = group[~whole & (last[before[group]] >= 0)]
+            good = np.concatenate([pairs[self._all_compatible(last[before[pairs]], tokens[pairs])], group[whole]])
+            last[ends[good]] = tokens[good]
+        used, at = np.zeros(len(last), bool), borders - 1
+        while len(at):
+            if (last[at] < 0).any():
+                lost = words[int(np.searchsorted(borders, at[last[at] < 0][0], "right"))]
+                raise ValueError(f"the vocabulary has no tokens for {lost[:20]!r}")
+            used[at] = True
+            at = at - self.lengths[last[at]]
+            at = at[symbols[at] != ord(" ")]
+        return last[used], np.add.reduceat(used.astype(np.int64), starts)
+
+
 
 class Codec:
     """Encodes and decodes texts with a vocabulary file of the tokenizers library."""
@@ -181,7 +246,7 @@ class Codec:
         names = [""] * (max([*self.encoder.vocab.values(), *self.special.values()]) + 1)
         for token, i in {**self.encoder.vocab, **self.special}.items():
             names[i] = token
-        self.names = names
+        self.names, self.tokens = names, pa.array(names, pa.large_string())
         self.seen_ids: dict[str, bytes] = {}
         self.seen_names: dict[str, str] = {}
 
@@ -208,6 +273,50 @@ class Codec:
                     ids = b"".join([self.seen_ids[w] for w in words])
                 yield ids, " ".join([self.seen_names[w] for w in words])
 
+    def _plain(self, text: str | None) -> bool:
+        """Whether the text's words are those of its strings between white space, found by the fast pattern."""
+        return bool(text) and self.splitter.usual and self.splitter.common.fullmatch(text) is not None and not (self.find_special and self.special_start in text)
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one word's after another's; number of ids of each)."""
+        ids, counts = zip(*(self.encoder.all_ids(words[at : at + TOGETHER]) for at in range(0, max(1, len(words)), TOGETHER)), strict=True)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _together(self, texts: pa.Array, said: list[str | None], names: bool) -> tuple[list[int], list[pa.Array]]:
+        """(places of the plain texts, [their ids, and if asked for what they decode to]). A word is encoded once for all
+        texts: they are cut at white space, different strings of them into words, and what different words give is joined
+        to strings and those to texts."""
+        plain = [i for i, t in enumerate(said) if self._plain(t)]
+        cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.take(pa.array(plain, pa.int64())).cast(pa.large_string())))
+        strings, find = cut.flatten().dictionary_encode(), self.splitter.fast.findall
+        found = [[s] if s.isalpha() else find(s) for s in map(str.lower, strings.dictionary.to_pylist())]
+        words = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+        offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        ids, counts = self._ids_of(words.dictionary.to_pylist())
+        borders = np.cumsum([0, *counts])
+        columns = [(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(borders * 4), pa.py_buffer(ids.astype("<u4"))]), "")]
+        if names:
+            tokens = self.tokens.take(pa.array(ids))
+            columns.append((pc.binary_join(pa.ListArray.from_arrays(pa.array(borders, pa.int32()), tokens), pa.scalar(" ", tokens.type)), " "))
+        out = []
+        for column, between in columns:
+            for at, parts in ((offsets, words.indices), (cut.offsets, strings.indices)):
+                column = pc.binary_join(pa.ListArray.from_arrays(at, column.take(parts)), pa.scalar(between, column.type))
+            out.append(column)
+        return plain, out
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """encode() of each text; words of plain texts are encoded once for all of them."""
+        plain, (ids,) = self._together(texts, said := texts.to_pylist(), False)
+        known = dict(zip(plain, ids.to_pylist(), strict=True))
+        return [known[i] if i in known else self.encode(t) for i, t in enumerate(said)]
+
+    def encode_decode_all(self, texts: pa.Array) -> list[tuple[bytes, str]]:
+        """encode_decode() of each text, likewise."""
+        plain, (ids, decoded) = self._together(texts, said := texts.to_pylist(), True)
+        known = dict(zip(plain, zip(ids.to_pylist(), decoded.to_pylist(), strict=True), strict=True))
+        return [known[i] if i in known else self.encode_decode(t) for i, t in enumerate(said)]
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit words."""
         return b"".join([p[0] for p in self._parts(text)]) if text else b""
@@ -239,6 +348,14 @@ class LibraryCodec(Codec):
         ids = [t.id for t in self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        symbols, tokenize, ids, counts = self.symbols, self.tokenize, [], []
+        for word in words:
+            tokens = tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(symbols))
+            counts.append(len(tokens))
+            ids += [t.id for t in tokens]
+        return np.array(ids, np.int64), np.array(counts, np.int64)
+
     def _known(self, word: str) -> bytes | None:
         """Ids of a word that was met beside others in a string."""
         return self.seen_ids.get(word) or self.older_ids.get(word)
@@ -281,6 +398,18 @@ class LibraryCodec(Codec):
         return b"".join(parts)
 
 
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, put together while they have no more than GROUP_BYTES."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > GROUP_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 _codecs: dict[str, Codec] = {}
 _library_codecs: dict[str, LibraryCodec] = {}
 

@@ -8,7 +8,7 @@ gaps, and runs of these numbers belong to places in patterns. The number of patt
 not of documents, so the table of places that tasks get is bounded.
 
 Ids are those of the tokenizers library with the given vocabulary file: words are found as the library finds them,
-and words not met before are encoded by the library's model.
+and each different word of many texts is encoded once by the library's model.
 
 Defined cases: a null or empty text has only the end id, one piece; a longer document is cut into full pieces and a
 rest; rows with one doc_id are packed each by itself; an empty table gives an empty table; extra columns are not read.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.bpe import library_codec
+from weftline.llm.bpe import grouped, library_codec
 from weftline.llm.common import gapless_rank, written
 
 LENGTH, END_ID = 2048, 1
@@ -39,10 +39,10 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         c, end = library_codec(path), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in grouped(batches):
             at, starts, lengths, crcs, totals = [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = c.encode(text) + end
+            for row, ids in enumerate(c.encode_all(batch.column(1))):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, length):
                     part = ids[4 * start : 4 * (start + length)]
