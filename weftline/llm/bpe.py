@@ -433,8 +433,8 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
-            both = [c.encode_decode(t) for t in batch.column(1).to_pylist()]
+        for batch in grouped(batches):
+            both = c.encode_decode_all(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in both], pa.binary()), pa.array([x[1] for x in both], pa.string())], ["doc_id", "ids", "decoded"]
             )
@@ -448,10 +448,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = codec(path), hashlib.sha256
-        for batch in batches:
+        for batch in grouped(batches):
             n, ids_sha, text_sha = [], [], []
-            for t in batch.column(1).to_pylist():
-                ids, decoded = c.encode_decode(t)
+            for ids, decoded in c.encode_decode_all(batch.column(1)):
                 n.append(len(ids) // 4)
                 ids_sha.append(sha(ids).hexdigest())
                 text_sha.append(sha(decoded.encode()).hexdigest())
