@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, langid, packing, setsketch, sharding, suffix, urls
+from weftline.llm import bpe, chat, langid, packing, queries, setsketch, sharding, suffix, urls
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -151,6 +151,50 @@ def test_suffix_edges(spark, empty):
     assert got == want
 
 
+def passages(rows, words):
+    """For each (doc_id, text), the maximal runs of words in sequences of so many that another document holds too."""
+    texts = [re.findall("[^\x20\x09-\x0d]+", t or "") for _, t in rows]
+    holders = defaultdict(set)
+    for row, w in zip(rows, texts, strict=True):
+        for i in range(len(w) - words + 1):
+            holders[tuple(w[i : i + words])].add(row)
+    out = []
+    for w in texts:
+        mask = np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - words + 1):
+            if len(holders[tuple(w[i : i + words])]) > 1:
+                mask[i : i + words] = True
+        out.append(int((mask[:-1] & ~mask[1:]).sum()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [4000, 2])
+def test_suffix_passages(spark, monkeypatch, hot):
+    """Passages shorter than 400 bytes are counted, whatever stands between their words; nothing of them is removed."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdé", k=rng.randint(3, 6)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    one, two, short, own = some(51), some(58), some(50), some(60)
+    assert max(len(x.encode()) for x in (one, two)) < 400
+    rows = [(i, f"{some(20)} {one} {some(40)}") for i in range(6)]
+    rows += [(10, f"{some(3)}\n{two}"), (11, two.replace(" ", "\t\n") + " " + some(70) + "\x0b" + one), (12, f"{short} a"), (13, f"{short} b"), (14, one.upper())]
+    rows += [(20, f"{own} {some(2)} {own}"), (21, own[:200]), (22, None), (23, " "), (24, one), (25, one), (25, one), (None, f"x {two}"), (None, f"x {two}"), (26, one.replace(" ", "\u00a0"))]
+    rows += [(100 + r[0], r[1]) for r in documents()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in suffix.dedup_report(docs, passage_words=51).collect()), key=repr)
+    want = passages(rows, 51)
+    assert got == sorted(((i, *w, n) for (i, _), w, n in zip(rows, without_repeats([t for _, t in rows]), want, strict=True)), key=repr)
+    assert want[:11] == [1, 1, 1, 1, 1, 1, 1, 2, 0, 0, 0] and want[11] == 0 and want[15:17] == [1, 1]
+
+
+def test_suffix_query_passages(spark, sf_dir):
+    """op5 tells which documents hold passages of over 50 words of others."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["n_passages"] for r in queries.op5_suffix_dedup(spark, sf_dir).collect()}
+    assert got == dict(zip([r[0] for r in rows], passages(rows, 51), strict=True)) and max(got.values()) > 0
+
+
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 

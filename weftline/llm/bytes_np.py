@@ -43,9 +43,9 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """S with S[0] = 0; `substring_hash` reads the hash of any substring from it."""
+    """S with S[0] = 0; `substring_hash` reads the hash of any substring of bytes or of 64-bit symbols from it."""
     out = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_WORDS[data] * powers(BASE_INVERSE, len(data)), out=out[1:])
+    np.cumsum((BYTE_WORDS[data] if data.dtype == np.uint8 else mix(data, 23)) * powers(BASE_INVERSE, len(data)), out=out[1:])
     return out
 
 
@@ -87,10 +87,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, A-Z lower-cased; first word of each text, with the end appended."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, A-Z lower-cased if lower; first word of each text, with the end appended."""
     starts, ends, firsts = word_spans(data, offsets)
-    return substring_hash(prefix_hash(LOWER[data]), starts, ends), firsts
+    return substring_hash(prefix_hash(LOWER[data] if lower else data), starts, ends), firsts
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:

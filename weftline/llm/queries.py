@@ -139,7 +139,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm import suffix
 
-    return suffix.dedup_report(read_table(spark, sf_dir, "documents"))
+    return suffix.dedup_report(read_table(spark, sf_dir, "documents"), passage_words=suffix.PASSAGE_WORDS)
 
 
 def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,9 @@ that together have several times the texts' bytes. Then anchors are dealt into s
 the other is done wholly, from the texts to the spans: windows of different anchors never meet, so nothing is lost, and
 disk holds the segments of one share at a time.
 
+Sequences of words go the same way, with a hash of each word as one symbol in place of a byte: `dedup_report` counts
+the passages of enough words that other documents hold too, which may be shorter than `length` bytes.
+
 Defined cases: a null text is empty; rows are separate documents, repeated rows (and rows of one doc_id) too,
 but that across=True takes rows of one doc_id (or none) and one text as one document; texts
 shorter than `length` bytes lose nothing; an empty table gives an empty table; extra columns of the input, whatever
@@ -40,12 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.bytes_np import U64, joined, mix, prefix_hash, substring_hash, text_chunks
+from weftline.llm.bytes_np import U64, mix, prefix_hash, substring_hash, text_chunks, word_hashes
 from weftline.llm.common import release, written
 from weftline.llm.vectors import blocks, by_block
 
 #: Bytes of a repeated string, where the caller names no other length.
 LENGTH = 400
+#: Words of a passage that op5 counts (over 50).
+PASSAGE_WORDS = 51
 #: Different segments of an anchor that one task sorts at most; segments sorted together.
 HOT, TOGETHER = 4000, 16384
 #: Keys with more than this share of all segments are salted; there are fewer than HEAVY of them.
@@ -65,8 +70,22 @@ def shares(length: int) -> int:
     return -(-LENGTH // length)
 
 
+def _bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return data, offsets
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit symbol for each word of the texts; offsets in words."""
+    return word_hashes(data, offsets, lower=False)
+
+
+def _cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of segments that were cut out of texts' words."""
+    return data.view(U64), offsets // 8
+
+
 def anchors(data: np.ndarray, gram: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(place of its anchor for each window of `length` bytes, hash of the gram at each place)."""
+    """(place of its anchor for each window of `length` symbols, hash of the gram at each place)."""
     prefix = prefix_hash(data)
     starts = np.arange(len(data) - gram + 1)
     hashes = substring_hash(prefix, starts, starts + gram)
@@ -114,7 +133,7 @@ def repeated_windows(strings: list[np.ndarray], anchor: np.ndarray, least: np.nd
     shift = int(anchor.max())
     start, end = shift - anchor, shift - anchor + sizes
     width = int(end.max())
-    symbols = np.zeros((width, n), np.uint8)  # a row for each column, read once
+    symbols = np.zeros((width, n), strings[0].dtype)  # a row for each column, read once
     mask = np.zeros((n, width), bool)
     for i, s in enumerate(strings):
         symbols[start[i] : end[i], i] = s
@@ -164,19 +183,20 @@ def _digests(pieces: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([hashlib.blake2b(s, digest_size=8).digest() for s in pieces]), np.int64)
 
 
-def _segments(gram: int, length: int, share: int = 0, of: int = 1):
-    """(d, h, text, ...) -> a row for each segment of a share of the keys, with a digest of its bytes, which with the
-    key names it; further columns are carried along."""
+def _segments(gram: int, length: int, share: int = 0, of: int = 1, read=_bytes):
+    """(d, h, text, ...) -> a row for each segment of a share of the keys, with a digest of its symbols, which with the
+    key names it; further columns are carried along. read: what a text's symbols are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [n for n in batch.schema.names if n != "text"]
-            for a, _, data, offsets in text_chunks(batch.column(2)):
+            for a, _, *chunk in text_chunks(batch.column(2)):
+                data, offsets = read(*chunk)
                 text, first, last, anchor, key = segments(data, offsets, gram, length)
                 mine = mix(key.view(U64), 51) % U64(of) == share
                 text, first, last, anchor, key = (x[mine] for x in (text, first, last, anchor, key))
-                at, buffer, base = pa.array(text + a), data.tobytes(), offsets[text]
-                digest = _digests([buffer[i:j] for i, j in zip((base + first).tolist(), (base + last + length).tolist(), strict=True)])
+                at, buffer, base, size = pa.array(text + a), data.tobytes(), offsets[text], data.itemsize
+                digest = _digests([buffer[i:j] for i, j in zip((size * (base + first)).tolist(), (size * (base + last + length)).tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(batch.schema.get_field_index(n)).take(at) for n in names), pa.array(key), pa.array(digest), *(pa.array(x.astype(np.int32)) for x in (first, last, anchor))],
                     [*names, "key", "s", "first", "last", "anchor"],
@@ -185,27 +205,31 @@ def _segments(gram: int, length: int, share: int = 0, of: int = 1):
     return run
 
 
-def _cut(length: int, names: list[str]):
-    """(text, places: array of (first, last, anchor, then names)) -> a row for each place: names, anchor, its bytes."""
+def _cut(length: int, names: list[str], read=_bytes):
+    """(text, places: array of (first, last, anchor, then names)) -> a row for each place: names, anchor, its symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = joined(batch.column(0))
+            if not batch.num_rows:
+                continue
+            chunks = [read(*chunk) for _, _, *chunk in text_chunks(batch.column(0))]
+            data = np.concatenate([data for data, _ in chunks])
+            offsets = np.cumsum([0, *np.concatenate([np.diff(offsets) for _, offsets in chunks])])
             places = batch.column(1)
             first, last, anchor, *rest = places.flatten().flatten()
             first, last, anchor = (x.to_numpy() for x in (first, last, anchor))
             row = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
-            buffer, base = data.tobytes(), offsets[:-1][row]
+            buffer, base, size = data.tobytes(), offsets[:-1][row], data.itemsize
             for i in range(0, len(row), 8192):
                 j = slice(i, i + 8192)
-                cut = [buffer[b + f : b + e + length] for b, f, e in zip(base[j], first[j], last[j], strict=True)]
+                cut = [buffer[size * (b + f) : size * (b + e + length)] for b, f, e in zip(base[j], first[j], last[j], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(x.slice(i, 8192) for x in rest), pa.array((anchor - first)[j]), pa.array(cut, pa.binary())], [*names, "anchor", "piece"])
 
     return run
 
 
-def _sorted(length: int, across: bool):
-    """Collections (block, s, many, anchor, piece; least, most if across) -> repeated spans (key, s, lo, hi) of the pieces, in bytes."""
+def _sorted(length: int, across: bool, symbol: type = np.uint8):
+    """Collections (block, s, many, anchor, piece; least, most if across) -> repeated spans (key, s, lo, hi) of the pieces, in symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, borders in blocks(batches):
@@ -219,7 +243,7 @@ def _sorted(length: int, across: bool):
                 a = b
                 if len(rows) == 1 and not many[rows[0]]:
                     continue
-                strings = [np.frombuffer(pieces[int(i)].as_buffer(), np.uint8) for i in rows]
+                strings = [np.frombuffer(pieces[int(i)].as_buffer(), symbol) for i in rows]
                 low, high = (least[rows], most[rows]) if across else (np.arange(len(rows)), np.arange(len(rows)))
                 mask = repeated_windows(strings, anchor[rows], low, high, many[rows], length)
                 edge = np.zeros((len(rows), 1), np.int8)
@@ -250,12 +274,13 @@ def _heavy(counts: DataFrame, total: int) -> DataFrame:
     return counts.where(F.col("n") > limit).withColumn("parts", F.ceil(F.col("n") / limit).cast("int"))
 
 
-def _repeats(texts: DataFrame, level: int, length: int, across: bool, share: int = 0, of: int = 1) -> DataFrame:
-    """(d, h, lo, hi): spans of the texts (d, h, text) that repeated strings of `length` bytes cover, as far as their
-    anchors are of the share. On deeper levels the texts are different segments, and carry many (met more than once)
-    and, if across, least and most (the numbers of the documents that hold them)."""
+def _repeats(texts: DataFrame, level: int, length: int, across: bool, share: int = 0, of: int = 1, words: bool = False) -> DataFrame:
+    """(d, h, lo, hi): spans of the texts (d, h, text) that repeated strings of `length` bytes (words, if words) cover,
+    in bytes (words), as far as their anchors are of the share. On deeper levels the texts are different segments, and
+    carry many (met more than once) and, if across, least and most (the numbers of the documents that hold them)."""
+    read = (_cut_words if level else _words) if words else _bytes
     carried = (["many boolean"] + ["least long", "most long"] * across) * (level > 0)
-    every = written(texts.mapInArrow(_segments(levels(length)[level], length, share, of), ", ".join(["d long", "h long", *carried, "key long", "s long", "first int", "last int", "anchor int"])), "segments")
+    every = written(texts.mapInArrow(_segments(levels(length)[level], length, share, of, read), ", ".join(["d long", "h long", *carried, "key long", "s long", "first int", "last int", "anchor int"])), "segments")
     own = F.xxhash64("d", "h")
     numbers = [] if not across else [F.min("least").alias("least"), F.max("most").alias("most")] if level else [F.min(own).alias("least"), F.max(own).alias("most")]
     n = F.count(F.lit(1)).alias("n")
@@ -274,7 +299,7 @@ def _repeats(texts: DataFrame, level: int, length: int, across: bool, share: int
     places = different.groupBy("p.d", "p.h").agg(F.collect_set(F.struct("p.first", "p.last", "p.anchor", *names)).alias("places"))
     once = texts.groupBy("d", "h").agg(F.first("text").alias("text")) if level == 0 else texts.select("d", "h", "text")  # equal rows, however many, are cut once
     cut = once.join(places.hint("merge"), ["d", "h"]).select("text", "places")
-    pieces = written(cut.mapInArrow(_cut(length, list(names)), ", ".join(f"{k} {v}" for k, v in names.items()) + ", anchor int, piece binary"), "different")
+    pieces = written(cut.mapInArrow(_cut(length, list(names), read), ", ".join(f"{k} {v}" for k, v in names.items()) + ", anchor int, piece binary"), "different")
     cold, hot, done = pieces, None, [found, heavy, pieces]
     if level + 1 < len(levels(length)):
         sizes = written(different.groupBy("key").agg(n).where(F.col("n") > HOT), "hot")
@@ -285,10 +310,10 @@ def _repeats(texts: DataFrame, level: int, length: int, across: bool, share: int
             hot = skewed(pieces, sizes.select("key"), ["key"], parts, ["s"], "left_semi")
     release(different)
     sorted_ = by_block(cold.withColumnRenamed("key", "block"))
-    spans = sorted_.mapInArrow(_sorted(length, across), "key long, s long, lo int, hi int")
+    spans = sorted_.mapInArrow(_sorted(length, across, U64 if words else np.uint8), "key long, s long, lo int, hi int")
     if hot is not None:
         again = hot.select(F.col("key").alias("d"), F.col("s").alias("h"), F.col("piece").alias("text"), *(c for c in names if c not in ("key", "s")))
-        spans = spans.unionByName(_repeats(again, level + 1, length, across).select(F.col("d").alias("key"), F.col("h").alias("s"), "lo", "hi"))
+        spans = spans.unionByName(_repeats(again, level + 1, length, across, words=words).select(F.col("d").alias("key"), F.col("h").alias("s"), "lo", "hi"))
     spans = spans.groupBy("key", "s").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     back = skewed(found.select("d", "h", "first", "key", "s"), spans, ["key", "s"], heavy, ["d", "h", "first"], "inner")
     out = written(
@@ -305,10 +330,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), "h": F.xxhash64("text", F.col("doc_id").isNull())})
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, across: bool = False) -> DataFrame:
-    """d, h, spans: for each text (see _keyed) with repeats, spans (lo, hi) in bytes that together cover them."""
-    texts, of = _keyed(docs).select("d", "h", "text"), shares(length)
-    found = [_repeats(texts, 0, length, across, share, of) for share in range(of)]
+def repeated_spans(docs: DataFrame, length: int = LENGTH, across: bool = False, words: bool = False) -> DataFrame:
+    """d, h, spans: for each text (see _keyed) with repeats, spans (lo, hi) in bytes that together cover them. words:
+    length and spans count words ([^\\x20\\x09-\\x0D]+), whatever stands between them; those are done in one share."""
+    texts, of = _keyed(docs).select("d", "h", "text"), 1 if words else shares(length)
+    found = [_repeats(texts, 0, length, across, share, of, words) for share in range(of)]
     spans = written(reduce(DataFrame.unionAll, found).groupBy("d", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "repeats")
     for table in found:
         release(table)
@@ -338,16 +364,16 @@ def _runs(spans) -> list[tuple[int, int]]:
     return merged([(s["lo"], s["hi"]) for s in spans]) if spans else []
 
 
-def dedup_report(docs: DataFrame, length: int = LENGTH, passage: int | None = None, min_words: int = 0) -> DataFrame:
+def dedup_report(docs: DataFrame, length: int = LENGTH, passage_words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text).
 
-    With passage, n_passages too: how many maximal runs of at least min_words words consist of strings of `passage`
-    bytes that other documents hold as well. What is removed does not depend on it."""
+    With passage_words, n_passages too: how many maximal runs of a text's words consist of sequences of so many words
+    that another document holds as well. They are only counted; what is removed does not depend on them."""
     docs = docs.select("doc_id", "text")
     spans = repeated_spans(docs, length)
-    if passage is not None:
-        spans = spans.join(repeated_spans(docs, passage, across=True).withColumnRenamed("spans", "shared"), ["d", "h"], "full_outer")
-    extra = ["shared"] if passage is not None else []
+    extra = ["shared"] if passage_words is not None else []
+    if extra:
+        spans = spans.join(repeated_spans(docs, passage_words, across=True, words=True).withColumnRenamed("spans", "shared"), ["d", "h"], "full_outer")
     both = _keyed(docs).join(spans.hint("merge"), ["d", "h"], "left").select("doc_id", "text", "spans", *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +385,7 @@ def dedup_report(docs: DataFrame, length: int = LENGTH, passage: int | None = No
                 removed.append(sum(hi - lo for lo, hi in runs))
                 counts.append(len(runs))
                 shas.append(hashlib.sha256(without(data, runs)).hexdigest())
-                passages.append(sum(len(data[lo:hi].split()) >= min_words for lo, hi in _runs(spans[-1])))
+                passages.append(len(_runs(spans[-1])))
             columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(shas, pa.string()), *([pa.array(passages, pa.int64())] if extra else [])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passages"] if extra else [])])
 
